@@ -35,12 +35,14 @@ class DigestIndex:
     SCHEMA = "digest binary, id bigint, n bigint"
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path, self.runs, self.level = spark, path, 0, 0
+        self.spark, self.path, self.flushes, self.level = spark, path, 0, 0
+        self.pending: list[str] = []
 
     def flush(self, rows: DataFrame) -> str:
         """Add (digest, id, n) rows as new sorted runs; returns their path."""
-        path = f"{self.path}/level=0/flush={self.runs}"
-        self.runs += 1
+        path = f"{self.path}/level=0/flush={self.flushes}"
+        self.flushes += 1
+        self.pending.append(path)
         (
             rows.select("digest", "id", "n")
             .sortWithinPartitions("digest", "id")
@@ -54,13 +56,13 @@ class DigestIndex:
 
     def compact(self) -> DataFrame:
         """Merge all runs and the last level into the next one and return it."""
-        found = [self.read(f"{self.path}/level=0/flush={k}") for k in range(self.runs)]
+        found = [self.read(p) for p in self.pending]
         if self.level:
             found.append(self.read(f"{self.path}/level={self.level}"))
         rows = found[0]
         for more in found[1:]:
             rows = rows.unionByName(more)
-        self.level, self.runs = self.level + 1, 0
+        self.level, self.pending = self.level + 1, []
         path = f"{self.path}/level={self.level}"
         (
             rows.groupBy("digest")
