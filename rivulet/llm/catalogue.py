@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rivulet.llm import exact_dedup
+from rivulet.llm import bpe, exact_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_exact_dedup": exact_dedup.op9_exact_dedup}
+    return {
+        "op1_byte_bpe": bpe.op1_byte_bpe,
+        "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
