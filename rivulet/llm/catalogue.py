@@ -6,15 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rivulet.llm import bpe, exact_dedup
+from rivulet.llm import bpe, decontamination, exact_dedup, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": bpe.op1_byte_bpe,
+        "op4_token_counts": token_counts.op4_token_counts,
+        "op6_decontamination": decontamination.op6_decontamination,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": exact_dedup.ORACLE}
+    return {
+        "op6_decontamination": decontamination.ORACLE,
+        "op9_exact_dedup": exact_dedup.ORACLE,
+    }
