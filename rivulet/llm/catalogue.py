@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rivulet.llm import bpe, decontamination, exact_dedup, token_counts
+from rivulet.llm import bpe, decontamination, exact_dedup, language_id, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_byte_bpe": bpe.op1_byte_bpe,
         "op4_token_counts": token_counts.op4_token_counts,
         "op6_decontamination": decontamination.op6_decontamination,
+        "op7_language_id": language_id.op7_language_id,
+        "op8_toxicity": toxicity.op8_toxicity,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     }
 
