@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rivulet.llm import bpe, decontamination, exact_dedup, language_id, token_counts, toxicity
+from rivulet.llm import bpe, decontamination, exact_dedup, language_id, substring_dedup, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_language_id": language_id.op7_language_id,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+        "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     }
 
 
@@ -24,4 +25,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op6_decontamination": decontamination.ORACLE,
         "op9_exact_dedup": exact_dedup.ORACLE,
+        "op10_substring_dedup": substring_dedup.ORACLE,
     }

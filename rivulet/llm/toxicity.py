@@ -30,8 +30,6 @@ THRESHOLD = 0.7
 #: Most labelled rows that a model is fitted on; a larger set is sampled by a hash of
 #: the id at a rate that expects this many. Every row of the table is scored.
 TRAIN_ROWS = 12_000
-#: Learning steps of a fit: fewer rows are gone over more often, up to 20 times.
-STEPS = 36_000
 _U = np.uint64
 
 
@@ -111,7 +109,7 @@ def slot_rows(docs: DataFrame, text_col: str, keep: tuple[str, ...], bits: int =
     return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, steps: int = STEPS, bits: int = SLOT_BITS) -> tuple[np.ndarray, np.ndarray]:
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, epochs: int = 3, bits: int = SLOT_BITS) -> tuple[np.ndarray, np.ndarray]:
     """Fit on (id, text) and (id, label) rows; returns the (slots, weights) not zero.
 
     Rows with a null id, text or label teach nothing. Rows are taken in the order of a
@@ -132,7 +130,6 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, steps:
     ones = sum(y for _, y in data)
     learner = Ftrl(bits)
     boost = max(1.0, min(4.0, (len(data) - ones) / ones / 2)) if ones else 1.0
-    epochs = min(20, -(-steps // max(1, len(data))))
     for _ in range(epochs):
         for slots, label in data:
             learner.learn(slots, label, boost if label else 1.0)
