@@ -139,10 +139,12 @@ def find_windows(
     blocks = [spark.sparkContext.broadcast(pickle.dumps(WindowSet(b, width))) for b in item_blocks(benchmark, item_col, item_text_col, block_words)]
     span_type = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
+    place = keep.index(text_col) if text_col in keep else len(keep)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = pickle.loads(blocks[0].value) if len(blocks) == 1 else None
         for batch in batches:
-            data, offs = text_bytes(batch.column(len(keep)))
+            data, offs = text_bytes(batch.column(place))
             for i, j in pieces(offs):
                 part, own = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
                 total: dict[int, tuple[int, list, set]] = {}
@@ -151,7 +153,7 @@ def find_windows(
                         _, s, t = total.get(d, (n, [], set()))
                         total[d] = (n, merge([*s, *spans]), t | items)
                 rows = [total[d] for d in range(j - i)]
-                texts = batch.column(len(keep)).slice(i, j - i).to_pylist()
+                texts = batch.column(place).slice(i, j - i).to_pylist()
                 clean = [without(t, s) if s else t for t, (_, s, _) in zip(texts, rows)]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -164,7 +166,7 @@ def find_windows(
                     names,
                 )
 
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, *([] if text_col in keep else [text_col])).mapInArrow(run, schema)
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:

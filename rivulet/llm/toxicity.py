@@ -145,6 +145,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col: str =
     """
     types = dict(docs.dtypes)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = keep.index(text_col) if text_col in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense = np.zeros(1 << bits, np.float32)
@@ -153,7 +154,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col: str =
         number = np.zeros(1 << bits, np.int64)
         number[weighted] = np.arange(len(weighted)) + 1
         for batch in batches:
-            data, offs = text_bytes(batch.column(len(keep)))
+            data, offs = text_bytes(batch.column(place))
             for i, j in pieces(offs):
                 slots, first = features(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], bits)
                 # Only slots with a weight matter: few are left to make distinct.
@@ -165,7 +166,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col: str =
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(len(keep))), pa.array(p, pa.float64())], [*keep, "score"])
 
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), "score double"])
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, *([] if text_col in keep else [text_col])).mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id"):
@@ -184,3 +185,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(documents(spark, sf_dir), learn_from(spark, sf_dir)).select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )
+
+
+def drop_toxic(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score under the threshold, with all their columns."""
+    plain = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)))
+    scored = score(plain, model, f"c{docs.columns.index(text_col)}", tuple(plain.columns))
+    return scored.filter(F.col("score") < threshold).select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)))
