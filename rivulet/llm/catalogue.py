@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rivulet.llm import bpe, decontamination, exact_dedup, language_id, near_dedup, substring_dedup, suffix_dedup, token_counts, toxicity
+from rivulet.llm import bpe, chat, decontamination, exact_dedup, language_id, near_dedup, substring_dedup, suffix_dedup, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": bpe.op1_byte_bpe,
         "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
+        "op3_chat_format": chat.op3_chat_format,
         "op4_token_counts": token_counts.op4_token_counts,
         "op5_near_dedup": near_dedup.op5_near_dedup,
         "op6_decontamination": decontamination.op6_decontamination,
