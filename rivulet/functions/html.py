@@ -13,20 +13,23 @@ from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of a page that an unfurl reads.
 PAGE_LIMIT = 102_400
 
-PAGE_META = (
-    "html_title string, html_description string, html_image string, html_icon string, og_title string, og_description string, "
-    "og_type string, og_url string, og_site_name string, og_images array<struct<url:string,width:int,height:int,alt:string>>"
-)
-ROBOTS_RULES = "allow array<string>, disallow array<string>, crawl_delay double"
+# Types are objects, not text, so that the module imports without a session.
+_IMAGE = T.StructType().add("url", T.StringType()).add("width", T.IntegerType()).add("height", T.IntegerType()).add("alt", T.StringType())
+PAGE_META = T.StructType()
+for _name in ("html_title", "html_description", "html_image", "html_icon", "og_title", "og_description", "og_type", "og_url", "og_site_name"):
+    PAGE_META.add(_name, T.StringType())
+PAGE_META.add("og_images", T.ArrayType(_IMAGE))
+ROBOTS_RULES = T.StructType().add("allow", T.ArrayType(T.StringType())).add("disallow", T.ArrayType(T.StringType())).add("crawl_delay", T.DoubleType())
 #: Product token that robots groups are matched with.
 AGENT = "rivulet"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_unescape(text: pd.Series) -> pd.Series:
     """Character references of HTML5 decoded; null stays null."""
     return text.map(html.unescape, na_action="ignore")
@@ -42,7 +45,7 @@ def resolve(base: str | None, ref: str | None) -> str | None:
         return ref
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def resolve_url(base: pd.Series, ref: pd.Series) -> pd.Series:
     return pd.Series([resolve(b, r) for b, r in zip(base, ref)], dtype=object)
 
@@ -111,8 +114,7 @@ def page_metadata(url: str | None, page: str | bytes | None, limit: int = PAGE_L
 
 @F.pandas_udf(PAGE_META)
 def page_meta(url: pd.Series, page: pd.Series) -> pd.DataFrame:
-    names = [c.split()[0] for c in PAGE_META.split(", ")]
-    return pd.DataFrame([page_metadata(u, p) for u, p in zip(url, page)], columns=names)
+    return pd.DataFrame([page_metadata(u, p) for u, p in zip(url, page)], columns=PAGE_META.names)
 
 
 def parse_robots_text(body: str | None, agent: str = AGENT, single_wildcard: bool = True) -> dict:

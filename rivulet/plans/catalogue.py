@@ -1,15 +1,700 @@
-"""Registered feed-archive queries and their DuckDB counterparts."""
+"""Registered feed-archive queries and their DuckDB counterparts.
+
+All of them run over whole tables with fixed parameters: the instant ``NOW``, an item
+window of the last day, a feed window, purge and retry cutoffs.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from rivulet.functions import html as H
+from rivulet.functions import scalars as S
+from rivulet.operators import lists, merge
+from rivulet.operators import relations as R
+from rivulet.operators import selection as sel
+from rivulet.plans import oracle as O
+from rivulet.sources import adapter as A
+
+NOW = datetime(2024, 1, 25)
+START, END = datetime(2024, 1, 24), NOW
+FEED_START = datetime(2024, 1, 10)
+PURGE, RETRY = datetime(2024, 1, 15), datetime(2024, 1, 20)
+ONE_FEED = "https://feeds.example.com/7/rss.xml"
+LATE = datetime(2024, 1, 20)
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_oracles: dict[str, str] = {}
+
+_NOW, _START, _END, _FEED_START, _PURGE, _RETRY = (f"TIMESTAMP '{t}'" for t in (NOW, START, END, FEED_START, PURGE, RETRY))
+
+
+def register(name: str, sql: str | None = None):
+    """Add a query, with its SQL where SQL can express it."""
+
+    def add(f: Query) -> Query:
+        _queries[name] = f
+        if sql is not None:
+            _oracles[name] = sql
+        return f
+
+    return add
+
+
+# Scans and lookups
+
+FEED_COLUMNS = ("url", "title", "last_updated", "latest_item_date", "last_fetch_time", "error_count")
+
+
+@register("feeds_all", O.with_views(f"SELECT {', '.join(FEED_COLUMNS)} FROM feeds"))
+def feeds_all(spark, d):
+    return sel.all_feeds(A.feeds(spark, d)).select(*FEED_COLUMNS)
+
+
+@register("feed_lookup", O.with_views(f"SELECT url, title, error_count FROM feeds WHERE url = '{ONE_FEED}'"))
+def feed_lookup(spark, d):
+    return sel.feed_by_url(A.feeds(spark, d), ONE_FEED).select("url", "title", "error_count")
+
+
+@register("feed_urls", O.with_views("SELECT url FROM feeds"))
+def feed_urls(spark, d):
+    return sel.feed_urls(A.feeds(spark, d))
+
+
+_META_URL = "(SELECT min(url) FROM pages WHERE page_id % 7 <> 3)"
+
+
+@register("metadata_lookup", O.with_views("SELECT url, favicon_url, fetch_status_code, last_fetch_at FROM url_metadata WHERE page_id = 8"))
+def metadata_lookup(spark, d):
+    m = A.url_metadata(spark, d)
+    url = spark.read.parquet(f"{d}/pages.parquet").filter("page_id = 8").select("url").first()
+    return sel.metadata_by_url(m, url.url if url else "").select("url", "favicon_url", "fetch_status_code", "last_fetch_at")
+
+
+# Items of feeds
+
+_ITEM_RANK = "row_number() OVER (ORDER BY published_date DESC NULLS LAST, id DESC)"
+
+
+def _items_sql(where: str, order: str = "published_date DESC NULLS LAST, id DESC", limit: str = "") -> str:
+    inner = f"SELECT * FROM items WHERE feed_url = '{ONE_FEED}' {where} ORDER BY published_date DESC NULLS LAST, id DESC {limit}"
+    return O.with_views(f"SELECT id, title, published_date, row_number() OVER (ORDER BY {order}) AS position FROM ({inner})")
+
+
+def _items(spark, d, **kw):
+    return sel.items_of_feed(A.items(spark, d), ONE_FEED, **kw).select("id", "title", "published_date", "position")
+
+
+register("items_for_feed", _items_sql(""))(lambda s, d: _items(s, d))
+register("items_for_feed_since", _items_sql(f"AND published_date >= {_FEED_START} AND published_date <= {_RETRY}"))(lambda s, d: _items(s, d, since=FEED_START, until=RETRY))
+register("items_for_feed_limit", _items_sql("", limit="LIMIT 10"))(lambda s, d: _items(s, d, limit=10))
+register("items_for_feed_oldest", _items_sql("", "published_date ASC NULLS FIRST, id ASC", "LIMIT 10"))(lambda s, d: _items(s, d, limit=10, oldest=True))
+
+
+@register("items_for_feed_set", O.with_views(f"SELECT id, feed_url, published_date FROM items WHERE published_date BETWEEN {_START} AND {_END} AND feed_url IN (SELECT feed_url FROM subscriptions)"))
+def items_for_feed_set(spark, d):
+    return sel.items_of_feeds(A.items(spark, d), A.subscriptions(spark, d), START, END).select("id", "feed_url", "published_date")
+
+
+_IN_WINDOW = f"coalesce(latest_item_date, last_updated) BETWEEN {_FEED_START} AND {_END}"
+
+
+def _window_sql(where: str) -> str:
+    return O.with_views("SELECT url, title, rank FROM ranked", f"chosen AS (SELECT * FROM feeds WHERE {where}), {O.ranked('chosen')}")
+
+
+@register("feeds_by_window", _window_sql(_IN_WINDOW))
+def feeds_by_window(spark, d):
+    return sel.ranked_feeds(sel.feeds_in_window(A.feeds(spark, d), FEED_START, END), NOW).select("url", "title", "rank")
+
+
+@register("feeds_by_window_listed", _window_sql(f"{_IN_WINDOW} AND url IN (SELECT feed_url FROM subscriptions)"))
+def feeds_by_window_listed(spark, d):
+    return sel.ranked_feeds(sel.feeds_in_window(A.feeds(spark, d), FEED_START, END, A.subscriptions(spark, d)), NOW).select("url", "title", "rank")
+
+
+@register("feeds_by_max_age", _window_sql(f"coalesce(latest_item_date, last_updated) BETWEEN {_NOW} - INTERVAL 7 DAY AND {_NOW}"))
+def feeds_by_max_age(spark, d):
+    return sel.ranked_feeds(sel.feeds_by_max_age(A.feeds(spark, d), NOW, timedelta(days=7)), NOW).select("url", "title", "rank")
+
+
+@register("feeds_capped_order", O.with_views("SELECT url, rank FROM ranked", O.ranked()))
+def feeds_capped_order(spark, d):
+    return sel.ranked_feeds(A.feeds(spark, d), NOW).select("url", "rank")
+
+
+# Floors, ceilings and pages
+
+
+def _minimum(floor: int) -> None:
+    sql = O.with_views("SELECT id, feed_url, in_window, position FROM picked", O.minimum(_START, _END, floor))
+    register(f"min_items_{floor}", sql)(lambda s, d: sel.with_minimum(A.items(s, d), START, END, floor).select("id", "feed_url", "in_window", "position"))
+
+
+for _floor in (1, 5, 20):
+    _minimum(_floor)
+
+
+def _render(name: str, floor: int, ceiling: int, size: int) -> None:
+    more = f"""{O.minimum(_START, _END, floor)}, shown AS (SELECT * FROM picked WHERE position <= {ceiling}),
+chosen AS (SELECT * FROM feeds WHERE url IN (SELECT feed_url FROM shown)), {O.ranked('chosen')}"""
+    body = f"""SELECT s.feed_url, r.title AS feed_title, s.position, s.id AS item_id, s.title, s.published_date, r.rank,
+CAST(ceil(r.rank / {size}) AS BIGINT) AS page, substr(sha256(s.feed_url), 1, 8) AS feed_id FROM shown s JOIN ranked r ON r.url = s.feed_url"""
+
+    def run(spark, d):
+        rows = sel.render_frame(A.feeds(spark, d), A.items(spark, d), NOW, START, END, floor, ceiling, size)
+        return rows.select("feed_url", "feed_title", "position", F.col("id").alias("item_id"), "title", "published_date", "rank", "page", "feed_id")
+
+    register(name, O.with_views(body, more))(run)
+
+
+_render("min5_max6_page25", 5, 6, 25)
+_render("min1_max3_page25", 1, 3, 25)
+
+
+@register(
+    "min0_max5",
+    O.with_views(
+        "SELECT id, feed_url, position FROM ranked_items WHERE position <= 5",
+        f"""chosen AS (SELECT * FROM feeds WHERE coalesce(latest_item_date, last_updated) BETWEEN {_START} AND {_END}),
+ranked_items AS (SELECT i.id, i.feed_url, row_number() OVER (PARTITION BY i.feed_url ORDER BY published_date DESC NULLS LAST, id DESC) AS position
+FROM items i JOIN chosen c ON c.url = i.feed_url WHERE published_date BETWEEN {_START} AND {_END})""",
+    ),
+)
+def min0_max5(spark, d):
+    return sel.select_for_render(A.feeds(spark, d), A.items(spark, d), START, END, 0, 5).select("id", "feed_url", "position")
+
+
+@register("page_ranges", O.with_views("SELECT page, (page - 1) * 25 + 1 AS first, least(page * 25, max(rank)) AS last FROM (SELECT rank, CAST(ceil(rank / 25) AS BIGINT) AS page FROM ranked) GROUP BY page", O.ranked()))
+def page_ranges(spark, d):
+    return sel.page_ranges(sel.paged(A.feeds(spark, d), NOW, 25), 25)
+
+
+_POS = "row_number() OVER (PARTITION BY feed_url ORDER BY id) - 1"
+
+
+@register("ingest_cap", O.with_views("SELECT id, feed_url, pos FROM placed WHERE pos < 20", f"placed AS (SELECT id, feed_url, {_POS} AS pos FROM items)"))
+def ingest_cap(spark, d):
+    placed = A.items(spark, d).withColumn("pos", F.row_number().over(W.partitionBy("feed_url").orderBy("id")).cast("bigint") - 1)
+    return sel.ingest_cap(placed, 20).select("id", "feed_url", "pos")
+
+
+# Published recipes
+
+
+@register("recent_items", O.with_views("SELECT i.id, i.title, f.title AS feed_title, i.published_date FROM items i JOIN feeds f ON f.url = i.feed_url WHERE NOT archived ORDER BY published_date DESC, id DESC LIMIT 50"))
+def recent_items(spark, d):
+    return sel.recent_items(A.items(spark, d), A.feeds(spark, d)).select("id", "title", "feed_title", "published_date")
+
+
+@register("new_since", O.with_views(f"SELECT i.id, f.title AS feed_title, i.first_seen FROM items i JOIN feeds f ON f.url = i.feed_url WHERE NOT archived AND first_seen > {_NOW} - INTERVAL 1 DAY"))
+def new_since(spark, d):
+    return sel.new_since(A.items(spark, d), A.feeds(spark, d), NOW - timedelta(days=1)).select("id", "feed_title", "first_seen")
+
+
+@register("topic_search", O.with_views("SELECT id, title, content FROM items WHERE NOT archived AND (title ILIKE '%K\": 1%' OR content ILIKE '%K\": 1%' OR summary ILIKE '%K\": 1%')"))
+def topic_search(spark, d):
+    return sel.topic_search(A.items(spark, d), 'K": 1').select("id", "title", "content")
+
+
+@register("stale_feeds", O.with_views(f"SELECT url, latest_item_date FROM feeds WHERE latest_item_date < {_PURGE} OR latest_item_date IS NULL"))
+def stale_feeds(spark, d):
+    return sel.stale_feeds(A.feeds(spark, d), PURGE).select("url", "latest_item_date")
+
+
+@register("failing_feeds", O.with_views("SELECT url, error_count FROM feeds WHERE error_count > 3"))
+def failing_feeds(spark, d):
+    return sel.failing_feeds(A.feeds(spark, d)).select("url", "error_count")
+
+
+@register("items_missing_metadata", O.with_views("SELECT id, link FROM items WHERE NOT archived AND link <> '' AND link NOT IN (SELECT url FROM url_metadata)"))
+def items_missing_metadata(spark, d):
+    return R.items_missing_metadata(A.items(spark, d), A.url_metadata(spark, d)).select("id", "link")
+
+
+@register("items_per_feed", O.with_views("SELECT f.url, f.title, count(i.id) AS item_count FROM feeds f LEFT JOIN items i ON i.feed_url = f.url AND NOT i.archived GROUP BY f.url, f.title"))
+def items_per_feed(spark, d):
+    return R.items_per_feed(A.feeds(spark, d), A.items(spark, d))
+
+
+# Link metadata
+
+
+def _needs(name: str, cutoff: datetime, limit: int) -> None:
+    sql = f"""SELECT i.link, max(i.published_date) AS newest FROM items i LEFT JOIN url_metadata m ON m.url = i.link
+WHERE NOT i.archived AND i.link <> '' AND (m.url IS NULL OR ((m.fetch_status_code IS NULL OR m.fetch_status_code NOT BETWEEN 200 AND 299) AND m.last_fetch_at < TIMESTAMP '{cutoff}'))
+GROUP BY i.link ORDER BY newest DESC NULLS LAST, i.link {f'LIMIT {limit}' if limit else ''}"""
+    register(name, O.with_views(sql))(lambda s, d: R.urls_needing_fetch(A.items(s, d), A.url_metadata(s, d), cutoff, limit))
+
+
+_needs("needs_fetch", RETRY, 0)
+_needs("needs_fetch_limit", RETRY, 10)
+_needs("needs_fetch_immediate", NOW, 0)
+
+
+@register("metadata_for_feed", O.with_views(f"SELECT url, favicon_url, fetch_status_code FROM url_metadata WHERE url IN (SELECT link FROM items WHERE feed_url = '{ONE_FEED}' AND NOT archived)"))
+def metadata_for_feed(spark, d):
+    return R.metadata_for_items(A.url_metadata(spark, d), A.items(spark, d), ONE_FEED).select("url", "favicon_url", "fetch_status_code")
+
+
+@register("metadata_mark", O.with_views("SELECT u.url, m.url IS NOT NULL AS has_metadata FROM (SELECT DISTINCT link AS url FROM items) u LEFT JOIN url_metadata m USING (url)"))
+def metadata_mark(spark, d):
+    return R.metadata_mark(A.items(spark, d).select(F.col("link").alias("url")), A.url_metadata(spark, d))
+
+
+@register("urls_without_metadata", O.with_views("SELECT id AS ordinal, link AS url FROM items WHERE link <> '' AND link NOT IN (SELECT url FROM url_metadata)"))
+def urls_without_metadata(spark, d):
+    urls = A.items(spark, d).filter("link <> ''").select(F.col("id").alias("ordinal"), F.col("link").alias("url"))
+    return R.urls_without_metadata(urls, A.url_metadata(spark, d)).select("ordinal", "url")
+
+
+@register("retry_eligibility", O.with_views(f"SELECT url, CASE WHEN last_fetch_at IS NULL THEN TRUE WHEN fetch_status_code BETWEEN 200 AND 299 THEN FALSE ELSE last_fetch_at + INTERVAL 36 HOUR < {_NOW} END AS should_retry FROM url_metadata"))
+def retry_eligibility(spark, d):
+    return A.url_metadata(spark, d).select("url", sel.retry_eligible(NOW, timedelta(hours=36)).alias("should_retry"))
+
+
+_FAVICONS = """SELECT feed_url, favicon_url, votes FROM (
+SELECT feed_url, favicon_url, count(*) AS votes, row_number() OVER (PARTITION BY feed_url ORDER BY count(*) DESC, favicon_url) AS r
+FROM items i JOIN url_metadata m ON m.url = i.link WHERE NOT archived AND favicon_url <> '' GROUP BY feed_url, favicon_url) WHERE r = 1"""
+
+
+@register("feed_favicon", O.with_views(_FAVICONS))
+def feed_favicon(spark, d):
+    return R.feed_favicons(A.items(spark, d), A.url_metadata(spark, d)).select("feed_url", "favicon_url", "votes")
+
+
+@register("feeds_with_favicon", O.with_views("SELECT f.url, v.favicon_url FROM feeds f LEFT JOIN v ON v.feed_url = f.url", f"v AS ({_FAVICONS})"))
+def feeds_with_favicon(spark, d):
+    icons = R.feed_favicons(A.items(spark, d), A.url_metadata(spark, d)).select(F.col("feed_url").alias("url"), "favicon_url")
+    return A.feeds(spark, d).select("url").join(icons, "url", "left")
+
+
+@register("items_with_metadata", O.with_views("SELECT i.id, i.link, m.favicon_url, m.fetch_status_code FROM items i LEFT JOIN url_metadata m ON m.url = i.link"))
+def items_with_metadata(spark, d):
+    return R.items_with_metadata(A.items(spark, d), A.url_metadata(spark, d)).select("id", "link", "favicon_url", "fetch_status_code")
+
+
+@register("orphan_metadata", O.with_views("SELECT url FROM url_metadata WHERE url NOT IN (SELECT link FROM items WHERE link <> '')"))
+def orphan_metadata(spark, d):
+    return R.orphan_metadata(A.url_metadata(spark, d), A.items(spark, d)).select("url")
+
+
+@register("metadata_survivors", O.with_views("SELECT url FROM url_metadata WHERE url IN (SELECT link FROM items WHERE link <> '')"))
+def metadata_survivors(spark, d):
+    return R.metadata_survivors(A.url_metadata(spark, d), A.items(spark, d)).select("url")
+
+
+# Latest dates and counts
+
+
+@register("latest_by_first_seen", O.with_views("SELECT f.url, max(i.first_seen) AS latest_item_date FROM feeds f LEFT JOIN items i ON i.feed_url = f.url GROUP BY f.url"))
+def latest_by_first_seen(spark, d):
+    return R.latest_by_first_seen(A.feeds(spark, d), A.items(spark, d)).select("url", "latest_item_date")
+
+
+@register("latest_by_clamp", O.with_views(f"SELECT feed_url, max({O.clamp('published_date', 'first_seen')}) AS latest FROM items GROUP BY feed_url"))
+def latest_by_clamp(spark, d):
+    return A.items(spark, d).groupBy("feed_url").agg(F.max(S.clamped("published_date", "first_seen", NOW)).alias("latest"))
+
+
+@register("existence_counts", O.with_views("SELECT p.feed_url, p.guid, count(i.id) AS n FROM (SELECT DISTINCT feed_url, guid FROM items WHERE id % 5 = 0) p LEFT JOIN items i ON i.feed_url = p.feed_url AND i.guid = p.guid AND i.id % 2 = 0 GROUP BY p.feed_url, p.guid"))
+def existence_counts(spark, d):
+    i = A.items(spark, d)
+    return R.existence_counts(i.filter("id % 2 = 0"), ["feed_url", "guid"], i.filter("id % 5 = 0"))
+
+
+@register("new_items", O.with_views("SELECT b.id, b.guid FROM items b WHERE b.published_date >= " + _PURGE + " AND NOT EXISTS (SELECT 1 FROM items o WHERE o.published_date < " + _RETRY + " AND o.feed_url = b.feed_url AND o.guid = b.guid)"))
+def new_items(spark, d):
+    i = A.items(spark, d)
+    return R.new_items(i.filter(F.col("published_date") >= S.ts(PURGE)), i.filter(F.col("published_date") < S.ts(RETRY))).select("id", "guid")
+
+
+@register("max_version", "SELECT CAST(4 AS BIGINT) AS version")
+def max_version(spark, d):
+    from rivulet.sources.store import MIGRATIONS
+
+    return spark.createDataFrame([(v,) for v in MIGRATIONS], "version bigint").agg(F.max("version").alias("version"))
+
+
+# Deletes
+
+
+@register("purge_age", O.with_views(f"SELECT id FROM items WHERE archived AND published_date < {_PURGE}"))
+def purge_age(spark, d):
+    return merge.purge_by_age(A.items(spark, d), PURGE)[0].select("id")
+
+
+@register("purge_age_survivors", O.with_views(f"SELECT id FROM items WHERE NOT coalesce(archived AND published_date < {_PURGE}, FALSE)"))
+def purge_age_survivors(spark, d):
+    return merge.purge_by_age(A.items(spark, d), PURGE)[1].select("id")
+
+
+_FLOORED = f"placed AS (SELECT *, row_number() OVER (PARTITION BY feed_url ORDER BY published_date DESC NULLS LAST, id DESC) AS r FROM items), gone AS (SELECT id FROM placed WHERE archived AND published_date < {_PURGE} AND r > 3)"
+
+
+@register("purge_floor_3", O.with_views("SELECT id FROM gone", _FLOORED))
+def purge_floor_3(spark, d):
+    return merge.purge_with_floor(A.items(spark, d), PURGE, 3)[0].select("id")
+
+
+@register("purge_floor_3_survivors", O.with_views("SELECT id FROM items WHERE id NOT IN (SELECT id FROM gone)", _FLOORED))
+def purge_floor_3_survivors(spark, d):
+    return merge.purge_with_floor(A.items(spark, d), PURGE, 3)[1].select("id")
+
+
+@register("feeds_unsubscribed", O.with_views("SELECT url FROM feeds WHERE url NOT IN (SELECT feed_url FROM subscriptions)"))
+def feeds_unsubscribed(spark, d):
+    return R.feeds_not_listed(A.feeds(spark, d), A.subscriptions(spark, d)).select("url")
+
+
+@register("cascade_items", O.with_views("SELECT id, feed_url FROM items WHERE feed_url IN (SELECT feed_url FROM subscriptions)"))
+def cascade_items(spark, d):
+    f = A.feeds(spark, d)
+    gone = R.feeds_not_listed(f, A.subscriptions(spark, d))
+    return merge.delete_feeds(f, A.items(spark, d), gone)[1].select("id", "feed_url")
+
+
+@register("archive_absent", O.with_views(
+    "SELECT id, archived OR (feed_url IN (SELECT feed_url FROM active) AND (feed_url, guid) NOT IN (SELECT (feed_url, guid) FROM active)) AS archived FROM items WHERE published_date < " + _RETRY,
+    f"active AS (SELECT DISTINCT feed_url, guid FROM items WHERE published_date >= {_PURGE})"))
+def archive_absent(spark, d):
+    i = A.items(spark, d)
+    active = i.filter(F.col("published_date") >= S.ts(PURGE))
+    return merge.archive_absent(i.filter(F.col("published_date") < S.ts(RETRY)), active, active).select("id", "archived")
+
+
+@register("archive_all_when_empty", O.with_views("SELECT id, archived OR feed_url IN (SELECT feed_url FROM subscriptions) AS archived FROM items"))
+def archive_all_when_empty(spark, d):
+    i = A.items(spark, d)
+    return merge.archive_absent(i, i.limit(0), A.subscriptions(spark, d)).select("id", "archived")
+
+
+# Upserts: the stored table is what was published before the 20th, the batch what came from the 15th on
+
+
+def _collapsed(where: str) -> str:
+    return f"""SELECT feed_url, guid, arg_min(published_date, id) AS published_date, min(id) AS first_id, max(id) AS last_id,
+arg_max(title, id) AS title, arg_max(link, id) AS link, arg_max(content, id) AS content, arg_max(archived, id) AS archived FROM items WHERE {where} GROUP BY feed_url, guid"""
+
+
+@register("upsert_items", O.with_views(
+    """SELECT coalesce(o.feed_url, n.feed_url) AS feed_url, coalesce(o.guid, n.guid) AS guid, coalesce(o.published_date, n.published_date) AS published_date,
+coalesce(o.last_id, n.last_id) AS id, coalesce(n.title, o.title) AS title, coalesce(n.link, o.link) AS link, coalesce(n.content, o.content) AS content, coalesce(n.archived, o.archived) AS archived
+FROM o FULL JOIN n ON n.feed_url = o.feed_url AND n.guid = o.guid""",
+    f"o AS ({_collapsed(f'published_date < {_RETRY}')}), n AS ({_collapsed(f'published_date >= {_PURGE}')})"))
+def upsert_items(spark, d):
+    i = A.items(spark, d).select("feed_url", "guid", "published_date", "first_seen", "id", "title", "link", "content", "archived").withColumn("pos", F.col("id"))
+    old = merge.collapse_items(i.filter(F.col("published_date") < S.ts(RETRY))).drop("pos")
+    new = merge.collapse_items(i.filter(F.col("published_date") >= S.ts(PURGE))).drop("pos")
+    return merge.upsert_items(old, new).select("feed_url", "guid", "published_date", "id", "title", "link", "content", "archived")
+
+
+@register("upsert_feeds", O.with_views(
+    """SELECT coalesce(n.url, o.url) AS url, coalesce(n.title, o.title) AS title, coalesce(n.latest_item_date, o.latest_item_date) AS latest_item_date,
+CASE WHEN n.url IS NOT NULL THEN n.error_count ELSE o.error_count END AS error_count FROM o FULL JOIN n ON n.url = o.url""",
+    """o AS (SELECT url, title, latest_item_date, error_count FROM feeds WHERE user_id % 4 <> 0),
+n AS (SELECT url, title || ' (new)' AS title, CASE WHEN user_id % 2 = 0 THEN NULL ELSE latest_item_date - INTERVAL 1 DAY END AS latest_item_date, CAST(0 AS BIGINT) AS error_count FROM feeds WHERE user_id % 3 = 0)"""))
+def upsert_feeds(spark, d):
+    f = A.feeds(spark, d).select("url", "title", "latest_item_date", "error_count", "user_id")
+    new = f.filter("user_id % 3 = 0").select(
+        "url", F.concat("title", F.lit(" (new)")).alias("title"),
+        F.expr("CASE WHEN user_id % 2 = 0 THEN NULL ELSE latest_item_date - INTERVAL '1' DAY END").alias("latest_item_date"), F.lit(0).cast("bigint").alias("error_count"))
+    return merge.upsert_feeds(f.filter("user_id % 4 <> 0").drop("user_id"), new)
+
+
+@register("upsert_metadata", O.with_views(
+    f"""SELECT coalesce(n.url, o.url) AS url, CASE WHEN n.url IS NOT NULL THEN n.fetch_status_code ELSE o.fetch_status_code END AS fetch_status_code,
+CASE WHEN n.url IS NOT NULL THEN n.favicon_url ELSE o.favicon_url END AS favicon_url, coalesce(o.created_at, {_NOW}) AS created_at,
+CASE WHEN n.url IS NOT NULL THEN {_NOW} ELSE o.updated_at END AS updated_at FROM o FULL JOIN n ON n.url = o.url""",
+    """o AS (SELECT url, fetch_status_code, favicon_url, last_fetch_at AS created_at, last_fetch_at AS updated_at FROM url_metadata WHERE page_id % 4 <> 0),
+n AS (SELECT url, CASE WHEN page_id % 2 = 0 THEN 200 END AS fetch_status_code, CAST(NULL AS VARCHAR) AS favicon_url FROM url_metadata WHERE page_id % 3 = 0)"""))
+def upsert_metadata(spark, d):
+    m = A.url_metadata(spark, d)
+    old = m.filter("page_id % 4 <> 0").select("url", "fetch_status_code", "favicon_url", F.col("last_fetch_at").alias("created_at"), F.col("last_fetch_at").alias("updated_at"))
+    new = m.filter("page_id % 3 = 0").select("url", F.expr("CASE WHEN page_id % 2 = 0 THEN 200 END").cast("bigint").alias("fetch_status_code"), F.lit(None).cast("string").alias("favicon_url"))
+    return merge.upsert_metadata(old, new, NOW)
+
+
+_FEED_STATE = "state AS (SELECT url, user_id, 'e' || user_id AS etag, 'm' AS last_modified, CAST(error_count AS INTEGER) AS error_count, 'old' AS last_error, last_fetch_time, last_fetch_time AS last_successful_fetch FROM feeds)"
+_STATE_COLUMNS = ("url", "etag", "last_modified", "error_count", "last_error", "last_fetch_time", "last_successful_fetch")
+
+
+def _state(spark, d):
+    return A.feeds(spark, d).select(
+        "url", "user_id", F.concat(F.lit("e"), F.col("user_id").cast("string")).alias("etag"), F.lit("m").alias("last_modified"), F.col("error_count").cast("int").alias("error_count"),
+        F.lit("old").alias("last_error"), "last_fetch_time", F.col("last_fetch_time").alias("last_successful_fetch"))
+
+
+@register("feed_error_update", O.with_views(f"SELECT url, etag, last_modified, CASE WHEN user_id % 3 = 0 THEN error_count + 1 ELSE error_count END AS error_count, CASE WHEN user_id % 3 = 0 THEN 'HTTP 500' ELSE last_error END AS last_error, CASE WHEN user_id % 3 = 0 THEN {_NOW} ELSE last_fetch_time END AS last_fetch_time, last_successful_fetch FROM state", _FEED_STATE))
+def feed_error_update(spark, d):
+    s = _state(spark, d)
+    errors = s.filter("user_id % 3 = 0").select("url", F.lit("HTTP 500").alias("error")).unionByName(spark.createDataFrame([("https://unknown.example/", "HTTP 404")], "url string, error string"))
+    return merge.apply_errors(s, errors, NOW).select(*_STATE_COLUMNS)
+
+
+@register("feed_304_update", O.with_views(f"SELECT url, etag, last_modified, error_count, last_error, CASE WHEN user_id % 3 = 0 THEN {_NOW} ELSE last_fetch_time END AS last_fetch_time, CASE WHEN user_id % 3 = 0 THEN {_NOW} ELSE last_successful_fetch END AS last_successful_fetch FROM state", _FEED_STATE))
+def feed_304_update(spark, d):
+    s = _state(spark, d)
+    return merge.apply_not_modified(s, s.filter("user_id % 3 = 0"), NOW).select(*_STATE_COLUMNS)
+
+
+@register("feed_200_update", O.with_views(f"SELECT url, CASE WHEN user_id % 3 = 0 THEN CASE WHEN user_id % 2 = 0 THEN 'new' ELSE '' END ELSE etag END AS etag, CASE WHEN user_id % 3 = 0 THEN '' ELSE last_modified END AS last_modified, CASE WHEN user_id % 3 = 0 THEN 0 ELSE error_count END AS error_count, CASE WHEN user_id % 3 = 0 THEN '' ELSE last_error END AS last_error, CASE WHEN user_id % 3 = 0 THEN {_NOW} ELSE last_fetch_time END AS last_fetch_time, CASE WHEN user_id % 3 = 0 THEN {_NOW} ELSE last_successful_fetch END AS last_successful_fetch FROM state", _FEED_STATE))
+def feed_200_update(spark, d):
+    s = _state(spark, d)
+    got = s.filter("user_id % 3 = 0").select("url", F.expr("CASE WHEN user_id % 2 = 0 THEN 'new' END").alias("etag"), F.lit("").alias("last_modified"))
+    return merge.apply_success(s, got, NOW).select(*_STATE_COLUMNS)
+
+
+@register("backfill_first_seen", "SELECT o_orderkey, CASE WHEN o_orderdate > TIMESTAMP '2001-01-01' THEN TIMESTAMP '2001-01-01' WHEN o_orderdate < TIMESTAMP '2000-01-01' THEN TIMESTAMP '2000-01-01' ELSE o_orderdate END AS first_seen FROM orders")
+def backfill_first_seen(spark, d):
+    return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", S.backfilled_first_seen("o_orderdate", datetime(2001, 1, 1)).alias("first_seen"))
+
+
+# Scalars
+
+
+@register("guid_normalised", O.with_views("SELECT id, guid FROM items"))
+def guid_normalised(spark, d):
+    return A.items(spark, d).select("id", "guid")
+
+
+@register("guid_generated", O.with_views("SELECT id, sha256(link || title) AS guid FROM items"))
+def guid_generated(spark, d):
+    return A.items(spark, d).select("id", S.generated_guid("link", "title").alias("guid"))
+
+
+@register("feed_id", O.with_views("SELECT url, substr(sha256(url), 1, 8) AS feed_id FROM feeds"))
+def feed_id(spark, d):
+    return A.feeds(spark, d).select("url", S.feed_id("url").alias("feed_id"))
+
+
+@register("clamp_events", O.with_views(f"SELECT id, {O.clamp('published_date', 'first_seen')} AS clamped FROM items"))
+def clamp_events(spark, d):
+    return A.items(spark, d).select("id", S.clamped("published_date", "first_seen", NOW).alias("clamped"))
+
+
+@register("clamp_orders", f"SELECT o_orderkey, {O.clamp('o_orderdate', 'CAST(NULL AS TIMESTAMP)', chr(39).join(['TIMESTAMP ', '2001-01-01', '']))} AS clamped FROM orders")
+def clamp_orders(spark, d):
+    return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", S.clamped("o_orderdate", F.lit(None).cast("timestamp_ntz"), datetime(2001, 1, 1)).alias("clamped"))
+
+
+_STRIP = r"regexp_replace(regexp_replace(regexp_replace({0}, '<[^>]*>', '', 'g'), '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')"
+
+
+@register("display_title", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'T' || page_id WHEN page_id % 3 = 1 THEN substr(html, 1, 80) || '...' WHEN page_id % 2 = 0 THEN substr(url, 1, 80) || '...' ELSE 'Untitled' END AS title FROM pages")
+def display_title(spark, d):
+    p = spark.read.parquet(f"{d}/pages.parquet")
+    return p.select("page_id", S.display_title(
+        F.expr("CASE WHEN page_id % 3 = 0 THEN concat('T', page_id) ELSE '' END"), F.expr("CASE WHEN page_id % 3 = 1 THEN html ELSE '' END"), F.expr("CASE WHEN page_id % 2 = 0 THEN url END")).alias("title"))
+
+
+@register("excerpt", f"SELECT page_id, CASE WHEN page_id % 3 = 0 THEN substr({_STRIP.format('html')}, 1, 200) || '...' WHEN page_id % 3 = 1 THEN substr({_STRIP.format('url')}, 1, 200) || '...' ELSE '' END AS excerpt FROM pages")
+def excerpt(spark, d):
+    p = spark.read.parquet(f"{d}/pages.parquet")
+    return p.select("page_id", S.excerpt(F.expr("CASE WHEN page_id % 3 = 0 THEN html ELSE '' END"), F.expr("CASE WHEN page_id % 3 = 1 THEN url END")).alias("excerpt"))
+
+
+@register("table_rows", O.with_views("SELECT id, strftime(published_date, '%Y-%m-%d %H:%M') AS date, CASE WHEN strlen(t) > 60 THEN substr(t, 1, 57) || '...' ELSE t END AS title, link FROM (SELECT *, title || ' ' || raw_guid AS t FROM items)"))
+def table_rows(spark, d):
+    i = A.items(spark, d)
+    return i.select("id", F.date_format("published_date", "yyyy-MM-dd HH:mm").alias("date"), S.table_title(F.concat("title", F.lit(" "), "raw_guid")).alias("title"), "link")
+
+
+@register("feed_label", O.with_views("SELECT url, CASE WHEN latest_item_date IS NOT NULL THEN 'Latest: ' || strftime(latest_item_date, '%b %-d, %Y %H:%M UTC') ELSE 'Fetched: ' || strftime(last_fetch_time, '%b %-d, %Y %H:%M UTC') END AS label FROM feeds"))
+def feed_label(spark, d):
+    return A.feeds(spark, d).select("url", S.feed_time_label("latest_item_date", "last_fetch_time").alias("label"))
+
+
+@register("url_valid", r"SELECT page_id, regexp_matches(CASE page_id % 5 WHEN 0 THEN replace(url, 'http', 'ftp') WHEN 1 THEN 'https://' WHEN 2 THEN '' ELSE url END, '^[hH][tT][tT][pP][sS]?://[^/?#\s:@]+(:[0-9]*)?([/?#]|$)') AS valid FROM pages")
+def url_valid(spark, d):
+    u = F.expr("CASE page_id % 5 WHEN 0 THEN replace(url, 'http', 'ftp') WHEN 1 THEN 'https://' WHEN 2 THEN '' ELSE url END")
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", S.looks_like_url(u).alias("valid"))
+
+
+@register("favicon_default", "SELECT url, regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/favicon.ico' AS favicon FROM pages")
+def favicon_default(spark, d):
+    return spark.read.parquet(f"{d}/pages.parquet").select("url", S.default_favicon("url").alias("favicon"))
+
+
+@register("status_from_error", r"SELECT event_id, coalesce(TRY_CAST(regexp_extract(CASE event_id % 4 WHEN 0 THEN 'HTTP ' || user_id || ': bad' WHEN 1 THEN 'timeout' WHEN 2 THEN 'x HTTP 500' END, '^HTTP (\d{1,9})', 1) AS INTEGER), 0) AS status FROM events")
+def status_from_error(spark, d):
+    e = F.expr("CASE event_id % 4 WHEN 0 THEN concat('HTTP ', user_id, ': bad') WHEN 1 THEN 'timeout' WHEN 2 THEN 'x HTTP 500' END")
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", S.status_from_error(e).alias("status"))
+
+
+@register("format_detect", "SELECT event_id, CASE WHEN event_id % 4 < 2 THEN 'opml' ELSE 'text' END AS format FROM events")
+def format_detect(spark, d):
+    name = F.expr("CASE event_id % 4 WHEN 0 THEN 'a.b/Feeds.OPML' WHEN 1 THEN 'x.Xml' WHEN 2 THEN 'list.txt' ELSE 'opml' END")
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", S.list_format(name).alias("format"))
+
+
+@register("truncated", "SELECT page_id, CASE WHEN length(url) > 30 THEN substr(url, 1, 27) || '...' ELSE url END AS short FROM pages")
+def truncated(spark, d):
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", S.shortened("url", 30).alias("short"))
+
+
+_TITLE = r"regexp_extract(html, '(?is)<title[^>]*>([^<]*)</title>', 1)"
+
+
+@register("page_titles", f"SELECT page_id, {_TITLE} AS title FROM pages")
+def page_titles(spark, d):
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", S.page_title("html").alias("title"))
+
+
+@register("strip_tags_pages", f"SELECT page_id, {_STRIP.format('html')} AS text FROM pages")
+def strip_tags_pages(spark, d):
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", S.strip_tags("html").alias("text"))
+
+
+@register("page_head_bytes", "SELECT page_id, least(strlen(html), 102400) AS n FROM pages")
+def page_head_bytes(spark, d):
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.octet_length(S.page_head("html")).cast("bigint").alias("n"))
+
+
+@register("feed_links", "SELECT page_id, '/f' || page_id || '|/atom' AS links FROM pages")
+def feed_links(spark, d):
+    page = F.concat(
+        F.lit('<link rel="alternate" TYPE="application/rss+xml" href="/f'), F.col("page_id").cast("string"),
+        F.lit("\"><link href='/atom' type='application/atom+xml'/><link type=\"text/css\" href=\"x\"><link href=\"/atom\" type=\"application/atom+xml\">"), F.col("html"))
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.array_join(S.feed_links(page), "|").alias("links"))
+
+
+@register("unfurl_preference", "SELECT page_id, coalesce(CASE WHEN page_id % 2 = 0 THEN 'og' END, nullif(" + _TITLE + ", '')) AS title, regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/favicon.ico' AS favicon FROM pages")
+def unfurl_preference(spark, d):
+    og = F.expr("CASE WHEN page_id % 2 = 0 THEN 'og' ELSE '' END")
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.coalesce(F.nullif(og, F.lit("")), F.nullif(S.page_title("html"), F.lit(""))).alias("title"), S.default_favicon("url").alias("favicon"))
+
+
+@register("robots_allowed", r"""SELECT page_id, CASE WHEN starts_with(path, '/en/') THEN starts_with(path, '/en/1') WHEN starts_with(path, '/f') THEN FALSE ELSE TRUE END AS allowed
+FROM (SELECT page_id, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path FROM pages)""")
+def robots_allowed(spark, d):
+    path = F.regexp_extract("url", r"^https?://[^/?#]+([^?#]*)", 1)
+    allow, disallow = F.array(F.lit("/en/1"), F.lit("/f")), F.array(F.lit("/en/"), F.lit("/f"))
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", S.robots_allowed(path, allow, disallow).alias("allowed"))
+
+
+@register("metadata_json_field", "SELECT event_id, props ->> '$.k' AS k FROM events")
+def metadata_json_field(spark, d):
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", S.metadata_field("props", "k").alias("k"))
+
+
+@register("metadata_json_set", "SELECT event_id, CAST(user_id AS VARCHAR) AS u, props ->> '$.k' AS k FROM events")
+def metadata_json_set(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    made = S.with_metadata_field("props", "u", F.col("user_id"))
+    return e.select("event_id", S.metadata_field(made, "u").alias("u"), S.metadata_field(made, "k").alias("k"))
+
+
+@register("relative_time", f"""SELECT id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN s // 60 || CASE WHEN s // 60 = 1 THEN ' minute ago' ELSE ' minutes ago' END
+WHEN s < 86400 THEN s // 3600 || CASE WHEN s // 3600 = 1 THEN ' hour ago' ELSE ' hours ago' END WHEN s < 604800 THEN s // 86400 || CASE WHEN s // 86400 = 1 THEN ' day ago' ELSE ' days ago' END
+ELSE strftime(ts, '%b %-d, %Y') END AS label FROM (SELECT event_id AS id, ts, CAST(trunc(epoch({_NOW}) - epoch(ts)) AS BIGINT) AS s FROM events)""")
+def relative_time(spark, d):
+    return spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("id"), S.relative_time("ts", NOW).alias("label"))
+
+
+# Summaries
+
+
+@register("fetch_summary", "SELECT count(*) AS total, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'view') AS cached, count(*) FILTER (event_type NOT IN ('error', 'view')) AS successful, CAST(coalesce(sum(user_id) FILTER (event_type NOT IN ('error', 'view')), 0) AS BIGINT) AS items FROM events")
+def fetch_summary(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return R.fetch_summary(e.select(F.expr("CASE WHEN event_type = 'error' THEN 'failed' END").alias("error"), F.expr("event_type IN ('view', 'error')").alias("cached"), F.col("user_id").alias("item_count")))
+
+
+@register("unfurl_summary", "SELECT count(*) FILTER (page_id % 5 <> 0) AS successful, count(*) FILTER (page_id % 5 = 0) AS failed FROM pages")
+def unfurl_summary(spark, d):
+    return R.unfurl_summary(spark.read.parquet(f"{d}/pages.parquet").select(F.expr("CASE WHEN page_id % 5 = 0 THEN 'HTTP 404' ELSE '' END").alias("error")))
+
+
+@register("due_for_fetch", O.with_views(f"SELECT url, NOT (last_fetch_time > {_NOW} - INTERVAL 12 HOUR) AS due FROM feeds"))
+def due_for_fetch(spark, d):
+    return sel.due_for_fetch(A.feeds(spark, d), NOW, timedelta(hours=12)).select("url", "due")
+
+
+# Lists
+
+
+@register("list_union", O.with_views("SELECT feed_url, min(ordinal) AS ordinal FROM (SELECT feed_url, ordinal FROM a UNION ALL SELECT feed_url, 1000000000 + ordinal FROM b) GROUP BY feed_url",
+    "a AS (SELECT url AS feed_url, user_id AS ordinal FROM feeds WHERE user_id % 3 = 0), b AS (SELECT url AS feed_url, user_id AS ordinal FROM feeds WHERE user_id % 2 = 0)"))
+def list_union(spark, d):
+    f = A.feeds(spark, d).select(F.col("url").alias("feed_url"), F.col("user_id").alias("ordinal"))
+    return lists.added(f.filter("ordinal % 3 = 0"), f.filter("ordinal % 2 = 0"), 1_000_000_000)
+
+
+@register("list_remove", O.with_views(f"SELECT feed_url FROM subscriptions WHERE feed_url <> 'https://feeds.example.com/9/rss.xml'"))
+def list_remove(spark, d):
+    return lists.removed(A.subscriptions(spark, d), "https://feeds.example.com/9/rss.xml").select("feed_url")
+
+
+@register("list_added_count", O.with_views("SELECT count(*) AS added FROM feeds WHERE user_id % 2 = 0 AND url NOT IN (SELECT feed_url FROM subscriptions)"))
+def list_added_count(spark, d):
+    return lists.added_count(A.subscriptions(spark, d), A.feeds(spark, d).filter("user_id % 2 = 0").select(F.col("url").alias("feed_url")))
+
+
+# Parsers: results are checked by vectors in the tests
+
+
+@register("html_unescape")
+def html_unescape(spark, d):
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", H.html_unescape(S.page_title("html")).alias("title"))
+
+
+@register("resolve_urls")
+def resolve_urls(spark, d):
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", H.resolve_url("url", F.lit("img/a.png")).alias("image"))
+
+
+@register("page_meta")
+def page_meta(spark, d):
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", H.page_meta("url", F.decode(S.page_head("html"), "UTF-8")).alias("m")).select("page_id", "m.*")
+
+
+@register("robots_rules")
+def robots_rules(spark, d):
+    body = F.concat(F.lit("User-agent: *\nDisallow: /a\nDisallow: /b\nUser-agent: rivulet\nAllow: /p"), F.col("page_id").cast("string"))
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", H.parse_robots(body).alias("r")).select("page_id", "r.*")
+
+
+@register("parse_feed")
+def parse_feed(spark, d):
+    from rivulet.sources import feeds as parse
+
+    return parse.parse_documents(parse.sample_responses(A.items(spark, d))).select("feed_url", "error", "title", F.size("items").alias("n_items"))
+
+
+@register("opml_urls")
+def opml_urls(spark, d):
+    from rivulet.sources import opml
+
+    return opml.urls_of(opml.documents_from_list(A.subscriptions(spark, d)))
+
+
+@register("ingest_snapshot")
+def ingest_snapshot(spark, d):
+    from rivulet.plans import ingest
+    from rivulet.sources import feeds as parse
+
+    out = ingest.fetch_batch(spark, None, parse.sample_responses(A.items(spark, d)), NOW, max_items=100)
+    return out.items.select("feed_url", "guid", "title", "published_date", "first_seen", "archived")
+
+
+@register("unfurl_rows")
+def unfurl_rows(spark, d):
+    from rivulet.plans import unfurl
+
+    pages = spark.read.parquet(f"{d}/pages.parquet").select("url", F.lit(200).alias("status"), F.col("html").alias("body"), F.lit(None).cast("string").alias("error"))
+    return unfurl.metadata_rows(pages, NOW).drop("metadata")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_oracles)
