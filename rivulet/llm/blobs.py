@@ -14,11 +14,16 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 
-#: (bucket, id, blob): records for a bucket, or (id given) a mark for one document.
-SCHEMA = "bucket int, id bigint, blob binary"
+from rivulet.llm.textscan import mix
+
+#: Packed columns for a bucket: of records, or (marks) of what a task already knows.
+SCHEMA = "bucket int, marks boolean, blob binary"
+#: All records of one document.
 MARKS = "id bigint, blob binary"
 #: Records that a task gathers before it packs them.
-FLUSH = 1 << 21
+FLUSH = 1 << 20
+
+
 #: Buckets for each shuffle partition, so that hashing buckets deals them evenly.
 SPREAD = 4
 
@@ -28,65 +33,89 @@ def bucket_count(df: DataFrame) -> int:
     return SPREAD * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def pack(hashes: np.ndarray, columns: list[np.ndarray], buckets: int) -> pa.RecordBatch:
-    """Rows that carry the columns to the bucket of each record's hash."""
+def planes(column: np.ndarray) -> bytes:
+    """A column byte plane by byte plane, 64-bit ids as differences.
+
+    Leading zeros and slowly rising ids then fall to the shuffle's own compression.
+    """
+    if column.dtype == np.int64:
+        column = np.diff(column, prepend=np.int64(0))
+    return np.ascontiguousarray(column).view(np.uint8).reshape(len(column), -1).T.tobytes()
+
+
+def from_planes(blob: bytes, kind, n: int, at: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    raw = np.frombuffer(blob, np.uint8, n * size, at).reshape(size, n).T
+    column = np.ascontiguousarray(raw).reshape(-1).view(kind)
+    return np.cumsum(column) if np.dtype(kind) == np.int64 else column
+
+
+def pack(hashes: np.ndarray, columns: list[np.ndarray], buckets: int, marks: bool = False) -> pa.RecordBatch:
+    """Rows that carry the columns to the bucket of each record's hash, in their order."""
     bucket = ((hashes >> np.uint64(24)) % np.uint64(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
     columns = [c[order] for c in columns]
     first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
     bounds = np.append(first, len(bucket))
-    blobs = [b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(bounds[:-1], bounds[1:])]
-    return pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.nulls(len(first), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "id", "blob"])
+    blobs = [b"".join(planes(c[a:b]) for c in columns) for a, b in zip(bounds[:-1], bounds[1:])]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array([marks] * len(first), pa.bool_()), pa.array(blobs, pa.binary())], ["bucket", "marks", "blob"])
+
 
+def pack_marks(ids: np.ndarray, records: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Marks for documents, dealt by document."""
+    order = np.argsort(ids, kind="stable")  # runs of one id compress well
+    return pack(mix(ids[order].astype(np.uint64)), [ids[order], records[order]], buckets, True)
 
-def unpack(blobs: list[bytes], types: list[str]) -> list[np.ndarray]:
+
+def unpack(blobs: list[bytes], types: list) -> list[np.ndarray]:
     """The columns of all blobs together."""
     sizes = [np.dtype(t).itemsize for t in types]
     parts: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in types]
     for blob in blobs:
         n, at = len(blob) // sum(sizes), 0
         for k, t in enumerate(types):
-            parts[k].append(np.frombuffer(blob, t, n, at))
+            parts[k].append(from_planes(blob, t, n, at))
             at += n * sizes[k]
     return [np.concatenate(p) for p in parts]
 
 
-def by_document(ids: np.ndarray, records: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """(distinct ids, blob of each one's records)."""
+def by_document(ids: np.ndarray, records: np.ndarray) -> pa.RecordBatch:
+    """One row for each id, with all its records."""
     order = np.argsort(ids, kind="stable")
     ids, raw = ids[order], np.ascontiguousarray(records[order]).view(np.uint8)
     first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, np.int64)
-    offsets = np.append(first, len(ids)).astype(np.int32) * np.int32(records.dtype.itemsize)
-    return ids[first], pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
-
+    offsets = np.append(first, len(ids)) * records.dtype.itemsize
+    column = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw)])
+    return pa.RecordBatch.from_arrays([pa.array(ids[first], pa.int64()), column.cast(pa.binary())], ["id", "blob"])
 
-def mark_rows(ids: np.ndarray, records: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Marks for documents that a mapper knows by itself, dealt by document."""
-    own, blobs = by_document(ids, records)
-    return pa.RecordBatch.from_arrays([pa.array((own % buckets).astype(np.int32)), pa.array(own, pa.int64()), blobs], ["bucket", "id", "blob"])
 
+def settle_buckets(rows: DataFrame, settle, types: list, record) -> DataFrame:
+    """Deal rows by bucket, settle each bucket's records, and gather marks by document.
 
-def reduce_buckets(rows: DataFrame, settle, types: list[str]) -> DataFrame:
-    """Deal rows by bucket, settle each partition's records, and return marks.
-
-    ``settle`` takes the unpacked columns and returns (ids, records). A partition has
-    whole buckets, so equal hashes are together.
+    ``settle`` takes the unpacked columns and returns (ids, marks of dtype ``record``).
+    A partition has whole buckets, so equal hashes are together. The marks then go,
+    packed again, to the bucket of their document, which leaves one row a document.
     """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = SPREAD * parts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = []
         for batch in batches:
-            known = batch.column(1).is_valid()
-            mine = batch.filter(known)
-            if mine.num_rows:
-                yield mine.select(["id", "blob"])
-            blobs += batch.filter(pa.compute.invert(known)).column(2).to_pylist()
+            known = batch.filter(batch.column(1))
+            if known.num_rows:
+                yield known
+            blobs += batch.filter(pa.compute.invert(batch.column(1))).column(2).to_pylist()
         ids, records = settle(*unpack(blobs, types))
         del blobs
         if len(ids):
-            own, out = by_document(ids, records)
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), out], ["id", "blob"])
+            yield pack_marks(ids, records, buckets)
 
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "bucket").mapInArrow(run, MARKS)
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs = [b for batch in batches for b in batch.column(2).to_pylist()]
+        if blobs:
+            yield by_document(*unpack(blobs, ["<i8", record]))
+
+    settled = rows.repartition(parts, "bucket").mapInArrow(run, SCHEMA)
+    return settled.repartition(parts, "bucket").mapInArrow(gather, MARKS)

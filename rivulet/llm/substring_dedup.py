@@ -52,14 +52,18 @@ def find_anchors(keyed: DataFrame, buckets: int) -> DataFrame:
     """Records of anchors, and marks for those that repeat within a flush."""
 
     def flush(h, d, p):
-        h, d, p = map(np.concatenate, (h, d, p))
-        order = np.argsort(h, kind="stable")
-        h, d, p = h[order], d[order], p[order]
+        h_all, d, p = map(np.concatenate, (h, d, p))
+        order = np.argsort(h_all, kind="stable")
+        h = h_all[order]
         new = np.append(True, h[1:] != h[:-1])
         again = ~new | ~np.append(new[1:], True)
         if again.any():
-            yield blobs.mark_rows(d[again], p[again], buckets)
-        yield blobs.pack(h[new], [h[new], d[new], p[new]], buckets)
+            yield blobs.pack_marks(d[order[again]], p[order[again]], buckets)
+        go = np.sort(order[new])  # in document order, which compresses
+        low = h_all[go]
+        # 40 bits beside the bucket's do: buckets grow with the input, and an anchor taken
+        # for repeated only costs a look at its windows.
+        yield blobs.pack(low, [low.astype(np.uint32), (low >> np.uint64(32)).astype(np.uint8), d[go], p[go]], buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = ([], [], []), 0
@@ -85,7 +89,8 @@ def find_anchors(keyed: DataFrame, buckets: int) -> DataFrame:
     return keyed.mapInArrow(run, blobs.SCHEMA)
 
 
-def repeated_anchors(h: np.ndarray, d: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def repeated_anchors(low: np.ndarray, high: np.ndarray, d: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    h = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
     order = np.argsort(h, kind="stable")
     h = h[order]
     same = h[1:] == h[:-1]
@@ -100,13 +105,13 @@ def extend(marked: DataFrame, buckets: int) -> DataFrame:
     def flush(h, c, d, p):
         h, c, d, p = map(np.concatenate, (h, c, d, p))
         order = np.lexsort((p, d, c, h))
-        h, c, d, p = h[order], c[order], d[order], p[order]
-        new = np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1]))
-        head = np.flatnonzero(new)[np.cumsum(new) - 1]
-        later = (d != d[head]) | (p != p[head])
-        if later.any():
-            yield blobs.mark_rows(d[later], records(p[later], c[later]), buckets)
-        yield blobs.pack(h[new], [h[new], c[new], d[new], p[new]], buckets)
+        new = np.append(True, (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1]))
+        head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        later = order[(d[order] != d[head]) | (p[order] != p[head])]
+        if len(later):
+            yield blobs.pack_marks(d[later], records(p[later], c[later]), buckets)
+        go = np.sort(order[new])
+        yield blobs.pack(h[go], [h[go], c[go], d[go], p[go]], buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = ([], [], [], []), 0
@@ -118,7 +123,7 @@ def extend(marked: DataFrame, buckets: int) -> DataFrame:
                 words, first = words_of(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 hit = np.zeros(len(words) + 1, np.int32)
                 for k in range(i, j):
-                    own = np.frombuffer(b"".join(marks[k].as_py()), "<u4").astype(np.int64)
+                    own = np.frombuffer(marks[k].as_py(), "<u4").astype(np.int64)
                     # An id that other texts share may bring marks beyond this text.
                     own = own[own < first[k - i + 1] - first[k - i]] + first[k - i]
                     hit[own + 1] = 1
@@ -175,12 +180,9 @@ def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
     keyed = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     buckets = blobs.bucket_count(docs)
 
-    def grouped(marks: DataFrame) -> DataFrame:
-        return marks.groupBy("id").agg(F.collect_list("blob").alias("marks"))
-
-    anchors = blobs.reduce_buckets(find_anchors(keyed, buckets), repeated_anchors, ["<u8", "<i8", "<u4"])
-    candidates = keyed.join(grouped(anchors), "id").select("id", "text", "marks")
-    later = blobs.reduce_buckets(extend(candidates, buckets), later_windows, ["<u8", "<u4", "<i8", "<u4"])
+    anchors = blobs.settle_buckets(find_anchors(keyed, buckets), repeated_anchors, ["<u4", "<u1", "<i8", "<u4"], "<u4")
+    candidates = keyed.join(anchors, "id").select("id", "text", F.col("blob").alias("marks"))
+    later = blobs.settle_buckets(extend(candidates, buckets), later_windows, ["<u8", "<u4", "<i8", "<u4"], _RECORD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span_type = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
@@ -193,7 +195,7 @@ def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
                     words = data[offs[k] : offs[k + 1]].tobytes().split()
                     own: list[tuple[int, int]] = []
                     if marks[k].is_valid and len(words) >= WINDOW:
-                        mine = np.frombuffer(b"".join(marks[k].as_py()), _RECORD)
+                        mine = np.frombuffer(marks[k].as_py(), _RECORD)
                         hashes, _ = words_of(data[offs[k] : offs[k + 1]], np.array([0, offs[k + 1] - offs[k]]))
                         check = checks(hashes)
                         mine = mine[mine["start"] < len(check)]
@@ -212,7 +214,7 @@ def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
                     ["id", "n_words", "n_removed", "spans", "kept_text"],
                 )
 
-    out = keyed.join(grouped(later), "id", "left").select("id", "text", "marks")
+    out = keyed.join(later, "id", "left").select("id", "text", F.col("blob").alias("marks"))
     return out.mapInArrow(run, "id bigint, n_words bigint, n_removed bigint, spans array<struct<first:int,last:int>>, kept_text string").select(
         F.when(F.col("id") != LAST, F.col("id")).alias(id_col), "n_words", "n_removed", "spans", "kept_text"
     )
