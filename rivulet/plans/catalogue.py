@@ -26,7 +26,6 @@ START, END = datetime(2024, 1, 24), NOW
 FEED_START = datetime(2024, 1, 10)
 PURGE, RETRY = datetime(2024, 1, 15), datetime(2024, 1, 20)
 ONE_FEED = "https://feeds.example.com/7/rss.xml"
-LATE = datetime(2024, 1, 20)
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -67,9 +66,6 @@ def feed_urls(spark, d):
     return sel.feed_urls(A.feeds(spark, d))
 
 
-_META_URL = "(SELECT min(url) FROM pages WHERE page_id % 7 <> 3)"
-
-
 @register("metadata_lookup", O.with_views("SELECT url, favicon_url, fetch_status_code, last_fetch_at FROM url_metadata WHERE page_id = 8"))
 def metadata_lookup(spark, d):
     m = A.url_metadata(spark, d)
@@ -79,9 +75,6 @@ def metadata_lookup(spark, d):
 
 # Items of feeds
 
-_ITEM_RANK = "row_number() OVER (ORDER BY published_date DESC NULLS LAST, id DESC)"
-
-
 def _items_sql(where: str, order: str = "published_date DESC NULLS LAST, id DESC", limit: str = "") -> str:
     inner = f"SELECT * FROM items WHERE feed_url = '{ONE_FEED}' {where} ORDER BY published_date DESC NULLS LAST, id DESC {limit}"
     return O.with_views(f"SELECT id, title, published_date, row_number() OVER (ORDER BY {order}) AS position FROM ({inner})")

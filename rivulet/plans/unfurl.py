@@ -15,8 +15,6 @@ from rivulet.sources import feeds as source
 
 #: Most workers of a batch.
 MAX_WORKERS = 100
-#: How often failed links are tried again by default.
-RETRY_AFTER = "1h"
 
 
 def workers(n: int) -> int:

@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from rivulet.functions import scalars as S
 
-EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
-
 
 def _url(user):
     return F.concat(F.lit("https://feeds.example.com/"), user.cast("string"), F.lit("/rss.xml"))
