@@ -9,8 +9,11 @@ sets.
 
 Texts with equal sets are one class from the start. A band bucket is not expanded into
 pairs: its members are compared with two hubs first, and only members that are not
-then in one component are compared further, so a large family of near copies costs a
-few comparisons a member.
+then in one component are compared further. For those two exact bounds prune first.
+Shingles that no other candidate has can be in no intersection. And in a crowded
+bucket each member's common part with the hub is kept as a bitmap, so what two members
+have in common is known up to the few shared shingles outside the hub. A large family
+of near copies so costs a few comparisons a member.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rivulet.llm import blobs
 from rivulet.llm.storage import documents, materialise
 from rivulet.llm.textscan import LOWER, WHITE_SPACE, mix, pieces, span_hashes, text_bytes, window_hashes, word_spans
 
@@ -155,8 +159,9 @@ def describe(docs: DataFrame) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "id bigint, n bigint, digest binary, sketch binary")
 
 
-def estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(x, y, size) pairs that pass the estimate."""
+def estimated(pairs: DataFrame, reps: DataFrame, crowded: bool = False) -> DataFrame:
+    """(x, y, size) pairs that pass the estimate, or (``crowded``) are from a bucket of
+    over ``GROUP`` members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,50 +169,131 @@ def estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
                 continue
             a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, REGISTERS) for k in (5, 6))
             keep = may_link(a, b, batch.column(3).to_numpy(), batch.column(4).to_numpy())
+            if crowded:
+                keep |= batch.column(2).to_numpy() > GROUP
             yield batch.select(["x", "y", "size"]).filter(pa.array(keep))
 
     x = reps.select(F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("sketch").alias("sx"))
     y = reps.select(F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("sketch").alias("sy"))
-    full = pairs.join(y, "y").join(x, "x").filter(f"100 * least(nx, ny) >= {PERCENT} * greatest(nx, ny)")
+    fits = f"100 * least(nx, ny) >= {PERCENT} * greatest(nx, ny)"
+    full = pairs.join(y, "y").join(x, "x").filter(f"size > {GROUP} or {fits}" if crowded else fits)
     return full.select("x", "y", "size", "nx", "ny", "sx", "sy").mapInArrow(run, "x bigint, y bigint, size bigint")
 
 
+def bitmap(hub: np.ndarray, own: np.ndarray) -> list[int]:
+    """Which of the hub's sorted shingles a set has, 64 to a number."""
+    bits = np.packbits(np.isin(hub, own, assume_unique=True))
+    return np.append(bits, np.zeros(-len(bits) % 8, np.uint8)).view("<i8").tolist()
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(x, y) pairs whose full sets link.
+    """(x, y, linked, bits) for (x, y, size) pairs: whether their full sets link.
 
-    Members meet a copy of x's text in groups of about ``GROUP``; a large star has many
-    copies of its hub, so no task holds a whole star.
+    Pairs that do not link are left out, but for those of crowded buckets; these have
+    bits, the part of x's set that y shares. Members meet a copy of x's text in groups
+    of about ``GROUP``; a large star has many copies of its hub, so no task holds a
+    whole star.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, hub = None, []
         for batch in batches:
-            x, salt, y = (batch.column(k).to_pylist() for k in range(3))
-            data, offs = text_bytes(batch.column(3))
-            out: list[tuple[int, int]] = []
+            x, salt, y, size = (batch.column(k).to_pylist() for k in range(4))
+            data, offs = text_bytes(batch.column(4))
+            out: list[tuple] = []
             for i, j in pieces(offs):
                 for k, own in zip(range(i, j), sets_of(*shingles(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]))):
                     if group != (x[k], salt[k]):
                         group, hub = (x[k], salt[k]), []
                     if y[k] is None:
                         hub.append(own)
-                    elif any(linked(h, own) for h in hub):
-                        out.append((x[k], y[k]))
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["x", "y"])
+                        continue
+                    link = any(linked(h, own) for h in hub)
+                    if link or size[k] > GROUP:
+                        out.append((x[k], y[k], link, bitmap(hub[0], own) if size[k] > GROUP and len(hub) == 1 else None))
+            types = (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([p[n] for p in out], t) for n, t in enumerate(types)], ["x", "y", "linked", "bits"])
 
     spark = pairs.sparkSession
-    salted = pairs.select("x", "y", F.pmod(F.xxhash64("y"), F.ceil(F.col("size") / GROUP)).alias("salt"))
-    members = salted.join(texts.select(F.col("id").alias("y"), "text"), "y").select("x", "salt", "y", "text")
-    hubs = salted.select("x", "salt").distinct().join(texts.select(F.col("id").alias("x"), "text"), "x").select("x", "salt", F.lit(None).cast("bigint").alias("y"), "text")
+    salted = pairs.select("x", "y", "size", F.pmod(F.xxhash64("y"), F.ceil(F.col("size") / GROUP)).alias("salt"))
+    members = salted.join(texts.select(F.col("id").alias("y"), "text"), "y").select("x", "salt", "y", "size", "text")
+    hubs = salted.select("x", "salt").distinct().join(texts.select(F.col("id").alias("x"), "text"), "x")
+    hubs = hubs.select("x", "salt", F.lit(None).cast("bigint").alias("y"), F.lit(None).cast("bigint").alias("size"), "text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return (
         hubs.unionByName(members)
         .repartition(parts, "x", "salt")
         .sortWithinPartitions("x", "salt", F.col("y").asc_nulls_first())
-        .mapInArrow(run, "x bigint, y bigint")
+        .mapInArrow(run, "x bigint, y bigint, linked boolean, bits array<bigint>")
     )
 
 
+def shared_sizes(texts: DataFrame) -> DataFrame:
+    """(id, shared): how many of a document's shingles any other document here has, too.
+
+    Shingles go packed by hash bucket; of those that several documents of one flush
+    have, one record goes on.
+    """
+    buckets = blobs.bucket_count(texts)
+
+    def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        h, d = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(h, kind="stable")
+        new = np.append(True, h[order][1:] != h[order][:-1])
+        several = shared_rows(np.cumsum(new) - 1, d[order])
+        mine, head = order[several], order[new]
+        back = np.argsort(head)
+        go, shared = head[back], several[new][back]
+        if len(mine):
+            ids, n = np.unique(d[mine], return_counts=True)
+            yield blobs.pack_marks(ids, n.astype(np.uint32), buckets)
+        low = h[go]
+        yield blobs.pack(low, [low.astype(np.uint32), (low >> _U(32)).astype(np.uint8), d[go], shared.astype(np.uint8)], buckets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            data, offs = text_bytes(batch.column(1))
+            for i, j in pieces(offs):
+                sets = sets_of(*shingles(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]))
+                h = np.concatenate([np.zeros(0, np.uint64), *sets])
+                held.append((h, np.repeat(ids[i:j], [len(s) for s in sets])))
+                size += len(h)
+                if size >= blobs.FLUSH:
+                    yield from flush(held)
+                    held, size = [], 0
+        if size:
+            yield from flush(held)
+
+    def settle(low, high, d, local):
+        h = low.astype(np.uint64) | high.astype(np.uint64) << _U(32)
+        order = np.argsort(h, kind="stable")
+        group = np.cumsum(np.append(False, h[order][1:] != h[order][:-1])) if len(h) else order
+        known = np.bincount(group, local[order])[group] > 0 if len(h) else np.zeros(0, bool)
+        # Rows that a flush has counted as shared itself are not counted again.
+        mine = order[(known | shared_rows(group, d[order])) & (local[order] == 0)]
+        ids, n = np.unique(d[mine], return_counts=True)
+        return ids, n.astype(np.uint32)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [int(np.frombuffer(b, "<u4").sum()) for b in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["id", "shared"])
+
+    counted = blobs.settle_buckets(texts.select("id", "text").mapInArrow(run, blobs.SCHEMA), settle, ["<u4", "<u1", "<i8", "<u1"], "<u4")
+    return counted.mapInArrow(total, "id bigint, shared bigint")
+
+
+def shared_rows(group: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Rows whose group has rows of several documents; rows in group order."""
+    if not len(group):
+        return np.zeros(0, bool)
+    head = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    return np.bincount(group, d != d[head][group])[group] > 0
+
+
 def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """(id, label): the least id that (x, y) edges lead to, for all ids with an edge.
 
@@ -263,26 +349,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select(F.when(F.col("up"), F.col("a")).otherwise(F.col("b")).alias("x"), F.when(F.col("up"), F.col("b")).otherwise(F.col("a")).alias("y"), "size")
     )
     tested = materialise(star, "pairs")
-    edges = materialise(verified(materialise(estimated(tested, reps), "estimated"), texts), "links")
-    labels = components(edges)
+    # The texts of all candidates are fetched once. The hint makes every size take the same way.
+    some = materialise(texts.join(members.select(F.col("rep").alias("id")).distinct().hint("merge"), "id", "left_semi"), "candidates")
+    compared = materialise(verified(materialise(estimated(tested, reps, crowded=True), "estimated"), some), "links")
+    labels = components(compared.filter("linked").select("x", "y"))
 
     # What is left: candidates in one bucket but in different components.
-    marked = members.select("key", "rep").join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
+    marked = members.select("key", "rep", "low").join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("key", "rep", "low", F.coalesce("label", "rep").alias("label"))
     shares = materialise(marked.groupBy("key", "label").agg(F.count("*").alias("n")), "shares")
     mixed = materialise(
         shares.groupBy("key").agg(F.count("*").alias("labels"), F.sum("n").alias("size"), F.max_by("label", F.struct("n", "label")).alias("main")).filter("labels > 1").select("key", "size", "main"), "mixed"
     )
     if not mixed.isEmpty():
         left = materialise(marked.join(mixed, "key"), "left")
-        minor = left.filter("label != main").select("key", F.col("rep").alias("x"), F.col("label").alias("lx"))
-        other = left.select("key", F.col("rep").alias("y"), F.col("label").alias("ly"), "main", "size")
+        sizes = shared_sizes(some.join(left.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")).join(reps.select(F.col("rep").alias("id"), "n"), "id")
+        able = left.join(sizes.filter(f"100 * shared >= {PERCENT} * n").select(F.col("id").alias("rep"), "shared", "n"), "rep")
+        bits = compared.filter("bits is not null").select(F.col("x").alias("low"), F.col("y").alias("rep"), "bits")
+        count = F.aggregate("bits", F.lit(0).cast("bigint"), lambda n, b: n + F.bit_count(b))
+        # shared - inside: shingles outside the hub that some other candidate has.
+        able = materialise(able.join(bits, ["low", "rep"], "left").withColumn("outside", F.col("shared") - count), "able")
+
+        def side(name: str, rows: DataFrame, *more: str) -> DataFrame:
+            return rows.select("key", F.col("rep").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("label", "shared", "n", "bits", "outside")), *more)
+
+        both = F.aggregate(F.zip_with("bits_x", "bits_y", lambda a, b: F.bit_count(a.bitwiseAND(b))), F.lit(0).cast("bigint"), lambda n, b: n + b)
+        enough = lambda most: (100 + PERCENT) * most >= PERCENT * (F.col("n_x") + F.col("n_y"))
+        minor, other = side("x", able.filter("label != main")), side("y", able, "main", "size").withColumnRenamed("key", "k")
         cross = (
-            minor.join(other, "key").filter("lx != ly and (ly = main or x < y)")
+            minor.join(
+                other,
+                (F.col("key") == F.col("k"))
+                & F.expr("label_x != label_y and (label_y = main or x < y)")
+                & enough(F.least("shared_x", "shared_y"))
+                & F.coalesce(enough(both + F.least("outside_x", "outside_y")), F.lit(True)),
+            )
             .groupBy("x", "y").agg(F.max("size").alias("size"))
             .join(tested.select("x", "y"), ["x", "y"], "left_anti")
             .join(tested.select(F.col("y").alias("x"), F.col("x").alias("y")), ["x", "y"], "left_anti")
         )
-        more = materialise(verified(materialise(estimated(cross, reps), "estimated"), texts), "links")
+        more = materialise(verified(materialise(estimated(cross, reps), "estimated"), some).filter("linked").select("x", "y"), "links")
         if not more.isEmpty():
             labels = components(more, labels)
 
