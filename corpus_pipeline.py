@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.llm import bpe, decontamination, exact_dedup, near_dedup, toxicity
-from rivulet.llm.storage import documents, materialise
+from rivulet.llm.storage import documents, materialise, small_batches
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under the threshold."""
-    return toxicity.drop_toxic(docs, toxicity.learn_from(spark, sf_dir))
+    return toxicity.drop_toxic(small_batches(docs), toxicity.learn_from(spark, sf_dir))
 
 
 def exact_dedup_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,17 +26,17 @@ def exact_dedup_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_dedup_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component of near copies."""
-    return near_dedup.drop_near_duplicates(docs)
+    return near_dedup.drop_near_duplicates(small_batches(docs))
 
 
 def decontamination_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item."""
-    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontamination.decontaminate(small_batches(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with digests of them and of the decoded bytes."""
-    found = bpe.bpe_round_trip(docs, keep=("doc_id", "lang", "source"))
+    found = bpe.bpe_round_trip(small_batches(docs), keep=("doc_id", "lang", "source"))
     return found.select(
         "doc_id", "lang", "source", "n_tokens", "token_ids", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )

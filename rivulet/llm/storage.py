@@ -43,6 +43,16 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Rows of an Arrow batch between Spark and Python; whole texts make them large.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Bound the Arrow batches of the session; returns ``df``."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``documents`` table of a data folder."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return small_batches(spark.read.parquet(f"{sf_dir}/documents.parquet"))
