@@ -8,7 +8,8 @@ unit of work:
 
 1. every trigger's *core*, the 50 bytes from it that all windows of its segment hold,
    is hashed; a core that occurs once settles its segment.
-2. of the others the whole segment is hashed: if it occurs again, all its windows do.
+2. of the others the whole segment, up to the next core that occurs once, is hashed: if
+   it occurs again, all its windows do.
 3. only where segments of one core differ (at the ends of a repeated passage) windows
    are hashed one by one, those of one segment for each kind that is repeated as a
    whole included.
@@ -76,13 +77,13 @@ class Hashes:
         return (mix((self.second[b] - self.second[a]) * self.inverse[a]) >> _U(32)).astype(np.uint32)
 
 
-def parse(h: Hashes, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Segments (trigger, first window, last window, document) and windows without a
-    near trigger (start, document)."""
+def parse(h: Hashes, offs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Segments (trigger, first window, last window, document), windows without a near
+    trigger (start, document), and all triggers that have a core."""
     n = len(h.data)
     if n < LENGTH:
         none = np.zeros(0, np.int64)
-        return none, none, none, none, none, none
+        return none, none, none, none, none, none, none
     at = np.arange(n - TRIGGER + 1)
     t = np.flatnonzero(mix((h.sums[TRIGGER:] - h.sums[:-TRIGGER]) * h.inverse[at]) % _U(EVERY) == 0)
     d = np.searchsorted(offs, t, "right") - 1
@@ -104,7 +105,7 @@ def parse(h: Hashes, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     lo, hi = begin, np.minimum(following - REACH - 1, last)
     many = np.maximum(hi - lo + 1, 0)
     shift = np.repeat(lo - np.concatenate([[0], np.cumsum(many)[:-1]]), many)
-    return trigger, first, final, segment_doc, np.arange(many.sum()) + shift, np.repeat(owner, many)
+    return trigger, first, final, segment_doc, np.arange(many.sum()) + shift, np.repeat(owner, many), t[t + CORE <= offs[d + 1]]
 
 
 def batches_of(batches: Iterator[pa.RecordBatch], marks: int) -> Iterator[tuple]:
@@ -172,7 +173,8 @@ def find_cores(keyed: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Gather(flush)
         for ids, h, offs, _ in batches_of(batches, 0):
-            trigger, _, _, d, lone, lone_d = parse(h, offs)
+            *_, lone, lone_d, trigger = parse(h, offs)
+            d = np.searchsorted(offs, trigger, "right") - 1
             yield from held.add(h.span(trigger, trigger + CORE), ids[d], (2 * (trigger - offs[d])).astype(np.uint32))
             yield from held.add(mix(h.span(lone, lone + LENGTH)), ids[lone_d], (2 * (lone - offs[lone_d]) + 1).astype(np.uint32))
         yield from held.end()
@@ -214,9 +216,12 @@ def find_segments(marked: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Gather(flush)
         for ids, h, offs, (marks,) in batches_of(batches, 1):
-            trigger, first, final, d, lone, lone_d = parse(h, offs)
+            trigger, first, final, d, lone, lone_d, every = parse(h, offs)
             found = np.concatenate([np.zeros(0, np.int64)] + [np.frombuffer(m, "<u4").astype(np.int64) + 2 * o for m, o in zip(marks, offs)])
-            use = np.isin(2 * trigger, found)
+            # A window that holds a core which occurs once is nowhere else: windows end before it.
+            once = np.append(every[~np.isin(2 * every, found)], np.iinfo(np.int64).max >> 1)
+            final = np.minimum(final, once[np.searchsorted(once, trigger)] + CORE - LENGTH - 1)
+            use = np.isin(2 * trigger, found) & (first <= final)
             trigger, first, final, d = trigger[use], first[use], final[use], d[use]
             core = mix(h.span(trigger, trigger + CORE) + _U(5))
             yield from held.add(

@@ -67,6 +67,6 @@ def test_every_window_is_in_one_segment_or_alone():
     raw = "".join(rnd.choice("abcdefgh") for _ in range(20_000)).encode() + b"z" * 3000
     data = np.frombuffer(raw, np.uint8)
     offs = np.array([0, 0, 150, 5_000, 5_199, 5_400, 23_000])
-    _, first, final, _, lone, _ = suffix_dedup.parse(suffix_dedup.Hashes(data), offs)
+    _, first, final, _, lone, _, _ = suffix_dedup.parse(suffix_dedup.Hashes(data), offs)
     found = sorted([s for a, b in zip(first, final) for s in range(a, b + 1)] + lone.tolist())
     assert found == [s for a, b in zip(offs[:-1], offs[1:]) for s in range(a, b - 199)]
