@@ -24,13 +24,10 @@ MARKS = "id bigint, blob binary"
 FLUSH = 1 << 20
 
 
-#: Buckets for each shuffle partition, so that hashing buckets deals them evenly.
-SPREAD = 4
-
-
 def bucket_count(df: DataFrame) -> int:
-    """Buckets grow with the session's shuffle partitions, and so with the input."""
-    return SPREAD * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """One bucket for each of the session's shuffle partitions, which grow with the
+    input: rows go to the partition that their bucket names, so partitions are even."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def planes(column: np.ndarray) -> bytes:
@@ -97,8 +94,7 @@ def settle_buckets(rows: DataFrame, settle, types: list, record) -> DataFrame:
     A partition has whole buckets, so equal hashes are together. The marks then go,
     packed again, to the bucket of their document, which leaves one row a document.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = SPREAD * parts
+    buckets = bucket_count(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = []
@@ -117,5 +113,5 @@ def settle_buckets(rows: DataFrame, settle, types: list, record) -> DataFrame:
         if blobs:
             yield by_document(*unpack(blobs, ["<i8", record]))
 
-    settled = rows.repartition(parts, "bucket").mapInArrow(run, SCHEMA)
-    return settled.repartition(parts, "bucket").mapInArrow(gather, MARKS)
+    settled = rows.repartitionById(buckets, "bucket").mapInArrow(run, SCHEMA)
+    return settled.repartitionById(buckets, "bucket").mapInArrow(gather, MARKS)
