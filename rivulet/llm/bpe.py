@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from rivulet.llm.storage import documents
 from rivulet.llm.textscan import pieces, text_bytes
-from rivulet.llm.tokenizers import MARKS, MEMO_ENTRIES, Memo, load_ranks, piece_pattern, split_words, vocabulary_path
+from rivulet.llm.tokenizers import MARKS, WORD_BYTES, Memo, load_ranks, piece_pattern, split_words, vocabulary_path
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -37,7 +37,7 @@ class BytePairEncoder:
         self.split: dict[int, tuple[int, int]] = {}
         self.joined: dict[tuple[int, int], int] = {}
         #: Whether two tokens may be neighbours, by left << 32 | right.
-        self.compatible = Memo(lambda pair: self._compatible(pair >> 32, pair & 0xFFFFFFFF), 2 * MEMO_ENTRIES)
+        self.compatible = Memo(lambda pair: self._compatible(pair >> 32, pair & 0xFFFFFFFF))
         self.automaton = ahocorasick.Automaton()
         #: rank -> the longest token that is a shorter prefix of it.
         self.shorter: dict[int, int] = {}
@@ -60,7 +60,7 @@ class BytePairEncoder:
         self.length = {r: len(t) for r, t in self.token_bytes.items()}
         self.of_piece = Memo(self._piece)
         self.of_part = Memo(self._part)
-        self.of_spaced = Memo(self._spaced)
+        self.of_spaced = Memo(self._spaced, WORD_BYTES)
 
     def _merge(self, token: bytes, below: int) -> tuple[int, ...]:
         """The ranks that merging with tokens of rank under ``below`` leaves."""
@@ -153,10 +153,6 @@ def encoder(path: str, pattern: str | None = None) -> BytePairEncoder:
     return BytePairEncoder(load_ranks(path), pattern)
 
 
-def _path(name: str, folder: str | None) -> str:
-    return vocabulary_path(name, folder)
-
-
 def bpe_round_trip(
     docs: DataFrame,
     text_col: str = "text",
@@ -179,7 +175,7 @@ def bpe_round_trip(
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), "token_ids binary", "n_tokens bigint", *(["decoded binary"] if decode else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(_path(vocabulary, folder))
+        own = encoder(vocabulary_path(vocabulary, folder))
         for batch in batches:
             texts = batch.column(len(keep))
             _, offs = text_bytes(texts)
@@ -201,7 +197,7 @@ def bpe_decode(rows: DataFrame, ids_col: str = "token_ids", keep: tuple[str, ...
     types = dict(rows.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(_path(vocabulary, folder))
+        own = encoder(vocabulary_path(vocabulary, folder))
         for batch in batches:
             out = pa.array([own.decode(x or b"") for x in batch.column(len(keep)).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), out], [*keep, "decoded"])

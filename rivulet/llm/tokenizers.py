@@ -9,6 +9,7 @@ from __future__ import annotations
 import base64
 import functools
 import re
+import sys
 from collections.abc import Callable, Hashable
 
 import regex
@@ -16,8 +17,9 @@ import regex
 #: A space that starts a piece: one that a character other than white space follows.
 _BEFORE_PIECE = re.compile(r" (?!\s|$)")
 _ODD_SPACE = re.compile(r" (?:\s|\Z)|[\x1c-\x1f]")
-#: Entries of one generation of a memo.
-MEMO_ENTRIES = 400_000
+#: Bytes that a memo may hold, those of the memo of plain words, and a memo's longest
+#: key: text without spaces is no key.
+MEMO_BYTES, WORD_BYTES, MEMO_KEY = 16 << 20, 72 << 20, 64
 #: Marks that are a piece of their own between letters and a space or the end.
 MARKS = frozenset(".,;:!?")
 
@@ -71,23 +73,31 @@ def split_words(text: str) -> tuple[list[str], list[str]]:
 
 
 class Memo(dict):
-    """value = f(key), remembered in two generations.
+    """value = f(key), remembered in two generations of half the bytes each.
 
-    Once ``entries`` are held they become the older generation and the one before is
-    dropped; what is used again moves up. So memory stays bounded and frequent keys
-    stay known.
+    Once one is full it becomes the older generation and the one before is dropped;
+    what is used again moves up. So memory stays bounded whatever the texts, and
+    frequent keys stay known. Long keys are computed every time.
     """
 
-    def __init__(self, f: Callable[[Hashable], object], entries: int = MEMO_ENTRIES) -> None:
+    #: Bytes of an entry besides key and value.
+    ENTRY = 110
+
+    def __init__(self, f: Callable[[Hashable], object], limit: int = MEMO_BYTES) -> None:
         super().__init__()
-        self.f, self.entries, self.older = f, entries, {}
+        self.f, self.limit, self.used, self.older = f, limit // 2, 0, {}
 
     def __missing__(self, key):
         value = self.older.get(key)
         if value is None:
             value = self.f(key)
-        if len(self) >= self.entries:
+        if isinstance(key, str) and len(key) > MEMO_KEY:
+            return value
+        cost = sys.getsizeof(key) + sys.getsizeof(value) + self.ENTRY
+        if self.used + cost > self.limit:
             self.older = dict(self)
             self.clear()
+            self.used = 0
         self[key] = value
+        self.used += cost
         return value
