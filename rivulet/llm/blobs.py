@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from rivulet.llm.textscan import mix
 
@@ -22,12 +23,38 @@ SCHEMA = "bucket int, marks boolean, blob binary"
 MARKS = "id bigint, blob binary"
 #: Records that a task gathers before it packs them.
 FLUSH = 1 << 20
+#: Bytes of text for which there is a bucket at least; a task holds one bucket.
+BUCKET_BYTES = 128 << 20
+#: Rows without an id count as one document after all others. Its key may also be an
+#: id, so places in it are shifted by ``MISSING``, which no text reaches.
+LAST, MISSING = (1 << 63) - 1, 1 << 31
 
 
-def bucket_count(df: DataFrame) -> int:
-    """One bucket for each of the session's shuffle partitions, which grow with the
-    input: rows go to the partition that their bucket names, so partitions are even."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def bucket_count(docs: DataFrame, text_col: str) -> int:
+    """Buckets for the texts: the session's shuffle partitions, or as many more as keep
+    a bucket's share of the text under ``BUCKET_BYTES``. Counts all bytes, one scan."""
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, missing) rows; missing flags those whose id is null."""
+    own = F.col(id_col).cast("bigint")
+    return docs.select(F.coalesce(own, F.lit(LAST)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), own.isNull().alias("missing"))
+
+
+def places(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, what to add to places in each document) of a batch of keyed rows."""
+    return batch.column(0).to_numpy(), np.where(batch.column(2).to_numpy(zero_copy_only=False), np.uint32(MISSING), np.uint32(0))
+
+
+def is_own(found: np.ndarray, shift: np.uint32) -> np.ndarray:
+    """Which places are of rows with an id, or (by ``shift``) of those without."""
+    return (found >= MISSING) == (shift > 0)
+
+
+def own_places(found: np.ndarray, shift: np.uint32) -> np.ndarray:
+    return found[is_own(found, shift)] - shift
 
 
 def planes(column: np.ndarray) -> bytes:
@@ -77,6 +104,39 @@ def unpack(blobs: list[bytes], types: list) -> list[np.ndarray]:
     return [np.concatenate(p) for p in parts]
 
 
+def pack_spans(hashes: np.ndarray, columns: list[np.ndarray], sizes: np.ndarray, raw: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Like ``pack``, with a byte string for each record (``raw`` holds all of them)."""
+    ends = np.cumsum(sizes)
+    bucket = ((hashes >> np.uint64(24)) % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    bounds = np.append(np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)), len(order)) if len(order) else np.zeros(1, np.int64)
+    blobs = []
+    for a, b in zip(bounds[:-1], bounds[1:]):
+        own = order[a:b]
+        blobs.append(b"".join([np.uint32(b - a).tobytes(), *(planes(c[own]) for c in (*columns, sizes.astype(np.uint16))), raw[spread_ranges((ends - sizes)[own], sizes[own])].tobytes()]))
+    flags = pa.array([False] * len(blobs), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array(bucket[order][bounds[:-1]]), flags, pa.array(blobs, pa.binary())], ["bucket", "marks", "blob"])
+
+
+def unpack_spans(blobs: list[bytes], types: list) -> list[np.ndarray]:
+    """The columns of all blobs together, the sizes and the bytes."""
+    types = [*types, "<u2"]
+    parts: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in (*types, np.uint8)]
+    for blob in blobs:
+        n, at = int(np.frombuffer(blob, "<u4", 1)[0]), 4
+        for k, t in enumerate(types):
+            parts[k].append(from_planes(blob, t, n, at))
+            at += n * np.dtype(t).itemsize
+        parts[-1].append(np.frombuffer(blob, np.uint8, offset=at))
+    return [np.concatenate(p) for p in parts]
+
+
+def spread_ranges(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... for each range, one after the other."""
+    many = np.asarray(many, np.int64)
+    return np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+
+
 def by_document(ids: np.ndarray, records: np.ndarray) -> pa.RecordBatch:
     """One row for each id, with all its records."""
     order = np.argsort(ids, kind="stable")
@@ -87,14 +147,13 @@ def by_document(ids: np.ndarray, records: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids[first], pa.int64()), column.cast(pa.binary())], ["id", "blob"])
 
 
-def settle_buckets(rows: DataFrame, settle, types: list, record) -> DataFrame:
+def settle_buckets(rows: DataFrame, settle, types: list, record, buckets: int, read=unpack) -> DataFrame:
     """Deal rows by bucket, settle each bucket's records, and gather marks by document.
 
     ``settle`` takes the unpacked columns and returns (ids, marks of dtype ``record``).
     A partition has whole buckets, so equal hashes are together. The marks then go,
     packed again, to the bucket of their document, which leaves one row a document.
     """
-    buckets = bucket_count(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = []
@@ -103,7 +162,7 @@ def settle_buckets(rows: DataFrame, settle, types: list, record) -> DataFrame:
             if known.num_rows:
                 yield known
             blobs += batch.filter(pa.compute.invert(batch.column(1))).column(2).to_pylist()
-        ids, records = settle(*unpack(blobs, types))
+        ids, records = settle(*read(blobs, types))
         del blobs
         if len(ids):
             yield pack_marks(ids, records, buckets)

@@ -4,10 +4,10 @@ Each document's set of word shingles is hashed into buckets; a register keeps th
 least value of its bucket as a leading-zero count and ten mantissa bits. An empty
 bucket borrows from one that a fixed random order names, which keeps the chance of
 agreement at the Jaccard similarity. Bands of registers find candidates; registers
-give a collision-corrected estimate of similarity; what passes is verified on the full
-sets.
+give a collision-corrected estimate of similarity; what passes is compared on the full
+sets, and a link is confirmed on the words themselves.
 
-Texts with equal sets are one class from the start. A band bucket is not expanded into
+Texts with equal sets are one class from the start, told by 128 bits a shingle. A band bucket is not expanded into
 pairs: its members are compared with two hubs first, and only members that are not
 then in one component are compared further. For those two exact bounds prune first.
 Shingles that no other candidate has can be in no intersection. And in a crowded
@@ -23,11 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.llm import blobs
-from rivulet.llm.storage import documents, materialise
+from rivulet.llm.filters import with_keys, without_keys
+from rivulet.llm.storage import Scratch, documents, named_again, numbered_columns
 from rivulet.llm.textscan import LOWER, WHITE_SPACE, mix, pieces, span_hashes, text_bytes, window_hashes, word_spans
 
 #: Fixed by the contract: words in a shingle, and similarity in percent.
@@ -40,29 +41,31 @@ MANTISSA = 10
 SLACK = 5.0
 #: Members that are compared with one copy of a hub.
 GROUP = 48
+#: Members of a bucket that a task compares with others of it.
+SALT = 4096
 _PROBES = 512
 _U = np.uint64
 
 _borrow = (mix(np.arange(_PROBES * REGISTERS, dtype=np.uint64) + _U(77)) % _U(REGISTERS)).astype(np.int64).reshape(_PROBES, REGISTERS)
 
 
-def shingles(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def shingles(data: np.ndarray, offs: np.ndarray, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit shingle hashes, first one of each document), repeats included."""
     data = LOWER[data]
     starts, ends, first = word_spans(data, offs, WHITE_SPACE)
-    words = span_hashes(data, starts, ends)
+    words = span_hashes(data, starts, ends, seed)
     lengths = np.diff(first)
     doc = np.repeat(np.arange(len(lengths)), lengths)
     out, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     if len(words) >= SHINGLE:
         whole = doc[: len(words) - SHINGLE + 1] == doc[SHINGLE - 1 :]
-        out.append(window_hashes(words, SHINGLE)[whole])
+        out.append(window_hashes(words, SHINGLE, seed)[whole])
         owner.append(doc[: len(whole)][whole])
     for size in range(1, SHINGLE):
         short = np.flatnonzero(lengths == size)
         if len(short):
             # Bit patterns of other widths never meet: the width is part of the hash.
-            out.append(window_hashes(words, size)[first[short]])
+            out.append(window_hashes(words, size, seed)[first[short]])
             owner.append(short)
     owner_all = np.concatenate(owner)
     order = np.argsort(owner_all, kind="stable")
@@ -131,10 +134,30 @@ def may_link(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
     return fits & (estimate(a, b, n, m) >= t - slack)
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    """The contract's test on full sets."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both > 0 and 100 * both >= PERCENT * (len(a) + len(b) - both)
+def alike(both: int, n: int, m: int) -> bool:
+    """The contract's test."""
+    return both > 0 and 100 * both >= PERCENT * (n + m - both)
+
+
+class Member:
+    """A document's set as hashes and, where asked for, as words."""
+
+    def __init__(self, own: np.ndarray, text: bytes) -> None:
+        self.own, self.text, self.sets = own, text, None
+
+    def words(self) -> set[tuple[bytes, ...]]:
+        if self.sets is None:
+            w = self.text.lower().split()  # of bytes: ASCII letters and white space only
+            self.sets = set(zip(*(w[k:] for k in range(SHINGLE)))) if len(w) >= SHINGLE else {tuple(w)} if w else set()
+        return self.sets
+
+    def linked(self, other: Member) -> bool:
+        """Hashes can only make sets more alike, so they decide against a link; for one
+        the words do."""
+        if not alike(len(np.intersect1d(self.own, other.own, assume_unique=True)), len(self.own), len(other.own)):
+            return False
+        a, b = self.words(), other.words()
+        return alike(len(a & b), len(a), len(b))
 
 
 def describe(docs: DataFrame) -> DataFrame:
@@ -144,13 +167,19 @@ def describe(docs: DataFrame) -> DataFrame:
         for batch in batches:
             data, offs = text_bytes(batch.column(1))
             for i, j in pieces(offs):
-                sets = sets_of(*shingles(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]))
+                part, own = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+                (one, first), (two, _) = (shingles(part, own, seed) for seed in (1, 2))
+                sets, digests = [], []
+                for a, b in zip(first[:-1], first[1:]):
+                    found, at = np.unique(one[a:b], return_index=True)
+                    sets.append(found)
+                    digests.append(hashlib.blake2b(found.tobytes() + two[a:b][at].tobytes(), digest_size=16).digest() if b > a else None)
                 registers = sketches(sets)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, j - i),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
+                        pa.array(digests, pa.binary()),
                         pa.array([r.tobytes() if len(s) else None for r, s in zip(registers, sets)], pa.binary()),
                     ],
                     ["id", "n", "digest", "sketch"],
@@ -196,21 +225,23 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, hub = None, []
+        group: tuple | None = None
+        hub: list[Member] = []
         for batch in batches:
             x, salt, y, size = (batch.column(k).to_pylist() for k in range(4))
             data, offs = text_bytes(batch.column(4))
             out: list[tuple] = []
             for i, j in pieces(offs):
                 for k, own in zip(range(i, j), sets_of(*shingles(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]))):
+                    member = Member(own, data[offs[k] : offs[k + 1]].tobytes())
                     if group != (x[k], salt[k]):
                         group, hub = (x[k], salt[k]), []
                     if y[k] is None:
-                        hub.append(own)
+                        hub.append(member)
                         continue
-                    link = any(linked(h, own) for h in hub)
+                    link = any(h.linked(member) for h in hub)
                     if link or size[k] > GROUP:
-                        out.append((x[k], y[k], link, bitmap(hub[0], own) if size[k] > GROUP and len(hub) == 1 else None))
+                        out.append((x[k], y[k], link, bitmap(hub[0].own, own) if size[k] > GROUP and len(hub) == 1 else None))
             types = (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array([p[n] for p in out], t) for n, t in enumerate(types)], ["x", "y", "linked", "bits"])
 
@@ -228,13 +259,12 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
 
-def shared_sizes(texts: DataFrame) -> DataFrame:
+def shared_sizes(texts: DataFrame, buckets: int) -> DataFrame:
     """(id, shared): how many of a document's shingles any other document here has, too.
 
     Shingles go packed by hash bucket; of those that several documents of one flush
     have, one record goes on.
     """
-    buckets = blobs.bucket_count(texts)
 
     def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         h, d = (np.concatenate(x) for x in zip(*held))
@@ -282,7 +312,7 @@ def shared_sizes(texts: DataFrame) -> DataFrame:
             n = [int(np.frombuffer(b, "<u4").sum()) for b in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["id", "shared"])
 
-    counted = blobs.settle_buckets(texts.select("id", "text").mapInArrow(run, blobs.SCHEMA), settle, ["<u4", "<u1", "<i8", "<u1"], "<u4")
+    counted = blobs.settle_buckets(texts.select("id", "text").mapInArrow(run, blobs.SCHEMA), settle, ["<u4", "<u1", "<i8", "<u1"], "<u4", buckets)
     return counted.mapInArrow(total, "id bigint, shared bigint")
 
 
@@ -294,27 +324,70 @@ def shared_rows(group: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.bincount(group, d != d[head][group])[group] > 0
 
 
-def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, labels: DataFrame | None = None) -> DataFrame:
     """(id, label): the least id that (x, y) edges lead to, for all ids with an edge.
 
     Labels of neighbours and of labels are taken until nothing changes; each round is
-    written to the shared folder. ``labels`` of an earlier call speed up the start.
+    written to the shared folder and replaces the one before. ``labels`` of an earlier
+    call speed up the start.
     """
-    both = materialise(edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "edges")
+    both = scratch.write(edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "edges")
     now = both.select(F.col("x").alias("id")).distinct().withColumn("label", F.col("id"))
     if labels is not None:
         now = now.unionByName(labels).groupBy("id").agg(F.min("label").alias("label"))
         both = both.unionByName(labels.filter("id != label").select(F.col("id").alias("x"), F.col("label").alias("y")))
-    now = materialise(now, "labels")
+    run, k = len(scratch.paths), 0
+    now = scratch.write(now, f"labels-{run}-{k}")
     while True:
         heard = both.join(now, both.x == now.id).select(F.col("y").alias("id"), "label", F.lit(None).cast("bigint").alias("old"))
-        step = now.select("id", "label", F.col("label").alias("old")).unionByName(heard).groupBy("id").agg(F.min("label").alias("label"), F.max("old").alias("old"))
-        step = materialise(step, "labels")
+        own = now.select("id", "label", F.col("label").alias("old"))
+        step = scratch.write(own.unionByName(heard).groupBy("id").agg(F.min("label").alias("label"), F.max("old").alias("old")), f"step-{run}-{k}")
         jump = step.select(F.col("id").alias("label"), F.col("label").alias("further"))
-        now = materialise(step.join(jump, "label").select("id", F.col("further").alias("label"), (F.col("further") != F.col("old")).alias("moved")), "labels")
+        moved = (F.col("further") != F.col("old")).alias("moved")
+        now = scratch.write(step.join(jump, "label").select("id", F.col("further").alias("label"), moved), f"labels-{run}-{k + 1}")
+        scratch.release(f"step-{run}-{k}", f"labels-{run}-{k}")
         if now.filter("moved").isEmpty():
             return now.select("id", "label")
-        now = now.select("id", "label")
+        now, k = now.select("id", "label"), k + 1
+
+
+def size_class(n) -> Column:
+    """Sizes within a tenth of each other, about."""
+    return F.floor(F.log(n) / F.log(F.lit(1.1)))
+
+
+def cross_pairs(able: DataFrame) -> DataFrame:
+    """(x, y, size) pairs of one bucket in different components that may still link.
+
+    ``able`` has (key, rep, label, main, size, n, shared, bits, outside). Sets of n and
+    m shingles link only with (n + m) * PERCENT / (100 + PERCENT) of them in common, so
+    from ``shared`` follows how large a partner can be at most; members meet by classes
+    of size in that range. In a large bucket one side is dealt by salt and the other
+    copied to each, so a task has a part of a bucket.
+    """
+    factor = (100 + PERCENT) / PERCENT
+    able = (
+        able.withColumn("most", F.least(F.floor(F.col("n") * (100 / PERCENT)), F.floor(F.col("shared") * factor - F.col("n") + 1e-6)))
+        .withColumn("least", F.ceil(F.col("n") * (PERCENT / 100) - 1e-6))
+        .filter("least <= most")
+        .withColumn("salts", F.ceil(F.col("size") / SALT))
+    )
+    minor = able.filter("label != main").select(
+        "key", F.col("rep").alias("x"), *(F.col(c).alias(f"{c}_x") for c in ("label", "n", "bits", "outside", "least", "most")),
+        F.explode(F.sequence(size_class(F.col("least")), size_class(F.col("most")))).alias("class"), "salts",
+    ).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)))
+    other = able.select(
+        "key", F.col("rep").alias("y"), *(F.col(c).alias(f"{c}_y") for c in ("label", "n", "bits", "outside", "least", "most")),
+        size_class(F.col("n")).alias("class"), F.pmod(F.xxhash64("rep"), F.col("salts")).alias("salt"), "main", "size",
+    )
+    both = F.aggregate(F.zip_with("bits_x", "bits_y", lambda a, b: F.bit_count(a.bitwiseAND(b))), F.lit(0).cast("bigint"), lambda n, b: n + b)
+    enough = (100 + PERCENT) * (both + F.least("outside_x", "outside_y")) >= PERCENT * (F.col("n_x") + F.col("n_y"))
+    return (
+        minor.join(other, ["key", "class", "salt"])
+        .filter("label_x != label_y and (label_y = main or x < y) and n_y between least_x and most_x and n_x between least_y and most_y")
+        .filter(F.coalesce(enough, F.lit(True)))
+        .groupBy("x", "y").agg(F.max("size").alias("size"))
+    )
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -324,85 +397,83 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id is the least id that links lead to; that document is kept. A text
     without words, null included, has no shingles and is linked with nothing; so is a
     row without an id, whose component_id is null and which is kept. Rows that repeat
-    an id are one document to links. Other columns are ignored.
+    an id are one document to links. Other columns are ignored. An empty table gives no
+    rows; ties do not arise, since ids decide; a very long text bounds the memory of
+    its task. The result is written to the shared folder and all else deleted there.
     """
+    scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = rows.filter("id is not null")
-    described = materialise(describe(rows), "sketches")
+    described = scratch.write(describe(rows), "sketches")
     inside = described.filter("id is not null and digest is not null")
     # Rows of one class share n and sketch, so any value does; large classes combine on the map side.
-    reps = materialise(inside.groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    reps = scratch.write(inside.groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
+
+    def part(band):
+        return F.substring(F.col("sketch"), band * (2 * ROWS) + 1, F.lit(2 * ROWS))
 
-    bands = reps.select(
-        "rep",
-        F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.substring(F.col("sketch"), b * (2 * ROWS) + 1, F.lit(2 * ROWS)))).alias("band", "part"),
-    ).select(F.xxhash64("band", "part").alias("key"), "rep")
-    buckets = materialise(
+    bands = reps.select("rep", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), part)).alias("band", "part")).select(F.xxhash64("band", "part").alias("key"), "rep")
+    buckets = scratch.write(
         bands.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("size")).filter("low < high"), "buckets"
     )
-    members = materialise(bands.join(buckets, "key"), "members")
+    members = scratch.write(bands.join(buckets, "key"), "members")
+    a, b = F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")
     star = (
         members.select("rep", F.explode(F.array("low", "high")).alias("hub"), "size")
         .filter("rep != hub")
-        .groupBy(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"), (F.col("rep") > F.col("hub")).alias("up"))
+        .groupBy(a, b, (F.col("rep") > F.col("hub")).alias("up"))
         .agg(F.max("size").alias("size"))
         .select(F.when(F.col("up"), F.col("a")).otherwise(F.col("b")).alias("x"), F.when(F.col("up"), F.col("b")).otherwise(F.col("a")).alias("y"), "size")
     )
-    tested = materialise(star, "pairs")
-    # The texts of all candidates are fetched once. The hint makes every size take the same way.
-    some = materialise(texts.join(members.select(F.col("rep").alias("id")).distinct().hint("merge"), "id", "left_semi"), "candidates")
-    compared = materialise(verified(materialise(estimated(tested, reps, crowded=True), "estimated"), some), "links")
-    labels = components(compared.filter("linked").select("x", "y"))
+    tested = scratch.write(star, "pairs")
+    # The texts of all candidates are fetched once; a filter keeps the others where they are.
+    some = scratch.write(with_keys(texts, members.select("rep").distinct(), F.col("id"), "rep", scratch), "candidates")
+    compared = scratch.write(verified(scratch.write(estimated(tested, reps, crowded=True), "estimated"), some), "links")
+    labels = components(compared.filter("linked").select("x", "y"), scratch)
 
     # What is left: candidates in one bucket but in different components.
-    marked = members.select("key", "rep", "low").join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("key", "rep", "low", F.coalesce("label", "rep").alias("label"))
-    shares = materialise(marked.groupBy("key", "label").agg(F.count("*").alias("n")), "shares")
-    mixed = materialise(
-        shares.groupBy("key").agg(F.count("*").alias("labels"), F.sum("n").alias("size"), F.max_by("label", F.struct("n", "label")).alias("main")).filter("labels > 1").select("key", "size", "main"), "mixed"
+    own_label = labels.select(F.col("id").alias("rep"), "label")
+    marked = members.select("key", "rep", "low").join(own_label, "rep", "left").select("key", "rep", "low", F.coalesce("label", "rep").alias("label"))
+    shares = scratch.write(marked.groupBy("key", "label").agg(F.count("*").alias("n")), "shares")
+    main = F.max_by("label", F.struct("n", "label")).alias("main")
+    mixed = scratch.write(
+        shares.groupBy("key").agg(F.count("*").alias("labels"), F.sum("n").alias("size"), main).filter("labels > 1").select("key", "size", "main"), "mixed"
     )
     if not mixed.isEmpty():
-        left = materialise(marked.join(mixed, "key"), "left")
-        sizes = shared_sizes(some.join(left.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")).join(reps.select(F.col("rep").alias("id"), "n"), "id")
+        left = scratch.write(marked.join(mixed, "key"), "left")
+        asked = some.join(left.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+        sizes = shared_sizes(asked, blobs.bucket_count(some, "text")).join(reps.select(F.col("rep").alias("id"), "n"), "id")
         able = left.join(sizes.filter(f"100 * shared >= {PERCENT} * n").select(F.col("id").alias("rep"), "shared", "n"), "rep")
         bits = compared.filter("bits is not null").select(F.col("x").alias("low"), F.col("y").alias("rep"), "bits")
         count = F.aggregate("bits", F.lit(0).cast("bigint"), lambda n, b: n + F.bit_count(b))
         # shared - inside: shingles outside the hub that some other candidate has.
-        able = materialise(able.join(bits, ["low", "rep"], "left").withColumn("outside", F.col("shared") - count), "able")
-
-        def side(name: str, rows: DataFrame, *more: str) -> DataFrame:
-            return rows.select("key", F.col("rep").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("label", "shared", "n", "bits", "outside")), *more)
-
-        both = F.aggregate(F.zip_with("bits_x", "bits_y", lambda a, b: F.bit_count(a.bitwiseAND(b))), F.lit(0).cast("bigint"), lambda n, b: n + b)
-        enough = lambda most: (100 + PERCENT) * most >= PERCENT * (F.col("n_x") + F.col("n_y"))
-        minor, other = side("x", able.filter("label != main")), side("y", able, "main", "size").withColumnRenamed("key", "k")
+        able = scratch.write(able.join(bits, ["low", "rep"], "left").withColumn("outside", F.col("shared") - count), "able")
         cross = (
-            minor.join(
-                other,
-                (F.col("key") == F.col("k"))
-                & F.expr("label_x != label_y and (label_y = main or x < y)")
-                & enough(F.least("shared_x", "shared_y"))
-                & F.coalesce(enough(both + F.least("outside_x", "outside_y")), F.lit(True)),
-            )
-            .groupBy("x", "y").agg(F.max("size").alias("size"))
+            cross_pairs(able)
             .join(tested.select("x", "y"), ["x", "y"], "left_anti")
             .join(tested.select(F.col("y").alias("x"), F.col("x").alias("y")), ["x", "y"], "left_anti")
         )
-        more = materialise(verified(materialise(estimated(cross, reps), "estimated"), some).filter("linked").select("x", "y"), "links")
+        more = scratch.write(verified(scratch.write(estimated(cross, reps), "estimated"), some).filter("linked").select("x", "y"), "links")
         if not more.isEmpty():
-            labels = components(more, labels)
+            labels = components(more, scratch, labels)
 
     named = inside.select("id", "n", "digest").join(reps.select("digest", "rep"), "digest").join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left")
     lone = described.filter("id is null or digest is null").select("id", "n", F.col("id").alias("component"))
-    return (
-        named.select("id", "n", F.coalesce("label", "rep").alias("component")).unionByName(lone)
-        .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
-    )
+    found = named.select("id", "n", F.coalesce("label", "rep").alias("component")).unionByName(lone)
+    kept = F.col("id").eqNullSafe(F.col("component")).alias("kept")
+    return scratch.finish(found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept), "components")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, with all columns of ``docs``."""
-    gone = near_duplicates(docs, id_col, text_col).filter("not kept").select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    """One document of each component, with all columns of ``docs`` whatever their names.
+
+    Rows without an id, without words or alone stay; rows that repeat an id stay or go
+    together.
+    """
+    own = numbered_columns(docs)
+    key, text = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
+    gone = near_duplicates(own, key, text).filter("not kept").select(F.col(key).alias("gone")).distinct()
+    return named_again(without_keys(own, gone, F.col(key).cast("bigint"), "gone", Scratch(docs.sparkSession)), docs.columns)
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,22 +30,27 @@ WINDOW = 20
 #: A perfect difference set: each residue but 0 is the difference of one pair.
 PERIOD, COVER = 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
-#: Rows without an id count as one document after all others.
-LAST = (1 << 63) - 1
 
 _IS_COVER = np.isin(np.arange(PERIOD), COVER)
 _RECORD = np.dtype([("start", "<u4"), ("check", "<u4")])
 
 
-def words_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(word hashes, first word of each document)."""
-    starts, ends, first = word_spans(data, offs, WHITE_SPACE)
-    return span_hashes(data, starts, ends), first
+class Words:
+    """Word hashes of a piece of a batch, and windows of them."""
 
+    def __init__(self, data: np.ndarray, offs: np.ndarray) -> None:
+        self.data = data
+        self.starts, self.ends, self.first = word_spans(data, offs, WHITE_SPACE)
+        self.hashes = span_hashes(data, self.starts, self.ends)
+        self.lengths = np.diff(self.first)
+        self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
 
-def checks(words: np.ndarray) -> np.ndarray:
-    """32 further bits of each window's hash."""
-    return (window_hashes(words, WINDOW, 2) >> np.uint64(32)).astype(np.uint32)
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def checks(self) -> np.ndarray:
+        """32 further bits of each window, from word hashes of their own."""
+        return (window_hashes(span_hashes(self.data, self.starts, self.ends, 2), WINDOW, 2) >> np.uint64(32)).astype(np.uint32)
 
 
 def find_anchors(keyed: DataFrame, buckets: int) -> DataFrame:
@@ -68,16 +73,16 @@ def find_anchors(keyed: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = ([], [], []), 0
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            ids, shift = blobs.places(batch)
             data, offs = text_bytes(batch.column(1))
             for i, j in pieces(offs):
-                words, first = words_of(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                lengths = np.diff(first)
-                doc = np.repeat(np.arange(j - i), lengths)
-                pos = np.arange(len(words)) - first[doc]
+                words = Words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                doc, lengths = words.doc, words.lengths
+                pos = np.arange(len(words)) - words.first[doc]
                 use = np.flatnonzero(_IS_COVER[pos % PERIOD] & (pos + ANCHOR <= lengths[doc]) & (lengths[doc] >= WINDOW))
                 if len(use):
-                    for into, x in zip(held, (window_hashes(words, ANCHOR)[use], ids[i:j][doc[use]], pos[use].astype(np.uint32))):
+                    own = i + doc[use]
+                    for into, x in zip(held, (window_hashes(words.hashes, ANCHOR)[use], ids[own], pos[use].astype(np.uint32) + shift[own])):
                         into.append(x)
                     size += len(use)
                 if size >= blobs.FLUSH:
@@ -116,25 +121,27 @@ def extend(marked: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = ([], [], [], []), 0
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            ids, shift = blobs.places(batch)
             data, offs = text_bytes(batch.column(1))
-            marks = batch.column(2)
+            marks = batch.column(3)
             for i, j in pieces(offs):
-                words, first = words_of(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                words = Words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                first = words.first
                 hit = np.zeros(len(words) + 1, np.int32)
                 for k in range(i, j):
-                    own = np.frombuffer(marks[k].as_py(), "<u4").astype(np.int64)
+                    own = blobs.own_places(np.frombuffer(marks[k].as_py(), "<u4"), shift[k]).astype(np.int64)
                     # An id that other texts share may bring marks beyond this text.
                     own = own[own < first[k - i + 1] - first[k - i]] + first[k - i]
                     hit[own + 1] = 1
                 seen = np.cumsum(hit)
                 if len(words) < WINDOW:
                     continue
-                doc = np.repeat(np.arange(j - i), np.diff(first))
+                doc = words.doc
                 begin = np.arange(len(words) - WINDOW + 1)
                 use = begin[(doc[: len(begin)] == doc[WINDOW - 1 :]) & (seen[begin + PERIOD] > seen[begin])]
                 if len(use):
-                    for into, x in zip(held, (window_hashes(words, WINDOW)[use], checks(words)[use], ids[i:j][doc[use]], (use - first[doc[use]]).astype(np.uint32))):
+                    own, at = i + doc[use], (use - first[doc[use]]).astype(np.uint32)
+                    for into, x in zip(held, (window_hashes(words.hashes, WINDOW)[use], words.checks()[use], ids[own], at + shift[own])):
                         into.append(x)
                     size += len(use)
                 if size >= blobs.FLUSH:
@@ -174,21 +181,25 @@ def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
     earlier; an id with several texts has each judged by itself. Rows without an id
     count as one document after all others. Other columns are ignored.
 
-    Windows are told apart by 96 bits of hash, a mark applies only to a window with
-    the same check bits.
+    An empty table gives no rows; a very long text is one document like any other and
+    bounds the memory of its task.
+
+    Windows are told apart by 64 and 32 bits of two independent hashes; a mark applies
+    only to a window with the same check bits.
     """
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    buckets = blobs.bucket_count(docs)
+    keyed = blobs.keyed(docs, id_col, text_col)
+    buckets = blobs.bucket_count(docs, text_col)
 
-    anchors = blobs.settle_buckets(find_anchors(keyed, buckets), repeated_anchors, ["<u4", "<u1", "<i8", "<u4"], "<u4")
-    candidates = keyed.join(anchors, "id").select("id", "text", F.col("blob").alias("marks"))
-    later = blobs.settle_buckets(extend(candidates, buckets), later_windows, ["<u8", "<u4", "<i8", "<u4"], _RECORD)
+    anchors = blobs.settle_buckets(find_anchors(keyed, buckets), repeated_anchors, ["<u4", "<u1", "<i8", "<u4"], "<u4", buckets)
+    candidates = keyed.join(anchors, "id").select("id", "text", "missing", F.col("blob").alias("marks"))
+    later = blobs.settle_buckets(extend(candidates, buckets), later_windows, ["<u8", "<u4", "<i8", "<u4"], _RECORD, buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span_type = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
         for batch in batches:
+            _, shift = blobs.places(batch)
             data, offs = text_bytes(batch.column(1))
-            marks = batch.column(2)
+            marks = batch.column(3)
             for i, j in pieces(offs):
                 total, removed, spans, kept = [], [], [], []
                 for k in range(i, j):
@@ -196,8 +207,8 @@ def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
                     own: list[tuple[int, int]] = []
                     if marks[k].is_valid and len(words) >= WINDOW:
                         mine = np.frombuffer(marks[k].as_py(), _RECORD)
-                        hashes, _ = words_of(data[offs[k] : offs[k + 1]], np.array([0, offs[k + 1] - offs[k]]))
-                        check = checks(hashes)
+                        check = Words(data[offs[k] : offs[k + 1]], np.array([0, offs[k + 1] - offs[k]])).checks()
+                        mine = records(blobs.own_places(mine["start"], shift[k]), mine["check"][blobs.is_own(mine["start"], shift[k])])
                         mine = mine[mine["start"] < len(check)]
                         start = np.unique(mine["start"][check[mine["start"]] == mine["check"]]).astype(np.int64)
                         if len(start):
@@ -210,13 +221,14 @@ def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
                         del words[a:b]
                     kept.append(b" ".join(words).decode())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span_type), pa.array(kept, pa.string())],
-                    ["id", "n_words", "n_removed", "spans", "kept_text"],
+                    [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span_type), pa.array(kept, pa.string())],
+                    ["id", "missing", "n_words", "n_removed", "spans", "kept_text"],
                 )
 
-    out = keyed.join(later, "id", "left").select("id", "text", F.col("blob").alias("marks"))
-    return out.mapInArrow(run, "id bigint, n_words bigint, n_removed bigint, spans array<struct<first:int,last:int>>, kept_text string").select(
-        F.when(F.col("id") != LAST, F.col("id")).alias(id_col), "n_words", "n_removed", "spans", "kept_text"
+    out = keyed.join(later, "id", "left").select("id", "text", "missing", F.col("blob").alias("marks"))
+    schema = "id bigint, missing boolean, n_words bigint, n_removed bigint, spans array<struct<first:int,last:int>>, kept_text string"
+    return out.mapInArrow(run, schema).select(
+        F.when(~F.col("missing"), F.col("id")).alias(id_col), "n_words", "n_removed", "spans", "kept_text"
     )
 
 

@@ -1,12 +1,15 @@
 """Vectorised scans of Arrow text columns: word spans, word hashes, window hashes.
 
-Everything works on the UTF-8 bytes of many documents at once. Hashes are
-polynomials modulo 2**64 over per-byte random constants, so the hash of any span is
-a difference of prefix sums; ``mix`` then spreads the bits.
+Everything works on the UTF-8 bytes of many documents at once. Words are hashed eight
+bytes at a time and windows of words by doubling, each step through ``mix``: unlike a
+polynomial modulo 2**64 this has no fixed patterns that always collide. Hashes of
+different seeds are independent. ``powers`` serves rolling hashes only, which choose
+places and never decide that texts are equal.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +19,15 @@ import pyarrow.compute as pc
 #: Bytes of text handled at once; a longer document is handled alone.
 CHUNK_BYTES = 1 << 20
 
+#: Longer spans are hashed by a library.
+LANES = 32
+
 _U = np.uint64
+_MAX = (1 << 64) - 1
+_SEED = 0xA0761D6478BD642F
+_JOIN = _U(0xE7037ED1A0B428DB)
+#: Masks that keep the first 0 to 8 bytes of a lane.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = np.random.default_rng(20240125).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
@@ -52,7 +63,7 @@ def powers(n: int, base: int = _BASE) -> np.ndarray:
         made = np.full(max(n, 1 << 16), base, np.uint64)
         made[0] = 1
         have = np.multiply.accumulate(made)
-        if len(have) <= 2 * CHUNK_BYTES:
+        if len(have) <= CHUNK_BYTES + 1:
             _powers[base] = have
     return have[:n]
 
@@ -99,22 +110,47 @@ def word_spans(data: np.ndarray, offs: np.ndarray, sep: np.ndarray) -> tuple[np.
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
+    """64-bit hashes of the byte spans.
+
+    Spans of one length up to eight bytes never collide: each step is a bijection of
+    the lane it takes in.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * powers(len(data)), out=sums[1:])
-    inverse = powers(len(data), _INVERSE)
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.lib.stride_tricks.as_strided(padded, (len(data) + 1, 8), (1, 1))
+    size = ends - starts
+    out = mix(size.astype(np.uint64) + _U(seed * _SEED & _MAX))
+    live = np.arange(len(starts))
+    for at in range(0, LANES, 8):
+        live = live[size[live] > at] if at else np.flatnonzero(size > 0)
+        if not len(live):
+            break
+        lane = lanes[starts[live] + at].view(np.uint64).ravel() & _KEEP[np.minimum(size[live] - at, 8)]
+        out[live] = mix(out[live] ^ lane)
+    for k in np.flatnonzero(size > LANES).tolist():
+        digest = hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8, person=seed.to_bytes(8, "little"))
+        out[k] = int.from_bytes(digest.digest(), "little")
+    return out
 
 
 def window_hashes(items: np.ndarray, width: int, seed: int = 1) -> np.ndarray:
-    """Hashes of every ``width`` consecutive items; one for each possible start."""
+    """Hashes of every ``width`` consecutive items; one for each possible start.
+
+    Hashes of 1, 2, 4 ... items are made from two of half the width, and the powers of
+    two that make up the width are joined.
+    """
     n = len(items)
     if n < width:
         return np.zeros(0, np.uint64)
-    own = mix(items + _U(seed * 0xA0761D6478BD642F & (1 << 64) - 1))
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(own * powers(n), out=sums[1:])
-    return mix((sums[width:] - sums[:-width]) * powers(n, _INVERSE)[: n - width + 1] + _U(width))
+    block, size = mix(items + _U(seed * _SEED & _MAX)), 1
+    out, done = None, 0
+    while True:
+        if width & size:
+            many = n - done - size + 1
+            out = block if out is None else mix(out[:many] * _JOIN + block[done : done + many])
+            done += size
+        if done == width:
+            return mix(out + _U(width))
+        block, size = mix(block[:-size] * _JOIN + block[size:]), 2 * size

@@ -5,8 +5,10 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from rivulet.llm import near_dedup as nd
+from test_substring_dedup import twins
 
 
 def shingle_set(text):
@@ -84,8 +86,8 @@ def test_registers_estimate_similarity():
     for share in (0.0, 0.5, 0.8, 0.95):
         found = []
         for n in (30, 400, 5000):
-            both = rnd.integers(1, 1 << 63, int(n * share), dtype=np.uint64)
-            a, b = (np.unique(np.concatenate([both, rnd.integers(1, 1 << 63, n - len(both), dtype=np.uint64)])) for _ in range(2))
+            both = rnd.integers(1, (1 << 64) - 1, int(n * share), dtype=np.uint64)
+            a, b = (np.unique(np.concatenate([both, rnd.integers(1, (1 << 64) - 1, n - len(both), dtype=np.uint64)])) for _ in range(2))
             true = len(both) / (2 * n - len(both))
             r = nd.sketches([a, b])
             n_ab = np.array([n])
@@ -97,3 +99,23 @@ def test_equal_sets_have_equal_registers_and_empty_sets_none():
     s = np.array([3, 1 << 40, 1 << 63], np.uint64)
     r = nd.sketches([s, np.zeros(0, np.uint64), s, s[:1]])
     assert (r[0] == r[2]).all() and not r[1].any() and len(set(r[3])) == 1
+
+
+@pytest.mark.parametrize("size", [1024, 4096])
+def test_words_of_a_fixed_pattern_do_not_link(spark, size):
+    docs = [(k, f"one two three {t}") for k, t in enumerate(twins(size))]
+    assert {r.component_id for r in nd.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()} == {0, 1}
+
+
+def test_crowded_buckets_of_unlike_members_match_brute_force(spark, monkeypatch):
+    """Families with one large common part, just under and over the threshold, dealt by salt."""
+    monkeypatch.setattr(nd, "SALT", 7)
+    monkeypatch.setattr(nd, "GROUP", 5)
+    rnd, rows = random.Random(8), []
+    for family in range(3):
+        common = [f"c{family}x{i}" for i in range(60)]
+        for k in range(50):
+            own = [f"u{family}y{k if rnd.random() < 0.7 else k % 4}z{i}" for i in range(rnd.randint(3, 14))]
+            rows.append((len(rows), " ".join(common + own)))
+    got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute(rows)

@@ -3,6 +3,8 @@
 import random
 import re
 
+import pytest
+
 from rivulet.llm import blobs, substring_dedup
 from rivulet.llm.substring_dedup import COVER, PERIOD, drop_repeated_windows
 
@@ -60,7 +62,26 @@ def test_missing_and_repeated_ids_and_clashing_columns(spark):
 
 
 def test_anchor_records_only_at_cover_positions(spark):
-    df = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(40)))], "id bigint, text string")
+    df = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(40)))], "id bigint, text string").selectExpr("*", "false AS missing")
     rows = substring_dedup.find_anchors(df, 4).collect()
     *_, p = blobs.unpack([bytes(r.blob) for r in rows if not r.marks], ["<u4", "<u1", "<i8", "<u4"])
     assert sorted(p) == [i for i in range(33) if i % PERIOD in COVER]
+
+
+def twins(size):
+    """Two different words that polynomial hashes modulo 2**64 cannot tell apart."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(size))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("size", [1024, 4096])
+def test_words_of_a_fixed_pattern_do_not_collide(spark, size):
+    words = [f"w{i}" for i in range(19)]
+    docs = [(k, " ".join([*words, t])) for k, t in enumerate(twins(size))]
+    assert [r.n_removed for r in drop_repeated_windows(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()] == [0, 0]
+
+
+def test_the_largest_id_is_not_the_missing_one(spark):
+    last, text = (1 << 63) - 1, " ".join(f"w{i}" for i in range(25))
+    rows = drop_repeated_windows(spark.createDataFrame([(last, text), (None, text)], "doc_id bigint, text string")).collect()
+    assert {(r.doc_id, r.n_removed) for r in rows} == {(last, 0), (None, 25)}
