@@ -8,9 +8,10 @@ levels of sorted runs:
 * *compact*: runs are merged into one level that holds, for each digest, the
   smallest identifier and the number of rows. Counting combines on the map side, so
   a digest that a third of all rows share reaches the merge as one row a task.
-* *lookup*: rows get the smallest identifier of their digest. Rows of digests that
-  more than one row has are *hits*; their texts are fetched again and compared byte
-  by byte. A digest that stands for several texts is split by text.
+* *lookup*: rows get the smallest identifier of their digest. A filter of the digests
+  that more than one row has picks the *hits*, whose texts alone are shuffled and
+  compared byte by byte. A digest that stands for several texts is split by text.
+  A few digests of new texts are found through the Bloom filters of the files.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm.storage import documents, fresh_path
+from rivulet.llm.filters import KeyFilter
+from rivulet.llm.storage import Scratch, documents, join_counted, named_again, numbered_columns
 
 #: Fixed by the contract: runs of these bytes count as one space.
 WHITE_SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -73,6 +75,11 @@ class DigestIndex:
         )
         return self.read(path)
 
+    def find(self, digests: list[bytes]) -> DataFrame:
+        """(digest, id, n) of those of a few digests that the last level holds; Parquet
+        skips files and row groups by statistics and Bloom filters."""
+        return self.read(f"{self.path}/level={self.level}").filter(F.col("digest").isin(digests))
+
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """Decide for every row which row of its group of equal texts stays.
@@ -82,55 +89,46 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     empty text, and empty texts are equal. Rows that repeat an id and its text share
     one decision and all count in group_size. A row without an id never stays while
     the group has an id; a group without any has keep_id null and stays. Other
-    columns, whatever their names, are ignored. An empty table gives no rows.
+    columns, whatever their names, are ignored. An empty table gives no rows; a very
+    long text is one row like any other. ``path`` keeps the index for later use.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    index = DigestIndex(spark, path or fresh_path(spark, "digest-index"))
-    flushed = index.flush(
-        rows.select(F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest"), "id", F.lit(1).cast("bigint").alias("n"))
-    )
-    level = index.compact().select("digest", F.col("id").alias("keep_id"), F.col("n").alias("group_size"))
-    found = index.read(flushed).select("digest", "id").join(level, "digest")
-
-    hits = found.filter("group_size > 1 and id is not null").select("id", "digest")
-    texts = rows.filter("id is not null").select("id", "text")
-
-    def with_text(some: DataFrame) -> DataFrame:
-        # An id that is repeated with different texts brings them all: keep the pair that fits.
-        return (
-            some.dropDuplicates()
-            .join(texts, "id")
-            .select("id", "digest", normalised(F.col("text")).alias("norm"))
-            .filter(F.col("digest") == F.unhex(F.sha2(F.col("norm"), 256)))
-        )
-
-    classes = with_text(hits).groupBy("digest", "norm").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
-    collided = classes.groupBy("digest").agg(F.count("*").alias("texts")).filter("texts > 1").select("digest")
-    split = (
-        with_text(hits.join(collided, "digest", "left_semi"))
-        .join(classes, ["digest", "norm"])
-        .select("digest", "id", "class_id", "class_size")
-        .distinct()
-    )
-    return (
-        found.join(split, ["digest", "id"], "left")
-        .select(
-            F.col("id").alias(id_col),
-            F.coalesce("class_id", "keep_id").alias("keep_id"),
-            F.coalesce("class_size", "group_size").alias("group_size"),
-            F.lower(F.hex("digest")).alias("text_sha256"),
-        )
-        .withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")))
-        .select(id_col, "keep_id", "group_size", "kept", "text_sha256")
-    )
+    scratch = Scratch(spark)
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), normalised(F.col(text_col)).alias("norm")).withColumn("digest", F.unhex(F.sha2("norm", 256)))
+    index = DigestIndex(spark, path or scratch.path("digest-index"))
+    flushed = index.read(index.flush(rows.select("digest", "id", F.lit(1).cast("bigint").alias("n"))))
+    repeated = index.compact().filter("n > 1").select("digest", F.col("id").alias("keep_id"), F.col("n").alias("group_size"))
+    found = join_counted(flushed.select("digest", "id"), repeated, "digest", "group_size", flushed.count())
+    # A digest that one row has keeps that row.
+    found = found.select("digest", "id", F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("bigint")).alias("group_size"))
+
+    # Hits: texts whose digest the level's filter knows as repeated meet by their bytes.
+    hits = KeyFilter(repeated, "digest", scratch).mark(rows, F.col("digest"), "hit").filter("hit")
+    classes = hits.groupBy("digest", "norm").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
+    collided = scratch.write(classes.groupBy("digest").agg(F.count("*").alias("texts")).filter("texts > 1").select("digest"), "collided")
+    if not collided.isEmpty():
+        split = rows.join(collided, "digest", "left_semi").join(classes, ["digest", "norm"]).select(*found.columns)
+        found = found.join(collided, "digest", "left_anti").unionByName(split)
+    kept = F.col("id").eqNullSafe(F.col("keep_id")).alias("kept")
+    return scratch.finish(found.select(F.col("id").alias(id_col), "keep_id", "group_size", kept, F.lower(F.hex("digest")).alias("text_sha256")), "decisions")
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    gone = exact_duplicates(docs, id_col, text_col).filter("not kept").select(F.col(id_col).alias("__gone"), F.col("text_sha256").alias("__digest"))
-    digest = F.lower(F.hex(F.unhex(F.sha2(normalised(F.col(text_col)), 256))))
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")) & (digest == F.col("__digest")), "left_anti")
+    """The rows of ``docs`` that stay, with all their columns whatever their names.
+
+    Rows that repeat an id and a text stay together; so do rows without an id whose
+    group has none.
+    """
+    own = numbered_columns(docs)
+    key, text = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
+    decided = exact_duplicates(own, key, text).filter("not kept")
+    gone = decided.select(F.col(key).alias("gone"), F.col("text_sha256").alias("digest")).distinct()
+    # Ids alone pass most rows; what is left is told by id and digest, since an id may be repeated with other texts.
+    ids = KeyFilter(gone.select(F.coalesce(F.col("gone"), F.lit(-1)).alias("gone")), "gone", Scratch(docs.sparkSession))
+    marked = ids.mark(own, F.coalesce(F.col(key).cast("bigint"), F.lit(-1)), "maybe")
+    asked = marked.filter("maybe").withColumn("sha", F.sha2(normalised(F.col(text)), 256))
+    left = asked.join(gone, asked[key].cast("bigint").eqNullSafe(gone["gone"]) & (asked["sha"] == gone["digest"]), "left_anti").drop("sha")
+    return named_again(marked.filter("not maybe").unionByName(left), docs.columns)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

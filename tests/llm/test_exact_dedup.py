@@ -3,8 +3,12 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
+from rivulet.llm import exact_dedup
 from rivulet.llm.exact_dedup import DigestIndex, drop_exact_duplicates, exact_duplicates
-from rivulet.llm.storage import fresh_path
+from rivulet.llm.filters import KeyFilter, with_keys, without_keys
+from rivulet.llm.storage import Scratch, fresh_path, join_counted
 
 SCHEMA = "doc_id bigint, text string, keep_id string"
 
@@ -44,5 +48,36 @@ def test_compaction_merges_flushes_and_keeps_the_smallest(spark):
         index.flush(spark.createDataFrame([(bytes([i % 2]), i, 1) for i in ids], DigestIndex.SCHEMA))
     first = sorted(map(tuple, index.compact().collect()))
     assert first == [(b"\0", 2, 2), (b"\1", 7, 3)]
+    assert [tuple(r) for r in index.find([b"\1", b"\7"]).collect()] == [(b"\1", 7, 3)]
     index.flush(spark.createDataFrame([(b"\1", 1, 1)], DigestIndex.SCHEMA))
     assert sorted(map(tuple, index.compact().collect())) == [(b"\0", 2, 2), (b"\1", 1, 4)]
+
+
+def test_a_shared_digest_is_split_by_text(spark, monkeypatch):
+    """Digests cut to a few bits stand for several texts; bytes tell them apart."""
+    real = exact_dedup.F.sha2
+    monkeypatch.setattr(exact_dedup.F, "sha2", lambda c, n: exact_dedup.F.rpad(exact_dedup.F.substring(real(c, n), 1, 1), 64, "0"))
+    rows = [(i, f"text {i % 40}", "") for i in range(90)] + [(None, "text 3", ""), (None, "text 90", "")]
+    got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {r[:4] for r in brute(rows)}
+
+
+def test_filters_hold_every_key_and_few_others(spark):
+    scratch = Scratch(spark)
+    keys = spark.createDataFrame([(i,) for i in [*range(0, 4000, 2), None]], "k bigint")
+    found = KeyFilter(keys, "k", scratch).mark(spark.range(4000), F.col("id"), "hit").collect()
+    assert all(r.hit for r in found if r.id % 2 == 0) and sum(r.hit for r in found if r.id % 2) < 20
+    none = KeyFilter(keys.limit(0), "k", scratch)
+    assert none.mark(spark.range(9), F.col("id"), "hit").filter("hit").count() == 0
+    wanted = spark.createDataFrame([(3,), (5,)], "w bigint")
+    assert sorted(r.id for r in with_keys(spark.range(9), wanted, F.col("id"), "w", scratch).collect()) == [3, 5]
+    assert sorted(r.id for r in without_keys(spark.range(5), wanted, F.col("id"), "w", scratch).collect()) == [0, 1, 2, 4]
+    scratch.release()
+
+
+def test_a_hot_key_is_broadcast(spark):
+    rows = spark.createDataFrame([(i % 3 if i < 60 else i, i) for i in range(2100)], "k bigint, v bigint")
+    keyed = spark.createDataFrame([(0, 20, "a"), (1, 20, "b"), (70, 1, "c")], "k bigint, n bigint, x string")
+    joined = join_counted(rows, keyed, "k", "n", 2100)
+    assert sorted((r.v, r.x) for r in joined.collect() if r.x) == sorted((i, "ab"[i % 3]) for i in range(60) if i % 3 < 2) + [(70, "c")]
+    assert joined.count() == 2100
