@@ -1,10 +1,10 @@
 """Token counts through a digest cache.
 
-Texts are normalised as the tokenizer itself normalises them and named by the digest
-of the result; a second digest names the tokenizer's version (the bytes of its file
-and the options that change counts). Counts already stored for both digests are
-joined in; only distinct texts without one are encoded, and their counts are appended
-to the cache, a Parquet table in a shared folder.
+Texts are normalised as the tokenizer itself normalises them (a byte-level one leaves
+them as they are) and named by the digest of the result; a second digest names the
+tokenizer's version (the bytes of its file and the options that change counts). Counts
+already stored for both digests are joined in; only distinct texts without one are
+encoded, and their counts are appended to the cache, a Parquet table in a shared folder.
 """
 
 from __future__ import annotations
@@ -18,9 +18,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm.storage import documents, fresh_path
+from rivulet.llm.filters import KeyFilter
+from rivulet.llm.storage import Scratch, documents, fresh_path, join_counted
 from rivulet.llm.textscan import pieces, text_bytes
-from rivulet.llm.tokenizers import MARKS, Memo, piece_pattern, split_words, vocabulary_path
+from rivulet.llm.tokenizers import MARKS, WORD_BYTES, Memo, piece_pattern, split_words, vocabulary_path
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Token counts above this are flagged; fixed by the contract.
@@ -58,10 +59,18 @@ class LibraryCounter:
         )
         special = sorted((a["content"] for a in added), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
+        self.normalises = made.get("normalizer") is not None
         self.find = piece_pattern().findall
         self.of_piece = Memo(self._ask)
         self.of_part = Memo(lambda part: sum(map(self.of_piece.__getitem__, self.find(part))))
-        self.of_spaced = Memo(self._spaced)
+        self.of_spaced = Memo(self._spaced, WORD_BYTES)
+
+    def normalised(self, text: str) -> str:
+        """What decides a text's count: the text as the tokenizer's normaliser leaves it.
+        A text with special strings, which are found before that, stands for itself."""
+        if self.special is not None and self.special.search(text):
+            return f"special {text}"
+        return f"plain {self.library.normalizer.normalize_str(text)}"
 
     def _ask(self, piece: str) -> int:
         return len(self.library.encode(piece, add_special_tokens=False).ids)
@@ -94,6 +103,11 @@ class SentencePieceCounter:
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
 
+    normalises = True
+
+    def normalised(self, text: str) -> str:
+        return self.library.normalize(text)
+
     def count(self, text: str) -> int:
         return len(self.library.encode(text, num_threads=1))
 
@@ -160,27 +174,57 @@ def token_counts(
     """(id, n_bytes, n_tokens) for every row.
 
     A null text counts as empty (0 bytes, 0 tokens). Repeated rows each get a row; a
-    text that occurs often is encoded once. The version digest is part of the key, so
-    one cache serves several tokenizers. ``cache_path`` names a cache to use and to
-    extend; without one a new cache is made for this call. Other columns are ignored.
+    text that occurs often is encoded once, and its rows meet its count by broadcast. The
+    version digest is part of the key, so one cache serves several tokenizers.
+    ``cache_path`` names a cache to use and to extend; without one a new cache is made
+    for this call. Other columns are ignored. An empty table gives no rows; a very long
+    text bounds the memory of its task.
     """
     spark = docs.sparkSession
+    scratch = Scratch(spark)
     version = tokenizer_version(vocabulary_path(vocabulary, folder))
     cache = CountCache(spark, cache_path or fresh_path(spark, "token-counts"))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("content", F.unhex(F.sha2("text", 256)))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = named_texts(rows, vocabulary, folder)
+    digests = scratch.write(rows.select("id", "content", F.octet_length("text").cast("bigint").alias("n_bytes")), "digests")
     missing = rows.select("content", "text")
     if cache.exists():
-        missing = missing.join(cache.read(version), "content", "left_anti")
+        known = KeyFilter(cache.read(version), "content", scratch).mark(missing, F.col("content"), "maybe")
+        asked = known.filter("maybe").drop("maybe").join(cache.read(version), "content", "left_anti")
+        missing = known.filter("not maybe").drop("maybe").unionByName(asked)
     # One text for each digest: copies meet on the map side first.
     distinct = missing.groupBy("content").agg(F.first("text").alias("text"))
     cache.append(count_texts(distinct, vocabulary, folder), version)
-    return (
-        rows.select("id", "content", F.octet_length("text").cast("bigint").alias("n_bytes"))
-        .join(cache.read(version), "content")
-        .select(F.col("id").alias(id_col), "n_bytes", "n_tokens")
-    )
+    sizes = digests.groupBy("content").agg(F.count("*").alias("rows")).join(cache.read(version), "content")
+    found = join_counted(digests, sizes, "content", "rows", digests.count())
+    return scratch.finish(found.select(F.col("id").alias(id_col), "n_bytes", "n_tokens"), "counts")
+
+
+def named_texts(rows: DataFrame, vocabulary: str, folder: str | None) -> DataFrame:
+    """(id, text, content) rows: content is the digest of the normalised text."""
+    if not counter(vocabulary_path(vocabulary, folder)).normalises:
+        return rows.withColumn("content", F.unhex(F.sha2("text", 256)))
+    types = dict(rows.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = counter(vocabulary_path(vocabulary, folder))
+        for batch in batches:
+            digests = [hashlib.sha256(own.normalised(t).encode()).digest() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], ["id", "text", "content"])
+
+    return rows.select("id", "text").mapInArrow(run, f"id {types['id']}, text string, content binary")
+
+
+#: Batches in which the registered query counts: the second finds texts of the first stored.
+BATCHES = 2
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Byte and token counts of every document, flagged above the limit."""
-    return token_counts(documents(spark, sf_dir)).withColumn("over_limit", F.col("n_tokens") > LIMIT)
+    """Byte and token counts of every document, flagged above the limit.
+
+    The table is counted in batches that share one cache, as a growing corpus is.
+    """
+    docs, path = documents(spark, sf_dir), fresh_path(spark, "token-counts")
+    batch = F.pmod(F.xxhash64("doc_id"), F.lit(BATCHES))
+    parts = [token_counts(docs.filter(batch == k), cache_path=path) for k in range(BATCHES)]
+    return functools.reduce(DataFrame.unionByName, parts).withColumn("over_limit", F.col("n_tokens") > LIMIT)

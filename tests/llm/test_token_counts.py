@@ -53,3 +53,14 @@ def test_a_cache_is_used_and_extended(spark, monkeypatch):
     version = tc.tokenizer_version(vocabulary_path(tc.VOCABULARY))
     assert tc.CountCache(spark, path).read(version).count() == 3
     assert tc.CountCache(spark, path).read("another version").count() == 0
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "piece_bpe_32k.model"])
+def test_texts_that_normalise_alike_are_encoded_once(spark, monkeypatch, name):
+    own = tc.counter(vocabulary_path(name))
+    rows = [(i, t) for i, t in enumerate(["Cafe\u0301 x", "Caf\u00e9 x", "two", "two <s>", "two </s> \uff1cs\uff1e", None, ""])]
+    seen, real = [], tc.count_texts
+    monkeypatch.setattr(tc, "count_texts", lambda texts, *a: seen.append(texts.count()) or real(texts, *a))
+    got = tc.token_counts(spark.createDataFrame(rows, "doc_id bigint, text string"), vocabulary=name).collect()
+    assert {r.doc_id: r.n_tokens for r in got} == {i: own.count(t or "") for i, t in rows}
+    assert seen == [len({own.normalised(t or "") if own.normalises else t or "" for _, t in rows})]
