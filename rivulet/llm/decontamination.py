@@ -17,35 +17,57 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm.storage import documents
+from rivulet.llm.storage import Scratch, documents, numbered_columns
 from rivulet.llm.textscan import LOWER, pieces, separators, span_hashes, text_bytes, window_hashes, word_spans
 
 #: Fixed by the contract: bytes outside words once A-Z are lower-cased.
 SEPARATORS = separators((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
 WINDOW = 10
-#: Most benchmark words that one broadcast set may hold (about 100 bytes each). A
-#: larger benchmark is scanned in blocks of whole items under this bound.
+#: Most benchmark words that one broadcast set may hold (about 50 bytes each, the words
+#: included). A larger benchmark is scanned in blocks of whole items under this bound.
 BLOCK_WORDS = 1_000_000
 
 
 class WindowSet:
-    """Hash set of item windows by length, with the words for verification."""
+    """Hash set of item windows by length, with the words for verification.
+
+    All is held in flat arrays: the words of all items with one space between, where
+    each word stands, and for each length the sorted hashes of its windows with the
+    number of their first word. A window of an item is then one slice of the words.
+    """
 
     def __init__(self, items: list[tuple[str, str]], width: int = WINDOW) -> None:
-        self.windows: dict[int, dict[int, dict[bytes, set[str]]]] = {}
-        hashes = []
-        for item, text in items:
+        self.items = [item for item, _ in items]
+        words, hashes, sizes = [], [], []
+        for _, text in items:
             data = LOWER[np.frombuffer(text.encode(), np.uint8)]
             starts, ends, _ = word_spans(data, np.array([0, len(data)]), SEPARATORS)
-            own = span_hashes(data, starts, ends)
+            hashes.append(span_hashes(data, starts, ends))
             raw = data.tobytes()
-            words = [raw[a:b] for a, b in zip(starts, ends)]
-            hashes.append(own)
-            size = min(width, len(words))
-            for i, h in enumerate(window_hashes(own, size) if size else ()):
-                self.windows.setdefault(size, {}).setdefault(int(h), {}).setdefault(b" ".join(words[i : i + size]), set()).add(item)
-        self.vocabulary = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
-        self.sorted = {size: np.array(sorted(have), np.uint64) for size, have in self.windows.items()}
+            words += [raw[a:b] for a, b in zip(starts, ends)]
+            sizes.append(len(starts))
+        self.text = b" ".join(words)
+        self.ends = np.cumsum([len(w) + 1 for w in words], dtype=np.int64) - 1
+        self.starts = np.append(0, self.ends[:-1] + 1)[: len(words)]
+        own = np.concatenate([np.zeros(0, np.uint64), *hashes])
+        first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        self.item = np.repeat(np.arange(len(items), dtype=np.int32), sizes)
+        self.vocabulary = np.unique(own)
+        #: length -> (sorted hashes, first word of each window)
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size in sorted({min(width, n) for n in sizes if n}):
+            at = np.concatenate([np.arange(first[k], first[k + 1] - size + 1) for k, n in enumerate(sizes) if n and min(width, n) == size])
+            found = window_hashes(own, size)[at]
+            order = np.argsort(found, kind="stable")
+            self.windows[size] = (found[order], at[order].astype(np.int32))
+
+    def items_at(self, size: int, low: int, high: int, words: bytes) -> set[str]:
+        """Items of those windows low..high of a length that have just these words."""
+        found = set()
+        for w in self.windows[size][1][low:high].tolist():
+            if self.text[self.starts[w] : self.ends[w + size - 1]] == words:
+                found.add(self.items[self.item[w]])
+        return found
 
     def scan(self, data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int, list[tuple[int, int]], set[str]]]:
         """(document, number of words, spans of hit words, items) for each document."""
@@ -60,18 +82,18 @@ class WindowSet:
         doc = np.repeat(np.arange(len(offs) - 1), np.diff(first))
         spans: dict[int, list[tuple[int, int]]] = {}
         items: dict[int, set[str]] = {}
-        for size, have in self.sorted.items():
+        for size, (have, _) in self.windows.items():
             if len(hashes) < size:
                 continue
             begin = np.flatnonzero((unknown[size:] == unknown[:-size]) & (doc[: len(doc) - size + 1] == doc[size - 1 :]))
             if not len(begin):
                 continue
             found = window_hashes(hashes, size)[begin]
-            k = np.searchsorted(have, found)
-            same = have[np.minimum(k, len(have) - 1)] == found
-            for i, h in zip(begin[same].tolist(), found[same].tolist()):
+            low, high = np.searchsorted(have, found, "left"), np.searchsorted(have, found, "right")
+            for k in np.flatnonzero(low < high).tolist():
+                i = int(begin[k])
                 key = b" ".join(data[a:b].tobytes() for a, b in zip(starts[i : i + size], ends[i : i + size]))
-                hit = self.windows[size][h].get(key)
+                hit = self.items_at(size, int(low[k]), int(high[k]), key)
                 if hit:
                     d = int(doc[i])
                     spans.setdefault(d, []).append((i - int(first[d]), i - int(first[d]) + size))
@@ -122,51 +144,59 @@ def find_windows(
 ) -> DataFrame:
     """Occurrences of benchmark windows in every whole document.
 
-    Returns the ``keep`` columns (names must not clash with the rest), n_words,
+    Returns the ``keep`` columns, n_words,
     spans (array of half-open word ranges that any window covers), items (sorted
     item ids as strings whose windows occur) and clean_text, the text without the
     bytes of the hit words.
 
     A null text has no words; so has an item with a null text, which is in no
-    document, as an item without an id is. Repeated rows each get a row. A benchmark
-    beyond ``block_words`` is scanned in several passes whose results are merged,
-    each with a broadcast of bounded size.
+    document, as an item without an id is. Repeated rows each get a row; items with equal
+    ids or windows all count. A benchmark beyond ``block_words`` is scanned in several
+    passes, each with a broadcast of bounded size and written to the shared folder. An
+    empty table gives no rows; a very long text bounds the memory of its task.
     """
     spark = docs.sparkSession
     types = dict(docs.dtypes)
-    names = [*keep, "n_words", "spans", "items", "clean_text"]
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), "n_words bigint, spans array<struct<first:int,last:int>>, items array<string>, clean_text string"])
-    blocks = [spark.sparkContext.broadcast(pickle.dumps(WindowSet(b, width))) for b in item_blocks(benchmark, item_col, item_text_col, block_words)]
+    plain = docs.select(*(F.col(f"`{c}`").alias(f"k{n}") for n, c in enumerate(keep)), F.col(f"`{text_col}`").alias("text"))
+    inputs = [f"k{n}" for n in range(len(keep))]
+    kept = ", ".join(f"`{n}` {types[c]}" for n, c in zip(inputs, keep))
+    found_type = "n_words bigint, spans array<struct<first:int,last:int>>, items array<string>"
     span_type = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
-    place = keep.index(text_col) if text_col in keep else len(keep)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = pickle.loads(blocks[0].value) if len(blocks) == 1 else None
-        for batch in batches:
-            data, offs = text_bytes(batch.column(place))
-            for i, j in pieces(offs):
-                part, own = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
-                total: dict[int, tuple[int, list, set]] = {}
-                for windows in [one] if one is not None else (pickle.loads(b.value) for b in blocks):
-                    for d, n, spans, items in windows.scan(part, own):
-                        _, s, t = total.get(d, (n, [], set()))
-                        total[d] = (n, merge([*s, *spans]), t | items)
-                rows = [total[d] for d in range(j - i)]
-                texts = batch.column(place).slice(i, j - i).to_pylist()
-                clean = [without(t, s) if s else t for t, (_, s, _) in zip(texts, rows)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(batch.column(k).slice(i, j - i) for k in range(len(keep))),
-                        pa.array([r[0] for r in rows], pa.int64()),
-                        pa.array([[{"first": a, "last": b} for a, b in r[1]] for r in rows], span_type),
-                        pa.array([sorted(r[2]) for r in rows], pa.list_(pa.string())),
-                        pa.array(clean, pa.string()),
-                    ],
-                    names,
-                )
-
-    return docs.select(*keep, *([] if text_col in keep else [text_col])).mapInArrow(run, schema)
+    def scan(rows: DataFrame, block, last: bool) -> DataFrame:
+        """Adds a block's hits to those found before; the last pass cleans the text."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            windows = pickle.loads(block.value)
+            for batch in batches:
+                data, offs = text_bytes(batch.column("text"))
+                for i, j in pieces(offs):
+                    part = batch.slice(i, j - i)
+                    hits = [h[1:] for h in windows.scan(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])]
+                    if "spans" in part.schema.names:
+                        before = zip(part.column("spans").to_pylist(), part.column("items").to_pylist())
+                        hits = [(n, merge([*s, *((x["first"], x["last"]) for x in s0)]), t | {*t0}) for (n, s, t), (s0, t0) in zip(hits, before)]
+                    columns = [
+                        *(part.column(n) for n in inputs),
+                        pa.array([n for n, _, _ in hits], pa.int64()),
+                        pa.array([[{"first": a, "last": b} for a, b in s] for _, s, _ in hits], span_type),
+                        pa.array([sorted(t) for _, _, t in hits], pa.list_(pa.string())),
+                    ]
+                    texts = part.column("text")
+                    if last:
+                        texts = pa.array([without(t, s) if s else t for t, (_, s, _) in zip(texts.to_pylist(), hits)], pa.string())
+                    yield pa.RecordBatch.from_arrays([*columns, texts], [*inputs, "n_words", "spans", "items", "text"])
+
+        return rows.mapInArrow(run, ", ".join([*([kept] if kept else []), found_type, "text string"]))
+
+    scratch, rows, block = Scratch(spark), plain, None
+    for k, items in enumerate(item_blocks(benchmark, item_col, item_text_col, block_words)):
+        if block is not None:
+            rows = scratch.write(scan(rows, block, False), f"pass-{k}")
+            scratch.release(f"pass-{k - 1}")
+        block = spark.sparkContext.broadcast(pickle.dumps(WindowSet(items, width)))
+    rows = scan(rows, block, True)
+    return rows.select(*(F.col(n).alias(c) for n, c in zip(inputs, keep)), "n_words", "spans", "items", F.col("text").alias("clean_text"))
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
@@ -188,14 +218,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
     """
     if mode not in ("documents", "spans"):
         raise ValueError(f"unknown mode {mode!r}")
-    plain = docs.select(*(F.col(f"`{c}`").alias(f"__{k}") for k, c in enumerate(docs.columns)))
-    keep = tuple(plain.columns)
-    found = find_windows(plain, benchmark, f"__{docs.columns.index(text_col)}", keep=keep)
+    plain = numbered_columns(docs)
+    text = f"c{docs.columns.index(text_col)}"
+    found = find_windows(plain, benchmark, text, keep=tuple(plain.columns))
     if mode == "documents":
         found = found.filter(F.size("spans") == 0)
-    return found.select(
-        *(F.col("clean_text" if mode == "spans" and c == text_col else f"__{k}").alias(c) for k, c in enumerate(docs.columns))
-    )
+    return found.select(*(F.col("clean_text" if mode == "spans" and c == text else c).alias(name) for c, name in zip(plain.columns, docs.columns)))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
