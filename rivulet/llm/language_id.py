@@ -3,7 +3,8 @@
 A text is a vector of hashed byte trigrams of its letters, weighted by TF-IDF and
 normalised. Each language has several centroids, found by spherical k-means on a
 bounded sample of labelled texts, since one language has several kinds of text. The
-nearest centroid by cosine names the language; a text too far from all is rejected.
+nearest centroid by cosine names the language. Each centroid reaches as far as the
+farthest text that it was made of, and a little further; a text beyond is rejected.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ CENTROIDS = 4
 #: more, its texts are sampled by a hash of their id.
 TRAIN_ROWS = 4_000
 UNDETERMINED = "und"
+#: Cosine distance that a centroid reaches beyond its farthest training text.
+REACH = 0.05
 #: Documents whose vectors are held densely at once.
 ROWS = 256
 
@@ -66,20 +69,25 @@ class LanguageModel:
     centroids: np.ndarray
     languages: list[str]
     fallback: str
+    #: Greatest cosine distance at which each centroid still speaks for a text.
+    reach: np.ndarray
 
     def vectors(self, raw: np.ndarray) -> np.ndarray:
-        v = np.log1p(raw) * self.idf
-        norm = np.linalg.norm(v, axis=1, keepdims=True)
-        return v / np.maximum(norm, 1e-12)
-
-    def nearest(self, raw: np.ndarray) -> tuple[list[str], np.ndarray]:
-        """(language, cosine) for rows of counts."""
+        """Normalised TF-IDF vectors in the place of the counts."""
+        np.log1p(raw, out=raw)
+        raw *= self.idf
+        raw /= np.maximum(np.linalg.norm(raw, axis=1, keepdims=True), 1e-12)
+        return raw
+
+    def nearest(self, raw: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(language, cosine, whether out of reach) for rows of counts; of equal
+        cosines the first language in alphabetical order has it."""
         if not len(self.centroids):
-            return [self.fallback] * len(raw), np.zeros(len(raw))
+            return [self.fallback] * len(raw), np.zeros(len(raw)), np.ones(len(raw), bool)
         cosine = self.vectors(raw) @ self.centroids.T
         best = cosine.argmax(axis=1)
         top = np.clip(cosine[np.arange(len(raw)), best], 0, 1)
-        return [self.languages[b] if t > 0 else self.fallback for b, t in zip(best, top)], top
+        return [self.languages[b] if t > 0 else self.fallback for b, t in zip(best, top)], top, 1 - top > self.reach[best]
 
 
 def cluster(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -97,15 +105,17 @@ def cluster(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def fit(rows: DataFrame, train_rows: int = TRAIN_ROWS, centroids: int = CENTROIDS) -> LanguageModel:
-    """Fit on (id, text, lang) rows; rows with a null id, text or lang teach nothing."""
+    """Fit on (id, text, lang) rows; rows with a null id, text or lang teach nothing,
+    repeated rows teach once. Each language's rows are sampled by a hash of id and text
+    alone, at a rate that expects its share of ``train_rows``."""
     spark = rows.sparkSession
     rows = rows.filter("id is not null and text is not null and lang is not null")
     totals = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not totals:
-        return LanguageModel(np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), [], UNDETERMINED)
+        return LanguageModel(np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), [], UNDETERMINED, np.zeros(0))
     share = max(1, train_rows // len(totals))
     rate = spark.createDataFrame([(k, min(1.0, share / n)) for k, n in totals.items()], "lang string, rate double")
-    order = F.xxhash64("id")
+    order = F.xxhash64("id", "text")
     picked = rows.join(F.broadcast(rate), "lang").filter(F.shiftrightunsigned(order, 1) / F.lit(float(1 << 63)) <= F.col("rate"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,30 +135,40 @@ def fit(rows: DataFrame, train_rows: int = TRAIN_ROWS, centroids: int = CENTROID
                     ["o", "lang", "slots", "n"],
                 )
 
-    sample = picked.select(order.alias("o"), "lang", "text").mapInArrow(run, "o bigint, lang string, slots binary, n binary").limit(2 * train_rows).collect()
-    sample = sorted((r for r in sample if len(r.slots)), key=lambda r: (r.o, r.lang, bytes(r.slots)))
+    sample = picked.select(order.alias("o"), "lang", "text").mapInArrow(run, "o bigint, lang string, slots binary, n binary").distinct().collect()
+    sample = sorted((r for r in sample if len(r.slots)), key=lambda r: (r.lang, r.o, bytes(r.slots)))
     raw = np.zeros((len(sample), DIMENSIONS), np.float32)
     for k, r in enumerate(sample):
         raw[k, np.frombuffer(r.slots, "<u2")] = np.frombuffer(r.n, "<f4")
-    seen = (raw > 0).sum(axis=0)
-    model = LanguageModel(np.log((1 + len(sample)) / (1 + seen)).astype(np.float32) + 1, np.zeros((0, DIMENSIONS), np.float32), [], max(sorted(totals), key=totals.get))
+    seen = np.count_nonzero(raw, axis=0)
+    idf = np.log((1 + len(sample)) / (1 + seen)).astype(np.float32) + 1
+    model = LanguageModel(idf, np.zeros((0, DIMENSIONS), np.float32), [], max(sorted(totals), key=totals.get), np.zeros(0))
     v = model.vectors(raw)
-    langs = np.array([r.lang for r in sample], object)
-    found = [(lang, c) for lang in sorted(totals) if (langs == lang).any() for c in cluster(v[langs == lang], centroids)]
-    model.languages = [lang for lang, _ in found]
-    if found:
-        model.centroids = np.array([c for _, c in found], np.float32)
+    langs = [r.lang for r in sample]
+    made, reach = [], []
+    for lang in sorted(set(langs)):
+        own = v[langs.index(lang) : len(langs) - langs[::-1].index(lang)]
+        c = cluster(own, centroids)
+        cosine = own @ c.T
+        nearest = cosine.argmax(axis=1)
+        made.append(c)
+        model.languages += [lang] * len(c)
+        reach += [1 - cosine[nearest == k, k].min(initial=1.0) + REACH for k in range(len(c))]
+    if made:
+        model.centroids, model.reach = np.concatenate(made).astype(np.float32), np.array(reach)
     return model
 
 
-def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), reject_distance: float = 1.0) -> DataFrame:
-    """The ``keep`` columns, lang_pred and score (cosine, 0 to 1) of every whole text.
+def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), reject: bool = False) -> DataFrame:
+    """The ``keep`` columns, lang_pred, score (cosine, 0 to 1) and rejected of every
+    whole text.
 
-    A text that is null or has no letter is ``und`` with score 0; so is one whose
-    cosine distance from every centroid exceeds ``reject_distance`` (at 1, the
-    default, none does). A text with letters but no known trigram gets the language
+    A text is rejected if it is out of reach of its nearest centroid; with ``reject``
+    its lang_pred is then ``und``. A text that is null or has no letter is ``und`` with
+    score 0 and rejected. A text with letters but no known trigram gets the language
     with most training rows and score 0. Repeated rows each get a row; no shuffle. The
-    model's size is bounded by its dimensions and the number of languages.
+    model's size is bounded by its dimensions and the number of languages. An empty
+    table gives no rows; a very long text bounds the memory of its task.
     """
     types = dict(docs.dtypes)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -162,18 +182,19 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep:
                 for a in range(i, j, ROWS):
                     b = min(a + ROWS, j)
                     part = data[offs[a] : offs[b]]
-                    langs, scores = own.nearest(counts(part, offs[a : b + 1] - offs[a]))
+                    langs, scores, far = own.nearest(counts(part, offs[a : b + 1] - offs[a]))
                     # ASCII letters settle most texts; for the others every character is looked at.
                     lettered = np.concatenate([[0], np.cumsum((_LETTERS[part] != 0x20) & (part < 0x80))])
                     own_offs = offs[a : b + 1] - offs[a]
                     for k in np.flatnonzero(np.diff(lettered[own_offs]) == 0):
                         if not any(map(str.isalpha, column[a + int(k)].as_py() or "")):
-                            langs[k], scores[k] = UNDETERMINED, 0.0
-                    for k in np.flatnonzero(1 - scores > reject_distance):
+                            langs[k], scores[k], far[k] = UNDETERMINED, 0.0, True
+                    for k in np.flatnonzero(far) if reject else ():
                         langs[k] = UNDETERMINED
-                    yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(len(keep))), pa.array(langs, pa.string()), pa.array(scores.astype(float))], [*keep, "lang_pred", "score"])
+                    columns = [pa.array(langs, pa.string()), pa.array(scores.astype(float)), pa.array(far)]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(len(keep))), *columns], [*keep, "lang_pred", "score", "rejected"])
 
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), "lang_pred string, score double"])
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), "lang_pred string, score double, rejected boolean"])
     return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
 
 
@@ -186,4 +207,4 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document."""
     docs = documents(spark, sf_dir)
     model = fit(docs.filter(~held_out()).select(F.col("doc_id").alias("id"), "text", "lang"))
-    return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")

@@ -28,15 +28,15 @@ def test_edge_cases(spark):
     df = spark.createDataFrame(corpus(random.Random(2), 200), "id bigint, text string, lang string")
     model = li.fit(df)
     long = "ka lo " * 300_000
-    odd = [(1, None), (2, ""), (3, "12 .. \n"), (4, "…—“ \U0001f600"), (5, "日本"), (6, long), (6, long), (None, "réré")]
+    odd = [(1, None), (2, ""), (3, "12 .. \n"), (4, "…—“ \U0001f600"), (5, "日本"), (6, long), (6, long), (7, "lomika mi kalo milomi kaka lo mika"), (None, "réré")]
     rows = spark.createDataFrame([(i, t, "zz") for i, t in odd], "doc_id bigint, text string, lang_pred string")
     got = sorted(((r.doc_id, r.lang_pred, r.score) for r in li.predict(rows, model).collect()), key=str)
     assert len(got) == len(odd)
     by_id = {g[0]: g for g in got}
     assert all(by_id[i][1:] == ("und", 0.0) for i in (1, 2, 3, 4))
     assert by_id[5][1] in SYLLABLES and by_id[6][1] == "aa" and by_id[None][1] == "bb"
-    far = {r.doc_id: r.lang_pred for r in li.predict(rows, model, reject_distance=0.6).collect()}
-    assert far[5] == "und" and far[6] == "aa"
+    far = {r.doc_id: r.lang_pred for r in li.predict(rows, model, reject=True).collect()}
+    assert far[5] == "und" and far[7] == "aa"
     assert li.predict(rows.limit(0), model).collect() == []
 
 
