@@ -1,8 +1,8 @@
 """Toxicity: FTRL-proximal logistic regression over hashed n-grams and skip-grams.
 
 Features are the distinct word unigrams (whole words and the stems of longer ones),
-bigrams and one-word skip-grams of a text, hashed into a fixed number of slots. Training follows the proximal form of
-follow-the-regularised-leader with a learning rate for each coordinate and an L1
+bigrams and one-word skip-grams of a text, hashed into a fixed number of slots. Training
+follows the proximal form of follow-the-regularised-leader with a learning rate for each coordinate and an L1
 term that keeps most weights at zero; what is left is a short list of slots and
 weights, which is broadcast for scoring.
 """
@@ -14,10 +14,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm.storage import documents
+from rivulet.llm.storage import Scratch, documents, named_again, numbered_columns
 from rivulet.llm.textscan import LOWER, mix, pieces, separators, span_hashes, text_bytes, word_spans
 
 #: Words are runs of lower-cased ASCII letters, digits and of non-ASCII bytes.
@@ -27,9 +28,9 @@ SLOT_BITS = 20
 STEM = 4
 #: Fixed by the contract: a score from here on is predicted toxic.
 THRESHOLD = 0.7
-#: Most labelled rows that a model is fitted on; a larger set is sampled by a hash of
-#: the id at a rate that expects this many. Every row of the table is scored.
-TRAIN_ROWS = 12_000
+#: Labelled rows, and bytes of their features, that a model is fitted on; a larger set
+#: is sampled by hashes at a rate that expects this many. Every row of the table is scored.
+TRAIN_ROWS, TRAIN_BYTES = 12_000, 48 << 20
 _U = np.uint64
 
 
@@ -109,24 +110,38 @@ def slot_rows(docs: DataFrame, text_col: str, keep: tuple[str, ...], bits: int =
     return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, epochs: int = 3, bits: int = SLOT_BITS) -> tuple[np.ndarray, np.ndarray]:
+def fit(
+    docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, epochs: int = 3, bits: int = SLOT_BITS, train_bytes: int = TRAIN_BYTES
+) -> tuple[np.ndarray, np.ndarray]:
     """Fit on (id, text) and (id, label) rows; returns the (slots, weights) not zero.
 
-    Rows with a null id, text or label teach nothing. Rows are taken in the order of a
-    hash of the id, so a fit does not depend on partitioning. Only above
-    ``train_rows`` labels are they sampled by that hash; at most twice as many are
-    used, which bounds the broadcast of labels and what the driver gathers. Without
-    any row the model is empty.
+    Rows with a null id, text or label teach nothing; repeated rows teach once. Rows are
+    taken in the order of a hash, ties by id and features, so a fit does not depend on
+    partitioning. Above ``train_rows`` rows or ``train_bytes`` of features they are
+    sampled by hash thresholds alone: labels first, which bounds their broadcast, then
+    the joined rows, which bounds what the driver gathers. Without any row the model is
+    empty.
     """
-    order = F.xxhash64("id")
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
+
+    def sampled(rows: DataFrame, rate: float, *columns: str) -> DataFrame:
+        return rows if rate >= 1 else rows.filter(F.shiftrightunsigned(F.xxhash64(*columns), 1) < F.lit(int(rate * (1 << 63))))
+
     labels = labels.filter("id is not null and label is not null").select("id", F.col("label").cast("int").alias("label"))
-    total = labels.count()
-    if total > train_rows:
-        labels = labels.filter(F.shiftrightunsigned(order, 1) < F.lit(int(train_rows / total * (1 << 63))))
-    rows = docs.select("id", "text").filter("text is not null").join(F.broadcast(labels.limit(2 * train_rows)), "id")
-    found = slot_rows(rows, "text", ("id", "label"), bits).select(order.alias("o"), "id", "label", "slots").limit(2 * train_rows).collect()
-    found.sort(key=lambda r: (r.o, r.id, bytes(r.slots)))
-    data = [(np.frombuffer(r.slots, "<i4"), int(r.label)) for r in found if len(r.slots)]
+    labels = scratch.write(labels.distinct(), "labels")
+    labels = sampled(labels, train_rows / max(labels.count(), 1), "id")
+    rows = docs.select("id", "text").filter("text is not null").join(F.broadcast(labels), "id")
+    rows = scratch.write(slot_rows(rows, "text", ("id", "label"), bits).distinct(), "features")
+    size = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("slots")).alias("bytes")).first()
+    # Twice the rows are only there where ids repeat: the first sample expects train_rows.
+    rate = min(1.0 if size["n"] <= 2 * train_rows else train_rows / size["n"], train_bytes / (size["bytes"] or 1))
+    found = sampled(rows, rate, "id", "slots").select(F.xxhash64("id").alias("o"), "id", "label", "slots").toArrow()
+    scratch.release()
+    found = found.take(pc.sort_indices(found, [(c, "ascending") for c in found.column_names])).combine_chunks()
+    slots, offs = (column_bytes(found.column("slots")) if len(found) else (np.zeros(0, np.uint8), np.zeros(1, np.int64)))
+    labelled = zip(offs[:-1].tolist(), offs[1:].tolist(), found.column("label").to_pylist())
+    data = [(slots[a:b].view("<i4"), y) for a, b, y in labelled if b > a]
     ones = sum(y for _, y in data)
     learner = Ftrl(bits)
     boost = max(1.0, min(4.0, (len(data) - ones) / ones / 2)) if ones else 1.0
@@ -136,12 +151,22 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, epochs
     return learner.model()
 
 
+def column_bytes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(all bytes, offsets) of a binary column without nulls."""
+    whole = column.cast(pa.large_binary()).combine_chunks()
+    whole = whole.chunk(0) if isinstance(whole, pa.ChunkedArray) else whole
+    _, offsets, data = whole.buffers()
+    offs = np.frombuffer(offsets, np.int64)[whole.offset : whole.offset + len(whole) + 1]
+    return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), offs
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), bits: int = SLOT_BITS) -> DataFrame:
     """The ``keep`` columns and score (0 to 1) of every whole text.
 
     The model has at most 2**bits weights, which bounds the broadcast. A text without
     words, null included, has the score of no evidence, 0.5. Repeated rows each get a
-    row; no shuffle.
+    row and equal scores; no shuffle. An empty table gives no rows; a very long text
+    bounds the memory of its task.
     """
     types = dict(docs.dtypes)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -189,6 +214,6 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score under the threshold, with all their columns."""
-    plain = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)))
+    plain = numbered_columns(docs)
     scored = score(plain, model, f"c{docs.columns.index(text_col)}", tuple(plain.columns))
-    return scored.filter(F.col("score") < threshold).select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)))
+    return named_again(scored.filter(F.col("score") < threshold), docs.columns)
