@@ -36,11 +36,13 @@ RELABEL, MERGE, INSERT = 3, 2, 4
 NAMES = {"system": SYSTEM, "developer": SYSTEM, "user": USER, "human": USER, "assistant": ASSISTANT, "model": ASSISTANT, "bot": ASSISTANT}
 BLOCK = 256
 _FAR = 1 << 40
+#: White space around a role's name that does not matter.
+_TRIM = " \t\n\r\x0b\x0c"
 
 
 def role_state(role: str | None) -> int:
     """State of a role; 0 for an unknown one."""
-    return NAMES.get((role or "").strip().lower(), START)
+    return NAMES.get((role or "").strip(_TRIM).lower(), START)
 
 
 def ways(state: int) -> list[tuple[tuple[int, ...], int, int]]:
@@ -133,7 +135,7 @@ def repair_roles(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     placed = numbered(rows).withColumn("block", F.floor(F.col("ordinal") / block).cast("bigint"))
     names = F.create_map(*itertools.chain(*((F.lit(k), F.lit(v)) for k, v in NAMES.items())))
-    placed = placed.withColumn("state", F.coalesce(F.try_element_at(names, F.lower(F.trim(F.coalesce("role", F.lit(""))))), F.lit(START)))
+    placed = placed.withColumn("state", F.coalesce(F.try_element_at(names, F.lower(F.trim(F.coalesce("role", F.lit("")), F.lit(_TRIM)))), F.lit(START)))
 
     grouped = placed.groupBy("conv", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "state"))), lambda x: x["state"].cast("string")), "").alias("roles"))
 
