@@ -156,8 +156,3 @@ def iframe_source(content: str | None) -> str:
     """Content in a bare page as a data URL, for a sandboxed frame."""
     page = f"<!DOCTYPE html><html><head><meta charset='utf-8'><base target='_blank'></head><body>{content or ''}</body></html>"
     return "data:text/html;charset=utf-8;base64," + base64.b64encode(page.encode()).decode()
-
-
-def path_of(url: str) -> str:
-    """Path of a URL as robots rules see it."""
-    return urlsplit(url).path or "/"

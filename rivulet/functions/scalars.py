@@ -149,8 +149,8 @@ def page_head(html, limit: int = 102_400) -> Column:
 
 
 def page_title(html) -> Column:
-    """Text of the first title element within the page's head."""
-    return F.regexp_extract(F.decode(page_head(html), "UTF-8"), r"(?is)<title[^>]*>([^<]*)</title>", 1)
+    """Text of the last title element within the page's head."""
+    return F.regexp_extract(F.decode(page_head(html), "UTF-8"), r"(?is).*<title[^>]*>([^<]*)</title>", 1)
 
 
 def feed_links(html) -> Column:

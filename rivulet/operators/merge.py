@@ -27,15 +27,21 @@ def purge_by_age(items: DataFrame, cutoff) -> tuple[DataFrame, DataFrame]:
 
 
 def purge_with_floor(items: DataFrame, cutoff, minimum: int) -> tuple[DataFrame, DataFrame]:
-    """As ``purge_by_age``, but the newest ``minimum`` items of each feed stay."""
+    """As ``purge_by_age``, but the newest ``minimum`` items of each feed stay.
+
+    Items that are not expired stay without a shuffle. Keys of feeds with expired items
+    are ranked, of which each task keeps ``minimum`` a feed; expired items meet these.
+    """
     if minimum <= 0:
         return purge_by_age(items, cutoff)
     from pyspark.sql import Window as W
 
+    old, young = purge_by_age(items, cutoff)
     rank = F.row_number().over(W.partitionBy("feed_url").orderBy(F.col("published_date").desc_nulls_last(), F.col("id").desc()))
-    ranked = items.withColumn("__rank", rank)
-    gone = F.coalesce(expired(cutoff), F.lit(False)) & (F.col("__rank") > minimum)
-    return ranked.filter(gone).drop("__rank"), ranked.filter(~gone).drop("__rank")
+    keys = items.select("feed_url", "id", "published_date").join(old.select("feed_url").distinct(), "feed_url", "left_semi")
+    newest = keys.withColumn("__rank", rank).filter(F.col("__rank") <= minimum).select("feed_url", "id")
+    on = ["feed_url", "id"]
+    return old.join(newest, on, "left_anti").select(*items.columns), young.unionByName(old.join(newest, on, "left_semi").select(*items.columns))
 
 
 def archive_absent(items: DataFrame, active: DataFrame, parsed_feeds: DataFrame) -> DataFrame:
@@ -105,8 +111,9 @@ def upsert_metadata(current: DataFrame, batch: DataFrame, now) -> DataFrame:
     return _merge(current, stamped, ["url"], {"created_at": F.col("o_created_at")})
 
 
-def numbered_inserts(current: DataFrame, batch: DataFrame) -> DataFrame:
-    """Batch rows with an id: new keys get ids above all stored ones.
+def numbered_inserts(current: DataFrame, batch: DataFrame, top: int | None = None) -> DataFrame:
+    """Batch rows with an id: new keys get ids above all stored ones, or above ``top``
+    where ``current`` is a part of the table.
 
     Ids follow (feed_url, pos). New keys of one feed are numbered together and feeds
     get offsets, so no task numbers the whole batch.
@@ -114,7 +121,8 @@ def numbered_inserts(current: DataFrame, batch: DataFrame) -> DataFrame:
     from pyspark.sql import Window as W
 
     known = current.select("feed_url", "guid", F.col("id").alias("__old"))
-    top = current.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first().top
+    if top is None:
+        top = current.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first().top
     rows = batch.drop("id").join(known, ["feed_url", "guid"], "left")
     fresh = F.col("__old").isNull()
     sizes = rows.filter(fresh).groupBy("feed_url").agg(F.count("*").alias("__n"))

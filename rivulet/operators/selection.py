@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -68,19 +70,36 @@ def recency(now) -> Column:
     return F.coalesce(F.when(latest > ts(now), ts(now)).otherwise(latest), F.col("last_updated"))
 
 
+#: Feeds whose keys are looked at to choose ranges for ranking, and ranges at most.
+RANGE_SAMPLE, RANGES = 10_000, 64
+
+
 def ranked_feeds(feeds: DataFrame, now, name: str = "rank") -> DataFrame:
     """Feeds with their 1-based rank by capped recency, ties by URL.
 
-    No task sees all feeds: those of one hour are ranked together, and each hour's
-    offset is the number of feeds in later hours. The table of hours is bounded by the
-    calendar, so only it is ordered as a whole.
+    No task sees all feeds, even if one refresh has given most of them the same time:
+    ranges of the whole sort key (time and URL) are chosen from a bounded set of keys,
+    feeds of one range are ranked together, and each range's offset is the number of
+    feeds in the ranges before it. Which ranges are chosen never changes a rank.
     """
-    keyed = feeds.withColumn("__key", recency(now)).withColumn("__hour", F.coalesce(F.date_trunc("hour", "__key").cast("timestamp_ntz"), F.lit("0001-01-01").cast("timestamp_ntz")))
-    local = keyed.withColumn("__local", F.row_number().over(W.partitionBy("__hour").orderBy(F.col("__key").desc_nulls_last(), F.col("url").asc())))
-    hours = keyed.groupBy("__hour").agg(F.count("*").alias("__n"))
-    before = W.orderBy(F.col("__hour").desc()).rowsBetween(W.unboundedPreceding, -1)
-    offsets = hours.select("__hour", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    return local.join(offsets, "__hour").withColumn(name, (F.col("__local") + F.col("__offset")).cast("bigint")).drop("__key", "__hour", "__local", "__offset")
+    keyed = feeds.withColumn("__key", recency(now))
+    some = keyed.select("__key", "url").orderBy(F.xxhash64("url"), "url").limit(RANGE_SAMPLE).collect()
+    keys = sorted({(r["__key"], r["url"]) for r in some}, key=lambda k: (k[0] is None, datetime.max - (k[0] or datetime.max), k[1] or ""))
+    bounds = list(dict.fromkeys(keys[len(keys) * k // RANGES] for k in range(1, RANGES))) if keys else []
+
+    def from_on(time: datetime | None, url: str) -> Column:
+        """1 for feeds that the bound, or a later place in the order, has."""
+        tie = F.col("url") >= url
+        late = F.col("__key").isNull() & tie if time is None else F.col("__key").isNull() | (F.col("__key") < ts(time)) | ((F.col("__key") == ts(time)) & tie)
+        return F.coalesce(late, F.lit(False)).cast("int")
+
+    ranged = keyed.withColumn("__range", functools.reduce(operator.add, (from_on(*b) for b in bounds), F.lit(0)))
+    local = ranged.withColumn("__local", F.row_number().over(W.partitionBy("__range").orderBy(F.col("__key").desc_nulls_last(), F.col("url").asc())))
+    before = W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    sizes = ranged.groupBy("__range").agg(F.count("*").alias("__n"))  # RANGES rows at most
+    offsets = sizes.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    ranked = local.join(F.broadcast(offsets), "__range").withColumn(name, (F.col("__local") + F.col("__offset")).cast("bigint"))
+    return ranked.drop("__key", "__range", "__local", "__offset")
 
 
 def feeds_in_window(feeds: DataFrame, start, end, listed: DataFrame | None = None) -> DataFrame:
@@ -102,18 +121,17 @@ def with_minimum(items: DataFrame, start, end, minimum: int) -> DataFrame:
     """Items in the window, filled up with the newest others to ``minimum`` a feed.
 
     Adds in_window and position. Fill items follow the window's items, even those
-    dated after its end. One shuffle by feed serves all four windows.
+    dated after its end. The window reaches the scan as a range; of the other items each
+    task keeps ``minimum`` a feed before anything is shuffled.
     """
-    inside = F.coalesce(F.col("published_date").between(ts(start), ts(end)), F.lit(False))
-    feed = W.partitionBy("feed_url")
-    return (
-        items.withColumn("in_window", inside)
-        .withColumn("__n", F.count_if("in_window").over(feed))
-        .withColumn("__rank", F.row_number().over(W.partitionBy("feed_url", "in_window").orderBy(*newest_first())))
-        .filter(F.col("in_window") | ((F.col("__n") < minimum) & (F.col("__rank") <= minimum - F.col("__n"))))
-        .withColumn("position", F.row_number().over(feed.orderBy(F.col("in_window").desc(), *newest_first())))
-        .drop("__n", "__rank")
-    )
+    inside = F.col("published_date").between(ts(start), ts(end))
+    here = items.filter(inside)
+    counted = here.groupBy("feed_url").agg(F.count("*").alias("__n"))
+    rank = F.row_number().over(W.partitionBy("feed_url").orderBy(*newest_first()))
+    newest = items.filter(~F.coalesce(inside, F.lit(False))).withColumn("__rank", rank).filter(F.col("__rank") <= minimum)
+    fill = newest.join(counted, "feed_url", "left").filter(F.col("__rank") <= minimum - F.coalesce("__n", F.lit(0)))
+    both = here.withColumn("in_window", F.lit(True)).unionByName(fill.select(*items.columns, F.lit(False).alias("in_window")))
+    return both.withColumn("position", F.row_number().over(W.partitionBy("feed_url").orderBy(F.col("in_window").desc(), *newest_first())))
 
 
 def select_for_render(feeds: DataFrame, items: DataFrame, start, end, minimum: int, maximum: int, listed: DataFrame | None = None) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 import functools
 import http.server
 import json
+import logging
 import threading
 from datetime import datetime, timezone
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet import schema
@@ -24,6 +25,7 @@ from rivulet.sources import opml, sinks
 from rivulet.sources.store import Store
 
 __version__ = "0.1.0"
+log = logging.getLogger("rivulet")
 
 
 def utc_now() -> datetime:
@@ -37,8 +39,21 @@ class Archive:
         self.spark, self.config, self.now = spark, config or Config.load(), now
         self.store = Store(spark, self.config.path)
 
-    def init(self) -> None:
+    def init(self, templates: str | None = None, assets: str | None = None) -> None:
+        """Make the archive; with folders named, also write the site's page template
+        and assets there, to be changed and given to ``render``."""
         self.store.init()
+        if templates:
+            sinks.extract(sinks.TEMPLATES, templates)
+        if assets:
+            sinks.extract(sinks.ASSETS, assets)
+
+    def views(self) -> SparkSession:
+        """Register feeds, items and url_metadata as temporary views for ``spark.sql``."""
+        self.store.open()
+        for name in schema.TABLES:
+            self.store.table(name).createOrReplaceTempView(name)
+        return self.spark
 
     def _urls(self, urls: list[str]) -> DataFrame:
         return self.spark.createDataFrame(list(zip(urls, range(len(urls)))), opml.LIST)
@@ -133,20 +148,38 @@ class Archive:
         landed = f"{self.store.path}/landing/{now.strftime('%Y%m%dT%H%M%S%f')}"
         got.write.mode("overwrite").parquet(landed)
         got = self.spark.read.schema(schema.RESPONSES).parquet(landed)
-        merged = ingest.fetch_batch(self.spark, self.store, got, now, self.config.fetch_max_items if max_items is None else max_items)
+        limit = self.config.fetch_max_items if max_items is None else max_items
+        merged, buckets = ingest.fetch_into(self.store, got, now, limit, f"{landed}-parsed")
         cached = fresh.select(F.col("feed_url").alias("url"), F.lit(True).alias("cached"), F.lit(None).cast("string").alias("error"), F.lit(0).cast("bigint").alias("item_count"))
-        summary = R.fetch_summary(merged.results.unionByName(cached)).first().asDict()
-        links = [r.url for r in R.urls_without_metadata(merged.new_links, self.store.url_metadata).select("url").distinct().collect()] if (self.config.with_unfurl if with_unfurl is None else with_unfurl) else []
-        self.store.commit({"feeds": merged.feeds, "items": merged.items})
+        results = merged.results.unionByName(cached)
+        summary = R.fetch_summary(results).first().asDict()
+        old = self.store.table("items", buckets["items"]).filter(~F.col("archived")).select("id")
+        self.store.commit({"feeds": merged.feeds, "items": merged.items}, buckets)
+        summary |= {"upserted": summary["items"], "archived": self.store.table("items", buckets["items"]).filter("archived").join(old, "id", "left_semi").count()}
+        links = None
+        if self.config.with_unfurl if with_unfurl is None else with_unfurl:
+            # Written before the metadata changes, since it depends on what is missing there.
+            R.urls_without_metadata(merged.new_links, self.store.url_metadata).select("url").distinct().write.mode("overwrite").parquet(f"{landed}-links")
+            links = self.spark.read.schema("url string").parquet(f"{landed}-links")
+        if url:
+            feed = selection.feed_by_url(self.store.table("feeds", self.store.touched(urls, "feed_url")), url)
+            summary |= ingest.single_result(results.filter(F.col("url") == url).first(), feed.first())
         if remove_missing and listed:
             gone = R.feeds_not_listed(self.store.feeds, urls)
             summary["removed"] = gone.count()
-            feeds, items = merge.delete_feeds(self.store.feeds, self.store.items, gone)
-            self.store.commit({"feeds": feeds, "items": items})
-        if links:
-            summary["unfurled"] = self._unfurl(self.spark.createDataFrame([(u,) for u in links], "url string"))["successful"]
+            self._delete(gone)
+        if links is not None and not links.isEmpty():
+            summary["unfurled"] = self._unfurl(links)["successful"]
         return summary
 
+    def _delete(self, gone: DataFrame) -> None:
+        """Delete the feeds in ``gone`` and their items; other buckets stay as they are."""
+        buckets = self.store.touched(gone, "url")
+        if buckets:
+            part = self.store.part(buckets)
+            feeds, items = merge.delete_feeds(part.feeds, part.items, gone.select("url"))
+            self.store.commit({"feeds": feeds, "items": items}, {"feeds": buckets, "items": buckets})
+
     # Show
 
     def show(self, url: str, fmt: str = "table", limit: int = 0, since: str = "", until: str = "", oldest: bool = False) -> str:
@@ -162,13 +195,23 @@ class Archive:
     # Unfurl
 
     def _unfurl(self, urls: DataFrame, pages: DataFrame | None = None) -> dict:
-        now = self.now()
-        rows = unfurl.metadata_rows(pages, now) if pages is not None else unfurl.unfurl(urls, now, self.config.unfurl_concurrency, self.config.unfurl_skip_robots)
-        landed = f"{self.store.path}/landing/unfurl-{now.strftime('%Y%m%dT%H%M%S%f')}"
-        rows.write.mode("overwrite").parquet(landed)
-        rows = self.spark.read.parquet(landed)
+        now, landing = self.now(), f"{self.store.path}/landing"
+        if pages is not None:
+            rows = unfurl.metadata_rows(pages, now)
+        else:
+            rows = unfurl.unfurl(urls, now, landing, self.config.unfurl_concurrency, self.config.unfurl_skip_robots)
+        landed = f"{landing}/unfurl-{now.strftime('%Y%m%dT%H%M%S%f')}"
+        progress = Observation("unfurl")
+        failed = F.col("fetch_error").isNotNull()
+        seen = rows.observe(progress, F.count("*").alias("processed"), F.count_if(~failed).alias("successful"), F.count_if(failed).alias("failed"))
+        seen.write.mode("overwrite").parquet(landed)
+        log.info("unfurl: %(processed)d processed, %(successful)d successful, %(failed)d failed", progress.get)
+        rows = self.spark.read.schema(rows.schema).parquet(landed)
         summary = R.unfurl_summary(rows.select(F.col("fetch_error").alias("error"))).first().asDict()
-        self.store.commit({"url_metadata": merge.upsert_metadata(self.store.url_metadata, rows, now)})
+        buckets = self.store.touched(rows, "url")
+        if buckets:
+            merged = merge.upsert_metadata(self.store.table("url_metadata", buckets), rows, now)
+            self.store.commit({"url_metadata": merged}, {"url_metadata": buckets})
         return summary
 
     def unfurl(self, url: str = "", limit: int = 0, retry_after: str | None = None, retry_immediate: bool = False, pages: DataFrame | None = None) -> dict:
@@ -188,8 +231,9 @@ class Archive:
 
     # Render
 
-    def render(self, output: str | None = None, max_age: str | None = None, start: str = "", end: str = "", listed: str = "", minimum: int | None = None, maximum: int | None = None, page_size: int | None = None) -> int:
-        """Write the static site; returns the number of feeds shown. Explicit bounds beat the age."""
+    def render(self, output: str | None = None, max_age: str | None = None, start: str = "", end: str = "", listed: str = "", minimum: int | None = None, maximum: int | None = None, page_size: int | None = None, templates: str = "", assets: str = "") -> int:
+        """Write the static site; returns the number of feeds shown. Explicit bounds beat
+        the age. ``templates`` and ``assets`` name folders that replace the own ones."""
         self.store.open()
         c, now = self.config, self.now()
         age = c.render_max_age if max_age is None else max_age
@@ -202,7 +246,7 @@ class Archive:
         icons = R.feed_favicons(self.store.items, self.store.url_metadata)
         out = output or c.render_output
         sinks.clean(out)
-        return sinks.write_site(sinks.site_frames(frame, self.store.feeds, self.store.url_metadata, icons), out, times.window_label(age, a, b, bool(start or end)), size)
+        return sinks.write_site(sinks.site_frames(frame, self.store.feeds, self.store.url_metadata, icons), out, times.window_label(age, a, b, bool(start or end)), size, templates, assets)
 
     # Purge
 
@@ -213,19 +257,32 @@ class Archive:
         """
         self.store.open()
         c, out = self.config, {}
-        feeds, items = self.store.feeds, self.store.items
+        store = self.store
+        feeds, items = store.feeds, store.items
+        gone = feeds.limit(0)
         if listed:
             gone = R.feeds_not_listed(feeds, opml.load_list(self.spark, opml.detect_format(listed), listed))
             out["feeds"] = gone.count()
             feeds, items = merge.delete_feeds(feeds, items, gone)
         cutoff = self.now() - times.parse_duration(c.purge_max_age if max_age is None else max_age)
         deleted, items = merge.purge_with_floor(items, cutoff, c.purge_min_items if minimum is None else minimum)
-        out["items"] = deleted.count()
-        out["metadata"] = R.orphan_metadata(self.store.url_metadata, items).count()
+        # Keys alone are kept: they give the numbers, the buckets and, later, the rows that go.
+        landed = f"{store.path}/landing/purge-{self.now().strftime('%Y%m%dT%H%M%S%f')}"
+        deleted.select("id", "feed_url").write.mode("overwrite").parquet(landed)
+        deleted = self.spark.read.schema("id bigint, feed_url string").parquet(landed)
+        items = store.items.join(gone.select(F.col("url").alias("feed_url")), "feed_url", "left_anti").join(deleted.select("id"), "id", "left_anti")
+        orphans = R.orphan_metadata(store.url_metadata, items)
+        out["items"], out["metadata"] = deleted.count(), orphans.count()
         if not dry_run:
-            self.store.commit({"feeds": feeds, "items": items, "url_metadata": R.metadata_survivors(self.store.url_metadata, items)})
+            own = store.touched(gone, "url")
+            touched = {"feeds": own, "items": sorted({*own, *store.touched(deleted, "feed_url")}), "url_metadata": store.touched(orphans, "url")}
+            left = {n: store.table(n, b) for n, b in touched.items()}
+            left["feeds"], left["items"] = merge.delete_feeds(left["feeds"], left["items"].join(deleted.select("id"), "id", "left_anti"), gone)
+            left["url_metadata"] = left["url_metadata"].join(orphans.select("url"), "url", "left_anti")
+            if any(touched.values()):
+                store.commit(left, touched)
             if vacuum:
-                self.store.vacuum()
+                store.vacuum()
         return out
 
     # Serve

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet import schema
@@ -14,7 +14,7 @@ from rivulet.functions import scalars as S
 from rivulet.operators import merge, selection
 from rivulet.operators import relations as R
 from rivulet.sources import feeds as source
-from rivulet.sources.store import Store
+from rivulet.sources.store import Part, Store
 
 #: Defaults of a fetch.
 MAX_ITEMS, CONCURRENCY = 100, 32
@@ -30,6 +30,14 @@ class Merged:
     new_links: DataFrame
 
 
+def single_result(result: Row | None, feed: Row | None) -> dict:
+    """What the fetch of one URL prints besides the totals."""
+    out = {"mode": "single", "url": result.url if result else "", "cached": bool(result and result.cached), "items": result.item_count if result else 0}
+    if result is not None and result.error:
+        return out | {"error": result.error}
+    return out | ({"title": feed.title, "description": feed.description} if feed is not None else {})
+
+
 def empty(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame([], schema.TABLES[name])
 
@@ -59,8 +67,12 @@ def item_rows(parsed: DataFrame, now: datetime, max_items: int) -> DataFrame:
     )
 
 
-def fetch_batch(spark: SparkSession, store: Store | None, responses: DataFrame, now: datetime, max_items: int = MAX_ITEMS) -> Merged:
-    """Merge responses into the archive's tables.
+def fetch_batch(spark: SparkSession, store: Part | None, responses: DataFrame, now: datetime, max_items: int = MAX_ITEMS, landing: str | None = None) -> Merged:
+    """Merge responses into the archive's tables, or into the buckets of them that the
+    responses' feeds fall into.
+
+    Parsed documents are written to ``landing`` first where it is given: several
+    branches of the merge read them.
 
     Items of a parsed document are merged by identity: those beyond the maximum and
     those gone from the document are archived. Unchanged and failed feeds leave items
@@ -68,13 +80,16 @@ def fetch_batch(spark: SparkSession, store: Store | None, responses: DataFrame,
     """
     feeds, items = (store.feeds, store.items) if store else (empty(spark, "feeds"), empty(spark, "items"))
     parsed = source.parse_documents(responses)
+    if landing:
+        parsed.write.mode("overwrite").parquet(landing)
+        parsed = spark.read.schema(parsed.schema).parquet(landing)
     ok = parsed.filter("error is null").select(F.col("feed_url").alias("url"))
 
     every = item_rows(parsed, now, max_items)
     seen = R.with_first_seen(every, items, now)
     # Every occurrence counts for the feed's date, by its rank date; the stored date stays as published.
     latest = seen.groupBy("feed_url").agg(F.max(S.clamped("published_date", F.when(~F.col("is_new"), F.col("first_seen")), now)).alias("latest"), F.count("*").alias("item_count"))
-    batch = merge.numbered_inserts(items, merge.collapse_items(seen))
+    batch = merge.numbered_inserts(items, merge.collapse_items(seen), store.top_id if store else 0)
     next_items = merge.archive_absent(merge.upsert_items(items, batch), batch, parsed.filter("error is null").select("feed_url"))
 
     got = responses.filter("status = 200").select(F.col("feed_url").alias("url"), "etag", "last_modified").join(ok, "url", "left_semi")
@@ -102,6 +117,7 @@ def fetch_batch(spark: SparkSession, store: Store | None, responses: DataFrame,
         .join(latest.select(F.col("feed_url").alias("url"), "item_count"), "url", "left")
         .select("url", "cached", "error", F.coalesce("item_count", F.lit(0)).alias("item_count"))
     )
+    # Links of new items, for metadata that is missing.
     links = seen.filter(F.col("is_new") & (F.col("link") != "")).select(F.col("link").alias("url"), "feed_url", "pos")
     return Merged(next_feeds, next_items, results, links)
 
@@ -111,3 +127,10 @@ def due_urls(store: Store, urls: DataFrame, now: datetime, max_age: timedelta |
     feeds = selection.due_for_fetch(store.feeds, now, max_age, force).select(F.col("url").alias("feed_url"), "due")
     marked = urls.join(feeds, "feed_url", "left").withColumn("due", F.coalesce("due", F.lit(True)))
     return marked.filter("due").drop("due"), marked.filter("not due").drop("due")
+
+
+def fetch_into(store: Store, landed: DataFrame, now: datetime, max_items: int, landing: str) -> tuple[Merged, dict[str, list[int]]]:
+    """(merge of landed responses into the buckets of their feeds, those buckets)."""
+    buckets = store.touched(landed, "feed_url")
+    merged = fetch_batch(store.spark, store.part(buckets), landed, now, max_items, landing)
+    return merged, {"feeds": buckets, "items": buckets}

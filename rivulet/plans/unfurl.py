@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,11 +22,6 @@ def workers(n: int) -> int:
     return min(max(n, 1), MAX_WORKERS)
 
 
-def queue_size(n: int) -> int:
-    """Links that may wait for ``n`` workers."""
-    return min(max(2 * n, 10), 1000)
-
-
 def metadata_rows(pages: DataFrame, now: datetime) -> DataFrame:
     """Metadata rows of fetched pages (url, status, body, error).
 
@@ -84,12 +79,27 @@ def _get_pages(limit: int):
     return run
 
 
-def fetch_robots(urls: DataFrame, concurrency: int) -> DataFrame:
-    """(host, body) for the hosts of URLs; no body unless the answer is 200."""
+#: Most bytes of a robots.txt that are read, as crawlers commonly do; further rules do not count.
+ROBOTS_LIMIT = 500_000
+#: How long a host's answer counts.
+ROBOTS_LIFE = timedelta(hours=1)
+ROBOTS_ANSWERS = "host string, body string, fetched_at timestamp_ntz"
+
+
+def fetch_robots(urls: DataFrame, concurrency: int, now: datetime, known: DataFrame | None = None) -> DataFrame:
+    """(host, body, fetched_at) for the hosts of URLs; no body unless the answer is 200.
+
+    ``known`` has earlier answers, which are taken for an hour.
+    """
     origin = F.regexp_extract("url", r"^(https?://[^/?#]+)", 1)
-    hosts = urls.select(F.concat(origin, F.lit("/robots.txt")).alias("url")).distinct().repartition(workers(concurrency))
-    got = hosts.mapInPandas(_get_pages(500_000), "url string, status int, body string, error string")
-    return got.select(F.regexp_extract("url", r"^https?://([^/?#]+)", 1).alias("host"), F.when(F.col("status") == 200, F.col("body")).alias("body"))
+    hosts = urls.select(F.concat(origin, F.lit("/robots.txt")).alias("url")).distinct()
+    name = F.regexp_extract("url", r"^https?://([^/?#]+)", 1)
+    if known is not None:
+        known = known.filter(F.col("fetched_at") > S.ts(now - ROBOTS_LIFE)).groupBy("host").agg(F.max_by(F.struct("body", "fetched_at"), "fetched_at").alias("r")).select("host", "r.*")
+        hosts = hosts.withColumn("host", name).join(known, "host", "left_anti").drop("host")
+    got = hosts.repartition(workers(concurrency)).mapInPandas(_get_pages(ROBOTS_LIMIT), "url string, status int, body string, error string")
+    got = got.select(name.alias("host"), F.when(F.col("status") == 200, F.col("body")).alias("body"), S.ts(now).alias("fetched_at"))
+    return got if known is None else got.unionByName(known.join(urls.select(name.alias("host")).distinct(), "host", "left_semi"))
 
 
 def fetch_pages(urls: DataFrame, concurrency: int = 32) -> DataFrame:
@@ -97,11 +107,23 @@ def fetch_pages(urls: DataFrame, concurrency: int = 32) -> DataFrame:
     return urls.select("url").repartition(workers(concurrency)).mapInPandas(_get_pages(H.PAGE_LIMIT), "url string, status int, body string, error string")
 
 
-def unfurl(urls: DataFrame, now: datetime, concurrency: int = 32, skip_robots: bool = False) -> DataFrame:
-    """Metadata rows for URLs, fetched over the network; refused ones get an error."""
+def unfurl(urls: DataFrame, now: datetime, landing: str, concurrency: int = 32, skip_robots: bool = False) -> DataFrame:
+    """Metadata rows for URLs, fetched over the network; refused ones get an error.
+
+    What hosts say in robots.txt is kept below ``landing`` for an hour, and what they
+    have said is written before it is used: both branches see one answer.
+    """
     if skip_robots:
         return metadata_rows(fetch_pages(urls, concurrency), now)
-    marked = with_robots(urls.select("url"), fetch_robots(urls, concurrency))
+    spark = urls.sparkSession
+    path = f"{landing}/robots"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    known = spark.read.schema(ROBOTS_ANSWERS).parquet(path) if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) else None
+    answers = f"{landing}/robots-{now.strftime('%Y%m%dT%H%M%S%f')}"
+    fetch_robots(urls, concurrency, now, known).write.mode("overwrite").parquet(answers)
+    robots = spark.read.schema(ROBOTS_ANSWERS).parquet(answers)
+    robots.filter(F.col("fetched_at") == S.ts(now)).write.mode("append").parquet(path)
+    marked = with_robots(urls.select("url"), robots)
     pages = fetch_pages(marked.filter("allowed"), concurrency)
     refused = marked.filter("not allowed").select("url", F.lit(None).cast("int").alias("status"), F.lit(None).cast("string").alias("body"), F.lit("blocked by robots.txt").alias("error"))
     return metadata_rows(pages.unionByName(refused), now)

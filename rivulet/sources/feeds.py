@@ -48,16 +48,6 @@ def _text(node: ET.Element | None) -> str:
     return "" if node is None else "".join(node.itertext()).strip()
 
 
-def _first(node: ET.Element, *names: str) -> str:
-    """Text of the first child that has one of the names and any text."""
-    for name in names:
-        for child in node:
-            if child.tag == name or child.tag.rpartition("}")[2] == name and "}" in name:
-                if t := _text(child):
-                    return t
-    return ""
-
-
 def _entry(item: dict, pos: int) -> dict:
     return {"pos": pos} | item | {"item_json": json.dumps(item, default=str, ensure_ascii=False)}
 

@@ -6,12 +6,12 @@ driver, page by page.
 
 from __future__ import annotations
 
-import base64
 import html
 import json
 import re
 from datetime import date, datetime
 from pathlib import Path
+from string import Template
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -112,12 +112,48 @@ def site_frames(frame: DataFrame, feeds: DataFrame, metadata: DataFrame, favicon
     return nested.join(f, "feed_url").join(icons, "feed_url", "left")
 
 
-_PAGE = """<!DOCTYPE html>
-<html lang="en"><head><meta charset="utf-8"><title>{title}</title><link rel="stylesheet" href="{root}assets/style.css"></head>
-<body><header><h1><a href="{root}index.html">Feeds</a></h1><p>{window}</p></header><main>
-{body}
+#: The site's page and its assets; ``extract`` writes them out, ``write_site`` takes
+#: folders with changed ones. A page has $title, $root, $window and $body.
+TEMPLATES = {
+    "page.html": """<!DOCTYPE html>
+<html lang="en"><head><meta charset="utf-8"><title>$title</title><link rel="stylesheet" href="${root}assets/style.css"></head>
+<body><header><h1><a href="${root}index.html">Feeds</a></h1><p>$window</p></header><main>
+$body
 </main></body></html>
 """
+}
+ASSETS = {"style.css": "body{font-family:sans-serif;max-width:60em;margin:auto}.icon{width:16px}details{margin:.5em 0}iframe{width:100%}"}
+
+
+def extract(files: dict[str, str], folder: str) -> list[str]:
+    """Write files to a folder; those already there are kept. Returns the names written."""
+    root = Path(folder)
+    root.mkdir(parents=True, exist_ok=True)
+    new = [n for n in files if not (root / n).exists()]
+    for n in new:
+        (root / n).write_text(files[n], encoding="utf-8")
+    return new
+
+
+def page_template(folder: str = "") -> Template:
+    """The page of a folder, or the own one where it has none that can be read."""
+    own = Path(folder) / "page.html"
+    try:
+        return Template(own.read_text(encoding="utf-8") if folder else TEMPLATES["page.html"])
+    except OSError:
+        return Template(TEMPLATES["page.html"])
+
+
+def copy_assets(out: Path, folder: str = "") -> None:
+    """Copy all files below a folder, or the own assets."""
+    if not folder:
+        extract(ASSETS, str(out))
+        return
+    for p in Path(folder).rglob("*"):
+        if p.is_file():
+            to = out / p.relative_to(folder)
+            to.parent.mkdir(parents=True, exist_ok=True)
+            to.write_bytes(p.read_bytes())
 
 
 def _esc(text) -> str:
@@ -142,28 +178,32 @@ def S_plain(text: str | None) -> str:
     return re.sub(r"\s+", " ", re.sub(r"<[^>]*>", "", text or "").strip())
 
 
-def write_site(frame: DataFrame, out: str, label: str, page_size: int) -> int:
+def write_site(frame: DataFrame, out: str, label: str, page_size: int, templates: str = "", assets: str = "") -> int:
     """Write index, list pages and feed pages; returns the number of feeds.
 
     Feeds come to the driver one at a time, in rank order.
     """
     root = Path(out)
     (root / "feeds").mkdir(parents=True, exist_ok=True)
-    (root / "assets").mkdir(exist_ok=True)
-    (root / "assets" / "style.css").write_text("body{font-family:sans-serif;max-width:60em;margin:auto}.icon{width:16px}details{margin:.5em 0}iframe{width:100%}", encoding="utf-8")
+    copy_assets(root / "assets", assets)
+    template = page_template(templates)
+
+    def write(name: str, title: str | None, up: str, body: str) -> None:
+        (root / name).write_text(template.safe_substitute(title=_esc(title), root=up, window=_esc(label), body=body), encoding="utf-8")
+
     pages: dict[int, list[str]] = {}
     total = 0
     for r in frame.orderBy("rank").toLocalIterator():
         total += 1
         pages.setdefault(r.page, []).append(_feed_line(r, "../"))
         body = f"<h2><a href=\"{_esc(r.feed_url)}\">{_esc(r.feed_title)}</a></h2><p>{_esc(r.description)}</p>" + "\n".join(map(_item, r["items"]))
-        (root / "feeds" / f"{r.feed_id}.html").write_text(_PAGE.format(title=_esc(r.feed_title), root="../", window=_esc(label), body=body), encoding="utf-8")
+        write(f"feeds/{r.feed_id}.html", r.feed_title, "../", body)
     links = []
     for page, lines in sorted(pages.items()):
         first, last = (page - 1) * page_size + 1 if page_size > 0 else 1, min(page * page_size, total) if page_size > 0 else total
         links.append(f'<li><a href="feeds/page-{page}.html">Feeds {first} to {last}</a></li>')
-        (root / "feeds" / f"page-{page}.html").write_text(_PAGE.format(title=f"Page {page}", root="../", window=_esc(label), body="<ul>" + "\n".join(lines) + "</ul>"), encoding="utf-8")
-    (root / "index.html").write_text(_PAGE.format(title="Feeds", root="", window=_esc(label), body="<ul>" + "\n".join(links) + "</ul>"), encoding="utf-8")
+        write(f"feeds/page-{page}.html", f"Page {page}", "../", "<ul>" + "\n".join(lines) + "</ul>")
+    write("index.html", "Feeds", "", "<ul>" + "\n".join(links) + "</ul>")
     return total
 
 
@@ -175,16 +215,6 @@ def clean(out: str) -> None:
             p.unlink()
 
 
-def summary_json(summary: DataFrame) -> str:
-    """A one-row summary as JSON."""
-    return json.dumps({k: _plain(v) for k, v in summary.first().asDict().items()}, indent=2)
-
-
-def data_url(content: str) -> str:
-    """Text as a base64 data URL."""
-    return "data:text/html;base64," + base64.b64encode(content.encode()).decode()
-
-
 def nested_json(feeds: DataFrame, items: DataFrame) -> DataFrame:
     """(url, json) of every feed with its items, built by the executors."""
     position = F.row_number().over(W.partitionBy("feed_url").orderBy(F.col("published_date").desc_nulls_last(), F.col("id").desc()))

@@ -1,18 +1,22 @@
 """The archive as versioned Parquet snapshots.
 
-Spark cannot overwrite what it reads, so each change writes a new directory and then
-swaps a small manifest, which makes a whole batch atomic. All paths go through
-Hadoop's file system API.
+Spark cannot overwrite what it reads, so a change writes new directories and then a new
+manifest that names them. Manifests are numbered and never replaced: the newest one
+counts, a crash leaves the one before, and of two writers that started from the same
+manifest the second fails. Tables are divided into buckets by a hash of their first
+key, and a change rewrites only the buckets it touches. All paths go through Hadoop's
+file system API.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet import schema
@@ -21,11 +25,20 @@ from rivulet.functions.scalars import backfilled_first_seen
 #: Forward-only versions: 2 item archive columns, 3 link metadata, 4 first_seen.
 MIGRATIONS = (1, 2, 3, 4)
 VERSION = max(MIGRATIONS)
+#: Buckets of a new archive's tables; kept in its manifest.
+BUCKETS = 64
+#: Column that a snapshot is divided by; bytes of a file that compaction aims at.
+BUCKET, FILE_BYTES = "__bucket", 128 << 20
+_MANIFEST = re.compile(r"manifest-(\d{10})\.json$")
+
+
+class Conflict(RuntimeError):
+    """Another writer has committed since the manifest was read."""
 
 
 @dataclass
 class Store:
-    """Tables below ``path``; the manifest names each table's current directory."""
+    """Tables below ``path``; the manifest names the directory of each bucket."""
 
     spark: SparkSession
     path: str
@@ -35,16 +48,25 @@ class Store:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(name)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
+    def _newest(self) -> int:
+        """Number of the newest manifest; 0 is an unnumbered one, -1 none."""
+        fs, p = self._fs(self.path)
+        if not fs.exists(p):
+            return -1
+        names = [status.getPath().getName() for status in fs.listStatus(p)]
+        return max([int(m[1]) for n in names if (m := _MANIFEST.match(n))], default=0 if "manifest.json" in names else -1)
+
     def exists(self) -> bool:
-        fs, p = self._fs(f"{self.path}/manifest.json")
-        return fs.exists(p)
+        return self._newest() >= 0
 
     def open(self) -> Store:
-        """Read the manifest and bring older archives up to date."""
-        if not self.exists():
+        """Read the newest manifest and bring older archives up to date."""
+        number = self._newest()
+        if number < 0:
             raise FileNotFoundError(f"no archive at {self.path}")
-        text = "\n".join(r.value for r in self.spark.read.text(f"{self.path}/manifest.json").collect())
-        self.manifest = json.loads(text)
+        name = f"manifest-{number:010d}.json" if number else "manifest.json"
+        self.manifest = json.loads("\n".join(r.value for r in self.spark.read.text(f"{self.path}/{name}").collect()))
+        self.manifest["number"] = number
         if self.manifest["version"] < VERSION:
             self.migrate()
         return self
@@ -53,26 +75,63 @@ class Store:
         """Make an empty archive; an existing one is opened."""
         if self.exists():
             return self.open()
-        self.manifest = {"version": VERSION, "tables": {}, "applied": {}}
+        self.manifest = {"version": VERSION, "tables": {}, "applied": {}, "buckets": BUCKETS}
         self.commit({n: self.spark.createDataFrame([], s) for n, s in schema.TABLES.items()})
         return self
 
     def _save(self) -> None:
+        """Add the next manifest: written aside, then renamed to a name that must be free."""
+        jvm = self.spark._jvm
         temporary = f"{self.path}/manifest-{uuid.uuid4().hex}.tmp"
         fs, p = self._fs(temporary)
+        number = self.manifest.get("number", 0) + 1
         out = fs.create(p, True)
-        out.write(bytearray(json.dumps(self.manifest, indent=1, default=str).encode()))
+        out.write(bytearray(json.dumps(self.manifest | {"number": number}, indent=1, default=str).encode()))
         out.close()
-        _, target = self._fs(f"{self.path}/manifest.json")
-        old = f"{self.path}/manifest.old"
-        _, aside = self._fs(old)
-        if fs.exists(target):
-            fs.delete(aside, False)
-            fs.rename(target, aside)
-        fs.rename(p, target)
+        _, target = self._fs(f"{self.path}/manifest-{number:010d}.json")
+        options = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(p).toUri(), self.spark._jsc.hadoopConfiguration()).rename(
+                fs.makeQualified(p), fs.makeQualified(target), options
+            )
+        except Exception as error:
+            fs.delete(p, False)
+            if "FileAlreadyExists" in str(error):
+                raise Conflict(f"{self.path}: manifest {number} is there already; open the archive again") from None
+            raise
+        self.manifest["number"] = number
 
-    def table(self, name: str) -> DataFrame:
-        return self.spark.read.schema(schema.TABLES[name]).parquet(f"{self.path}/{self.manifest['tables'][name]}")
+    @property
+    def buckets(self) -> int:
+        return self.manifest.get("buckets", BUCKETS)
+
+    def bucket(self, key: str | Column) -> Column:
+        """Bucket of a feed's URL (items, feeds) or a link (metadata)."""
+        return F.pmod(F.xxhash64(F.col(key) if isinstance(key, str) else key), F.lit(self.buckets)).cast("int")
+
+    def touched(self, rows: DataFrame, key: str) -> list[int]:
+        """Buckets that the keys of some rows fall into."""
+        return sorted(r[0] for r in rows.select(self.bucket(key)).distinct().collect())
+
+    def table(self, name: str, buckets: list[int] | None = None) -> DataFrame:
+        """A table, or those of its buckets alone."""
+        held = self.manifest["tables"][name]
+        if isinstance(held, str):  # of an archive before there were buckets
+            rows = self.spark.read.schema(schema.TABLES[name]).parquet(f"{self.path}/{held}")
+            return rows if buckets is None else rows.filter(self.bucket(schema.KEYS[name][0]).isin(buckets))
+        found = [held[str(b)] for b in (range(self.buckets) if buckets is None else buckets) if str(b) in held]
+        if not found:
+            return self.spark.createDataFrame([], schema.TABLES[name])
+        return self.spark.read.schema(schema.TABLES[name]).parquet(*(f"{self.path}/{p}" for p in found))
+
+    def part(self, feed_buckets: list[int]) -> Part:
+        """The feeds and items of some buckets, for a merge that touches no others."""
+        return Part(self.table("feeds", feed_buckets), self.table("items", feed_buckets), self.next_id)
+
+    @property
+    def next_id(self) -> int:
+        """The largest item id in use; one column of the whole table is read."""
+        return self.items.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first().top
 
     @property
     def feeds(self) -> DataFrame:
@@ -86,35 +145,77 @@ class Store:
     def url_metadata(self) -> DataFrame:
         return self.table("url_metadata")
 
-    def commit(self, tables: dict[str, DataFrame]) -> None:
-        """Replace tables together. Items are clustered by feed and date, so that
-        file statistics let scans of one feed or period skip files."""
-        new = {}
+    def commit(self, tables: dict[str, DataFrame], buckets: dict[str, list[int]] | None = None) -> None:
+        """Replace tables together, or of each the ``buckets`` named for it.
+
+        A bucket's rows are sorted by key (items by feed and date), so that file
+        statistics let scans of one feed or period skip files and row groups. Rows go to
+        files by ranges, so a bucket with one large feed is many files.
+        """
+        held = {n: dict(h) if isinstance(h, dict) else h for n, h in self.manifest.get("tables", {}).items()}
         for name, df in tables.items():
-            wanted = [c.split()[0] for c in schema.TABLES[name].split(", ")]
+            only = None if buckets is None else buckets.get(name)
+            if only == []:
+                continue
             types = {c.split()[0]: c.split()[1] for c in schema.TABLES[name].split(", ")}
-            df = df.select(*((F.col(c) if c in df.columns else F.lit(None)).cast(types[c]).alias(c) for c in wanted))
-            if name == "items":
-                df = df.repartitionByRange("feed_url").sortWithinPartitions("feed_url", "published_date")
-            new[name] = f"{name}/snapshot={uuid.uuid4().hex}"
-            df.write.parquet(f"{self.path}/{new[name]}")
-        self.manifest["tables"] = self.manifest.get("tables", {}) | new
+            df = df.select(*((F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in types.items()))
+            if only is not None and isinstance(held.get(name), str):
+                df, only = df.unionByName(self.table(name).filter(~self.bucket(schema.KEYS[name][0]).isin(only))), None
+            order = [BUCKET, schema.KEYS[name][0], *(["published_date"] if name == "items" else [])]
+            rows = df.withColumn(BUCKET, self.bucket(schema.KEYS[name][0]))
+            snapshot = f"{name}/snapshot={uuid.uuid4().hex}"
+            rows.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy(BUCKET).parquet(f"{self.path}/{snapshot}")
+            fs, p = self._fs(f"{self.path}/{snapshot}")
+            names = [status.getPath().getName() for status in fs.listStatus(p)]
+            made = {n.split("=")[1]: f"{snapshot}/{n}" for n in names if n.startswith(f"{BUCKET}=")}
+            old = held.get(name) if only is not None else {}
+            held[name] = {b: d for b, d in old.items() if int(b) not in only} | made if only is not None else made
+        self.manifest["tables"] = held
         self._save()
 
+    def _used(self) -> set[str]:
+        held = self.manifest["tables"].values()
+        return {d for h in held for d in (h.values() if isinstance(h, dict) else [h])}
+
     def vacuum(self) -> None:
-        """Delete snapshots that the manifest no longer names."""
-        keep = set(self.manifest["tables"].values())
+        """Join small files, and delete what the newest manifest no longer names."""
+        self.compact()
+        used = self._used()
         for name in schema.TABLES:
             fs, p = self._fs(f"{self.path}/{name}")
-            if fs.exists(p):
-                for status in fs.listStatus(p):
-                    if f"{name}/{status.getPath().getName()}" not in keep:
-                        fs.delete(status.getPath(), True)
+            for snapshot in fs.listStatus(p) if fs.exists(p) else []:
+                at = f"{name}/{snapshot.getPath().getName()}"
+                kept = [d for d in used if d == at or d.startswith(f"{at}/")]
+                if not kept:
+                    fs.delete(snapshot.getPath(), True)
+                elif at not in kept:
+                    for bucket in fs.listStatus(snapshot.getPath()):
+                        if f"{at}/{bucket.getPath().getName()}" not in kept:
+                            fs.delete(bucket.getPath(), True)
+        fs, p = self._fs(self.path)
+        for status in fs.listStatus(p):
+            m = _MANIFEST.match(status.getPath().getName())
+            if (m and int(m[1]) < self.manifest["number"]) or status.getPath().getName().endswith(".tmp"):
+                fs.delete(status.getPath(), False)
+
+    def compact(self, file_bytes: int = FILE_BYTES) -> dict[str, list[int]]:
+        """Rewrite buckets that have more files than their bytes need; returns them."""
+        found: dict[str, list[int]] = {}
+        for name, held in self.manifest["tables"].items():
+            for bucket, at in held.items() if isinstance(held, dict) else ():
+                fs, p = self._fs(f"{self.path}/{at}")
+                sizes = [s.getLen() for s in fs.listStatus(p) if s.getPath().getName().endswith(".parquet")]
+                if len(sizes) > max(1, -(-sum(sizes) // file_bytes)):
+                    found.setdefault(name, []).append(int(bucket))
+        if found:
+            self.commit({n: self.table(n, b) for n, b in found.items()}, found)
+        return found
 
     def migrate(self, now: datetime | None = None) -> None:
         """Bring the tables to the current version, once for each version."""
         now = now or datetime.utcnow()
         version = self.manifest["version"]
+        self.manifest.setdefault("buckets", BUCKETS)
         read = lambda n: self.spark.read.parquet(f"{self.path}/{self.manifest['tables'][n]}")
         changed = {}
         if version < 2:
@@ -129,6 +230,15 @@ class Store:
         self.commit(changed)
 
 
+@dataclass
+class Part:
+    """Some buckets of feeds and items, and the largest item id of the whole archive."""
+
+    feeds: DataFrame
+    items: DataFrame
+    top_id: int
+
+
 def migrate_first_seen(feeds: DataFrame, items: DataFrame, now: datetime) -> dict[str, DataFrame]:
     """Fill first_seen where it is missing, and take latest dates from it."""
     from rivulet.operators.relations import latest_by_first_seen

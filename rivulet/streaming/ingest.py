@@ -37,7 +37,7 @@ def start(responses: DataFrame, store: Store, checkpoint: str, max_items: int =
         newest.write.mode("overwrite").parquet(landed)
         rows = batch.sparkSession.read.schema(schema.RESPONSES).parquet(landed)
         store.open()
-        merged = ingest.fetch_batch(batch.sparkSession, store, rows, at, max_items)
-        store.commit({"feeds": merged.feeds, "items": merged.items})
+        merged, buckets = ingest.fetch_into(store, rows, at, max_items, f"{landed}-parsed")
+        store.commit({"feeds": merged.feeds, "items": merged.items}, buckets)
 
     return responses.writeStream.foreachBatch(merge_batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -4,8 +4,10 @@ import http.server
 import json
 import threading
 import urllib.request
+import uuid
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 
 from rivulet import schema
@@ -13,7 +15,7 @@ from rivulet.plans.commands import Archive
 from rivulet.plans.config import Config
 from rivulet.sources import feeds as source
 from rivulet.sources import opml
-from rivulet.sources.store import Store
+from rivulet.sources.store import Conflict, Store
 from rivulet.streaming import ingest as streaming
 
 NOW = datetime(2024, 1, 2)
@@ -206,3 +208,124 @@ def test_config_layers():
     assert (c.fetch_concurrency, c.path, c.with_unfurl, c.min_items_per_feed, c.serve_port) == (8, "/x", True, 5, 8889)
     with pytest.raises(ValueError):
         Config.load({"nope": 1}, {})
+
+
+def test_manifests_are_numbered_and_never_replaced(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "a")).init()
+    other = Store(spark, store.path).open()
+    feed = spark.createDataFrame([("https://f/1",)], "url string")
+    store.commit({"feeds": feed}, {"feeds": store.touched(feed, "url")})
+    with pytest.raises(Conflict):
+        other.commit({"feeds": feed}, {"feeds": other.touched(feed, "url")})
+    assert [f.url for f in other.open().feeds.collect()] == ["https://f/1"]
+    # A manifest that was written aside but never renamed does not count.
+    (tmp_path / "a" / "manifest-half.tmp").write_text("{")
+    assert Store(spark, store.path).open().manifest["number"] == 2
+    store.vacuum()
+    assert not (tmp_path / "a" / "manifest-half.tmp").exists() and Store(spark, store.path).open().feeds.count() == 1
+
+
+def test_a_change_rewrites_only_the_buckets_it_touches(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "a")).init()
+    urls = [f"https://f/{k}" for k in range(40)]
+    rows = spark.createDataFrame([(k, u, "g", f"t{k}") for k, u in enumerate(urls)], "id bigint, feed_url string, guid string, title string")
+    store.commit({"items": rows})
+    before = dict(store.manifest["tables"]["items"])
+    one = spark.createDataFrame([(99, urls[3], "h", "new")], "id bigint, feed_url string, guid string, title string")
+    buckets = store.touched(one, "feed_url")
+    store.commit({"items": store.table("items", buckets).select(*one.columns).unionByName(one)}, {"items": buckets})
+    after = store.manifest["tables"]["items"]
+    assert len(buckets) == 1 and {b for b in after if after[b] != before.get(b)} == {str(buckets[0])}
+    assert store.items.count() == 41 and store.next_id == 99
+    gone = store.table("items", buckets).limit(0)
+    store.commit({"items": gone}, {"items": buckets})
+    assert str(buckets[0]) not in store.manifest["tables"]["items"] and store.table("items", buckets).count() == 0
+
+
+def test_compaction_joins_small_files(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "a")).init()
+    rows = spark.createDataFrame([(k, "https://f/1", f"g{k}", datetime(2024, 1, 1 + k % 28)) for k in range(400)], "id bigint, feed_url string, guid string, published_date timestamp_ntz")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store.commit({"items": rows})
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    (bucket,) = store.manifest["tables"]["items"]
+    files = lambda: len(list((tmp_path / "a" / store.manifest["tables"]["items"][bucket]).glob("*.parquet")))
+    assert files() > 1
+    assert store.compact() == {"items": [int(bucket)]} and files() == 1 and store.compact() == {}
+    assert store.items.count() == 400
+
+
+def test_single_results_counts_and_views(archive):
+    s = fetch(archive, ("https://f/1", 200, RSS, None), url="https://f/1")
+    assert (s["mode"], s["title"], s["items"], s["cached"]) == ("single", "Test & Feed", 2, False)
+    assert (s["upserted"], s["archived"]) == (2, 0)
+    s = fetch(archive, ("https://f/1", 200, ONE, None), url="https://f/1")
+    assert (s["upserted"], s["archived"]) == (1, 1)
+    s = fetch(archive, ("https://f/1", 304, None, None), url="https://f/1")
+    assert s["cached"] is True and s["title"] == "Test & Feed"
+    s = fetch(archive, ("https://f/1", 500, None, "HTTP 500"), url="https://f/1")
+    assert s["error"] == "HTTP 500" and "title" not in s
+    sql = archive.views().sql("SELECT f.title, count(i.id) AS n FROM feeds f JOIN items i ON i.feed_url = f.url AND NOT i.archived GROUP BY f.title")
+    assert [tuple(r) for r in sql.collect()] == [("Test & Feed", 1)]
+
+
+def test_templates_and_assets_of_ones_own(archive, tmp_path):
+    archive.init(str(tmp_path / "t"), str(tmp_path / "assets"))
+    page = tmp_path / "t" / "page.html"
+    page.write_text(page.read_text().replace("<h1>", "<h1>Mine: $5 "))
+    (tmp_path / "assets" / "fonts").mkdir()
+    (tmp_path / "assets" / "fonts" / "f.bin").write_bytes(b"x")
+    fetch(archive, ("https://f/1", 200, RSS, None), url="https://f/1")
+    assert archive.render(max_age="48h", templates=str(tmp_path / "t"), assets=str(tmp_path / "assets")) == 1
+    site = tmp_path / "site"
+    assert "Mine: $5" in (site / "index.html").read_text() and (site / "assets" / "fonts" / "f.bin").exists() and (site / "assets" / "style.css").exists()
+    assert archive.render(max_age="48h", templates=str(tmp_path / "none")) == 1 and "Mine" not in (site / "index.html").read_text()
+    archive.init(str(tmp_path / "t"))
+    assert "Mine" in page.read_text()  # what is there is kept
+
+
+def test_robots_answers_count_for_an_hour(spark, tmp_path, monkeypatch):
+    from rivulet.plans import unfurl
+
+    seen = tmp_path / "seen"
+    seen.mkdir()
+
+    def pages(limit):
+        def run(batches):
+            for b in batches:
+                for u in b["url"]:
+                    if u.endswith("robots.txt"):
+                        (seen / uuid.uuid4().hex).write_text(u)
+                yield pd.DataFrame({"url": b["url"], "status": 200, "body": ["User-agent: *\nDisallow: /no" if u.endswith("robots.txt") else "<title>T</title>" for u in b["url"]], "error": None})
+
+        return run
+
+    monkeypatch.setattr(unfurl, "_get_pages", pages)
+    urls = spark.createDataFrame([("https://h/a",), ("https://h/no/b",), ("https://k/c",)], "url string")
+    for at, asked in ((NOW, 2), (NOW + timedelta(minutes=30), 2), (NOW + timedelta(hours=2), 4)):
+        rows = {r.url: r.fetch_error for r in unfurl.unfurl(urls, at, str(tmp_path / "landing")).collect()}
+        assert rows == {"https://h/a": None, "https://h/no/b": "blocked by robots.txt", "https://k/c": None}
+        assert len(list(seen.iterdir())) == asked
+
+
+def test_page_title_is_the_last_one(spark):
+    from rivulet.functions import scalars as S
+
+    df = spark.createDataFrame([("<head><title>a</title><TITLE x>b</TITLE></head>",), ("none",)], "h string")
+    assert [r[0] for r in df.select(S.page_title("h")).collect()] == ["b", ""]
+
+
+def test_ranks_do_not_depend_on_the_ranges(spark, monkeypatch):
+    from rivulet.operators import selection
+
+    rows = [(f"https://f/{k:03d}", NOW if k % 3 else NOW - timedelta(days=k), None) for k in range(200)] + [(f"https://n/{k}", None, None) for k in range(20)]
+    feeds = spark.createDataFrame(rows, "url string, latest_item_date timestamp_ntz, last_updated timestamp_ntz")
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] - datetime(1970, 1, 1)).total_seconds() if r[1] else 0, r[0]))
+    for sample, ranges in ((10_000, 64), (5, 3), (1, 1)):
+        monkeypatch.setattr(selection, "RANGE_SAMPLE", sample)
+        monkeypatch.setattr(selection, "RANGES", ranges)
+        got = {r.url: r["rank"] for r in selection.ranked_feeds(feeds, NOW).collect()}
+        assert got == {r[0]: k for k, r in enumerate(want, 1)}
+    assert selection.ranked_feeds(feeds.limit(0), NOW).count() == 0
