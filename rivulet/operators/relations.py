@@ -136,3 +136,8 @@ def unfurl_summary(results: DataFrame) -> DataFrame:
     """Numbers of successful and failed unfurls."""
     failed = F.col("error").isNotNull() & (F.col("error") != "")
     return results.agg(F.count_if(~failed).alias("successful"), F.count_if(failed).alias("failed"))
+
+
+def latest_version(applied: DataFrame) -> DataFrame:
+    """One row with the newest of the applied versions; null before any."""
+    return applied.agg(F.max("version").alias("version"))

@@ -201,6 +201,14 @@ def stale_feeds(spark, d):
     return sel.stale_feeds(A.feeds(spark, d), PURGE).select("url", "latest_item_date")
 
 
+# Some feeds fail often and some do not: the threshold is their mean.
+
+
+@register("failing_feeds_over_20", O.with_views("SELECT url, error_count FROM feeds WHERE error_count > 20"))
+def failing_feeds_over_20(spark, d):
+    return sel.failing_feeds(A.feeds(spark, d), 20).select("url", "error_count")
+
+
 @register("failing_feeds", O.with_views("SELECT url, error_count FROM feeds WHERE error_count > 3"))
 def failing_feeds(spark, d):
     return sel.failing_feeds(A.feeds(spark, d)).select("url", "error_count")
@@ -308,11 +316,11 @@ def new_items(spark, d):
     return R.new_items(i.filter(F.col("published_date") >= S.ts(PURGE)), i.filter(F.col("published_date") < S.ts(RETRY))).select("id", "guid")
 
 
-@register("max_version", "SELECT CAST(4 AS BIGINT) AS version")
+@register("max_version", "SELECT CAST(max(r_regionkey) AS BIGINT) AS version FROM region")
 def max_version(spark, d):
-    from rivulet.sources.store import MIGRATIONS
-
-    return spark.createDataFrame([(v,) for v in MIGRATIONS], "version bigint").agg(F.max("version").alias("version"))
+    """Latest of the versions that a table of applied migrations lists; the regions stand for them."""
+    applied = spark.read.parquet(f"{d}/region.parquet").select(F.col("r_regionkey").cast("bigint").alias("version"))
+    return R.latest_version(applied)
 
 
 # Deletes
@@ -328,19 +336,36 @@ def purge_age_survivors(spark, d):
     return merge.purge_by_age(A.items(spark, d), PURGE)[1].select("id")
 
 
-_FLOORED = f"placed AS (SELECT *, row_number() OVER (PARTITION BY feed_url ORDER BY published_date DESC NULLS LAST, id DESC) AS r FROM items), gone AS (SELECT id FROM placed WHERE archived AND published_date < {_PURGE} AND r > 3)"
+def _floored(floor: int) -> str:
+    return (
+        "placed AS (SELECT *, row_number() OVER (PARTITION BY feed_url ORDER BY published_date DESC NULLS LAST, id DESC) AS r FROM items), "
+        f"gone AS (SELECT id FROM placed WHERE archived AND published_date < {_PURGE} AND r > {floor})"
+    )
 
 
-@register("purge_floor_3", O.with_views("SELECT id FROM gone", _FLOORED))
+@register("purge_floor_3", O.with_views("SELECT id FROM gone", _floored(3)))
 def purge_floor_3(spark, d):
     return merge.purge_with_floor(A.items(spark, d), PURGE, 3)[0].select("id")
 
 
-@register("purge_floor_3_survivors", O.with_views("SELECT id FROM items WHERE id NOT IN (SELECT id FROM gone)", _FLOORED))
+@register("purge_floor_3_survivors", O.with_views("SELECT id FROM items WHERE id NOT IN (SELECT id FROM gone)", _floored(3)))
 def purge_floor_3_survivors(spark, d):
     return merge.purge_with_floor(A.items(spark, d), PURGE, 3)[1].select("id")
 
 
+# A floor that keeps items which age alone would delete.
+
+
+@register("purge_floor_60", O.with_views("SELECT id FROM gone", _floored(60)))
+def purge_floor_60(spark, d):
+    return merge.purge_with_floor(A.items(spark, d), PURGE, 60)[0].select("id")
+
+
+@register("purge_floor_60_survivors", O.with_views("SELECT id FROM items WHERE id NOT IN (SELECT id FROM gone)", _floored(60)))
+def purge_floor_60_survivors(spark, d):
+    return merge.purge_with_floor(A.items(spark, d), PURGE, 60)[1].select("id")
+
+
 @register("feeds_unsubscribed", O.with_views("SELECT url FROM feeds WHERE url NOT IN (SELECT feed_url FROM subscriptions)"))
 def feeds_unsubscribed(spark, d):
     return R.feeds_not_listed(A.feeds(spark, d), A.subscriptions(spark, d)).select("url")
@@ -630,15 +655,17 @@ def list_added_count(spark, d):
     return lists.added_count(A.subscriptions(spark, d), A.feeds(spark, d).filter("user_id % 2 = 0").select(F.col("url").alias("feed_url")))
 
 
-# Parsers: results are checked by vectors in the tests
+# Parsers: results are checked by vectors in the tests, and by SQL for what the test tables hold
 
+_PLAIN_TITLE = r"replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&')"
 
-@register("html_unescape")
+
+@register("html_unescape", f"SELECT page_id, {_PLAIN_TITLE} AS title FROM pages")
 def html_unescape(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", H.html_unescape(S.page_title("html")).alias("title"))
 
 
-@register("resolve_urls")
+@register("resolve_urls", "SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') || 'img/a.png' AS image FROM pages")
 def resolve_urls(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", H.resolve_url("url", F.lit("img/a.png")).alias("image"))
 
@@ -661,14 +688,20 @@ def parse_feed(spark, d):
     return parse.parse_documents(parse.sample_responses(A.items(spark, d))).select("feed_url", "error", "title", F.size("items").alias("n_items"))
 
 
-@register("opml_urls")
+@register("opml_urls", O.with_views(
+    "SELECT 'list-' || substr(md5(feed_url), 1, 2) AS name, CAST(row_number() OVER (PARTITION BY substr(md5(feed_url), 1, 2) ORDER BY feed_url) - 1 AS INTEGER) AS ordinal, feed_url FROM subscriptions"))
 def opml_urls(spark, d):
     from rivulet.sources import opml
 
     return opml.urls_of(opml.documents_from_list(A.subscriptions(spark, d)))
 
 
-@register("ingest_snapshot")
+_SECOND = "date_trunc('second', published_date)"
+
+
+@register("ingest_snapshot", O.with_views(
+    f"""SELECT feed_url, guid, arg_max(title, pos) AS title, arg_min({_SECOND}, pos) AS published_date, {_NOW} AS first_seen, FALSE AS archived
+FROM (SELECT *, row_number() OVER (PARTITION BY feed_url ORDER BY id) AS pos FROM items) WHERE pos <= 100 GROUP BY feed_url, guid"""))
 def ingest_snapshot(spark, d):
     from rivulet.plans import ingest
     from rivulet.sources import feeds as parse
@@ -677,7 +710,8 @@ def ingest_snapshot(spark, d):
     return out.items.select("feed_url", "guid", "title", "published_date", "first_seen", "archived")
 
 
-@register("unfurl_rows")
+@register("unfurl_rows", f"""SELECT url, nullif({_PLAIN_TITLE}, '') AS title, CAST(NULL AS VARCHAR) AS description, CAST(NULL AS VARCHAR) AS image_url,
+regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/favicon.ico' AS favicon_url, {_NOW} AS last_fetch_at, CAST(200 AS BIGINT) AS fetch_status_code, CAST(NULL AS VARCHAR) AS fetch_error FROM pages""")
 def unfurl_rows(spark, d):
     from rivulet.plans import unfurl
 

@@ -48,7 +48,7 @@ def parse_opml(text: str) -> list[str]:
 def parse_text_list(text: str) -> list[str]:
     """One URL a line; blank lines and comments are skipped, a bad line is an error."""
     urls = []
-    for number, line in enumerate(text.splitlines(), 1):
+    for number, line in enumerate(text.split("\n"), 1):
         line = line.strip()
         if not line or line.startswith("#"):
             continue
@@ -97,10 +97,10 @@ def urls_of(documents: DataFrame) -> DataFrame:
     return documents.select("name", F.posexplode(_opml_column("text")).alias("ordinal", "feed_url"))
 
 
-def documents_from_list(listed: DataFrame, groups: int = 64) -> DataFrame:
-    """OPML documents of a list, dealt over some groups by a hash of the URL."""
+def documents_from_list(listed: DataFrame) -> DataFrame:
+    """OPML documents of a list, dealt over 256 groups by a hash of the URL."""
     outline = F.concat(F.lit('<outline text="'), "feed_url", F.lit('" xmlUrl="'), "feed_url", F.lit('"/>'))
-    named = listed.withColumn("name", F.concat(F.lit("list-"), F.pmod(F.xxhash64("feed_url"), F.lit(groups)).cast("string")))
+    named = listed.withColumn("name", F.concat(F.lit("list-"), F.substring(F.md5("feed_url"), 1, 2)))
     body = F.array_join(F.array_sort(F.collect_list(outline)), "")
     return named.groupBy("name").agg(F.concat(F.lit('<opml version="2.0"><body><outline text="all">'), body, F.lit("</outline></body></opml>")).alias("text"))
 
@@ -139,7 +139,7 @@ def format_opml(urls: list[str], title: str = "Feeds", base: str | None = None)
 
 
 def format_text_list(urls: list[str], at: datetime) -> str:
-    head = ["# Feed list generated on " + at.strftime("%Y-%m-%d %H:%M:%S"), "# One feed URL per line, comments start with #", ""]
+    head = [f"# Subscriptions, written {at:%Y-%m-%d %H:%M:%S} UTC", "# A line is a feed's address or, after a number sign, a remark", ""]
     return "\n".join([*head, *urls, ""])
 
 
