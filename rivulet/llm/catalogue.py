@@ -26,6 +26,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_suffix_dedup": suffix_dedup.ORACLE,
+        "op5_near_dedup": near_dedup.ORACLE,
         "op6_decontamination": decontamination.ORACLE,
         "op9_exact_dedup": exact_dedup.ORACLE,
         "op10_substring_dedup": substring_dedup.ORACLE,

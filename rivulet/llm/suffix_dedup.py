@@ -606,3 +606,30 @@ def drop_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Removed bytes of every document."""
     return drop_repeated_strings(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH docs AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), blocks AS (
+  SELECT doc_id, 500 * k AS a, substr(h, 1000 * k + 1, 1398) AS part FROM docs, unnest(generate_series(0, (length(h) // 2 - 200) // 500)) AS g(k) WHERE length(h) >= 400
+), windows AS MATERIALIZED (
+  SELECT doc_id, a + i AS i, md5_number(substr(part, 2 * i + 1, 400)) AS key FROM blocks, unnest(generate_series(0, length(part) // 2 - 200)) AS g(i)
+), again AS (
+  SELECT doc_id, i FROM windows WHERE key IN (SELECT key FROM windows GROUP BY key HAVING count(*) > 1)
+), marked AS (
+  SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200, TRUE) AS fresh FROM again
+), numbered AS (
+  SELECT doc_id, i, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked
+), spans AS (
+  SELECT doc_id, run, min(i) AS a, max(i) + 200 AS b FROM numbered GROUP BY doc_id, run
+), gaps AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p, a AS q FROM spans
+  UNION ALL SELECT d.doc_id, coalesce(max(b), 0), length(any_value(h)) // 2 FROM docs d LEFT JOIN spans s ON s.doc_id = d.doc_id GROUP BY d.doc_id
+), kept AS (
+  SELECT doc_id, string_agg(substr(h, 2 * p + 1, 2 * (q - p)), '' ORDER BY p) AS k FROM gaps JOIN docs USING (doc_id) GROUP BY doc_id
+), counted AS (SELECT doc_id, count(*) AS n, sum(b - a) AS removed FROM spans GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(k)) AS kept_sha256
+FROM docs d JOIN kept USING (doc_id) LEFT JOIN counted USING (doc_id)
+"""

@@ -2,9 +2,11 @@
 
 import hashlib
 import math
+import os
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -20,6 +22,8 @@ from rivulet.llm.tokenizers import load_ranks
 from test_exact_dedup import brute as exact_brute
 from test_pipeline import fixture
 
+DATA = "/root/testdata/sf0.001"
+
 
 def sha(raw):
     return hashlib.sha256(raw.encode() if isinstance(raw, str) else raw).hexdigest()
@@ -161,3 +165,15 @@ def test_queries_take_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "conv_id bigint, turn int, role string, text string").write.parquet(f"{sf}/conversations.parquet")
     for name, query in catalogue.queries().items():
         assert query(spark, sf).count() == 0, name
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
+def test_matches_sql(spark, name):
+    duck = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        duck.sql(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
+    df = catalogue.queries()[name](spark, DATA)
+    want = duck.sql(catalogue.oracle_sql()[name])
+    assert sorted(want.columns) == sorted(df.columns)
+    assert sorted(map(tuple, df.select(*want.columns).collect())) == sorted(want.fetchall())
