@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from rivulet.llm.storage import documents
 from rivulet.llm.textscan import pieces, text_bytes
-from rivulet.llm.tokenizers import MARKS, WORD_BYTES, Memo, load_ranks, piece_pattern, split_words, vocabulary_path
+from rivulet.llm.tokenizers import MARKS, PAIR_BYTES, WORD_BYTES, Memo, load_ranks, piece_pattern, split_words, vocabulary_path
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -37,7 +37,7 @@ class BytePairEncoder:
         self.split: dict[int, tuple[int, int]] = {}
         self.joined: dict[tuple[int, int], int] = {}
         #: Whether two tokens may be neighbours, by left << 32 | right.
-        self.compatible = Memo(lambda pair: self._compatible(pair >> 32, pair & 0xFFFFFFFF))
+        self.compatible = Memo(lambda pair: self._compatible(pair >> 32, pair & 0xFFFFFFFF), PAIR_BYTES)
         self.automaton = ahocorasick.Automaton()
         #: rank -> the longest token that is a shorter prefix of it.
         self.shorter: dict[int, int] = {}
