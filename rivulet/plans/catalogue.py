@@ -529,10 +529,18 @@ def feed_label(spark, d):
     return A.feeds(spark, d).select("url", S.feed_time_label("latest_item_date", "last_fetch_time").alias("label"))
 
 
-@register("url_valid", r"SELECT page_id, regexp_matches(CASE page_id % 5 WHEN 0 THEN replace(url, 'http', 'ftp') WHEN 1 THEN 'https://' WHEN 2 THEN '' ELSE url END, '^[hH][tT][tT][pP][sS]?://[^/?#\s:@]+(:[0-9]*)?([/?#]|$)') AS valid FROM pages")
+_ODD_URL = "CASE page_id % 5 WHEN 0 THEN replace(url, 'http', 'ftp') WHEN 1 THEN 'https://' WHEN 2 THEN '' ELSE url END"
+_VALID_URL = rf"SELECT page_id, regexp_matches({_ODD_URL}, '^[hH][tT][tT][pP][sS]?://[^/?#\s:@]+(:[0-9]*)?([/?#]|$)') AS valid FROM pages"
+
+
+@register("url_valid", _VALID_URL)
 def url_valid(spark, d):
-    u = F.expr("CASE page_id % 5 WHEN 0 THEN replace(url, 'http', 'ftp') WHEN 1 THEN 'https://' WHEN 2 THEN '' ELSE url END")
-    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", S.looks_like_url(u).alias("valid"))
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", S.looks_like_url(F.expr(_ODD_URL)).alias("valid"))
+
+
+@register("url_valid_parsed", _VALID_URL)
+def url_valid_parsed(spark, d):
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", S.is_valid_url(F.expr(_ODD_URL)).alias("valid"))
 
 
 @register("favicon_default", "SELECT url, regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/favicon.ico' AS favicon FROM pages")
@@ -681,7 +689,13 @@ def robots_rules(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", H.parse_robots(body).alias("r")).select("page_id", "r.*")
 
 
-@register("parse_feed")
+@register("robots_rules_text", "SELECT page_id, '/p' || page_id AS allow, '/a' AS disallow FROM pages")
+def robots_rules_text(spark, d):
+    joined = (F.array_join(c, "|").alias(c) for c in ("allow", "disallow"))
+    return robots_rules(spark, d).select("page_id", *joined)
+
+
+@register("parse_feed", O.with_views("SELECT feed_url, CAST(NULL AS VARCHAR) AS error, feed_url AS title, CAST(count(*) AS INTEGER) AS n_items FROM items GROUP BY feed_url"))
 def parse_feed(spark, d):
     from rivulet.sources import feeds as parse
 
@@ -710,7 +724,7 @@ def ingest_snapshot(spark, d):
     return out.items.select("feed_url", "guid", "title", "published_date", "first_seen", "archived")
 
 
-@register("unfurl_rows", f"""SELECT url, nullif({_PLAIN_TITLE}, '') AS title, CAST(NULL AS VARCHAR) AS description, CAST(NULL AS VARCHAR) AS image_url,
+@register("unfurl_rows", f"""SELECT url, nullif(trim({_PLAIN_TITLE}), '') AS title, CAST(NULL AS VARCHAR) AS description, CAST(NULL AS VARCHAR) AS image_url,
 regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/favicon.ico' AS favicon_url, {_NOW} AS last_fetch_at, CAST(200 AS BIGINT) AS fetch_status_code, CAST(NULL AS VARCHAR) AS fetch_error FROM pages""")
 def unfurl_rows(spark, d):
     from rivulet.plans import unfurl
