@@ -90,7 +90,9 @@ register("items_for_feed_limit", _items_sql("", limit="LIMIT 10"))(lambda s, d:
 register("items_for_feed_oldest", _items_sql("", "published_date ASC NULLS FIRST, id ASC", "LIMIT 10"))(lambda s, d: _items(s, d, limit=10, oldest=True))
 
 
-@register("items_for_feed_set", O.with_views(f"SELECT id, feed_url, published_date FROM items WHERE published_date BETWEEN {_START} AND {_END} AND feed_url IN (SELECT feed_url FROM subscriptions)"))
+@register("items_for_feed_set", O.with_views(
+    f"SELECT id, feed_url, published_date FROM items WHERE published_date BETWEEN {_START} AND {_END} "
+    f"AND feed_url IN (SELECT feed_url FROM subscriptions)"))
 def items_for_feed_set(spark, d):
     return sel.items_of_feeds(A.items(spark, d), A.subscriptions(spark, d), START, END).select("id", "feed_url", "published_date")
 
@@ -164,7 +166,9 @@ def min0_max5(spark, d):
     return sel.select_for_render(A.feeds(spark, d), A.items(spark, d), START, END, 0, 5).select("id", "feed_url", "position")
 
 
-@register("page_ranges", O.with_views("SELECT page, (page - 1) * 25 + 1 AS first, least(page * 25, max(rank)) AS last FROM (SELECT rank, CAST(ceil(rank / 25) AS BIGINT) AS page FROM ranked) GROUP BY page", O.ranked()))
+@register("page_ranges", O.with_views(
+    "SELECT page, (page - 1) * 25 + 1 AS first, least(page * 25, max(rank)) AS last "
+    "FROM (SELECT rank, CAST(ceil(rank / 25) AS BIGINT) AS page FROM ranked) GROUP BY page", O.ranked()))
 def page_ranges(spark, d):
     return sel.page_ranges(sel.paged(A.feeds(spark, d), NOW, 25), 25)
 
@@ -181,17 +185,23 @@ def ingest_cap(spark, d):
 # Published recipes
 
 
-@register("recent_items", O.with_views("SELECT i.id, i.title, f.title AS feed_title, i.published_date FROM items i JOIN feeds f ON f.url = i.feed_url WHERE NOT archived ORDER BY published_date DESC, id DESC LIMIT 50"))
+@register("recent_items", O.with_views(
+    "SELECT i.id, i.title, f.title AS feed_title, i.published_date FROM items i JOIN feeds f ON f.url = i.feed_url "
+    "WHERE NOT archived ORDER BY published_date DESC, id DESC LIMIT 50"))
 def recent_items(spark, d):
     return sel.recent_items(A.items(spark, d), A.feeds(spark, d)).select("id", "title", "feed_title", "published_date")
 
 
-@register("new_since", O.with_views(f"SELECT i.id, f.title AS feed_title, i.first_seen FROM items i JOIN feeds f ON f.url = i.feed_url WHERE NOT archived AND first_seen > {_NOW} - INTERVAL 1 DAY"))
+@register("new_since", O.with_views(
+    f"SELECT i.id, f.title AS feed_title, i.first_seen FROM items i JOIN feeds f ON f.url = i.feed_url WHERE NOT archived "
+    f"AND first_seen > {_NOW} - INTERVAL 1 DAY"))
 def new_since(spark, d):
     return sel.new_since(A.items(spark, d), A.feeds(spark, d), NOW - timedelta(days=1)).select("id", "feed_title", "first_seen")
 
 
-@register("topic_search", O.with_views("SELECT id, title, content FROM items WHERE NOT archived AND (title ILIKE '%K\": 1%' OR content ILIKE '%K\": 1%' OR summary ILIKE '%K\": 1%')"))
+@register("topic_search", O.with_views(
+    "SELECT id, title, content FROM items WHERE NOT archived AND (title ILIKE '%K\": 1%' OR content ILIKE '%K\": 1%' "
+    "OR summary ILIKE '%K\": 1%')"))
 def topic_search(spark, d):
     return sel.topic_search(A.items(spark, d), 'K": 1').select("id", "title", "content")
 
@@ -219,7 +229,9 @@ def items_missing_metadata(spark, d):
     return R.items_missing_metadata(A.items(spark, d), A.url_metadata(spark, d)).select("id", "link")
 
 
-@register("items_per_feed", O.with_views("SELECT f.url, f.title, count(i.id) AS item_count FROM feeds f LEFT JOIN items i ON i.feed_url = f.url AND NOT i.archived GROUP BY f.url, f.title"))
+@register("items_per_feed", O.with_views(
+    "SELECT f.url, f.title, count(i.id) AS item_count FROM feeds f LEFT JOIN items i ON i.feed_url = f.url "
+    "AND NOT i.archived GROUP BY f.url, f.title"))
 def items_per_feed(spark, d):
     return R.items_per_feed(A.feeds(spark, d), A.items(spark, d))
 
@@ -239,12 +251,16 @@ _needs("needs_fetch_limit", RETRY, 10)
 _needs("needs_fetch_immediate", NOW, 0)
 
 
-@register("metadata_for_feed", O.with_views(f"SELECT url, favicon_url, fetch_status_code FROM url_metadata WHERE url IN (SELECT link FROM items WHERE feed_url = '{ONE_FEED}' AND NOT archived)"))
+@register("metadata_for_feed", O.with_views(
+    f"SELECT url, favicon_url, fetch_status_code FROM url_metadata WHERE url IN (SELECT link FROM items "
+    f"WHERE feed_url = '{ONE_FEED}' AND NOT archived)"))
 def metadata_for_feed(spark, d):
     return R.metadata_for_items(A.url_metadata(spark, d), A.items(spark, d), ONE_FEED).select("url", "favicon_url", "fetch_status_code")
 
 
-@register("metadata_mark", O.with_views("SELECT u.url, m.url IS NOT NULL AS has_metadata FROM (SELECT DISTINCT link AS url FROM items) u LEFT JOIN url_metadata m USING (url)"))
+@register("metadata_mark", O.with_views(
+    "SELECT u.url, m.url IS NOT NULL AS has_metadata FROM (SELECT DISTINCT link AS url FROM items) u LEFT "
+    "JOIN url_metadata m USING (url)"))
 def metadata_mark(spark, d):
     return R.metadata_mark(A.items(spark, d).select(F.col("link").alias("url")), A.url_metadata(spark, d))
 
@@ -255,7 +271,9 @@ def urls_without_metadata(spark, d):
     return R.urls_without_metadata(urls, A.url_metadata(spark, d)).select("ordinal", "url")
 
 
-@register("retry_eligibility", O.with_views(f"SELECT url, CASE WHEN last_fetch_at IS NULL THEN TRUE WHEN fetch_status_code BETWEEN 200 AND 299 THEN FALSE ELSE last_fetch_at + INTERVAL 36 HOUR < {_NOW} END AS should_retry FROM url_metadata"))
+@register("retry_eligibility", O.with_views(
+    f"SELECT url, CASE WHEN last_fetch_at IS NULL THEN TRUE WHEN fetch_status_code BETWEEN 200 AND 299 THEN FALSE "
+    f"ELSE last_fetch_at + INTERVAL 36 HOUR < {_NOW} END AS should_retry FROM url_metadata"))
 def retry_eligibility(spark, d):
     return A.url_metadata(spark, d).select("url", sel.retry_eligible(NOW, timedelta(hours=36)).alias("should_retry"))
 
@@ -294,7 +312,9 @@ def metadata_survivors(spark, d):
 # Latest dates and counts
 
 
-@register("latest_by_first_seen", O.with_views("SELECT f.url, max(i.first_seen) AS latest_item_date FROM feeds f LEFT JOIN items i ON i.feed_url = f.url GROUP BY f.url"))
+@register("latest_by_first_seen", O.with_views(
+    "SELECT f.url, max(i.first_seen) AS latest_item_date FROM feeds f LEFT JOIN items i ON i.feed_url = f.url "
+    "GROUP BY f.url"))
 def latest_by_first_seen(spark, d):
     return R.latest_by_first_seen(A.feeds(spark, d), A.items(spark, d)).select("url", "latest_item_date")
 
@@ -304,7 +324,9 @@ def latest_by_clamp(spark, d):
     return A.items(spark, d).groupBy("feed_url").agg(F.max(S.clamped("published_date", "first_seen", NOW)).alias("latest"))
 
 
-@register("existence_counts", O.with_views("SELECT p.feed_url, p.guid, count(i.id) AS n FROM (SELECT DISTINCT feed_url, guid FROM items WHERE id % 5 = 0) p LEFT JOIN items i ON i.feed_url = p.feed_url AND i.guid = p.guid AND i.id % 2 = 0 GROUP BY p.feed_url, p.guid"))
+@register("existence_counts", O.with_views(
+    "SELECT p.feed_url, p.guid, count(i.id) AS n FROM (SELECT DISTINCT feed_url, guid FROM items WHERE id % 5 = 0) p LEFT "
+    "JOIN items i ON i.feed_url = p.feed_url AND i.guid = p.guid AND i.id % 2 = 0 GROUP BY p.feed_url, p.guid"))
 def existence_counts(spark, d):
     i = A.items(spark, d)
     return R.existence_counts(i.filter("id % 2 = 0"), ["feed_url", "guid"], i.filter("id % 5 = 0"))
@@ -379,7 +401,8 @@ def cascade_items(spark, d):
 
 
 @register("archive_absent", O.with_views(
-    "SELECT id, archived OR (feed_url IN (SELECT feed_url FROM active) AND (feed_url, guid) NOT IN (SELECT (feed_url, guid) FROM active)) AS archived FROM items WHERE published_date < " + _RETRY,
+    "SELECT id, archived OR (feed_url IN (SELECT feed_url FROM active) "
+    "AND (feed_url, guid) NOT IN (SELECT (feed_url, guid) FROM active)) AS archived FROM items WHERE published_date < " + _RETRY,
     f"active AS (SELECT DISTINCT feed_url, guid FROM items WHERE published_date >= {_PURGE})"))
 def archive_absent(spark, d):
     i = A.items(spark, d)
@@ -449,27 +472,40 @@ def _state(spark, d):
         F.lit("old").alias("last_error"), "last_fetch_time", F.col("last_fetch_time").alias("last_successful_fetch"))
 
 
-@register("feed_error_update", O.with_views(f"SELECT url, etag, last_modified, CASE WHEN user_id % 3 = 0 THEN error_count + 1 ELSE error_count END AS error_count, CASE WHEN user_id % 3 = 0 THEN 'HTTP 500' ELSE last_error END AS last_error, CASE WHEN user_id % 3 = 0 THEN {_NOW} ELSE last_fetch_time END AS last_fetch_time, last_successful_fetch FROM state", _FEED_STATE))
+@register("feed_error_update", O.with_views(
+    f"SELECT url, etag, last_modified, CASE WHEN user_id % 3 = 0 THEN error_count + 1 ELSE error_count END AS error_count, "
+    f"CASE WHEN user_id % 3 = 0 THEN 'HTTP 500' ELSE last_error END AS last_error, CASE WHEN user_id % 3 = 0 THEN {_NOW} "
+    f"ELSE last_fetch_time END AS last_fetch_time, last_successful_fetch FROM state", _FEED_STATE))
 def feed_error_update(spark, d):
     s = _state(spark, d)
     errors = s.filter("user_id % 3 = 0").select("url", F.lit("HTTP 500").alias("error")).unionByName(spark.createDataFrame([("https://unknown.example/", "HTTP 404")], "url string, error string"))
     return merge.apply_errors(s, errors, NOW).select(*_STATE_COLUMNS)
 
 
-@register("feed_304_update", O.with_views(f"SELECT url, etag, last_modified, error_count, last_error, CASE WHEN user_id % 3 = 0 THEN {_NOW} ELSE last_fetch_time END AS last_fetch_time, CASE WHEN user_id % 3 = 0 THEN {_NOW} ELSE last_successful_fetch END AS last_successful_fetch FROM state", _FEED_STATE))
+@register("feed_304_update", O.with_views(
+    f"SELECT url, etag, last_modified, error_count, last_error, CASE WHEN user_id % 3 = 0 THEN {_NOW} "
+    f"ELSE last_fetch_time END AS last_fetch_time, CASE WHEN user_id % 3 = 0 THEN {_NOW} "
+    f"ELSE last_successful_fetch END AS last_successful_fetch FROM state", _FEED_STATE))
 def feed_304_update(spark, d):
     s = _state(spark, d)
     return merge.apply_not_modified(s, s.filter("user_id % 3 = 0"), NOW).select(*_STATE_COLUMNS)
 
 
-@register("feed_200_update", O.with_views(f"SELECT url, CASE WHEN user_id % 3 = 0 THEN CASE WHEN user_id % 2 = 0 THEN 'new' ELSE '' END ELSE etag END AS etag, CASE WHEN user_id % 3 = 0 THEN '' ELSE last_modified END AS last_modified, CASE WHEN user_id % 3 = 0 THEN 0 ELSE error_count END AS error_count, CASE WHEN user_id % 3 = 0 THEN '' ELSE last_error END AS last_error, CASE WHEN user_id % 3 = 0 THEN {_NOW} ELSE last_fetch_time END AS last_fetch_time, CASE WHEN user_id % 3 = 0 THEN {_NOW} ELSE last_successful_fetch END AS last_successful_fetch FROM state", _FEED_STATE))
+@register("feed_200_update", O.with_views(
+    f"SELECT url, CASE WHEN user_id % 3 = 0 THEN CASE WHEN user_id % 2 = 0 THEN 'new' ELSE '' END ELSE etag END AS etag, "
+    f"CASE WHEN user_id % 3 = 0 THEN '' ELSE last_modified END AS last_modified, CASE WHEN user_id % 3 = 0 THEN 0 "
+    f"ELSE error_count END AS error_count, CASE WHEN user_id % 3 = 0 THEN '' ELSE last_error END AS last_error, CASE "
+    f"WHEN user_id % 3 = 0 THEN {_NOW} ELSE last_fetch_time END AS last_fetch_time, CASE WHEN user_id % 3 = 0 THEN {_NOW} "
+    f"ELSE last_successful_fetch END AS last_successful_fetch FROM state", _FEED_STATE))
 def feed_200_update(spark, d):
     s = _state(spark, d)
     got = s.filter("user_id % 3 = 0").select("url", F.expr("CASE WHEN user_id % 2 = 0 THEN 'new' END").alias("etag"), F.lit("").alias("last_modified"))
     return merge.apply_success(s, got, NOW).select(*_STATE_COLUMNS)
 
 
-@register("backfill_first_seen", "SELECT o_orderkey, CASE WHEN o_orderdate > TIMESTAMP '2001-01-01' THEN TIMESTAMP '2001-01-01' WHEN o_orderdate < TIMESTAMP '2000-01-01' THEN TIMESTAMP '2000-01-01' ELSE o_orderdate END AS first_seen FROM orders")
+@register("backfill_first_seen",
+    "SELECT o_orderkey, CASE WHEN o_orderdate > TIMESTAMP '2001-01-01' THEN TIMESTAMP '2001-01-01' "
+    "WHEN o_orderdate < TIMESTAMP '2000-01-01' THEN TIMESTAMP '2000-01-01' ELSE o_orderdate END AS first_seen FROM orders")
 def backfill_first_seen(spark, d):
     return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", S.backfilled_first_seen("o_orderdate", datetime(2001, 1, 1)).alias("first_seen"))
 
@@ -505,26 +541,35 @@ def clamp_orders(spark, d):
 _STRIP = r"regexp_replace(regexp_replace(regexp_replace({0}, '<[^>]*>', '', 'g'), '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')"
 
 
-@register("display_title", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'T' || page_id WHEN page_id % 3 = 1 THEN substr(html, 1, 80) || '...' WHEN page_id % 2 = 0 THEN substr(url, 1, 80) || '...' ELSE 'Untitled' END AS title FROM pages")
+@register("display_title",
+    "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'T' || page_id WHEN page_id % 3 = 1 THEN substr(html, 1, 80) || '...' "
+    "WHEN page_id % 2 = 0 THEN substr(url, 1, 80) || '...' ELSE 'Untitled' END AS title FROM pages")
 def display_title(spark, d):
     p = spark.read.parquet(f"{d}/pages.parquet")
     return p.select("page_id", S.display_title(
         F.expr("CASE WHEN page_id % 3 = 0 THEN concat('T', page_id) ELSE '' END"), F.expr("CASE WHEN page_id % 3 = 1 THEN html ELSE '' END"), F.expr("CASE WHEN page_id % 2 = 0 THEN url END")).alias("title"))
 
 
-@register("excerpt", f"SELECT page_id, CASE WHEN page_id % 3 = 0 THEN substr({_STRIP.format('html')}, 1, 200) || '...' WHEN page_id % 3 = 1 THEN substr({_STRIP.format('url')}, 1, 200) || '...' ELSE '' END AS excerpt FROM pages")
+@register("excerpt",
+    f"SELECT page_id, CASE WHEN page_id % 3 = 0 THEN substr({_STRIP.format('html')}, 1, 200) || '...' "
+    f"WHEN page_id % 3 = 1 THEN substr({_STRIP.format('url')}, 1, 200) || '...' ELSE '' END AS excerpt FROM pages")
 def excerpt(spark, d):
     p = spark.read.parquet(f"{d}/pages.parquet")
     return p.select("page_id", S.excerpt(F.expr("CASE WHEN page_id % 3 = 0 THEN html ELSE '' END"), F.expr("CASE WHEN page_id % 3 = 1 THEN url END")).alias("excerpt"))
 
 
-@register("table_rows", O.with_views("SELECT id, strftime(published_date, '%Y-%m-%d %H:%M') AS date, CASE WHEN strlen(t) > 60 THEN substr(t, 1, 57) || '...' ELSE t END AS title, link FROM (SELECT *, title || ' ' || raw_guid AS t FROM items)"))
+@register("table_rows", O.with_views(
+    "SELECT id, strftime(published_date, '%Y-%m-%d %H:%M') AS date, CASE "
+    "WHEN strlen(t) > 60 THEN substr(t, 1, 57) || '...' ELSE t END AS title, link "
+    "FROM (SELECT *, title || ' ' || raw_guid AS t FROM items)"))
 def table_rows(spark, d):
     i = A.items(spark, d)
     return i.select("id", F.date_format("published_date", "yyyy-MM-dd HH:mm").alias("date"), S.table_title(F.concat("title", F.lit(" "), "raw_guid")).alias("title"), "link")
 
 
-@register("feed_label", O.with_views("SELECT url, CASE WHEN latest_item_date IS NOT NULL THEN 'Latest: ' || strftime(latest_item_date, '%b %-d, %Y %H:%M UTC') ELSE 'Fetched: ' || strftime(last_fetch_time, '%b %-d, %Y %H:%M UTC') END AS label FROM feeds"))
+@register("feed_label", O.with_views(
+    "SELECT url, CASE WHEN latest_item_date IS NOT NULL THEN 'Latest: ' || strftime(latest_item_date, '%b %-d, %Y %H:%M "
+    "UTC') ELSE 'Fetched: ' || strftime(last_fetch_time, '%b %-d, %Y %H:%M UTC') END AS label FROM feeds"))
 def feed_label(spark, d):
     return A.feeds(spark, d).select("url", S.feed_time_label("latest_item_date", "last_fetch_time").alias("label"))
 
@@ -548,7 +593,9 @@ def favicon_default(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select("url", S.default_favicon("url").alias("favicon"))
 
 
-@register("status_from_error", r"SELECT event_id, coalesce(TRY_CAST(regexp_extract(CASE event_id % 4 WHEN 0 THEN 'HTTP ' || user_id || ': bad' WHEN 1 THEN 'timeout' WHEN 2 THEN 'x HTTP 500' END, '^HTTP (\d{1,9})', 1) AS INTEGER), 0) AS status FROM events")
+@register("status_from_error",
+    r"SELECT event_id, coalesce(TRY_CAST(regexp_extract(CASE event_id % 4 WHEN 0 THEN 'HTTP ' || user_id || ': bad' "
+    r"WHEN 1 THEN 'timeout' WHEN 2 THEN 'x HTTP 500' END, '^HTTP (\d{1,9})', 1) AS INTEGER), 0) AS status FROM events")
 def status_from_error(spark, d):
     e = F.expr("CASE event_id % 4 WHEN 0 THEN concat('HTTP ', user_id, ': bad') WHEN 1 THEN 'timeout' WHEN 2 THEN 'x HTTP 500' END")
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", S.status_from_error(e).alias("status"))
@@ -627,7 +674,10 @@ def relative_time(spark, d):
 # Summaries
 
 
-@register("fetch_summary", "SELECT count(*) AS total, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'view') AS cached, count(*) FILTER (event_type NOT IN ('error', 'view')) AS successful, CAST(coalesce(sum(user_id) FILTER (event_type NOT IN ('error', 'view')), 0) AS BIGINT) AS items FROM events")
+@register("fetch_summary",
+    "SELECT count(*) AS total, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'view') AS "
+    "cached, count(*) FILTER (event_type NOT IN ('error', 'view')) AS successful, CAST(coalesce(sum(user_id) FILTER "
+    "(event_type NOT IN ('error', 'view')), 0) AS BIGINT) AS items FROM events")
 def fetch_summary(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
     return R.fetch_summary(e.select(F.expr("CASE WHEN event_type = 'error' THEN 'failed' END").alias("error"), F.expr("event_type IN ('view', 'error')").alias("cached"), F.col("user_id").alias("item_count")))
@@ -646,8 +696,11 @@ def due_for_fetch(spark, d):
 # Lists
 
 
-@register("list_union", O.with_views("SELECT feed_url, min(ordinal) AS ordinal FROM (SELECT feed_url, ordinal FROM a UNION ALL SELECT feed_url, 1000000000 + ordinal FROM b) GROUP BY feed_url",
-    "a AS (SELECT url AS feed_url, user_id AS ordinal FROM feeds WHERE user_id % 3 = 0), b AS (SELECT url AS feed_url, user_id AS ordinal FROM feeds WHERE user_id % 2 = 0)"))
+@register("list_union", O.with_views(
+    "SELECT feed_url, min(ordinal) AS ordinal FROM (SELECT feed_url, ordinal FROM a "
+    "UNION ALL SELECT feed_url, 1000000000 + ordinal FROM b) GROUP BY feed_url",
+    "a AS (SELECT url AS feed_url, user_id AS ordinal FROM feeds "
+    "WHERE user_id % 3 = 0), b AS (SELECT url AS feed_url, user_id AS ordinal FROM feeds WHERE user_id % 2 = 0)"))
 def list_union(spark, d):
     f = A.feeds(spark, d).select(F.col("url").alias("feed_url"), F.col("user_id").alias("ordinal"))
     return lists.added(f.filter("ordinal % 3 = 0"), f.filter("ordinal % 2 = 0"), 1_000_000_000)
@@ -695,7 +748,9 @@ def robots_rules_text(spark, d):
     return robots_rules(spark, d).select("page_id", *joined)
 
 
-@register("parse_feed", O.with_views("SELECT feed_url, CAST(NULL AS VARCHAR) AS error, feed_url AS title, CAST(count(*) AS INTEGER) AS n_items FROM items GROUP BY feed_url"))
+@register("parse_feed", O.with_views(
+    "SELECT feed_url, CAST(NULL AS VARCHAR) AS error, feed_url AS title, CAST(count(*) AS INTEGER) AS n_items FROM items "
+    "GROUP BY feed_url"))
 def parse_feed(spark, d):
     from rivulet.sources import feeds as parse
 
@@ -703,7 +758,8 @@ def parse_feed(spark, d):
 
 
 @register("opml_urls", O.with_views(
-    "SELECT 'list-' || substr(md5(feed_url), 1, 2) AS name, CAST(row_number() OVER (PARTITION BY substr(md5(feed_url), 1, 2) ORDER BY feed_url) - 1 AS INTEGER) AS ordinal, feed_url FROM subscriptions"))
+    "SELECT 'list-' || substr(md5(feed_url), 1, 2) AS name, CAST(row_number() OVER (PARTITION BY substr(md5(feed_url), 1, "
+    "2) ORDER BY feed_url) - 1 AS INTEGER) AS ordinal, feed_url FROM subscriptions"))
 def opml_urls(spark, d):
     from rivulet.sources import opml
 
