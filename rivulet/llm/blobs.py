@@ -113,7 +113,9 @@ def pack_spans(hashes: np.ndarray, columns: list[np.ndarray], sizes: np.ndarray,
     blobs = []
     for a, b in zip(bounds[:-1], bounds[1:]):
         own = order[a:b]
-        blobs.append(b"".join([np.uint32(b - a).tobytes(), *(planes(c[own]) for c in (*columns, sizes.astype(np.uint16))), raw[spread_ranges((ends - sizes)[own], sizes[own])].tobytes()]))
+        numbers = [planes(c[own]) for c in (*columns, sizes.astype(np.uint16))]
+        strings = raw[spread_ranges((ends - sizes)[own], sizes[own])].tobytes()
+        blobs.append(b"".join([np.uint32(b - a).tobytes(), *numbers, strings]))
     flags = pa.array([False] * len(blobs), pa.bool_())
     return pa.RecordBatch.from_arrays([pa.array(bucket[order][bounds[:-1]]), flags, pa.array(blobs, pa.binary())], ["bucket", "marks", "blob"])
 

@@ -129,7 +129,9 @@ def repair_roles(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     Turns are ordered by turn number, null first; repeated numbers by role and text.
     A null conversation id is one conversation. An unknown or null role fits any role
     at the cost of a relabel. A null text is empty. A conversation's cost is in the
-    column cost of each of its rows. Other columns are ignored.
+    column cost of each of its rows. Of equally cheap repairs the one with fewer
+    inserts, then without a merge, counts. Other columns are ignored, whatever their
+    names. An empty table gives no rows; texts of any length pass by unread.
     """
     conv_type = dict(turns.dtypes)[conv_col]
     rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -137,7 +139,8 @@ def repair_roles(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     names = F.create_map(*itertools.chain(*((F.lit(k), F.lit(v)) for k, v in NAMES.items())))
     placed = placed.withColumn("state", F.coalesce(F.try_element_at(names, F.lower(F.trim(F.coalesce("role", F.lit("")), F.lit(_TRIM)))), F.lit(START)))
 
-    grouped = placed.groupBy("conv", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "state"))), lambda x: x["state"].cast("string")), "").alias("roles"))
+    states = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "state"))), lambda x: x["state"].cast("string"))
+    grouped = placed.groupBy("conv", "block").agg(F.array_join(states, "").alias("roles"))
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,10 +169,9 @@ def repair_roles(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
                     state = ASSISTANT if state == USER else USER
                     put(slot, state, "insert")
                     slot += 1
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(conv, pa.int64())), pa.array(out["ordinal"], pa.int64()), pa.array(out["slot"], pa.int32()), pa.array(out["cost"], pa.int64()), pa.array(out["role"], pa.string()), pa.array(out["edit"], pa.string())],
-                ["conv", "ordinal", "slot", "cost", "role", "edit"],
-            )
+            types = {"ordinal": pa.int64(), "slot": pa.int32(), "cost": pa.int64(), "role": pa.string(), "edit": pa.string()}
+            columns = [pa.array(out[name], kind) for name, kind in types.items()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(conv, pa.int64())), *columns], ["conv", *types])
 
     fixed = chained.mapInArrow(borders, f"conv {conv_type}, ordinal bigint, slot int, cost bigint, role string, edit string")
     texts = placed.select(F.col("conv").alias("c"), F.col("ordinal").alias("o"), "text")

@@ -100,7 +100,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     repeated = index.compact().filter("n > 1").select("digest", F.col("id").alias("keep_id"), F.col("n").alias("group_size"))
     found = join_counted(flushed.select("digest", "id"), repeated, "digest", "group_size", flushed.count())
     # A digest that one row has keeps that row.
-    found = found.select("digest", "id", F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("bigint")).alias("group_size"))
+    alone = F.col("group_size").isNull()
+    keep_id = F.when(alone, F.col("id")).otherwise(F.col("keep_id")).alias("keep_id")
+    found = found.select("digest", "id", keep_id, F.coalesce("group_size", F.lit(1).cast("bigint")).alias("group_size"))
 
     # Hits: texts whose digest the level's filter knows as repeated meet by their bytes.
     hits = KeyFilter(repeated, "digest", scratch).mark(rows, F.col("digest"), "hit").filter("hit")

@@ -80,11 +80,6 @@ class Scratch:
         return out
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back."""
-    return Scratch(df.sparkSession).write(df, label)
-
-
 def bounded_batches(df: DataFrame) -> DataFrame:
     """``df``, with Arrow batches of its session bounded by bytes.
 

@@ -220,10 +220,9 @@ def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
                     for a, b in reversed(own):
                         del words[a:b]
                     kept.append(b" ".join(words).decode())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span_type), pa.array(kept, pa.string())],
-                    ["id", "missing", "n_words", "n_removed", "spans", "kept_text"],
-                )
+                own = [batch.column(c).slice(i, j - i) for c in (0, 2)]
+                found = [pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span_type), pa.array(kept, pa.string())]
+                yield pa.RecordBatch.from_arrays([*own, *found], ["id", "missing", "n_words", "n_removed", "spans", "kept_text"])
 
     out = keyed.join(later, "id", "left").select("id", "text", "missing", F.col("blob").alias("marks"))
     schema = "id bigint, missing boolean, n_words bigint, n_removed bigint, spans array<struct<first:int,last:int>>, kept_text string"

@@ -80,3 +80,13 @@ def test_rendering_nulls_ties_and_clashing_columns(spark):
     assert got[2].cost == INSERT and got[2].rendered == head("user", "") + head("assistant", "A")
     assert chat.repair_roles(df.limit(0)).collect() == []
     assert ASSISTANT in FINAL
+
+
+def test_very_long_turns_white_space_around_roles_and_clashing_columns(spark):
+    long = "wort " * 300_000
+    rows = [(1, 0, "\tuser\n", long, "a", 1), (1, 1, " Assistant", None, "b", 2), (2, 0, "user", "", "c", 3), (2, 0, "user", "", "c", 3)]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string, edit string, cost int")
+    got = {r.conv_id: r for r in chat.render(chat.repair_roles(turns)).collect()}
+    assert got[1].rendered == f"<|im_start|>user\n{long}<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n" and got[1].cost == 0
+    assert got[2].cost == RELABEL and got[2].n_turns == 2
+    assert chat.render(chat.repair_roles(turns.limit(0))).count() == 0

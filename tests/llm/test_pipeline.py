@@ -89,3 +89,32 @@ def test_stages_take_an_empty_table_and_keep_columns(spark, tmp_path):
         out = stage(spark, docs, sf)
         assert out.columns == docs.columns and out.count() == 0
     assert corpus_pipeline.run(spark, sf).count() == 0
+
+
+def test_stages_take_odd_rows_and_clashing_columns(spark, tmp_path):
+    sf = str(tmp_path)
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, "seven eight nine")], "item_id bigint, text string").write.parquet(f"{sf}/benchmark.parquet")
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, None), (2, ""), (3, long), (3, long), (4, long + " x"), (5, "a b c d e f g"), (6, "a  b c d e f g"), (None, "alone at last"), (None, "a b c d e f g"),
+            (7, " .. "), (8, "six Seven, eight-nine ten")]
+    clash = ["gone", "digest", "token_ids", "c0", "maybe", "missing", "score", "spans", "n_words", "sha", "__key", "__maybe", "__slot", "text_sha256"]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{c}` string" for c in clash)
+    docs = spark.createDataFrame([(i, t, "xx", "s", len(t or ""), *clash) for i, t in rows], schema).repartition(2)
+    docs.write.parquet(f"{sf}/documents.parquet")
+    want = {
+        "toxicity": [r[0] for r in rows],  # nothing is learned: every score is that of no evidence
+        "exact_dedup": [1, 3, 3, 4, 5, None, 7, 8],
+        "near_dedup": [1, 3, 3, 5, None, 7, 8],
+        "decontamination": [1, 3, 3, 5, None, 7],
+    }
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.schema.names == docs.schema.names
+        out.write.parquet(f"{sf}/{name}")
+        docs = spark.read.parquet(f"{sf}/{name}")
+        assert sorted(r.doc_id for r in docs.collect() if r.doc_id is not None) + [None] * docs.filter("doc_id is null").count() == sorted(i for i in want[name] if i is not None) + [None] * want[name].count(None)
+        assert docs.filter("gone = 'gone' and c0 = 'c0' and text_sha256 = 'text_sha256'").count() == len(want[name])
+    ids = {r.doc_id: r.n_tokens for r in corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()}
+    assert ids[1] == 0 and ids[3] > 60_000 and set(ids) == {1, 3, 5, None, 7}
