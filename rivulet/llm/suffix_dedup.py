@@ -28,6 +28,7 @@ a core with many different segments in one flush is dealt by segment.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,11 +99,19 @@ class Hashes:
     which tell that spans are equal; both from prefix sums."""
 
     def __init__(self, data: np.ndarray) -> None:
-        self.data, self.inverse = data, powers(len(data) + 1, _INVERSE)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * powers(len(data)), out=self.sums[1:])
+        self.data = data
         self.parts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
+    @functools.cached_property
+    def inverse(self) -> np.ndarray:
+        return powers(len(self.data) + 1, _INVERSE)
+
+    @functools.cached_property
+    def sums(self) -> np.ndarray:
+        out = np.zeros(len(self.data) + 1, np.uint64)
+        np.cumsum(_BYTE[self.data] * powers(len(self.data)), out=out[1:])
+        return out
+
     def span(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mix((self.sums[b] - self.sums[a]) * self.inverse[a] + (b - a).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
 
@@ -566,16 +575,18 @@ def drop_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str
         for batch in batches:
             _, shift = blobs.places(batch)
             data, offs = text_bytes(batch.column(1))
-            for i, j in pieces(offs):
+            for i, j in pieces(offs, PIECE):
                 rows = []
+                h = Hashes(data[offs[i] : offs[j]])
                 for k in range(i, j):
-                    text = data[offs[k] : offs[k + 1]]
+                    begin, end = offs[k] - offs[i], offs[k + 1] - offs[i]
+                    text = h.data[begin:end]
                     wholes, partly, singles = (np.frombuffer(batch.column(c)[k].as_py() or b"", t) for c, t in ((3, _SEGMENT), (4, _SEGMENT), (5, _WINDOW)))
                     wholes = wholes[wholes["flags"] & REMOVED > 0]
                     spans: list[tuple[int, int]] = []
                     if len(wholes) or len(partly) or len(singles):
                         more = segment_marks(singles["start"], np.full(len(singles), LENGTH), np.full(len(singles), REMOVED), singles["check"])
-                        m = valid_segments(Hashes(text), np.concatenate([wholes, partly, more]), 0, len(text), shift[k])
+                        m = valid_segments(h, np.concatenate([wholes, partly, more]), begin, end, shift[k])
                         edge = np.zeros(len(text) + 1, np.int64)
                         np.add.at(edge, m["start"].astype(np.int64), 1)
                         np.add.at(edge, m["start"].astype(np.int64) + m["size"], -1)
@@ -587,10 +598,9 @@ def drop_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str
                         kept = text.tobytes()
                     rows.append((len(text), len(text) - len(kept), len(spans), [{"first": a, "last": b} for a, b in spans], kept))
                 n, removed, many, spans, kept = zip(*rows)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(many, pa.int64()), pa.array(spans, span_type), pa.array(kept, pa.binary())],
-                    ["id", "missing", "n_bytes", "n_removed", "n_spans", "spans", "kept"],
-                )
+                own = [batch.column(c).slice(i, j - i) for c in (0, 2)]
+                found = [*(pa.array(x, pa.int64()) for x in (n, removed, many)), pa.array(spans, span_type), pa.array(kept, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*own, *found], ["id", "missing", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
     out = (
         keyed.join(segments.withColumnRenamed("blob", "wholes"), "id", "left")
