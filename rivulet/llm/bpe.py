@@ -11,10 +11,10 @@ once is never tried again, so the work is linear in the piece.
 from __future__ import annotations
 
 import functools
-import struct
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,7 +57,8 @@ class BytePairEncoder:
                 if (r := ranks.get(token[:end])) in self.split:
                     self.shorter[rank] = r
                     break
-        self.length = {r: len(t) for r, t in self.token_bytes.items()}
+        self.length = [len(self.token_bytes.get(r, b"")) for r in range(max(ranks.values(), default=-1) + 1)]
+        self.packed = [r.to_bytes(4, "little") for r in range(len(self.length))]
         self.of_piece = Memo(self._piece)
         self.of_part = Memo(self._part)
         self.of_spaced = Memo(self._spaced, WORD_BYTES)
@@ -97,8 +98,8 @@ class BytePairEncoder:
     def encode_piece(self, piece: bytes) -> list[int]:
         """Ranks of one match of the pattern."""
         whole = self.ranks.get(piece)
-        if whole is not None:
-            return [whole]
+        if whole is not None or not piece:
+            return [whole] if piece else []
         size = len(piece)
         longest: list[int] = [-1] * size
         length, shorter, compatible = self.length, self.shorter, self.compatible
@@ -106,25 +107,25 @@ class BytePairEncoder:
             longest[end - back] = rank  # ends ascend, so the longest comes last
         failed = bytearray(size + 1)
         out: list[int] = []
-        at, token = 0, longest[0]
-        while at < size:
+        at, before, token = 0, -1, longest[0]
+        while True:
             end = at + length[token]
-            if not failed[end] and (not out or compatible[out[-1] << 32 | token]):
+            if not failed[end] and (before < 0 or compatible[before << 32 | token]):
                 out.append(token)
-                at = end
-                if at < size:
-                    token = longest[at]
-            elif token in shorter:
-                token = shorter[token]
-            else:
+                if end == size:
+                    return out
+                at, before, token = end, token, longest[end]
+                continue
+            while (token := shorter.get(token, -1)) < 0:
+                # No token fits here after the one before, which then gets shorter itself.
                 failed[at] = 1
                 token = out.pop()
                 at -= length[token]
-        return out
+                before = out[-1] if out else -1
 
     def _piece(self, piece: str) -> bytes:
         ids = self.encode_piece(piece.encode())
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return np.array(ids, "<u4").tobytes() if len(ids) > 64 else b"".join(map(self.packed.__getitem__, ids))
 
     def _part(self, part: str) -> bytes:
         return b"".join(map(self.of_piece.__getitem__, self.find(part)))
@@ -167,7 +168,8 @@ def bpe_round_trip(
     32-bit integers), n_tokens and, with ``decode``, decoded (binary). One row for
     each input row, repeated rows too; a null or empty text has no ids. Columns not
     kept are ignored, so clashing names do no harm (a kept column must not bear one of
-    the three names). Rows are handled one by one without a shuffle; memory is
+    the three names). An empty table gives no rows, and ties do not arise: the merges
+    have one result. Rows are handled one by one without a shuffle; memory is
     bounded by the longest text and the memos. ``folder`` replaces the place of the
     vocabulary file on the executors.
     """
