@@ -187,13 +187,15 @@ def token_counts(
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = named_texts(rows, vocabulary, folder)
     digests = scratch.write(rows.select("id", "content", F.octet_length("text").cast("bigint").alias("n_bytes")), "digests")
+    # One text for each digest: copies meet on the map side first.
     missing = rows.select("content", "text")
     if cache.exists():
-        known = KeyFilter(cache.read(version), "content", scratch).mark(missing, F.col("content"), "maybe")
-        asked = known.filter("maybe").drop("maybe").join(cache.read(version), "content", "left_anti")
-        missing = known.filter("not maybe").drop("maybe").unionByName(asked)
-    # One text for each digest: copies meet on the map side first.
+        # Digests alone are looked up; of the texts only those without a count are shuffled.
+        wanted = scratch.write(digests.select("content").distinct().join(cache.read(version), "content", "left_anti"), "wanted")
+        missing = KeyFilter(wanted, "content", scratch).mark(missing, F.col("content"), "maybe").filter("maybe").drop("maybe")
     distinct = missing.groupBy("content").agg(F.first("text").alias("text"))
+    if cache.exists():
+        distinct = distinct.join(wanted, "content", "left_semi")
     cache.append(count_texts(distinct, vocabulary, folder), version)
     sizes = digests.groupBy("content").agg(F.count("*").alias("rows")).join(cache.read(version), "content")
     found = join_counted(digests, sizes, "content", "rows", digests.count())
