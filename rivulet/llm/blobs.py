@@ -15,7 +15,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.textscan import mix
+from rivulet.llm.textscan import mix, trimmed
 
 #: Packed columns for a bucket: of records, or (marks) of what a task already knows.
 SCHEMA = "bucket int, marks boolean, blob binary"
@@ -174,5 +174,5 @@ def settle_buckets(rows: DataFrame, settle, types: list, record, buckets: int, r
         if blobs:
             yield by_document(*unpack(blobs, ["<i8", record]))
 
-    settled = rows.repartitionById(buckets, "bucket").mapInArrow(run, SCHEMA)
+    settled = rows.repartitionById(buckets, "bucket").mapInArrow(trimmed(run), SCHEMA)
     return settled.repartitionById(buckets, "bucket").mapInArrow(gather, MARKS)

@@ -20,16 +20,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.llm.storage import documents
-from rivulet.llm.textscan import pieces, text_bytes
-from rivulet.llm.tokenizers import MARKS, PAIR_BYTES, WORD_BYTES, Memo, load_ranks, piece_pattern, split_words, vocabulary_path
+from rivulet.llm.textscan import pieces, text_bytes, trimmed
+from rivulet.llm.tokenizers import MARKS, Memo, load_ranks, piece_pattern, split_words, vocabulary_path
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: Bytes that the memos of one process may hold together.
+MEMO_TOTAL = 160 << 20
 
 
 class BytePairEncoder:
     """Encoder and decoder for one vocabulary of token bytes and ranks."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str | None = None) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str | None = None, memo_bytes: int = MEMO_TOTAL) -> None:
         self.ranks = ranks
         self.token_bytes = {r: t for t, r in ranks.items()}
         self.find = piece_pattern(pattern).findall
@@ -37,7 +39,7 @@ class BytePairEncoder:
         self.split: dict[int, tuple[int, int]] = {}
         self.joined: dict[tuple[int, int], int] = {}
         #: Whether two tokens may be neighbours, by left << 32 | right.
-        self.compatible = Memo(lambda pair: self._compatible(pair >> 32, pair & 0xFFFFFFFF), PAIR_BYTES)
+        self.compatible = Memo(lambda pair: self._compatible(pair >> 32, pair & 0xFFFFFFFF), memo_bytes * 2 // 5)
         self.automaton = ahocorasick.Automaton()
         #: rank -> the longest token that is a shorter prefix of it.
         self.shorter: dict[int, int] = {}
@@ -59,9 +61,9 @@ class BytePairEncoder:
                     break
         self.length = [len(self.token_bytes.get(r, b"")) for r in range(max(ranks.values(), default=-1) + 1)]
         self.packed = [r.to_bytes(4, "little") for r in range(len(self.length))]
-        self.of_piece = Memo(self._piece)
-        self.of_part = Memo(self._part)
-        self.of_spaced = Memo(self._spaced, WORD_BYTES)
+        self.of_piece = Memo(self._piece, memo_bytes // 10)
+        self.of_part = Memo(self._part, memo_bytes // 20)
+        self.of_spaced = Memo(self._spaced, memo_bytes * 9 // 20)
 
     def _merge(self, token: bytes, below: int) -> tuple[int, ...]:
         """The ranks that merging with tokens of rank under ``below`` leaves."""
@@ -148,10 +150,10 @@ class BytePairEncoder:
         return b"".join(map(self.token_bytes.__getitem__, memoryview(ids).cast("I")))
 
 
-@functools.lru_cache(maxsize=2)
-def encoder(path: str, pattern: str | None = None) -> BytePairEncoder:
+@functools.lru_cache(maxsize=1)
+def encoder(path: str, pattern: str | None = None, memo_bytes: int = MEMO_TOTAL) -> BytePairEncoder:
     """The encoder of a rank file, built once in each process."""
-    return BytePairEncoder(load_ranks(path), pattern)
+    return BytePairEncoder(load_ranks(path), pattern, memo_bytes)
 
 
 def bpe_round_trip(
@@ -161,6 +163,7 @@ def bpe_round_trip(
     vocabulary: str = VOCABULARY,
     folder: str | None = None,
     decode: bool = True,
+    memo_bytes: int = MEMO_TOTAL,
 ) -> DataFrame:
     """Encode every whole text and decode the ids again.
 
@@ -170,14 +173,15 @@ def bpe_round_trip(
     kept are ignored, so clashing names do no harm (a kept column must not bear one of
     the three names). An empty table gives no rows, and ties do not arise: the merges
     have one result. Rows are handled one by one without a shuffle; memory is
-    bounded by the longest text and the memos. ``folder`` replaces the place of the
+    bounded by the longest text and the memos, whose size ``memo_bytes`` trades for
+    time and never changes a result. ``folder`` replaces the place of the
     vocabulary file on the executors.
     """
     types = dict(docs.dtypes)
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), "token_ids binary", "n_tokens bigint", *(["decoded binary"] if decode else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(vocabulary_path(vocabulary, folder))
+        own = encoder(vocabulary_path(vocabulary, folder), None, memo_bytes)
         for batch in batches:
             texts = batch.column(len(keep))
             _, offs = text_bytes(texts)
@@ -188,7 +192,7 @@ def bpe_round_trip(
                     columns.append(pa.array([own.decode(x) for x in ids], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, [*keep, "token_ids", "n_tokens", *(["decoded"] if decode else [])])
 
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(trimmed(run), schema)
 
 
 def bpe_decode(rows: DataFrame, ids_col: str = "token_ids", keep: tuple[str, ...] = ("doc_id",), vocabulary: str = VOCABULARY, folder: str | None = None) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.llm.storage import Scratch, documents, numbered_columns
-from rivulet.llm.textscan import LOWER, pieces, separators, span_hashes, text_bytes, window_hashes, word_spans
+from rivulet.llm.textscan import LOWER, pieces, separators, span_hashes, text_bytes, trimmed, window_hashes, word_spans
 
 #: Fixed by the contract: bytes outside words once A-Z are lower-cased.
 SEPARATORS = separators((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
@@ -187,7 +187,7 @@ def find_windows(
                         texts = pa.array([without(t, s) if s else t for t, (_, s, _) in zip(texts.to_pylist(), hits)], pa.string())
                     yield pa.RecordBatch.from_arrays([*columns, texts], [*inputs, "n_words", "spans", "items", "text"])
 
-        return rows.mapInArrow(run, ", ".join([*([kept] if kept else []), found_type, "text string"]))
+        return rows.mapInArrow(trimmed(run), ", ".join([*([kept] if kept else []), found_type, "text string"]))
 
     scratch, rows, block = Scratch(spark), plain, None
     for k, items in enumerate(item_blocks(benchmark, item_col, item_text_col, block_words)):

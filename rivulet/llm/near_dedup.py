@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from rivulet.llm import blobs
 from rivulet.llm.filters import with_keys, without_keys
 from rivulet.llm.storage import Scratch, documents, named_again, numbered_columns
-from rivulet.llm.textscan import LOWER, WHITE_SPACE, mix, pieces, span_hashes, text_bytes, window_hashes, word_spans
+from rivulet.llm.textscan import LOWER, WHITE_SPACE, mix, pieces, span_hashes, text_bytes, trimmed, window_hashes, word_spans
 
 #: Fixed by the contract: words in a shingle, and similarity in percent.
 SHINGLE, PERCENT = 4, 80
@@ -185,7 +185,7 @@ def describe(docs: DataFrame) -> DataFrame:
                     ["id", "n", "digest", "sketch"],
                 )
 
-    return docs.select("id", "text").mapInArrow(run, "id bigint, n bigint, digest binary, sketch binary")
+    return docs.select("id", "text").mapInArrow(trimmed(run), "id bigint, n bigint, digest binary, sketch binary")
 
 
 def estimated(pairs: DataFrame, reps: DataFrame, crowded: bool = False) -> DataFrame:
@@ -206,7 +206,7 @@ def estimated(pairs: DataFrame, reps: DataFrame, crowded: bool = False) -> DataF
     y = reps.select(F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("sketch").alias("sy"))
     fits = f"100 * least(nx, ny) >= {PERCENT} * greatest(nx, ny)"
     full = pairs.join(y, "y").join(x, "x").filter(f"size > {GROUP} or {fits}" if crowded else fits)
-    return full.select("x", "y", "size", "nx", "ny", "sx", "sy").mapInArrow(run, "x bigint, y bigint, size bigint")
+    return full.select("x", "y", "size", "nx", "ny", "sx", "sy").mapInArrow(trimmed(run), "x bigint, y bigint, size bigint")
 
 
 def bitmap(hub: np.ndarray, own: np.ndarray) -> list[int]:
@@ -255,7 +255,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         hubs.unionByName(members)
         .repartition(parts, "x", "salt")
         .sortWithinPartitions("x", "salt", F.col("y").asc_nulls_first())
-        .mapInArrow(run, "x bigint, y bigint, linked boolean, bits array<bigint>")
+        .mapInArrow(trimmed(run), "x bigint, y bigint, linked boolean, bits array<bigint>")
     )
 
 
@@ -312,7 +312,7 @@ def shared_sizes(texts: DataFrame, buckets: int) -> DataFrame:
             n = [int(np.frombuffer(b, "<u4").sum()) for b in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["id", "shared"])
 
-    counted = blobs.settle_buckets(texts.select("id", "text").mapInArrow(run, blobs.SCHEMA), settle, ["<u4", "<u1", "<i8", "<u1"], "<u4", buckets)
+    counted = blobs.settle_buckets(texts.select("id", "text").mapInArrow(trimmed(run), blobs.SCHEMA), settle, ["<u4", "<u1", "<i8", "<u1"], "<u4", buckets)
     return counted.mapInArrow(total, "id bigint, shared bigint")
 
 

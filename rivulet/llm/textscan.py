@@ -9,6 +9,7 @@ places and never decide that texts are equal.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -154,3 +155,21 @@ def window_hashes(items: np.ndarray, width: int, seed: int = 1) -> np.ndarray:
         if done == width:
             return mix(out + _U(width))
         block, size = mix(block[:-size] * _JOIN + block[size:]), 2 * size
+
+
+def trimmed(run):
+    """``run`` for ``mapInArrow``, giving free memory back to the system at its end.
+
+    Spark keeps Python workers for later tasks, also those of other operators, and
+    allocators keep what arrays have left.
+    """
+
+    def give_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not glibc
+            pass
+
+    return give_back

@@ -17,9 +17,9 @@ import regex
 #: A space that starts a piece: one that a character other than white space follows.
 _BEFORE_PIECE = re.compile(r" (?!\s|$)")
 _ODD_SPACE = re.compile(r" (?:\s|\Z)|[\x1c-\x1f]")
-#: Bytes that a memo may hold, those of the memos of plain words and of token pairs, and
-#: a memo's longest key: text without spaces is no key.
-MEMO_BYTES, WORD_BYTES, PAIR_BYTES, MEMO_KEY = 16 << 20, 72 << 20, 64 << 20, 64
+#: Bytes that a memo may hold, those of a memo of plain words, and a memo's longest key:
+#: text without spaces is no key.
+MEMO_BYTES, WORD_BYTES, MEMO_KEY = 16 << 20, 72 << 20, 64
 #: Marks that are a piece of their own between letters and a space or the end.
 MARKS = frozenset(".,;:!?")
 

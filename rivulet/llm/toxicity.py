@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.llm.storage import Scratch, documents, named_again, numbered_columns
-from rivulet.llm.textscan import LOWER, mix, pieces, separators, span_hashes, text_bytes, word_spans
+from rivulet.llm.textscan import LOWER, mix, pieces, separators, span_hashes, text_bytes, trimmed, word_spans
 
 #: Words are runs of lower-cased ASCII letters, digits and of non-ASCII bytes.
 SEPARATORS = separators((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
@@ -107,7 +107,7 @@ def slot_rows(docs: DataFrame, text_col: str, keep: tuple[str, ...], bits: int =
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(len(keep))), pa.array(out, pa.binary())], [*keep, "slots"])
 
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), "slots binary"])
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(trimmed(run), schema)
 
 
 def fit(
@@ -191,7 +191,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col: str =
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(len(keep))), pa.array(p, pa.float64())], [*keep, "score"])
 
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), "score double"])
-    return docs.select(*keep, *([] if text_col in keep else [text_col])).mapInArrow(run, schema)
+    return docs.select(*keep, *([] if text_col in keep else [text_col])).mapInArrow(trimmed(run), schema)
 
 
 def held_out(id_col: str = "doc_id"):
