@@ -17,6 +17,10 @@ from rivulet.llm import bpe, decontamination, exact_dedup, near_dedup, toxicity
 from rivulet.llm.storage import Scratch, bounded_batches, documents
 
 
+#: Workers serve all stages, so the last one's memos are kept small.
+MEMO_BYTES = 40 << 20
+
+
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under the threshold.
 
@@ -57,7 +61,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts have no ids; every row, repeated ones too, gives one row.
     """
-    found = bpe.bpe_round_trip(bounded_batches(docs), keep=("doc_id", "lang", "source"))
+    found = bpe.bpe_round_trip(bounded_batches(docs), keep=("doc_id", "lang", "source"), memo_bytes=MEMO_BYTES)
     ids, decoded = F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     return found.select("doc_id", "lang", "source", "n_tokens", "token_ids", ids, decoded)
 
