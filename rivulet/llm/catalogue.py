@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rivulet.llm import bpe, chat, decontamination, exact_dedup, importance, language_id, near_dedup, substring_dedup, suffix_dedup, token_counts, toxicity
+from rivulet.llm import alignment, bpe, chat, decontamination, exact_dedup, importance, language_id, near_dedup, substring_dedup, suffix_dedup, token_counts, toxicity, vector_graph
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,7 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+        "op11_vector_graph": vector_graph.op11_vector_graph,
         "op12_importance": importance.op12_importance,
+        "op13_alignment": alignment.op13_alignment,
     }
 
 
@@ -32,5 +34,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_decontamination": decontamination.ORACLE,
         "op9_exact_dedup": exact_dedup.ORACLE,
         "op10_substring_dedup": substring_dedup.ORACLE,
+        "op11_vector_graph": vector_graph.ORACLE,
         "op12_importance": importance.ORACLE,
     }

@@ -13,10 +13,13 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
+import test_alignment
 import test_decontamination
+import test_importance
 import test_near_dedup
 import test_substring_dedup
 import test_suffix_dedup
+import test_vector_graph
 from rivulet.llm import catalogue, chat, language_id, toxicity
 from rivulet.llm.tokenizers import load_ranks
 from test_exact_dedup import brute as exact_brute
@@ -48,12 +51,13 @@ def tables(spark, tmp_path_factory):
     spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{sf}/benchmark.parquet")
     turns = [(c, k, rnd.choice(["user", "assistant", "\tuser ", "tool", None]), f"say {k}") for c in range(40) for k in range(rnd.randint(1, 7))]
     spark.createDataFrame(turns, "conv_id bigint, turn int, role string, text string").write.parquet(f"{sf}/conversations.parquet")
+    spark.createDataFrame(test_vector_graph.sample(600, 8), "vec_id bigint, embedding array<float>, label int").repartition(3).write.parquet(f"{sf}/embeddings.parquet")
     return sf, docs, items
 
 
 def run(spark, tables, name):
     rows = catalogue.queries()[name](spark, tables[0]).collect()
-    assert len({r[0] for r in rows}) == len(rows)
+    assert len({r[0] for r in rows}) == len(rows) or "rank" in rows[0] and len({r[:2] for r in rows}) == len(rows)
     return rows
 
 
@@ -157,12 +161,30 @@ def test_op10(spark, tables):
     assert any(gone for _, gone, _ in want.values())
 
 
+def test_op11(spark, tables):
+    vectors = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{tables[0]}/embeddings.parquet").collect()]
+    want = test_vector_graph.brute(vectors, [(i, v) for i, v in vectors if i is not None and i % 20 == 0], 20)
+    assert {tuple(r) for r in run(spark, tables, "op11_vector_graph")} == set(want)  # shards that fit in a beam
+
+
+def test_op12(spark, tables):
+    rows = [tuple(r) for r in run(spark, tables, "op12_importance")]
+    assert test_importance.order(rows) == test_importance.order(test_importance.brute(tables[1], [t for _, t in tables[2]]))
+    assert any(r[4] for r in rows)
+
+
+def test_op13(spark, tables):
+    names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    assert sorted(tuple(r[c] for c in names) for r in run(spark, tables, "op13_alignment")) == sorted(test_alignment.brute(tables[1])[0])
+
+
 def test_queries_take_empty_tables(spark, tmp_path):
     sf = str(tmp_path)
     spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{sf}/documents.parquet")
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{sf}/benchmark.parquet")
     spark.createDataFrame([], "conv_id bigint, turn int, role string, text string").write.parquet(f"{sf}/conversations.parquet")
+    spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{sf}/embeddings.parquet")
     for name, query in catalogue.queries().items():
         assert query(spark, sf).count() == 0, name
 
@@ -171,7 +193,7 @@ def test_queries_take_empty_tables(spark, tmp_path):
 @pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_matches_sql(spark, name):
     duck = duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "embeddings"):
         duck.sql(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     df = catalogue.queries()[name](spark, DATA)
     want = duck.sql(catalogue.oracle_sql()[name])
