@@ -120,14 +120,15 @@ class Pieces:
         self.of_word = Memo(self._ask, WORD_BYTES)
 
     def _ask(self, text: str) -> bytes:
-        ids = self.library.encode(text, num_threads=1)
+        # The space before a word is all there is of a last one; the library has nothing for an empty text.
+        ids = self.library.encode(text, num_threads=1) if text else [self.library.piece_to_id(SPACE_MARK)]
         if b"".join(map(self.token.__getitem__, ids)) != b" " + text.encode():
             raise ValueError("tokens differ from the text")
         return np.array(ids, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
         """Ids of the text as 32-bit integers; ValueError if their bytes differ from space and text."""
-        if not text or not self.by_word:
+        if not self.by_word:
             return self._ask(text)
         if "  " in text or text[0] == " " or text[-1] == " ":
             words = [w[1:] for w in _SPACED.findall(" " + text)]

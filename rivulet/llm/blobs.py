@@ -64,7 +64,7 @@ def planes(column: np.ndarray) -> bytes:
     """
     if column.dtype == np.int64:
         column = np.diff(column, prepend=np.int64(0))
-    return np.ascontiguousarray(column).view(np.uint8).reshape(len(column), -1).T.tobytes()
+    return np.ascontiguousarray(column).view(np.uint8).reshape(len(column), column.dtype.itemsize).T.tobytes()
 
 
 def from_planes(blob: bytes, kind, n: int, at: int) -> np.ndarray:

@@ -1,14 +1,15 @@
 """Nearest vectors by largest inner product: robust-pruned directed graphs, one a shard.
 
-Vectors are dealt to shards by their id. In a shard a graph grows by insertion: greedy
+Vectors are dealt to shards by length class and id. In a shard a graph grows by insertion: greedy
 beam searches over the graph so far propose neighbours for a batch of new vectors,
 relaxed distance pruning keeps of those the near and diverse ones, and edges back are
 pruned alike when a vector has too many. Every query is searched in each shard by beam
 search, the beam is scored again with the original vectors, and the shards' best meet.
 
-Inner products become distances on a sphere: vectors are scaled by the greatest norm and
-get one more coordinate that fills their length up to 1, queries are scaled to length 1
-and get 0. Nearer is then exactly a larger inner product, whatever the norms.
+Inner products become distances on a sphere: vectors are scaled by the greatest norm of
+their class and get one more coordinate that fills their length up to 1, queries are
+scaled to length 1 and get 0. Nearer is then exactly a larger inner product. Where norms
+differ much, such a graph is a poor guide, so a class spans a quarter of an octave.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rivulet.llm.storage import Scratch, bounded_batches
-from rivulet.llm.textscan import trimmed
+from rivulet.llm.textscan import mix, trimmed
 
 #: Edges of a vector, beam while a graph grows and in searches, and how much farther a
 #: neighbour may be than by way of another before it is cut.
@@ -30,6 +31,8 @@ DEGREE, GROW_BEAM, BEAM, RELAX = 32, 64, 96, 1.2
 #: Fewest shards, vectors and bytes of vectors a shard at most, queries that one task
 #: searches in a shard, and bytes of a row that carries a part of a shard.
 SHARDS, SHARD_ROWS, SHARD_BYTES, QUERY_UNIT, ROW_BYTES = 12, 1 << 16, 64 << 20, 1 << 15, 4 << 20
+#: Classes of length in an octave.
+CLASSES = 4
 #: Vectors inserted or searched at once.
 STEP = 256
 #: Nearest vectors of a query, and the divisor that makes a row a query: fixed by the contract.
@@ -224,7 +227,7 @@ def lengthened(vectors: np.ndarray) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, dim, vector, norm): rows with an id and a finite vector other than zero, as bytes."""
+    """(id, dim, vector, norm, level): rows with an id and a finite vector other than zero, as bytes, and its class of length."""
     kind = vectors.schema[vector_col].dataType.elementType.simpleString()
     kind = "float" if kind == "float" else "double"
     code = "<f4" if kind == "float" else "<f8"
@@ -247,21 +250,40 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
                 norm[own] = norms(values[low[own][:, None] + np.arange(d)])
             raw = [values[x:y].tobytes() for x, y in zip(low.tolist(), high.tolist())]
             ids = batch.column(0).filter(pa.array(keep))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(dim, pa.int32()), pa.array(raw, pa.binary()), pa.array(norm)], ["id", "dim", "vector", "norm"])
+            # Half a class off, so that length 1 is inside of one.
+            level = np.floor(np.log2(np.clip(norm, 1e-320, 1e308)) * CLASSES + 0.5).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(dim, pa.int32()), pa.array(raw, pa.binary()), pa.array(norm), pa.array(level)], ["id", "dim", "vector", "norm", "level"])
 
     rows = vectors.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{vector_col}`").cast(f"array<{kind}>").alias("vector"))
-    return rows.mapInArrow(run, "id bigint, dim int, vector binary, norm double")
+    return rows.mapInArrow(run, "id bigint, dim int, vector binary, norm double, level int")
 
 
-def shard_plan(sizes: list, kind: str) -> dict[int, tuple[int, int, float]]:
-    """Length of vectors to (first shard, shards, greatest norm)."""
-    plan, first = {}, 0
-    width = np.dtype(kind).itemsize
-    for dim, many, greatest in sorted(sizes):
-        rows = max(1, min(SHARD_ROWS, SHARD_BYTES // (width * dim)))
-        plan[dim] = (first, max(min(SHARDS, many), -(-many // rows)), greatest)
-        first += plan[dim][1]
-    return plan
+class Plan:
+    """Which shards vectors of a length and class belong to.
+
+    Classes are taken together while all their vectors fit in a beam, which finds them
+    exactly. ``sizes`` has (dim, level, vectors, greatest norm) rows, of which there are
+    some thousands at most for a length.
+    """
+
+    def __init__(self, sizes: list[tuple[int, int, int, float]], kind: str) -> None:
+        #: (dim, level) to first shard and number of shards; dim to range of shards; greatest norm of a shard.
+        self.of, self.shards, self.greatest, self.dim = {}, {}, [], []
+        for dim in sorted({s[0] for s in sizes}):
+            own = sorted(s for s in sizes if s[0] == dim)
+            total, first = sum(s[2] for s in own), len(self.greatest)
+            rows = max(1, min(SHARD_ROWS, SHARD_BYTES // (np.dtype(kind).itemsize * dim)))
+            while own:
+                some = 1
+                while some < len(own) and sum(s[2] for s in own[: some + 1]) <= BEAM:
+                    some += 1
+                many = sum(s[2] for s in own[:some])
+                count = max(1, -(-SHARDS * many // total) if many > BEAM else 1, -(-many // rows))
+                self.of |= {(dim, s[1]): (len(self.greatest), count) for s in own[:some]}
+                self.greatest += [max(s[3] for s in own[:some])] * count
+                self.dim += [dim] * count
+                own = own[some:]
+            self.shards[dim] = range(first, len(self.greatest))
 
 
 def in_rows(key: str, number: int, raw: bytes) -> Iterator[pa.RecordBatch]:
@@ -270,26 +292,28 @@ def in_rows(key: str, number: int, raw: bytes) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([0], pa.int32()), pa.array([part], pa.int32()), pa.array([raw[at : at + ROW_BYTES]], pa.binary())], [key, "phase", "part", "blob"])
 
 
-def build(rows: DataFrame, plan: dict[int, tuple[int, int, float]], kind: str) -> DataFrame:
+def build(rows: DataFrame, plan: Plan, kind: str) -> DataFrame:
     """(shard, phase, part, blob): each shard with its graph."""
-    total = sum(many for _, many, _ in plan.values())
-    starts = F.create_map(*(F.lit(v) for dim, (first, _, _) in plan.items() for v in (dim, first)))
-    counts = F.create_map(*(F.lit(v) for dim, (_, many, _) in plan.items() for v in (dim, many)))
-    shard = (starts[F.col("dim")] + F.pmod(F.xxhash64("id"), counts[F.col("dim")])).cast("int")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = np.array([plan.of[key] for key in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist())], np.int64).reshape(-1, 2)
+            shard = of[:, 0] + (mix(batch.column(0).to_numpy().astype(np.uint64)) % of[:, 1].astype(np.uint64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), batch.column(0), batch.column(2)], ["shard", "id", "vector"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, raw, number, dim = [], [], None, None
+        ids, raw, number = [], [], None
         for batch in batches:
             if batch.num_rows:
-                number, dim = batch.column(0)[0].as_py(), batch.column(2)[0].as_py()
+                number = batch.column(0)[0].as_py()
                 ids.append(batch.column(1).to_numpy())
-                raw.append(b"".join(batch.column(3).to_pylist()))
+                raw.append(b"".join(batch.column(2).to_pylist()))
         if number is not None:
-            vectors = np.frombuffer(b"".join(raw), kind).reshape(-1, dim)
-            yield from in_rows("shard", number, pickle.dumps(Shard(np.concatenate(ids), vectors, plan[dim][2]), protocol=5))
+            vectors = np.frombuffer(b"".join(raw), kind).reshape(-1, plan.dim[number])
+            yield from in_rows("shard", number, pickle.dumps(Shard(np.concatenate(ids), vectors, plan.greatest[number]), protocol=5))
 
-    dealt = rows.select(shard.alias("shard"), "id", "dim", "vector").repartitionById(total, "shard")
-    return dealt.mapInArrow(trimmed(run), "shard int, phase int, part int, blob binary")
+    dealt = rows.select("id", "dim", "vector", "level").mapInArrow(deal, "shard int, id bigint, vector binary")
+    return dealt.repartitionById(len(plan.greatest), "shard").mapInArrow(trimmed(run), "shard int, phase int, part int, blob binary")
 
 
 def nearest_vectors(
@@ -311,7 +335,7 @@ def nearest_vectors(
     id, the vector with the greatest bytes counts. Other columns are ignored. An empty
     table gives no rows, and a query with fewer than ``k`` candidates gets all of them.
 
-    A shard holds at most ``SHARD_ROWS`` vectors; the work is queries times shards, in
+    A shard holds about ``SHARD_ROWS`` vectors at most; the work is queries times shards, in
     blocks of ``query_unit`` queries a task.
     """
     scratch = Scratch(vectors.sparkSession)
@@ -319,20 +343,18 @@ def nearest_vectors(
     rows = scratch.write(usable(vectors, id_col, vector_col), "vectors")
     asked = usable(queries.select(F.col(f"`{id_col}`"), F.col(f"`{vector_col}`").cast(vectors.schema[vector_col].dataType).alias(vector_col)), id_col, vector_col)
     asked = scratch.write(asked.groupBy("id").agg(F.max(F.struct("dim", "vector")).alias("v")).select("id", "v.dim", "v.vector"), "queries")
-    # One row for each length of vectors.
-    plan = shard_plan([tuple(r) for r in rows.groupBy("dim").agg(F.count("*"), F.max("norm")).collect()], kind)
+    plan = Plan([tuple(r) for r in rows.groupBy("dim", "level").agg(F.count("*"), F.max("norm")).collect()], kind)
     result = "query_id bigint, vec_id bigint, score double"
-    if not plan:
+    if not plan.greatest:
         return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     many = dict(asked.groupBy("dim").count().collect())
-    groups = {dim: max(1, -(-many.get(dim, 0) // query_unit)) for dim in plan}
+    groups = {dim: max(1, -(-many.get(dim, 0) // query_unit)) for dim in plan.shards}
     shards = scratch.write(build(rows, plan, kind), "shards")
     units, first, of_shard = 0, {}, {}
-    for dim, (start, count, _) in plan.items():
+    for dim, own in plan.shards.items():
         first[dim] = units
-        for s in range(count):
-            of_shard[start + s] = (units + s * groups[dim], groups[dim])
-        units += count * groups[dim]
+        of_shard |= {shard: (units + k * groups[dim], groups[dim]) for k, shard in enumerate(own)}
+        units += len(own) * groups[dim]
 
     def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -346,14 +368,14 @@ def nearest_vectors(
         for batch in batches:
             dims = batch.column(1).to_numpy()
             for dim in np.unique(dims).tolist():
-                if dim not in plan:
+                if dim not in plan.shards:
                     continue
                 own = batch.filter(pa.array(dims == dim))
                 group = np.abs(own.column(0).to_numpy() // 7) % groups[dim]
                 for g in np.unique(group).tolist():
                     part = own.filter(pa.array(group == g))
                     raw = pickle.dumps((part.column(0).to_numpy(), b"".join(part.column(2).to_pylist())), protocol=5)
-                    for s in range(plan[dim][1]):
+                    for s in range(len(plan.shards[dim])):
                         yield pa.RecordBatch.from_pylist([{"unit": first[dim] + s * groups[dim] + g, "phase": 1, "part": 0, "blob": raw}], schema)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,6 +386,8 @@ def nearest_vectors(
                     held, shard = ([] if part == 0 else held), None
                     held.append(blob.as_buffer().to_pybytes())
                     continue
+                if shard is None and not held:
+                    continue  # no vector has been dealt to the shard
                 if shard is None:
                     shard, held = pickle.loads(b"".join(held)), []
                 ids, raw = pickle.loads(blob.as_buffer())
