@@ -20,6 +20,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from rivulet.llm.blobs import from_planes, planes
 from rivulet.llm.storage import Scratch, bounded_batches, documents
 from rivulet.llm.textscan import mix, pieces, text_bytes, trimmed
-from rivulet.llm.tokenizers import MARKS, WORD_BYTES, Memo, piece_pattern, split_words, vocabulary_path
+from rivulet.llm.tokenizers import vocabulary_path
 
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Records that a task gathers before it packs them, and pairs in a row of counts.
@@ -54,8 +55,8 @@ def byte_alphabet() -> dict[str, int]:
 class ByteLevel:
     """Ids of a byte-level vocabulary of the tokenizers library, without special tokens.
 
-    The pieces of a text are independent, so the library is asked once for a distinct
-    piece. Files that split or normalise otherwise are asked for whole texts.
+    Where merges are in the order of their ids, ids serve as ranks for a faster library.
+    Special strings are plain text.
     """
 
     def __init__(self, path: str) -> None:
@@ -63,50 +64,57 @@ class ByteLevel:
 
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.library.encode_special_tokens = True  # their strings are plain text
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
-        pre = made.get("pre_tokenizer") or {}
-        self.by_piece = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and made.get("normalizer") is None
         alphabet = byte_alphabet()
-        known = self.library.get_vocab(with_added_tokens=True)
-        self.token = [b""] * (max(known.values()) + 1)
+        as_bytes = lambda content: bytes(map(alphabet.__getitem__, content)) if all(c in alphabet for c in content) else content.encode()
+        vocabulary = made["model"].get("vocab") or {}
+        known = {**vocabulary, **{t["content"]: t["id"] for t in made.get("added_tokens") or []}} if isinstance(vocabulary, dict) else {}
+        self.token = [b""] * (max(known.values(), default=-1) + 1)
         for content, i in known.items():
-            self.token[i] = bytes(map(alphabet.__getitem__, content)) if all(c in alphabet for c in content) else content.encode()
-        self.find = piece_pattern().findall
-        self.of_piece = Memo(self._ask)
-        self.of_part = Memo(lambda part: b"".join(map(self.of_piece.__getitem__, self.find(part))))
-        self.of_spaced = Memo(self._spaced, WORD_BYTES)
-
-    def _ask(self, text: str) -> bytes:
+            self.token[i] = as_bytes(content)
+        self.ranks = None
+        if self._by_rank(made, vocabulary):
+            import public_tokenizers
+            import tiktoken
+
+            ranks = {as_bytes(content): i for content, i in vocabulary.items()}
+            self.ranks = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        else:
+            self.library = Tokenizer.from_file(path)
+            self.library.no_truncation()
+            self.library.no_padding()
+            self.library.encode_special_tokens = True
+
+    @staticmethod
+    def _by_rank(made: dict, vocabulary: dict) -> bool:
+        pre, model = made.get("pre_tokenizer") or {}, made["model"]
+        plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and made.get("normalizer") is None
+        if not plain or model.get("type") != "BPE" or model.get("dropout") or model.get("ignore_merges") or not all(c in vocabulary for c in byte_alphabet()):
+            return False
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        ids = [vocabulary.get(x + y, -1) for x, y in merges]
+        return all(i < j for i, j in zip([255, *ids], ids)) and len(merges) + 256 == len(vocabulary)
+
+    def ids(self, texts: list[str]) -> list[bytes | None]:
+        """Ids of each space and text as 32-bit integers; None where their bytes differ from it."""
+        if self.ranks is None:
+            return [self._whole(" " + t) for t in texts]
+        return [self.ranks.encode_to_numpy(" " + t, disallowed_special=()).tobytes() for t in texts]
+
+    def _whole(self, text: str) -> bytes | None:
         ids = self.library.encode(text, add_special_tokens=False).ids
-        if b"".join(map(self.token.__getitem__, ids)) != text.encode():
-            raise ValueError("tokens differ from the text")
-        return np.array(ids, "<u4").tobytes()
-
-    def _spaced(self, word: str) -> bytes:
-        if word.isalpha():
-            return self._ask(" " + word)
-        if word[-1:] in MARKS and word[:-1].isalpha():
-            return self.of_spaced[word[:-1]] + self.of_piece[word[-1]]
-        return b"".join(map(self.of_piece.__getitem__, self.find(" " + word)))
-
-    def ids(self, text: str) -> bytes:
-        """Ids of the space and text as 32-bit integers; ValueError if their bytes differ from it."""
-        if not self.by_piece:
-            return self._ask(" " + text)
-        parts, spaced = split_words(" " + text)
-        return b"".join(map(self.of_part.__getitem__, parts)) + b"".join(map(self.of_spaced.__getitem__, spaced))
+        return array("I", ids).tobytes() if b"".join(map(self.token.__getitem__, ids)) == text.encode() else None
 
 
 class Pieces:
     """Ids of a sentencepiece model, which itself puts a space before a text.
 
     Where no piece has a space after another character, merges never cross from a
-    character to a space after it, so what stands between is encoded once.
+    character to a space after it, so what stands between is encoded once for the texts
+    at hand; words of one language repeat within a megabyte as they do beyond. A model that
+    leaves texts as they are and has a piece for every byte loses nothing but the sign
+    that it uses for spaces itself.
     """
 
     def __init__(self, path: str) -> None:
@@ -116,25 +124,28 @@ class Pieces:
         names = [library.id_to_piece(i) for i in range(library.get_piece_size())]
         self.token = [bytes([int(p[3:5], 16)]) if library.is_byte(i) else p.replace(SPACE_MARK, " ").encode() for i, p in enumerate(names)]
         probe = "a  b \tﬁ "
-        self.by_word = not any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in names) and library.normalize(probe) == (" " + probe).replace(" ", SPACE_MARK)
-        self.of_word = Memo(self._ask, WORD_BYTES)
+        own = library.normalize(probe) == (" " + probe).replace(" ", SPACE_MARK) and sum(map(library.is_byte, range(len(names)))) == 256
+        self.by_word = own and not any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in names)
 
-    def _ask(self, text: str) -> bytes:
+    def _encode(self, words: list[str]) -> Iterator[bytes]:
         # The space before a word is all there is of a last one; the library has nothing for an empty text.
-        ids = self.library.encode(text, num_threads=1) if text else [self.library.piece_to_id(SPACE_MARK)]
-        if b"".join(map(self.token.__getitem__, ids)) != b" " + text.encode():
-            raise ValueError("tokens differ from the text")
-        return np.array(ids, "<u4").tobytes()
+        lone = array("I", [self.library.piece_to_id(SPACE_MARK)]).tobytes()
+        for word, ids in zip(words, self.library.encode(words, num_threads=1)):
+            yield array("I", ids).tobytes() if word else lone
 
-    def ids(self, text: str) -> bytes:
-        """Ids of the text as 32-bit integers; ValueError if their bytes differ from space and text."""
+    def ids(self, texts: list[str]) -> list[bytes | None]:
+        """Ids of each text as 32-bit integers; None where their bytes differ from space and text."""
         if not self.by_word:
-            return self._ask(text)
-        if "  " in text or text[0] == " " or text[-1] == " ":
-            words = [w[1:] for w in _SPACED.findall(" " + text)]
-        else:
-            words = text.split(" ")
-        return b"".join(map(self.of_word.__getitem__, words))
+            return [self._whole(t) for t in texts]
+        odd = lambda t: "  " in t or t[0] == " " or t[-1] == " "
+        cut = [None if SPACE_MARK in t else [w[1:] for w in _SPACED.findall(" " + t)] if odd(t) else t.split(" ") for t in texts]
+        distinct = list({w for words in cut if words for w in words})
+        word = dict(zip(distinct, self._encode(distinct))).__getitem__
+        return [None if words is None else b"".join(map(word, words)) for words in cut]
+
+    def _whole(self, text: str) -> bytes | None:
+        ids = self.library.encode(text, num_threads=1)
+        return array("I", ids).tobytes() if b"".join(map(self.token.__getitem__, ids)) == b" " + text.encode() else None
 
 
 @functools.lru_cache(maxsize=4)
@@ -192,15 +203,13 @@ def encode(docs: DataFrame, names: tuple[str, str], folder: str | None, with_gro
             for i, j in pieces(offs):
                 ids_a, ids_b, n = [], [], j - i
                 n_a, n_b = np.zeros(n, np.int64), np.zeros(n, np.int64)
-                for k, text in enumerate(batch.column(1).slice(i, n).to_pylist()):
-                    try:
-                        both = (first.ids(text), second.ids(text)) if text else (b"", b"")
-                    except ValueError:
-                        both = (b"", b"")
-                    if both[0] and both[1]:
-                        ids_a.append(both[0])
-                        ids_b.append(both[1])
-                        n_a[k], n_b[k] = len(both[0]) // 4, len(both[1]) // 4
+                texts = {k: t for k, t in enumerate(batch.column(1).slice(i, n).to_pylist()) if t}
+                for k, x, y in zip(texts, first.ids([*texts.values()]), second.ids([*texts.values()])):
+                    if x and y:
+                        ids_a.append(x)
+                        ids_b.append(y)
+                        n_a[k], n_b[k] = len(x) // 4, len(y) // 4
+                del texts
                 a, b = np.frombuffer(b"".join(ids_a), "<u4").astype(np.int64), np.frombuffer(b"".join(ids_b), "<u4").astype(np.int64)
                 del ids_a, ids_b
                 ends_a, ends_b = np.cumsum(first.sizes[a]), np.cumsum(second.sizes[b])
