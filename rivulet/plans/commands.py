@@ -246,7 +246,9 @@ class Archive:
         icons = R.feed_favicons(self.store.items, self.store.url_metadata)
         out = output or c.render_output
         sinks.clean(out)
-        return sinks.write_site(sinks.site_frames(frame, self.store.feeds, self.store.url_metadata, icons), out, times.window_label(age, a, b, bool(start or end)), size, templates, assets)
+        rows = sinks.site_frames(frame, self.store.feeds, self.store.url_metadata, icons)
+        landing = f"{self.store.path}/landing/site-{now.strftime('%Y%m%dT%H%M%S%f')}"
+        return sinks.write_site(rows, out, times.window_label(age, a, b, bool(start or end)), size, templates, assets, landing)
 
     # Purge
 

@@ -158,8 +158,13 @@ class _Redirects(urllib.request.HTTPRedirectHandler):
     max_redirections = REDIRECTS
 
 
-def get(url: str, etag: str = "", last_modified: str = "", limit: int | None = None, timeout: float = TIMEOUT, headers: dict | None = None) -> dict:
-    """One conditional GET: status, etag, last_modified, body, error."""
+def get(url: str, etag: str = "", last_modified: str = "", limit: int | None = None, timeout: float = TIMEOUT, headers: dict | None = None, files: bool = False) -> dict:
+    """One conditional GET: status, etag, last_modified, body, error.
+
+    Only http and https URLs are asked for, and with ``files`` those of files.
+    """
+    if not re.match("https?:|file:" if files else "https?:", url, re.IGNORECASE):
+        return {"status": None, "etag": "", "last_modified": "", "body": None, "error": f"request failed: unsupported URL {url}"[:500]}
     request = urllib.request.Request(url, headers={"User-Agent": AGENT} | (headers or {}))
     if etag:
         request.add_header("If-None-Match", etag)
@@ -168,7 +173,7 @@ def get(url: str, etag: str = "", last_modified: str = "", limit: int | None = N
     try:
         with urllib.request.build_opener(_Redirects).open(request, timeout=timeout) as r:
             body = r.read(limit) if limit else r.read()
-            return {"status": r.status, "etag": r.headers.get("ETag", ""), "last_modified": r.headers.get("Last-Modified", ""), "body": body.decode(r.headers.get_content_charset() or "utf-8", "replace"), "error": None}
+            return {"status": r.status or 200, "etag": r.headers.get("ETag", ""), "last_modified": r.headers.get("Last-Modified", ""), "body": body.decode(r.headers.get_content_charset() or "utf-8", "replace"), "error": None}
     except urllib.error.HTTPError as e:
         if e.code == 304:
             return {"status": 304, "etag": etag, "last_modified": last_modified, "body": None, "error": None}

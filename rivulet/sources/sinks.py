@@ -1,7 +1,7 @@
 """Outputs: tables, JSON, CSV and the static site.
 
-Row work is done in DataFrames; only what a page or a printed table holds reaches the
-driver, page by page.
+Row work is done in DataFrames; only what a printed table holds reaches the driver, page
+by page, and the static site is rendered and written by executors.
 """
 
 from __future__ import annotations
@@ -9,16 +9,21 @@ from __future__ import annotations
 import html
 import json
 import re
+import shutil
+from collections.abc import Iterator
 from datetime import date, datetime
 from pathlib import Path
 from string import Template
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rivulet.functions import scalars as S
 from rivulet.functions.html import iframe_source
+from rivulet.sources import datasource
+from rivulet.sources.scratch import landed
 
 #: Names that printed JSON uses for stored columns.
 FEED_NAMES = {
@@ -178,38 +183,70 @@ def S_plain(text: str | None) -> str:
     return re.sub(r"\s+", " ", re.sub(r"<[^>]*>", "", text or "").strip())
 
 
-def write_site(frame: DataFrame, out: str, label: str, page_size: int, templates: str = "", assets: str = "") -> int:
+def write_site(frame: DataFrame, out: str, label: str, page_size: int, templates: str = "", assets: str = "", landing: str = "") -> int:
     """Write index, list pages and feed pages; returns the number of feeds.
 
-    Feeds come to the driver one at a time, in rank order.
+    Executors render the pages, and the ``files`` writer moves them to their names once
+    all are there. With ``landing`` what is rendered is kept there first, so that the
+    frame is computed once; else once for each kind of page.
     """
+    spark = datasource.register(frame.sparkSession)
     root = Path(out)
     (root / "feeds").mkdir(parents=True, exist_ok=True)
     copy_assets(root / "assets", assets)
     template = page_template(templates)
 
-    def write(name: str, title: str | None, up: str, body: str) -> None:
-        (root / name).write_text(template.safe_substitute(title=_esc(title), root=up, window=_esc(label), body=body), encoding="utf-8")
-
-    pages: dict[int, list[str]] = {}
-    total = 0
-    for r in frame.orderBy("rank").toLocalIterator():
-        total += 1
-        pages.setdefault(r.page, []).append(_feed_line(r, "../"))
-        body = f"<h2><a href=\"{_esc(r.feed_url)}\">{_esc(r.feed_title)}</a></h2><p>{_esc(r.description)}</p>" + "\n".join(map(_item, r["items"]))
-        write(f"feeds/{r.feed_id}.html", r.feed_title, "../", body)
-    links = []
-    for page, lines in sorted(pages.items()):
-        first, last = (page - 1) * page_size + 1 if page_size > 0 else 1, min(page * page_size, total) if page_size > 0 else total
-        links.append(f'<li><a href="feeds/page-{page}.html">Feeds {first} to {last}</a></li>')
-        write(f"feeds/page-{page}.html", f"Page {page}", "../", "<ul>" + "\n".join(lines) + "</ul>")
-    write("index.html", "Feeds", "", "<ul>" + "\n".join(links) + "</ul>")
+    def page(title: str | None, up: str, body: str) -> str:
+        return template.safe_substitute(title=_esc(title), root=up, window=_esc(label), body=body)
+
+    def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in map(_Named, batch.to_pylist()):
+                body = f"<h2><a href=\"{_esc(r.feed_url)}\">{_esc(r.feed_title)}</a></h2><p>{_esc(r.description)}</p>" + "\n".join(_item(_Named(i)) for i in r["items"])
+                rows.append({"page": r.page, "rank": r.rank, "line": _feed_line(r, "../"), "path": f"feeds/{r.feed_id}.html", "body": page(r.feed_title, "../", body)})
+            yield pa.RecordBatch.from_pylist(rows, _RENDERED)
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                name = "index.html" if r["page"] is None else f"feeds/page-{r['page']}.html"
+                body = "<ul>" + "\n".join(x["line"] for x in r["lines"]) + "</ul>"
+                rows.append({"path": name, "body": page("Feeds" if r["page"] is None else f"Page {r['page']}", "" if r["page"] is None else "../", body)})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("path", pa.string()), ("body", pa.string())]))
+
+    feeds = frame.mapInArrow(render, "page bigint, rank bigint, line string, path string, body string")
+    if landing:
+        feeds = landed(feeds, landing)
+    total = feeds.count()
+    nested = lambda rank, line: F.array_sort(F.collect_list(F.struct(rank.cast("bigint").alias("rank"), line.alias("line")))).alias("lines")
+    pages = feeds.groupBy("page").agg(nested(F.col("rank"), F.col("line")))
+    number = F.col("page")
+    first = (number - 1) * page_size + 1 if page_size > 0 else F.lit(1)
+    last = F.least(number * page_size, F.lit(total)) if page_size > 0 else F.lit(total)
+    entry = F.format_string('<li><a href="feeds/page-%d.html">Feeds %d to %d</a></li>', number, first.cast("bigint"), last.cast("bigint"))
+    # One short line for each page, whatever the feeds hold; an empty site has an index too.
+    entries = feeds.select("page").distinct().select(nested(number, entry)).select(F.lit(None).cast("bigint").alias("page"), "lines")
+    listed = pages.unionByName(entries).mapInArrow(lists, "path string, body string")
+    feeds.select("path", "body").unionByName(listed).write.format("files").mode("append").save(str(root.absolute()))
     return total
 
 
+class _Named(dict):
+    """A row of Arrow by names."""
+
+    __getattr__ = dict.__getitem__
+
+
+_RENDERED = pa.schema([("page", pa.int64()), ("rank", pa.int64()), ("line", pa.string()), ("path", pa.string()), ("body", pa.string())])
+
+
 def clean(out: str) -> None:
-    """Remove what an earlier site has left; other files stay."""
+    """Remove what an earlier site has left, half-written pages too; other files stay."""
     root = Path(out)
+    for staged in root.glob(".staging-*"):
+        shutil.rmtree(staged, ignore_errors=True)
     for p in [root / "index.html", *root.glob("feeds/*.html"), *root.glob("assets/*")]:
         if p.is_file():
             p.unlink()
