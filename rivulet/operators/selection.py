@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import operator
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rivulet.functions.scalars import feed_id, ts
+from rivulet.operators.ordering import with_running
 
 
 def newest_first() -> list[Column]:
@@ -70,36 +69,14 @@ def recency(now) -> Column:
     return F.coalesce(F.when(latest > ts(now), ts(now)).otherwise(latest), F.col("last_updated"))
 
 
-#: Feeds whose keys are looked at to choose ranges for ranking, and ranges at most.
-RANGE_SAMPLE, RANGES = 10_000, 64
-
-
 def ranked_feeds(feeds: DataFrame, now, name: str = "rank") -> DataFrame:
     """Feeds with their 1-based rank by capped recency, ties by URL.
 
-    No task sees all feeds, even if one refresh has given most of them the same time:
-    ranges of the whole sort key (time and URL) are chosen from a bounded set of keys,
-    feeds of one range are ranked together, and each range's offset is the number of
-    feeds in the ranges before it. Which ranges are chosen never changes a rank.
+    No task sees all feeds, even if one refresh has given most of them the same time.
     """
     keyed = feeds.withColumn("__key", recency(now))
-    some = keyed.select("__key", "url").orderBy(F.xxhash64("url"), "url").limit(RANGE_SAMPLE).collect()
-    keys = sorted({(r["__key"], r["url"]) for r in some}, key=lambda k: (k[0] is None, datetime.max - (k[0] or datetime.max), k[1] or ""))
-    bounds = list(dict.fromkeys(keys[len(keys) * k // RANGES] for k in range(1, RANGES))) if keys else []
-
-    def from_on(time: datetime | None, url: str) -> Column:
-        """1 for feeds that the bound, or a later place in the order, has."""
-        tie = F.col("url") >= url
-        late = F.col("__key").isNull() & tie if time is None else F.col("__key").isNull() | (F.col("__key") < ts(time)) | ((F.col("__key") == ts(time)) & tie)
-        return F.coalesce(late, F.lit(False)).cast("int")
-
-    ranged = keyed.withColumn("__range", functools.reduce(operator.add, (from_on(*b) for b in bounds), F.lit(0)))
-    local = ranged.withColumn("__local", F.row_number().over(W.partitionBy("__range").orderBy(F.col("__key").desc_nulls_last(), F.col("url").asc())))
-    before = W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
-    sizes = ranged.groupBy("__range").agg(F.count("*").alias("__n"))  # RANGES rows at most
-    offsets = sizes.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    ranked = local.join(F.broadcast(offsets), "__range").withColumn(name, (F.col("__local") + F.col("__offset")).cast("bigint"))
-    return ranked.drop("__key", "__range", "__local", "__offset")
+    order = [F.col("__key").desc_nulls_last(), F.col("url").asc()]
+    return with_running(keyed, order, F.lit(1).cast("bigint"), name).drop("__key")
 
 
 def feeds_in_window(feeds: DataFrame, start, end, listed: DataFrame | None = None) -> DataFrame:

@@ -790,8 +790,12 @@ def unfurl_rows(spark, d):
 
 
 def queries() -> dict[str, Query]:
+    from rivulet.plans import extensions  # noqa: F401 - registers its own
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    from rivulet.plans import extensions  # noqa: F401
+
     return dict(_oracles)

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from rivulet.functions import html as H
 from rivulet.functions import scalars as S
+from rivulet.plans import politeness
 from rivulet.sources import feeds as source
+from rivulet.sources.scratch import landed
 
 #: Most workers of a batch.
 MAX_WORKERS = 100
@@ -110,7 +112,8 @@ def fetch_pages(urls: DataFrame, concurrency: int = 32) -> DataFrame:
 def unfurl(urls: DataFrame, now: datetime, landing: str, concurrency: int = 32, skip_robots: bool = False) -> DataFrame:
     """Metadata rows for URLs, fetched over the network; refused ones get an error.
 
-    What hosts say in robots.txt is kept below ``landing`` for an hour, and what they
+    Where a host asks for a crawl delay, pages are fetched by a plan that keeps it. What
+    hosts say in robots.txt is kept below ``landing`` for an hour, and what they
     have said is written before it is used: both branches see one answer.
     """
     if skip_robots:
@@ -124,6 +127,12 @@ def unfurl(urls: DataFrame, now: datetime, landing: str, concurrency: int = 32,
     robots = spark.read.schema(ROBOTS_ANSWERS).parquet(answers)
     robots.filter(F.col("fetched_at") == S.ts(now)).write.mode("append").parquet(path)
     marked = with_robots(urls.select("url"), robots)
-    pages = fetch_pages(marked.filter("allowed"), concurrency)
+    delays = politeness.crawl_delays(robots)
+    if delays.isEmpty():
+        pages = fetch_pages(marked.filter("allowed"), concurrency)
+    else:
+        # Written, as the reading of pages must not run twice or be divided by later steps.
+        allowed = landed(marked.filter("allowed").select("url"), f"{answers}-allowed")
+        pages = landed(politeness.scheduled_pages(allowed, delays, workers(concurrency)), f"{answers}-pages")
     refused = marked.filter("not allowed").select("url", F.lit(None).cast("int").alias("status"), F.lit(None).cast("string").alias("body"), F.lit("blocked by robots.txt").alias("error"))
     return metadata_rows(pages.unionByName(refused), now)

@@ -57,10 +57,11 @@ class Hosts(InputPartition):
 
 
 def by_host(urls: list[tuple[int, str]], concurrency: int) -> list[Hosts]:
-    """Whole hosts dealt to partitions, those with most URLs first, each to the emptiest."""
+    """Whole hosts dealt to partitions, those with most URLs first, each to the emptiest.
+    A URL without a host (a file) stands for itself."""
     hosts: dict[str, list[tuple[int, str]]] = {}
     for ordinal, url in urls:
-        hosts.setdefault(host_of(url), []).append((ordinal, url))
+        hosts.setdefault(host_of(url) or url, []).append((ordinal, url))
     heap = [(0, k, []) for k in range(min(concurrency, len(hosts)))]
     for _, own in sorted(hosts.items(), key=lambda h: (-len(h[1]), h[0])):
         size, k, held = heapq.heappop(heap)

@@ -24,9 +24,24 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+#: Paths given out in this process that have not been deleted.
+_held: list[str] = []
+
+
 def fresh(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing has used."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _held.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    return _held[-1]
+
+
+def release(spark: SparkSession) -> int:
+    """Delete what has been written below paths given out, once results are written;
+    returns how many paths there were."""
+    many = len(_held)
+    while _held:
+        p = spark._jvm.org.apache.hadoop.fs.Path(_held.pop())
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return many
 
 
 def landed(df: DataFrame, path: str) -> DataFrame:
