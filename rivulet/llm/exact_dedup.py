@@ -3,19 +3,22 @@
 Only DataFrame functions run here. ``DigestIndex`` keeps, in the shared folder,
 levels of sorted runs:
 
-* *flush*: every write task is a memtable. It sorts its rows by digest and leaves
-  one run, a Parquet file with a Bloom filter and min/max statistics on the digest.
-* *compact*: runs are merged into one level that holds, for each digest, the
-  smallest identifier and the number of rows. Counting combines on the map side, so
-  a digest that a third of all rows share reaches the merge as one row a task.
+* *flush*: a batch of rows is a memtable. It is combined by digest and left as a run:
+  Parquet sorted by digest, with a filter of its digests beside it.
+* *compact*: when a level has ``FANOUT`` runs, they are merged into a run of the next
+  level that holds, for each digest, the smallest identifier and the number of rows. The
+  rows of a run go through the filters of the others: what no other run has stays in its
+  task, and only possible hits are shuffled and combined.
 * *lookup*: rows get the smallest identifier of their digest. A filter of the digests
   that more than one row has picks the *hits*, whose texts alone are shuffled and
   compared byte by byte. A digest that stands for several texts is split by text.
-  A few digests of new texts are found through the Bloom filters of the files.
 """
 
 from __future__ import annotations
 
+import functools
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +27,8 @@ from rivulet.llm.storage import Scratch, documents, join_counted, named_again, n
 
 #: Fixed by the contract: runs of these bytes count as one space.
 WHITE_SPACE_RUN = r"[\x20\x09-\x0D]+"
+#: Batches that a table is flushed in, and runs of a level that are merged.
+MEMTABLES, FANOUT = 4, 2
 
 
 def normalised(text: Column) -> Column:
@@ -31,54 +36,81 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), WHITE_SPACE_RUN, " ")
 
 
+@dataclass
+class Run:
+    """A sorted run: one row for each digest, and the filter of them."""
+
+    path: str
+    filter: KeyFilter
+
+
 class DigestIndex:
-    """Levels of sorted digest runs below ``path``."""
+    """Levels of sorted digest runs below ``path``; ``levels[k]`` has the runs of level k."""
 
     SCHEMA = "digest binary, id bigint, n bigint"
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path, self.flushes, self.level = spark, path, 0, 0
-        self.pending: list[str] = []
-
-    def flush(self, rows: DataFrame) -> str:
-        """Add (digest, id, n) rows as new sorted runs; returns their path."""
-        path = f"{self.path}/level=0/flush={self.flushes}"
-        self.flushes += 1
-        self.pending.append(path)
-        (
-            rows.select("digest", "id", "n")
-            .sortWithinPartitions("digest", "id")
-            .write.option("parquet.bloom.filter.enabled#digest", "true")
-            .parquet(path)
-        )
-        return path
-
-    def read(self, path: str) -> DataFrame:
-        return self.spark.read.schema(self.SCHEMA).parquet(path)
+    def __init__(self, spark: SparkSession, path: str, fanout: int = FANOUT) -> None:
+        self.spark, self.path, self.fanout, self.made = spark, path, fanout, 0
+        self.levels: list[list[Run]] = [[]]
+        self.scratch = Scratch(spark)
+
+    def read(self, run: Run) -> DataFrame:
+        return self.spark.read.schema(self.SCHEMA).parquet(run.path)
+
+    def _write(self, rows: DataFrame, level: int) -> None:
+        path = f"{self.path}/level={level}/run={self.made}"
+        self.made += 1
+        rows.sortWithinPartitions("digest").write.option("parquet.bloom.filter.enabled#digest", "true").parquet(path)
+        while len(self.levels) <= level:
+            self.levels.append([])
+        self.levels[level].append(Run(path, KeyFilter(self.spark.read.schema(self.SCHEMA).parquet(path), "digest", self.scratch)))
+
+    def flush(self, rows: DataFrame) -> None:
+        """Add a batch of (digest, id, n) rows as a new run; full levels are merged."""
+        self._write(_combined(rows.select("digest", "id", "n")), 0)
+        level = 0
+        while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
+            self._merge(self.levels[level], level + 1)
+            self.levels[level] = []
+            level += 1
+
+    def _merge(self, runs: list[Run], level: int) -> None:
+        """Merge runs into one of a level."""
+        if len(runs) == 1:
+            while len(self.levels) <= level:
+                self.levels.append([])
+            self.levels[level].append(runs[0])
+            return
+        alone, shared = [], []
+        for run in runs:
+            rows = self.read(run).withColumn("hit", F.lit(False))
+            for other in runs:
+                if other is not run:
+                    rows = other.filter.mark(rows, F.col("digest"), "here").withColumn("hit", F.col("hit") | F.col("here")).drop("here")
+            alone.append(rows.filter("not hit").drop("hit"))
+            shared.append(rows.filter("hit").drop("hit"))
+        union = lambda parts: functools.reduce(DataFrame.unionByName, parts)
+        self._write(union([_combined(union(shared)), *alone]), level)
 
     def compact(self) -> DataFrame:
-        """Merge all runs and the last level into the next one and return it."""
-        found = [self.read(p) for p in self.pending]
-        if self.level:
-            found.append(self.read(f"{self.path}/level={self.level}"))
-        rows = found[0]
-        for more in found[1:]:
-            rows = rows.unionByName(more)
-        self.level, self.pending = self.level + 1, []
-        path = f"{self.path}/level={self.level}"
-        (
-            rows.groupBy("digest")
-            .agg(F.min("id").alias("id"), F.sum("n").alias("n"))
-            .sortWithinPartitions("digest")
-            .write.option("parquet.bloom.filter.enabled#digest", "true")
-            .parquet(path)
-        )
-        return self.read(path)
+        """Merge all runs there are into one of a new last level and return it."""
+        runs = [run for level in self.levels for run in level]
+        last = len(self.levels)
+        self._merge(runs, last)
+        self.levels = [[] for _ in range(last)] + [self.levels[last]]
+        return self.read(self.levels[last][0])
 
     def find(self, digests: list[bytes]) -> DataFrame:
-        """(digest, id, n) of those of a few digests that the last level holds; Parquet
-        skips files and row groups by statistics and Bloom filters."""
-        return self.read(f"{self.path}/level={self.level}").filter(F.col("digest").isin(digests))
+        """(digest, id, n) of those of a few digests that the index holds; Parquet skips
+        files and row groups by statistics and Bloom filters."""
+        runs = [self.read(run).filter(F.col("digest").isin(digests)) for level in self.levels for run in level]
+        return _combined(functools.reduce(DataFrame.unionByName, runs))
+
+
+def _combined(rows: DataFrame) -> DataFrame:
+    """One row for each digest: a digest that a third of all rows share reaches the merge
+    as one row a task."""
+    return rows.groupBy("digest").agg(F.min("id").alias("id"), F.sum("n").alias("n"))
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -95,8 +127,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     scratch = Scratch(spark)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), normalised(F.col(text_col)).alias("norm")).withColumn("digest", F.unhex(F.sha2("norm", 256)))
+    flushed = scratch.write(rows.select("digest", "id"), "digests")
     index = DigestIndex(spark, path or scratch.path("digest-index"))
-    flushed = index.read(index.flush(rows.select("digest", "id", F.lit(1).cast("bigint").alias("n"))))
+    batch, one = F.pmod(F.xxhash64("id"), F.lit(MEMTABLES)), F.lit(1).cast("bigint").alias("n")
+    for k in range(MEMTABLES):
+        index.flush(flushed.filter(batch == k).select("digest", "id", one))
     repeated = index.compact().filter("n > 1").select("digest", F.col("id").alias("keep_id"), F.col("n").alias("group_size"))
     found = join_counted(flushed.select("digest", "id"), repeated, "digest", "group_size", flushed.count())
     # A digest that one row has keeps that row.
@@ -112,7 +147,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         split = rows.join(collided, "digest", "left_semi").join(classes, ["digest", "norm"]).select(*found.columns)
         found = found.join(collided, "digest", "left_anti").unionByName(split)
     kept = F.col("id").eqNullSafe(F.col("keep_id")).alias("kept")
-    return scratch.finish(found.select(F.col("id").alias(id_col), "keep_id", "group_size", kept, F.lower(F.hex("digest")).alias("text_sha256")), "decisions")
+    decisions = scratch.finish(found.select(F.col("id").alias(id_col), "keep_id", "group_size", kept, F.lower(F.hex("digest")).alias("text_sha256")), "decisions")
+    index.scratch.release()
+    return decisions
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,10 +1,11 @@
 """Language identification by nearest centroids of TF-IDF n-gram vectors.
 
 A text is a vector of hashed byte trigrams of its letters, weighted by TF-IDF and
-normalised. Each language has several centroids, found by spherical k-means on a
-bounded sample of labelled texts, since one language has several kinds of text. The
-nearest centroid by cosine names the language. Each centroid reaches as far as the
-farthest text that it was made of, and a little further; a text beyond is rejected.
+normalised. Each language has several centroids, since one language has several kinds of
+text: its texts in a bounded labelled sample are halved along their main direction until
+there are enough parts, which spherical k-means then settles. The nearest centroid by
+cosine names the language. Each centroid reaches as far as nearly all texts that it was
+made of, and a little further; a text beyond is rejected.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ CENTROIDS = 4
 #: more, its texts are sampled by a hash of their id.
 TRAIN_ROWS = 4_000
 UNDETERMINED = "und"
-#: Cosine distance that a centroid reaches beyond its farthest training text.
-REACH = 0.05
+#: Share of a centroid's training texts that it reaches, and cosine distance beyond them.
+REACHED, REACH = 0.995, 0.05
 #: Documents whose vectors are held densely at once.
 ROWS = 256
 
@@ -90,18 +91,46 @@ class LanguageModel:
         return [self.languages[b] if t > 0 else self.fallback for b, t in zip(best, top)], top, 1 - top > self.reach[best]
 
 
+def halves(v: np.ndarray) -> np.ndarray | None:
+    """Which rows lie beyond the median along the direction of most variance; None if
+    all rows are alike."""
+    x = v - v.mean(axis=0)
+    d = x[np.argmax((x * x).sum(axis=1))]
+    for _ in range(10):
+        d = x.T @ (x @ d)
+        d /= max(float(np.linalg.norm(d)), 1e-12)
+    at = x @ d
+    upper = at > np.median(at)
+    return upper if upper.any() and at.max() - at.min() > 1e-5 else None
+
+
 def cluster(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Spherical k-means from farthest-first seeds; deterministic."""
-    seeds = [v.mean(axis=0)]
-    for _ in range(min(k, len(v)) - 1):
-        seeds.append(v[np.max(v @ np.array(seeds).T, axis=1).argmin()])
-    c = np.array(seeds)
+    """Spherical k-means from the parts of repeated halving; deterministic.
+
+    There are ``k`` centroids unless there are fewer different rows. One that loses all
+    its rows takes over the row that is farthest from its own centroid.
+    """
+    parts, done = [np.arange(len(v))], []
+    while parts and len(parts) + len(done) < k:
+        parts.sort(key=lambda p: (-len(p), p[0]))
+        own = parts.pop(0)
+        upper = halves(v[own]) if len(own) > 1 else None
+        if upper is None:
+            done.append(own)
+        else:
+            parts += [own[~upper], own[upper]]
+    unit = lambda c: c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+    c = unit(np.array([v[p].mean(axis=0) for p in sorted([*parts, *done], key=lambda p: p[0])]))
     for _ in range(rounds):
-        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-        own = (v @ c.T).argmax(axis=1)
-        # A cluster of a few outliers would speak for nothing: it gives way.
-        c = np.array([v[own == i].mean(axis=0) for i in range(len(c)) if (own == i).sum() >= max(1, len(v) // 50)] or [v.mean(axis=0)])
-    return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+        cosine = v @ c.T
+        own = cosine.argmax(axis=1)
+        near = cosine[np.arange(len(v)), own]
+        for i in range(len(c)):
+            if not (own == i).any():
+                far = int(near.argmin())
+                own[far], near[far] = i, 1.0
+        c = unit(np.array([v[own == i].mean(axis=0) for i in range(len(c))]))
+    return c
 
 
 def fit(rows: DataFrame, train_rows: int = TRAIN_ROWS, centroids: int = CENTROIDS) -> LanguageModel:
@@ -153,7 +182,7 @@ def fit(rows: DataFrame, train_rows: int = TRAIN_ROWS, centroids: int = CENTROID
         nearest = cosine.argmax(axis=1)
         made.append(c)
         model.languages += [lang] * len(c)
-        reach += [1 - cosine[nearest == k, k].min(initial=1.0) + REACH for k in range(len(c))]
+        reach += [float(np.quantile(1 - np.append(cosine[nearest == k, k], [] if (nearest == k).any() else [1.0]), REACHED)) + REACH for k in range(len(c))]
     if made:
         model.centroids, model.reach = np.concatenate(made).astype(np.float32), np.array(reach)
     return model

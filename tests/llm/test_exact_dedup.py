@@ -1,6 +1,7 @@
 """Exact dedup against a brute-force grouping, with edge cases."""
 
 import hashlib
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -53,6 +54,24 @@ def test_compaction_merges_flushes_and_keeps_the_smallest(spark):
     assert sorted(map(tuple, index.compact().collect())) == [(b"\0", 2, 2), (b"\1", 1, 4)]
 
 
+def test_levels_fill_and_filters_keep_rows_in_place(spark):
+    index = DigestIndex(spark, fresh_path(spark, "index"))
+    rnd, want, shapes = random.Random(6), {}, []
+    for k in range(7):
+        rows = [(bytes([rnd.randrange(40), 7]), rnd.randrange(1000), 1) for _ in range(25)]
+        for d, i, n in rows:
+            least, many = want.get(d, (i, 0))
+            want[d] = (min(least, i), many + n)
+        index.flush(spark.createDataFrame(rows, DigestIndex.SCHEMA).repartition(3))
+        shapes.append([len(level) for level in index.levels])
+    assert shapes[0] == [1] and shapes[1] == [0, 1] and shapes[3] == [0, 0, 1] and shapes[6] == [1, 1, 1]
+    some = sorted(want)[:5]
+    assert {bytes(r.digest): (r.id, r.n) for r in index.find(some).collect()} == {d: want[d] for d in some}
+    plan = index.levels[0][0].filter.mark(index.read(index.levels[1][0]), F.col("digest"), "hit")._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" in plan and "Python" not in plan
+    assert {bytes(r.digest): (r.id, r.n) for r in index.compact().collect()} == want
+
+
 def test_a_shared_digest_is_split_by_text(spark, monkeypatch):
     """Digests cut to a few bits stand for several texts; bytes tell them apart."""
     real = exact_dedup.F.sha2

@@ -1,7 +1,9 @@
-"""Language identification: held-out accuracy and edge cases."""
+"""Language identification: held-out accuracy, several centroids, edge cases."""
 
 import random
 
+import numpy as np
+
 from rivulet.llm import language_id as li
 
 SYLLABLES = {"aa": ["ka", "lo", "mi"], "bb": ["ré", "tü", "shé"], "cc": ["st", "ung", "ver"]}
@@ -21,7 +23,38 @@ def test_held_out_accuracy(spark):
     model = li.fit(df.filter("id < 500"), train_rows=300)
     got = {r.id: r for r in li.predict(df, model, keep=("id",)).collect()}
     assert all(got[i].lang_pred == lang and 0 < got[i].score <= 1 for i, _, lang in rows if i >= 500)
-    assert max(model.languages.count(x) for x in SYLLABLES) > 1
+    assert all(model.languages.count(x) == li.CENTROIDS for x in SYLLABLES)
+
+
+def unit(v):
+    return v / np.linalg.norm(v, axis=-1, keepdims=True)
+
+
+def test_clusters_equal_a_plain_version():
+    """Kinds of text that lie apart are each a centroid, whatever outliers there are."""
+    rng = np.random.default_rng(3)
+    kinds = np.eye(12)[:4] * 5
+    v = unit(np.concatenate([rng.normal(size=(n, 12)) * 0.4 + kinds[k] for k, n in enumerate((90, 60, 40, 30))] + [rng.normal(size=(2, 12))])).astype(np.float32)
+    got = li.cluster(v, 4)
+    assert got.shape == (4, 12) and np.allclose(np.linalg.norm(got, axis=1), 1, atol=1e-5)
+    own = [max(range(4), key=lambda k: sum(float(x) * float(y) for x, y in zip(row, got[k]))) for row in v]
+    for k in range(4):  # each is the mean of the rows nearest to it, and of one kind
+        rows = [v[i] for i in range(len(v)) if own[i] == k]
+        assert np.allclose(got[k], unit(np.sum(rows, axis=0)), atol=1e-4)
+    assert len({own[i] for i in (0, 100, 160, 200)}) == 4 and all(len(set(own[a:b])) == 1 for a, b in ((0, 90), (90, 150), (150, 190), (190, 220)))
+
+
+def test_clusters_of_few_or_equal_rows():
+    v = unit(np.random.default_rng(1).normal(size=(3, 5)).astype(np.float32))
+    assert len(li.cluster(v, 4)) == 3 and len(li.cluster(np.repeat(v[:1], 50, axis=0), 4)) == 1
+    copies = np.concatenate([np.repeat(v[:1], 60, axis=0), v[1:]])
+    assert len(li.cluster(copies, 4)) >= 2
+
+
+def test_reach_leaves_outliers_aside(spark):
+    rows = [(i, "ka lo mi " * (3 + i % 5), "aa") for i in range(400)] + [(999, "qq xx zz ww", "aa")]
+    model = li.fit(spark.createDataFrame(rows, "id bigint, text string, lang string"))
+    assert min(model.reach) < 0.5
 
 
 def test_edge_cases(spark):
