@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from rivulet import schema
 from rivulet.functions import scalars as S
 from rivulet.functions import times
-from rivulet.operators import lists, merge, selection
+from rivulet.operators import incremental, lists, merge, selection
 from rivulet.operators import relations as R
 from rivulet.plans import ingest, unfurl
 from rivulet.plans.config import Config
@@ -113,10 +113,9 @@ class Archive:
     def export(self, path: str, fmt: str | None = None) -> int:
         """Write all stored feed URLs; nothing is written for an empty archive."""
         self.store.open()
-        urls = [r.url for r in selection.feed_urls(self.store.feeds).toLocalIterator()]
-        if urls:
-            opml.save_list(path, fmt or opml.detect_format(path), urls, self.now())
-        return len(urls)
+        # One file of short lines; the driver holds a partition of URLs at a time.
+        urls = (r.url for r in selection.feed_urls(self.store.feeds).toLocalIterator())
+        return opml.write_list(path, fmt or opml.detect_format(path), urls, self.now())
 
     # Fetch
 
@@ -243,7 +242,7 @@ class Archive:
         frame = selection.render_frame(
             self.store.feeds, self.store.items, now, a, b, c.min_items_per_feed if minimum is None else minimum, c.max_items_per_feed if maximum is None else maximum, size, only
         )
-        icons = R.feed_favicons(self.store.items, self.store.url_metadata)
+        icons = incremental.feed_favicons(self.store.table("icon_votes")) if self.store.summarised else R.feed_favicons(self.store.items, self.store.url_metadata)
         out = output or c.render_output
         sinks.clean(out)
         rows = sinks.site_frames(frame, self.store.feeds, self.store.url_metadata, icons)

@@ -6,11 +6,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rivulet.functions import tables
+from rivulet.operators import incremental
+from rivulet.operators import relations as R
+from rivulet.plans import ingest, politeness
 from rivulet.plans import oracle as O
-from rivulet.plans import politeness
-from rivulet.plans.catalogue import NOW, register
+from rivulet.plans.catalogue import NOW, PURGE, register
 from rivulet.sources import adapter as A
 from rivulet.sources import datasource, feeds, scratch
+from rivulet.sources.store import Part, Store
 from rivulet.streaming import ingest as streaming
 from rivulet.streaming import release
 
@@ -37,6 +40,68 @@ def feed_source(spark, d):
         F.count("*").alias("item_count"), F.countDistinct("i.guid").alias("guids"), F.min("i.published").alias("oldest"), F.max("i.published").alias("newest"))
 
 
+# An archive that is filled already
+
+_SECOND, _BEFORE = "date_trunc('second', published_date)", f"TIMESTAMP '{PURGE}'"
+
+
+@register("ingest_again", O.with_views(
+    f"""SELECT coalesce(f.feed_url, s.feed_url) AS feed_url, coalesce(f.guid, s.guid) AS guid, coalesce(s.title, f.title) AS title,
+CASE WHEN f.guid IS NOT NULL THEN f.published ELSE s.published END AS published_date, CASE WHEN f.guid IS NULL THEN {O.NOW} ELSE {_BEFORE} END AS first_seen,
+s.guid IS NULL AND f.feed_url IN (SELECT feed_url FROM second) AS archived FROM first f FULL JOIN second s ON f.feed_url = s.feed_url AND f.guid = s.guid""",
+    ", ".join(f"{name} AS (SELECT feed_url, guid, arg_max(title, id) AS title, arg_min({_SECOND}, id) AS published FROM items WHERE {where} GROUP BY feed_url, guid)"
+              for name, where in (("first", "id % 3 <> 0"), ("second", "id % 4 <> 0 AND user_id % 5 <> 0")))))
+def ingest_again(spark, d):
+    """A second fetch: dates keep, titles change, items that are gone are archived, feeds
+    that did not answer stay as they are."""
+    first = feeds.sample_responses(A.items(spark, d).filter("id % 3 <> 0"))
+    stored = ingest.fetch_batch(spark, None, first, PURGE, max_items=1 << 30, landing=scratch.fresh(spark, "parsed"))
+    part = Part(scratch.landed(stored.feeds, scratch.fresh(spark, "feeds")), scratch.landed(stored.items, scratch.fresh(spark, "items")), 0)
+    second = feeds.sample_responses(A.items(spark, d).filter("id % 4 <> 0 AND user_id % 5 <> 0"))
+    merged = ingest.fetch_batch(spark, part, second, NOW, max_items=1 << 30, landing=scratch.fresh(spark, "parsed"))
+    return merged.items.select("feed_url", "guid", "title", "published_date", "first_seen", "archived")
+
+
+@register("archive_versions", O.with_views(
+    f"""SELECT CAST(4 AS BIGINT) AS version, count(*) AS items, count(first_seen) AS seen, max(first_seen) AS newest
+FROM (SELECT CASE WHEN published_date > {O.NOW} THEN {O.NOW} WHEN published_date < TIMESTAMP '2000-01-01' THEN TIMESTAMP '2000-01-01' ELSE published_date END AS first_seen FROM items)"""))
+def archive_versions(spark, d):
+    """An archive of the first version, brought up to date: its newest version, as its
+    manifest tells it, and what the migrations have filled in."""
+    store = Store(spark, scratch.fresh(spark, "archive"))
+    store.manifest = {"version": 1, "tables": {"feeds": "feeds/old", "items": "items/old"}, "applied": {"1": str(PURGE)}}
+    A.feeds(spark, d).select("url", "title").write.parquet(f"{store.path}/feeds/old")
+    A.items(spark, d).select("id", "feed_url", "guid", "title", "link", "published_date", "archived").write.parquet(f"{store.path}/items/old")
+    store.migrate(NOW)
+    again = Store(spark, store.path).open()
+    newest = R.latest_version(again.versions())
+    items = again.items.agg(F.count("*").alias("items"), F.count("first_seen").alias("seen"), F.max("first_seen").alias("newest"))
+    return newest.crossJoin(items)  # one row each
+
+
+@register("kept_summaries", O.with_views(
+    """SELECT c.feed_url, c.live, c.total, v.favicon_url AS favicon, v.votes, o.orphans FROM
+(SELECT feed_url, count(*) FILTER (NOT archived) AS live, count(*) AS total FROM items GROUP BY feed_url) c LEFT JOIN
+(SELECT feed_url, favicon_url, votes FROM (SELECT feed_url, favicon_url, count(*) AS votes, row_number() OVER (PARTITION BY feed_url ORDER BY count(*) DESC, favicon_url) AS r
+  FROM items JOIN changed_metadata m ON m.url = link WHERE NOT archived GROUP BY feed_url, favicon_url) WHERE r = 1) v ON v.feed_url = c.feed_url,
+(SELECT count(*) AS orphans FROM changed_metadata WHERE url NOT IN (SELECT link FROM items)) o""",
+    "changed_metadata AS (SELECT url, CASE WHEN page_id % 4 = 0 THEN 'https://icons.example.com/' || (page_id % 3) || '.ico' ELSE favicon_url END AS favicon_url FROM url_metadata)"))
+def kept_summaries(spark, d):
+    """Counts, favicon modes and orphans from summaries that followed three changes."""
+    store = Store(spark, scratch.fresh(spark, "archive")).init()
+    items = A.items(spark, d).select("id", "feed_url", "guid", "title", "link", "published_date", "archived")
+    metadata = A.url_metadata(spark, d)
+    store.commit({"items": items.filter("id % 3 <> 0"), "url_metadata": metadata.filter("page_id % 2 = 0")})
+    store.summarise()
+    store.commit({"items": items.filter("id % 5 <> 0").withColumn("archived", F.col("id") % 2 == 0)})
+    store.commit({"url_metadata": metadata})
+    icon = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("https://icons.example.com/"), (F.col("page_id") % 3).cast("string"), F.lit(".ico")))
+    store.commit({"items": items, "url_metadata": metadata.withColumn("favicon_url", F.coalesce(icon, "favicon_url"))})
+    icons = incremental.feed_favicons(store.table("icon_votes")).select("feed_url", F.col("favicon_url").alias("favicon"), "votes")
+    orphans = incremental.orphan_metadata(store.url_metadata, store.table("link_feeds")).agg(F.count("*").alias("orphans"))
+    return store.table("feed_counts").join(icons, "feed_url", "left").crossJoin(F.broadcast(orphans))  # one row
+
+
 # Crawl plan
 
 WORKERS = 8
@@ -87,11 +152,13 @@ def crawl_workers(spark, d):
 
 
 @register("release_order", O.with_views(
-    "SELECT url, row_number() OVER (ORDER BY url) AS completed, max(last_fetch_time) OVER (ORDER BY url ROWS UNBOUNDED PRECEDING) AS release_at, "
-    "CAST(floor(row_number() OVER (ORDER BY url) * 100 / count(*) OVER ()) AS INTEGER) AS percent FROM feeds"))
+    "SELECT url, page_id, row_number() OVER w AS completed, max(last_fetch_at) OVER w AS release_at, "
+    "CAST(floor(row_number() OVER w * 100 / count(*) OVER ()) AS INTEGER) AS percent FROM url_metadata WINDOW w AS (ORDER BY url, page_id ROWS UNBOUNDED PRECEDING)"))
 def release_order(spark, d):
-    rows = A.feeds(spark, d).select("url", "last_fetch_time")
-    return release.release_times(rows, [F.col("url").asc()], "last_fetch_time").select("url", "completed", "release_at", "percent")
+    """When each result of one unfurl of all links could be shown in the order of the list."""
+    rows = A.url_metadata(spark, d).select("url", "page_id", "last_fetch_at")
+    order = [F.col("url").asc(), F.col("page_id").asc()]
+    return release.release_times(rows, order, "last_fetch_at").select("url", "page_id", "completed", "release_at", "percent")
 
 
 @register("late_responses", """SELECT event_id, coalesce(given <= max(given) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS late

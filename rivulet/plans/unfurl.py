@@ -119,13 +119,13 @@ def unfurl(urls: DataFrame, now: datetime, landing: str, concurrency: int = 32,
     if skip_robots:
         return metadata_rows(fetch_pages(urls, concurrency), now)
     spark = urls.sparkSession
-    path = f"{landing}/robots"
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    known = spark.read.schema(ROBOTS_ANSWERS).parquet(path) if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) else None
+    # A folder for each hour: only those whose answers may still count are read.
+    hours = [f"{landing}/robots/hour={(now - ROBOTS_LIFE * k).strftime('%Y%m%dT%H')}" for k in range(2)]
+    known = [h for h in hours if (p := spark._jvm.org.apache.hadoop.fs.Path(h)).getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)]
+    known = spark.read.schema(ROBOTS_ANSWERS).parquet(*known) if known else None
     answers = f"{landing}/robots-{now.strftime('%Y%m%dT%H%M%S%f')}"
-    fetch_robots(urls, concurrency, now, known).write.mode("overwrite").parquet(answers)
-    robots = spark.read.schema(ROBOTS_ANSWERS).parquet(answers)
-    robots.filter(F.col("fetched_at") == S.ts(now)).write.mode("append").parquet(path)
+    robots = landed(fetch_robots(urls, concurrency, now, known), answers)
+    robots.filter(F.col("fetched_at") == S.ts(now)).write.mode("append").parquet(hours[0])
     marked = with_robots(urls.select("url"), robots)
     delays = politeness.crawl_delays(robots)
     if delays.isEmpty():

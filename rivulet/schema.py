@@ -24,6 +24,13 @@ PARSED = (
     "published:timestamp_ntz,updated:timestamp_ntz,item_json:string>>"
 )
 ROBOTS = "host string, allow array<string>, disallow array<string>, crawl_delay double"
+#: Sums over items and metadata, kept by merges once an archive has them.
+SUMMARIES = {
+    "feed_counts": "feed_url string, live bigint, total bigint",
+    "link_feeds": "link string, feed_url string, live bigint, total bigint",
+    "icon_votes": "feed_url string, favicon_url string, votes bigint",
+}
 TABLES = {"feeds": FEEDS, "items": ITEMS, "url_metadata": URL_METADATA}
 #: Keys that merges keep unique; Parquet enforces none.
-KEYS = {"feeds": ["url"], "items": ["feed_url", "guid"], "url_metadata": ["url"]}
+KEYS = {"feeds": ["url"], "items": ["feed_url", "guid"], "url_metadata": ["url"], "feed_counts": ["feed_url"], "link_feeds": ["link"], "icon_votes": ["feed_url"]}
+STORED = TABLES | SUMMARIES

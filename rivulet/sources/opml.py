@@ -10,7 +10,9 @@ import html
 import html.entities
 import re
 import xml.etree.ElementTree as ET
+from collections.abc import Iterable, Iterator
 from datetime import datetime
+from itertools import chain
 from pathlib import Path
 from urllib.parse import urlsplit
 from xml.sax.saxutils import quoteattr
@@ -112,8 +114,7 @@ def format_opml(urls: list[str], title: str = "Feeds", base: str | None = None)
     attributes: outlines of URLs that are gone are dropped, new URLs are appended.
     """
     if base is None:
-        lines = [f"    <outline text={quoteattr(u)} type=\"rss\" xmlUrl={quoteattr(u)}/>" for u in urls]
-        return "\n".join(['<?xml version="1.0" encoding="UTF-8"?>', '<opml version="2.0">', f"  <head><title>{html.escape(title)}</title></head>", "  <body>", *lines, "  </body>", "</opml>", ""])
+        return "\n".join([*list_lines("opml", urls, datetime.min, title), ""])
     root = _tree(base)
     body = root.find("body")
     if body is None:
@@ -139,8 +140,38 @@ def format_opml(urls: list[str], title: str = "Feeds", base: str | None = None)
 
 
 def format_text_list(urls: list[str], at: datetime) -> str:
-    head = [f"# Subscriptions, written {at:%Y-%m-%d %H:%M:%S} UTC", "# A line is a feed's address or, after a number sign, a remark", ""]
-    return "\n".join([*head, *urls, ""])
+    return "\n".join([*list_lines("text", urls, at), ""])
+
+
+def list_lines(fmt: str, urls: Iterable[str], at: datetime, title: str = "Feeds") -> Iterator[str]:
+    """The lines of a new list file, one by one."""
+    if fmt == "opml":
+        yield from ('<?xml version="1.0" encoding="UTF-8"?>', '<opml version="2.0">', f"  <head><title>{html.escape(title)}</title></head>", "  <body>")
+        yield from (f"    <outline text={quoteattr(u)} type=\"rss\" xmlUrl={quoteattr(u)}/>" for u in urls)
+        yield from ("  </body>", "</opml>")
+        return
+    yield from (f"# Subscriptions, written {at:%Y-%m-%d %H:%M:%S} UTC", "# A line is a feed's address or, after a number sign, a remark", "")
+    yield from urls
+
+
+def write_list(path: str, fmt: str, urls: Iterable[str], at: datetime) -> int:
+    """Write a new list file from URLs that come one by one; nothing for none. Returns how many."""
+    if fmt not in FORMATS:
+        raise ValueError(f"unknown feed list format {fmt!r}")
+    many = 0
+
+    def counted() -> Iterator[str]:
+        nonlocal many
+        for many, u in enumerate(urls, 1):  # noqa: B007
+            yield u
+
+    own = iter(counted())
+    first = next(own, None)
+    if first is None:
+        return 0
+    with open(path, "w", encoding="utf-8") as f:
+        f.writelines(f"{line}\n" for line in list_lines(fmt, chain([first], own), at))
+    return many
 
 
 def save_list(path: str, fmt: str, urls: list[str], at: datetime, base: str | None = None) -> None:

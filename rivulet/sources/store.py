@@ -12,15 +12,18 @@ from __future__ import annotations
 
 import json
 import re
+import time
 import uuid
 from dataclasses import dataclass, field
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet import schema
 from rivulet.functions.scalars import backfilled_first_seen
+from rivulet.operators import incremental
+from rivulet.sources.scratch import landed
 
 #: Forward-only versions: 2 item archive columns, 3 link metadata, 4 first_seen.
 MIGRATIONS = (1, 2, 3, 4)
@@ -29,6 +32,8 @@ VERSION = max(MIGRATIONS)
 BUCKETS = 64
 #: Column that a snapshot is divided by; bytes of a file that compaction aims at.
 BUCKET, FILE_BYTES = "__bucket", 128 << 20
+#: How long what a command has landed may still be in use, and what is no such thing.
+LANDING_LIFE, KEPT_LANDING = timedelta(hours=24), ("robots", "aside")
 _MANIFEST = re.compile(r"manifest-(\d{10})\.json$")
 
 
@@ -115,14 +120,22 @@ class Store:
 
     def table(self, name: str, buckets: list[int] | None = None) -> DataFrame:
         """A table, or those of its buckets alone."""
-        held = self.manifest["tables"][name]
+        return self.read(self.manifest["tables"], name, buckets)
+
+    def read(self, tables: dict, name: str, buckets: list[int] | None = None) -> DataFrame:
+        """A table as a manifest's ``tables`` name it."""
+        types, held = schema.STORED[name], tables.get(name, {})
         if isinstance(held, str):  # of an archive before there were buckets
-            rows = self.spark.read.schema(schema.TABLES[name]).parquet(f"{self.path}/{held}")
+            rows = self.spark.read.schema(types).parquet(f"{self.path}/{held}")
             return rows if buckets is None else rows.filter(self.bucket(schema.KEYS[name][0]).isin(buckets))
         found = [held[str(b)] for b in (range(self.buckets) if buckets is None else buckets) if str(b) in held]
         if not found:
-            return self.spark.createDataFrame([], schema.TABLES[name])
-        return self.spark.read.schema(schema.TABLES[name]).parquet(*(f"{self.path}/{p}" for p in found))
+            return self.spark.createDataFrame([], types)
+        return self.spark.read.schema(types).parquet(*(f"{self.path}/{p}" for p in found))
+
+    def landed(self, rows: DataFrame) -> DataFrame:
+        """``rows`` as written to the archive's landing folder."""
+        return landed(rows, f"{self.path}/landing/change-{uuid.uuid4().hex}")
 
     def part(self, feed_buckets: list[int]) -> Part:
         """The feeds and items of some buckets, for a merge that touches no others."""
@@ -145,43 +158,84 @@ class Store:
     def url_metadata(self) -> DataFrame:
         return self.table("url_metadata")
 
-    def commit(self, tables: dict[str, DataFrame], buckets: dict[str, list[int]] | None = None) -> None:
+    def commit(self, tables: dict[str, DataFrame], buckets: dict[str, list[int]] | None = None, same_rows: bool = False) -> None:
         """Replace tables together, or of each the ``buckets`` named for it.
 
-        A bucket's rows are sorted by key (items by feed and date), so that file
-        statistics let scans of one feed or period skip files and row groups. Rows go to
-        files by ranges, so a bucket with one large feed is many files.
+        Summaries that the archive has follow, unless the tables hold the same rows as
+        before.
         """
-        held = {n: dict(h) if isinstance(h, dict) else h for n, h in self.manifest.get("tables", {}).items()}
+        copy = lambda: {n: dict(h) if isinstance(h, dict) else h for n, h in self.manifest.get("tables", {}).items()}
+        before, held, changed = copy(), copy(), {}
         for name, df in tables.items():
             only = None if buckets is None else buckets.get(name)
-            if only == []:
-                continue
-            types = {c.split()[0]: c.split()[1] for c in schema.TABLES[name].split(", ")}
-            df = df.select(*((F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in types.items()))
-            if only is not None and isinstance(held.get(name), str):
-                df, only = df.unionByName(self.table(name).filter(~self.bucket(schema.KEYS[name][0]).isin(only))), None
-            order = [BUCKET, schema.KEYS[name][0], *(["published_date"] if name == "items" else [])]
-            rows = df.withColumn(BUCKET, self.bucket(schema.KEYS[name][0]))
-            snapshot = f"{name}/snapshot={uuid.uuid4().hex}"
-            rows.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy(BUCKET).parquet(f"{self.path}/{snapshot}")
-            fs, p = self._fs(f"{self.path}/{snapshot}")
-            names = [status.getPath().getName() for status in fs.listStatus(p)]
-            made = {n.split("=")[1]: f"{snapshot}/{n}" for n in names if n.startswith(f"{BUCKET}=")}
-            old = held.get(name) if only is not None else {}
-            held[name] = {b: d for b, d in old.items() if int(b) not in only} | made if only is not None else made
+            if only != []:
+                self.put(held, name, df, only)
+                changed[name] = only
+        if "feed_counts" in before and not same_rows:
+            incremental.carry(self, before, held, changed)
         self.manifest["tables"] = held
         self._save()
 
+    def put(self, held: dict, name: str, df: DataFrame, only: list[int] | None = None) -> None:
+        """Write a table, or some buckets of it, and name the new directories in ``held``.
+
+        A bucket's rows are sorted by key (items by feed and date), so that file
+        statistics let scans of one feed or period skip files and row groups. Rows go to
+        files by ranges, so a bucket with one large feed is many files.
+        """
+        types = {c.split()[0]: c.split()[1] for c in schema.STORED[name].split(", ")}
+        df = df.select(*((F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in types.items()))
+        if only is not None and isinstance(held.get(name), str):
+            df, only = df.unionByName(self.read(held, name).filter(~self.bucket(schema.KEYS[name][0]).isin(only))), None
+        order = [BUCKET, schema.KEYS[name][0], *(["published_date"] if name == "items" else [])]
+        rows = df.withColumn(BUCKET, self.bucket(schema.KEYS[name][0]))
+        snapshot = f"{name}/snapshot={uuid.uuid4().hex}"
+        rows.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy(BUCKET).parquet(f"{self.path}/{snapshot}")
+        fs, p = self._fs(f"{self.path}/{snapshot}")
+        names = [status.getPath().getName() for status in fs.listStatus(p)]
+        made = {n.split("=")[1]: f"{snapshot}/{n}" for n in names if n.startswith(f"{BUCKET}=")}
+        old = held.get(name, {}) if only is not None else {}
+        held[name] = {b: d for b, d in old.items() if int(b) not in only} | made if only is not None else made
+
+    def summarise(self) -> None:
+        """Make the summaries of all rows; from then on merges keep them."""
+        links = self.landed(incremental.link_feeds(self.items))
+        made = {"feed_counts": incremental.feed_counts(self.items), "link_feeds": links, "icon_votes": incremental.icon_votes(links, self.url_metadata)}
+        self.commit(made, same_rows=True)
+
+    @property
+    def summarised(self) -> bool:
+        return "feed_counts" in self.manifest["tables"]
+
     def _used(self) -> set[str]:
         held = self.manifest["tables"].values()
         return {d for h in held for d in (h.values() if isinstance(h, dict) else [h])}
 
-    def vacuum(self) -> None:
-        """Join small files, and delete what the newest manifest no longer names."""
+    def versions(self) -> DataFrame:
+        """(version, applied_at) of every migration that the manifests tell of."""
+        applied = [(int(v), str(at)) for v, at in self.manifest.get("applied", {}).items()]
+        rows = self.spark.createDataFrame([*applied, *([(self.manifest["version"], None)] if str(self.manifest["version"]) not in self.manifest.get("applied", {}) else [])], "version bigint, at string")
+        return rows.select("version", F.col("at").cast("timestamp_ntz").alias("applied_at"))
+
+    def clear_landing(self, older_than: timedelta = LANDING_LIFE) -> int:
+        """Delete what finished commands have landed, and robots answers that no longer
+        count; what is put aside stays. Returns how many folders went."""
+        gone = 0
+        before = time.time() - older_than.total_seconds()
+        for folder in ("landing", "landing/robots"):
+            fs, p = self._fs(f"{self.path}/{folder}")
+            for status in fs.listStatus(p) if fs.exists(p) else []:
+                if status.getPath().getName() not in KEPT_LANDING and status.getModificationTime() / 1000 <= before:
+                    gone += fs.delete(status.getPath(), True)
+        return gone
+
+    def vacuum(self, landing_life: timedelta = LANDING_LIFE) -> None:
+        """Join small files, and delete what the newest manifest no longer names, and what
+        has stood in ``landing`` for longer than any command takes."""
         self.compact()
+        self.clear_landing(landing_life)
         used = self._used()
-        for name in schema.TABLES:
+        for name in schema.STORED:
             fs, p = self._fs(f"{self.path}/{name}")
             for snapshot in fs.listStatus(p) if fs.exists(p) else []:
                 at = f"{name}/{snapshot.getPath().getName()}"
@@ -208,7 +262,7 @@ class Store:
                 if len(sizes) > max(1, -(-sum(sizes) // file_bytes)):
                     found.setdefault(name, []).append(int(bucket))
         if found:
-            self.commit({n: self.table(n, b) for n, b in found.items()}, found)
+            self.commit({n: self.table(n, b) for n, b in found.items()}, found, same_rows=True)
         return found
 
     def migrate(self, now: datetime | None = None) -> None:
