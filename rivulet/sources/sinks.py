@@ -118,7 +118,8 @@ def site_frames(frame: DataFrame, feeds: DataFrame, metadata: DataFrame, favicon
 
 
 #: The site's page and its assets; ``extract`` writes them out, ``write_site`` takes
-#: folders with changed ones. A page has $title, $root, $window and $body.
+#: folders with changed ones (index.html, list.html and feed.html go before page.html for
+#: pages of that kind). A page has $title, $root, $window and $body.
 TEMPLATES = {
     "page.html": """<!DOCTYPE html>
 <html lang="en"><head><meta charset="utf-8"><title>$title</title><link rel="stylesheet" href="${root}assets/style.css"></head>
@@ -140,13 +141,18 @@ def extract(files: dict[str, str], folder: str) -> list[str]:
     return new
 
 
-def page_template(folder: str = "") -> Template:
-    """The page of a folder, or the own one where it has none that can be read."""
-    own = Path(folder) / "page.html"
-    try:
-        return Template(own.read_text(encoding="utf-8") if folder else TEMPLATES["page.html"])
-    except OSError:
-        return Template(TEMPLATES["page.html"])
+#: Kinds of page; a folder may have a template for each beside the common one.
+KINDS = ("index", "list", "feed")
+
+
+def page_template(folder: str = "", kind: str = "page") -> Template:
+    """The template of a kind in a folder, else the folder's common page, else the own one."""
+    for name in (f"{kind}.html", "page.html") if folder else ():
+        try:
+            return Template((Path(folder) / name).read_text(encoding="utf-8"))
+        except OSError:
+            continue
+    return Template(TEMPLATES["page.html"])
 
 
 def copy_assets(out: Path, folder: str = "") -> None:
@@ -194,26 +200,28 @@ def write_site(frame: DataFrame, out: str, label: str, page_size: int, templates
     root = Path(out)
     (root / "feeds").mkdir(parents=True, exist_ok=True)
     copy_assets(root / "assets", assets)
-    template = page_template(templates)
+    template = {kind: page_template(templates, kind) for kind in KINDS}
 
-    def page(title: str | None, up: str, body: str) -> str:
-        return template.safe_substitute(title=_esc(title), root=up, window=_esc(label), body=body)
+    def page(kind: str, title: str | None, up: str, body: str) -> str:
+        return template[kind].safe_substitute(title=_esc(title), root=up, window=_esc(label), body=body)
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for r in map(_Named, batch.to_pylist()):
                 body = f"<h2><a href=\"{_esc(r.feed_url)}\">{_esc(r.feed_title)}</a></h2><p>{_esc(r.description)}</p>" + "\n".join(_item(_Named(i)) for i in r["items"])
-                rows.append({"page": r.page, "rank": r.rank, "line": _feed_line(r, "../"), "path": f"feeds/{r.feed_id}.html", "body": page(r.feed_title, "../", body)})
+                rows.append({"page": r.page, "rank": r.rank, "line": _feed_line(r, "../"), "path": f"feeds/{r.feed_id}.html", "body": page("feed", r.feed_title, "../", body)})
             yield pa.RecordBatch.from_pylist(rows, _RENDERED)
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                name = "index.html" if r["page"] is None else f"feeds/page-{r['page']}.html"
                 body = "<ul>" + "\n".join(x["line"] for x in r["lines"]) + "</ul>"
-                rows.append({"path": name, "body": page("Feeds" if r["page"] is None else f"Page {r['page']}", "" if r["page"] is None else "../", body)})
+                if r["page"] is None:
+                    rows.append({"path": "index.html", "body": page("index", "Feeds", "", body)})
+                else:
+                    rows.append({"path": f"feeds/page-{r['page']}.html", "body": page("list", f"Page {r['page']}", "../", body)})
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("path", pa.string()), ("body", pa.string())]))
 
     feeds = frame.mapInArrow(render, "page bigint, rank bigint, line string, path string, body string")

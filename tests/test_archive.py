@@ -282,6 +282,9 @@ def test_templates_and_assets_of_ones_own(archive, tmp_path):
     site = tmp_path / "site"
     assert "Mine: $5" in (site / "index.html").read_text() and (site / "assets" / "fonts" / "f.bin").exists() and (site / "assets" / "style.css").exists()
     assert archive.render(max_age="48h", templates=str(tmp_path / "none")) == 1 and "Mine" not in (site / "index.html").read_text()
+    (tmp_path / "t" / "list.html").write_text("list of $body")
+    assert archive.render(max_age="48h", templates=str(tmp_path / "t")) == 1 and "Mine" in (site / "index.html").read_text()
+    assert (site / "feeds" / "page-1.html").read_text().startswith("list of <ul>")
     archive.init(str(tmp_path / "t"))
     assert "Mine" in page.read_text()  # what is there is kept
 
