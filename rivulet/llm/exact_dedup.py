@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.llm.filters import KeyFilter
-from rivulet.llm.storage import Scratch, documents, join_counted, named_again, numbered_columns
+from rivulet.llm.storage import Scratch, documents, join_counted, named_again, numbered_columns, remove
 
 #: Fixed by the contract: runs of these bytes count as one space.
 WHITE_SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -41,8 +41,13 @@ class Run:
     """A sorted run: one row for each digest, and the filter of them."""
 
     path: str
+    scratch: Scratch
     filter: KeyFilter
 
+    def drop(self) -> None:
+        remove(self.scratch.spark, self.path)
+        self.scratch.release()
+
 
 class DigestIndex:
     """Levels of sorted digest runs below ``path``; ``levels[k]`` has the runs of level k."""
@@ -52,7 +57,6 @@ class DigestIndex:
     def __init__(self, spark: SparkSession, path: str, fanout: int = FANOUT) -> None:
         self.spark, self.path, self.fanout, self.made = spark, path, fanout, 0
         self.levels: list[list[Run]] = [[]]
-        self.scratch = Scratch(spark)
 
     def read(self, run: Run) -> DataFrame:
         return self.spark.read.schema(self.SCHEMA).parquet(run.path)
@@ -60,10 +64,13 @@ class DigestIndex:
     def _write(self, rows: DataFrame, level: int) -> None:
         path = f"{self.path}/level={level}/run={self.made}"
         self.made += 1
-        rows.sortWithinPartitions("digest").write.option("parquet.bloom.filter.enabled#digest", "true").parquet(path)
+        # Files are of any size, and so are their Bloom filters.
+        bloom = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
+        rows.sortWithinPartitions("digest").write.options(**bloom).parquet(path)
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(Run(path, KeyFilter(self.spark.read.schema(self.SCHEMA).parquet(path), "digest", self.scratch)))
+        own = Scratch(self.spark)
+        self.levels[level].append(Run(path, own, KeyFilter(self.spark.read.schema(self.SCHEMA).parquet(path), "digest", own)))
 
     def flush(self, rows: DataFrame) -> None:
         """Add a batch of (digest, id, n) rows as a new run; full levels are merged."""
@@ -91,6 +98,8 @@ class DigestIndex:
             shared.append(rows.filter("hit").drop("hit"))
         union = lambda parts: functools.reduce(DataFrame.unionByName, parts)
         self._write(union([_combined(union(shared)), *alone]), level)
+        for run in runs:
+            run.drop()
 
     def compact(self) -> DataFrame:
         """Merge all runs there are into one of a new last level and return it."""
@@ -148,7 +157,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         found = found.join(collided, "digest", "left_anti").unionByName(split)
     kept = F.col("id").eqNullSafe(F.col("keep_id")).alias("kept")
     decisions = scratch.finish(found.select(F.col("id").alias(id_col), "keep_id", "group_size", kept, F.lower(F.hex("digest")).alias("text_sha256")), "decisions")
-    index.scratch.release()
+    for run in (run for level in index.levels for run in level):
+        run.scratch.release()
     return decisions
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -70,6 +71,7 @@ def test_levels_fill_and_filters_keep_rows_in_place(spark):
     plan = index.levels[0][0].filter.mark(index.read(index.levels[1][0]), F.col("digest"), "hit")._jdf.queryExecution().toString()
     assert "BroadcastHashJoin" in plan and "Python" not in plan
     assert {bytes(r.digest): (r.id, r.n) for r in index.compact().collect()} == want
+    assert len(list(Path(index.path.removeprefix("file://")).rglob("run=*"))) == 1  # merged runs are gone
 
 
 def test_a_shared_digest_is_split_by_text(spark, monkeypatch):
