@@ -320,15 +320,18 @@ def test_page_title_is_the_last_one(spark):
     assert [r[0] for r in df.select(S.page_title("h")).collect()] == ["b", ""]
 
 
-def test_ranks_do_not_depend_on_the_ranges(spark, monkeypatch):
+def test_ranks_do_not_depend_on_the_ranges(spark):
     from rivulet.operators import selection
 
     rows = [(f"https://f/{k:03d}", NOW if k % 3 else NOW - timedelta(days=k), None) for k in range(200)] + [(f"https://n/{k}", None, None) for k in range(20)]
     feeds = spark.createDataFrame(rows, "url string, latest_item_date timestamp_ntz, last_updated timestamp_ntz")
     want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] - datetime(1970, 1, 1)).total_seconds() if r[1] else 0, r[0]))
-    for sample, ranges in ((10_000, 64), (5, 3), (1, 1)):
-        monkeypatch.setattr(selection, "RANGE_SAMPLE", sample)
-        monkeypatch.setattr(selection, "RANGES", ranges)
-        got = {r.url: r["rank"] for r in selection.ranked_feeds(feeds, NOW).collect()}
-        assert got == {r[0]: k for k, r in enumerate(want, 1)}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for ranges in ("1", "3", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", ranges)
+            got = {r.url: r["rank"] for r in selection.ranked_feeds(feeds, NOW).collect()}
+            assert got == {r[0]: k for k, r in enumerate(want, 1)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     assert selection.ranked_feeds(feeds.limit(0), NOW).count() == 0
