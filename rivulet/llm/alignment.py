@@ -366,7 +366,8 @@ def contributions(aligned: DataFrame, counts: DataFrame, units: list[int], wide:
             unit = (first[bucket] + turn % parts[bucket])[order]
             made = list(packed(unit, [pair[order], key[order], many[order]]))
             turn += 1
-            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in made], pa.int32()), pa.array([1] * len(made), pa.int32()), pa.array([b for _, b in made], pa.binary())], ["unit", "phase", "blob"])
+            phases = pa.array([1] * len(made), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in made], pa.int32()), phases, pa.array([b for _, b in made], pa.binary())], ["unit", "phase", "blob"])
 
         for batch in batches:
             for own, blob in zip(batch.column(0).to_pylist(), batch.column(1)):

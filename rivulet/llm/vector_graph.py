@@ -289,7 +289,8 @@ class Plan:
 def in_rows(key: str, number: int, raw: bytes) -> Iterator[pa.RecordBatch]:
     """A long byte string in rows of bounded size."""
     for part, at in enumerate(range(0, len(raw), ROW_BYTES)):
-        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([0], pa.int32()), pa.array([part], pa.int32()), pa.array([raw[at : at + ROW_BYTES]], pa.binary())], [key, "phase", "part", "blob"])
+        numbers = [pa.array([x], pa.int32()) for x in (number, 0, part)]
+        yield pa.RecordBatch.from_arrays([*numbers, pa.array([raw[at : at + ROW_BYTES]], pa.binary())], [key, "phase", "part", "blob"])
 
 
 def build(rows: DataFrame, plan: Plan, kind: str) -> DataFrame:
