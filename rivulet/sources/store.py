@@ -214,7 +214,9 @@ class Store:
     def versions(self) -> DataFrame:
         """(version, applied_at) of every migration that the manifests tell of."""
         applied = [(int(v), str(at)) for v, at in self.manifest.get("applied", {}).items()]
-        rows = self.spark.createDataFrame([*applied, *([(self.manifest["version"], None)] if str(self.manifest["version"]) not in self.manifest.get("applied", {}) else [])], "version bigint, at string")
+        if str(self.manifest["version"]) not in self.manifest.get("applied", {}):
+            applied.append((self.manifest["version"], None))
+        rows = self.spark.createDataFrame(applied, "version bigint, at string")
         return rows.select("version", F.col("at").cast("timestamp_ntz").alias("applied_at"))
 
     def clear_landing(self, older_than: timedelta = LANDING_LIFE) -> int:
