@@ -9,6 +9,7 @@ names. ``register`` makes both known to a session.
 from __future__ import annotations
 
 import heapq
+import os
 import time
 import uuid
 from collections.abc import Iterator
@@ -36,6 +37,11 @@ def file_system(path: str) -> tuple[arrow_fs.FileSystem, str]:
     return arrow_fs.FileSystem.from_uri(path)
 
 
+def as_url(path: str) -> str:
+    """The path of a file as a URL that a list may have; a URI stays as it is."""
+    return path if "://" in path or path.startswith("file:") else PurePosixPath(os.path.abspath(path)).as_uri()
+
+
 def read_text(path: str) -> str:
     own, at = file_system(path)
     with own.open_input_stream(at) as f:
@@ -65,7 +71,8 @@ def by_host(urls: list[tuple[int, str]], concurrency: int) -> list[Hosts]:
     heap = [(0, k, []) for k in range(min(concurrency, len(hosts)))]
     for _, own in sorted(hosts.items(), key=lambda h: (-len(h[1]), h[0])):
         size, k, held = heapq.heappop(heap)
-        heapq.heappush(heap, (size + len(own), k, held + own))
+        held.extend(own)
+        heapq.heappush(heap, (size + len(own), k, held))
     return [Hosts(sorted(held)) for _, _, held in sorted(heap, key=lambda p: p[1])]
 
 

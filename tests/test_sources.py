@@ -163,3 +163,15 @@ def test_failed_and_killed_tasks_leave_no_file(session, tmp_path):
     writer.write(iter([{"path": "lost.txt", "body": "half"}]))
     writer.commit([writer.write(iter([{"path": "kept.txt", "body": "whole"}])), None])
     assert [p.name for p in root.rglob("*")] == ["kept.txt"]
+
+
+def test_feed_source_where_the_shared_folder_is_a_plain_path(spark, tmp_path, monkeypatch):
+    from rivulet.plans import catalogue
+    from rivulet.sources import scratch
+
+    assert datasource.as_url("/a b/x") == "file:///a%20b/x" and datasource.as_url("file:/x") == "file:/x" and datasource.as_url("hdfs://h/x") == "hdfs://h/x"
+    monkeypatch.setattr(scratch, "shared_dir", lambda spark: f"{tmp_path}/a b")
+    spark.range(20).selectExpr("id AS event_id", "id % 3 AS user_id", "TIMESTAMP_NTZ '2024-01-02 03:04:05' AS ts", "'view' AS event_type", "'{}' AS props").write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(5).selectExpr("id AS page_id", "concat('https://x/', id) AS url").write.parquet(f"{tmp_path}/pages.parquet")
+    got = catalogue.queries()["feed_source"](spark, str(tmp_path)).collect()
+    assert {r.title: r.item_count for r in got} == {f"https://feeds.example.com/{u}/rss.xml": n for u, n in ((0, 7), (1, 7), (2, 6))}
