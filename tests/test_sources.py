@@ -175,3 +175,16 @@ def test_feed_source_where_the_shared_folder_is_a_plain_path(spark, tmp_path, mo
     spark.range(5).selectExpr("id AS page_id", "concat('https://x/', id) AS url").write.parquet(f"{tmp_path}/pages.parquet")
     got = catalogue.queries()["feed_source"](spark, str(tmp_path)).collect()
     assert {r.title: r.item_count for r in got} == {f"https://feeds.example.com/{u}/rss.xml": n for u, n in ((0, 7), (1, 7), (2, 6))}
+
+
+def test_parsed_items_are_handed_on_by_the_megabyte(spark):
+    import pyarrow as pa
+
+    body = '<rss version="2.0"><channel><title>T</title>' + "<item><title>One</title><guid>g</guid></item>" * 5_000 + "</channel></rss>"
+    rows = [(str(k), k, body if k % 4 else "garbage") for k in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["feed_url", "ordinal", "body"])
+    out = list(feeds.parsed_batches(iter([batch])))
+    assert max(sum(len(i) for i in b.column("items").to_pylist()) for b in out) <= 25_000 and [u for b in out for u in b.column("feed_url").to_pylist()] == [u for u, _, _ in rows]
+    parsed = feeds.parse_documents(spark.createDataFrame(rows, "feed_url string, ordinal int, body string").selectExpr("*", "200 AS status"))
+    got = {r.feed_url: (r.n, r.error is None) for r in parsed.selectExpr("feed_url", "size(items) AS n", "error").collect()}
+    assert got == {u: (5_000, True) if k % 4 else (0, False) for u, k, _ in rows}
