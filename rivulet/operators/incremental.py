@@ -26,6 +26,17 @@ def link_feeds(items: DataFrame) -> DataFrame:
     return named.groupBy("link", "feed_url").agg(F.count_if(~F.col("archived")).alias("live"), F.count("*").alias("total"))
 
 
+def link_change(after: DataFrame, before: DataFrame) -> DataFrame:
+    """Difference of ``link_feeds`` where items change from ``before`` to ``after``: their
+    rows are counted once together, added or taken away."""
+
+    def signed(items: DataFrame, sign: int) -> DataFrame:
+        named = items.filter(F.coalesce("link", F.lit("")) != "")
+        return named.select("link", "feed_url", F.when(~F.col("archived"), sign).otherwise(0).cast("bigint").alias("live"), F.lit(sign).cast("bigint").alias("total"))
+
+    return added(signed(after, 1), signed(before, -1), ["link", "feed_url"], ["live", "total"])
+
+
 def _icons(metadata: DataFrame) -> DataFrame:
     return metadata.filter(F.coalesce("favicon_url", F.lit("")) != "").select(F.col("url").alias("link"), "favicon_url")
 
@@ -76,7 +87,7 @@ def carry(store, before: dict, held: dict, changed: dict[str, list[int] | None])
         only = changed["items"]
         now = store.read(held, "items", only)
         store.put(held, "feed_counts", feed_counts(now), only)
-        moved = difference(link_feeds(now), link_feeds(store.read(before, "items", only)), ["link", "feed_url"], ["live", "total"])
+        moved = link_change(now, store.read(before, "items", only))
         moved, touched = apply("link_feeds", moved, ["link", "feed_url"], ["live", "total"])
         if touched:
             apply("icon_votes", icon_votes(moved, store.read(before, "url_metadata", touched)), ["feed_url", "favicon_url"], ["votes"])

@@ -83,3 +83,15 @@ def test_only_touched_buckets_are_read(spark, tmp_path):
     assert len(kept["feed_counts"]) >= len(before["feed_counts"]) - 1
     assert len(kept["link_feeds"]) >= len(before["link_feeds"]) - 10 and len(kept["icon_votes"]) >= len(before["icon_votes"]) - 1
     agree(store)
+
+
+def test_link_change_shuffles_once(spark):
+    """The difference of two aggregates, by one shuffle of the rows themselves."""
+    names = "link string, feed_url string, archived boolean"
+    before = spark.createDataFrame([("a", "f", False), ("a", "f", True), ("b", "f", None), ("", "f", False), (None, "g", False), ("c", "g", False)], names)
+    after = spark.createDataFrame([("a", "f", True), ("a", "f", True), ("b", "f", False), ("d", "g", None), ("c", "g", False), ("", "g", False)], names)
+    got = incremental.link_change(after, before)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    keys, values = ["link", "feed_url"], ["live", "total"]
+    want = incremental.difference(incremental.link_feeds(after), incremental.link_feeds(before), keys, values)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) == [("a", "f", -1, 0), ("b", "f", 1, 0), ("d", "g", 0, 1)]
