@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet import schema
-from rivulet.functions import html as H
 from rivulet.functions import scalars as S
 from rivulet.operators import merge, selection
 from rivulet.operators import relations as R
@@ -57,7 +56,7 @@ def item_rows(parsed: DataFrame, now: datetime, max_items: int) -> DataFrame:
         "feed_url",
         "pos",
         S.normalised_guid("guid", "link", "title").alias("guid"),
-        H.html_unescape("title").alias("title"),
+        F.col("plain_title").alias("title"),
         F.coalesce("link", F.lit("")).alias("link"),
         S.published("published", "updated", now).alias("published_date"),
         F.coalesce("content", F.lit("")).alias("content"),

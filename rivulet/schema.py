@@ -20,7 +20,7 @@ RESPONSES = "feed_url string, ordinal int, status int, etag string, last_modifie
 #: One parsed feed document.
 PARSED = (
     "feed_url string, ordinal int, error string, title string, description string, updated timestamp_ntz, feed_json string, "
-    "items array<struct<pos:int,guid:string,title:string,link:string,content:string,description:string,"
+    "items array<struct<pos:int,guid:string,title:string,plain_title:string,link:string,content:string,description:string,"
     "published:timestamp_ntz,updated:timestamp_ntz,item_json:string>>"
 )
 ROBOTS = "host string, allow array<string>, disallow array<string>, crawl_delay double"

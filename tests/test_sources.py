@@ -188,3 +188,24 @@ def test_parsed_items_are_handed_on_by_the_megabyte(spark):
     parsed = feeds.parse_documents(spark.createDataFrame(rows, "feed_url string, ordinal int, body string").selectExpr("*", "200 AS status"))
     got = {r.feed_url: (r.n, r.error is None) for r in parsed.selectExpr("feed_url", "size(items) AS n", "error").collect()}
     assert got == {u: (5_000, True) if k % 4 else (0, False) for u, k, _ in rows}
+
+
+def test_only_the_parser_runs_in_python(spark, tmp_path):
+    from datetime import datetime
+
+    from rivulet.plans import catalogue, ingest
+    from rivulet.sources.store import Part
+
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    body = '<rss version="2.0"><channel><title>T</title><item><title>A &amp;amp; B</title><link>l</link></item></channel></rss>'
+    made = spark.createDataFrame([("u", 0, 200, "", "", body, None)], "feed_url string, ordinal int, status int, etag string, last_modified string, body string, error string")
+    old = Part(ingest.empty(spark, "feeds"), ingest.empty(spark, "items"), 0)
+    merged = ingest.fetch_batch(spark, old, made, datetime(2024, 1, 1), landing=str(tmp_path / "parsed"))
+    assert not any(x in plan(merged.items) for x in ("pythonUDF", "html_unescape", "MapInArrow"))
+    (item,) = merged.items.collect()
+    raw = feeds.parse_documents(made).selectExpr("inline(items)").select(ingest.S.normalised_guid("guid", "link", "title").alias("g")).first().g
+    assert item.title == "A & B" and item.guid == raw
+    # The registered query parses once, before the merge.
+    assert "MapInArrow" not in plan(catalogue.queries()["ingest_snapshot"](spark, "/root/testdata/sf0.001"))
