@@ -209,3 +209,10 @@ def test_only_the_parser_runs_in_python(spark, tmp_path):
     assert item.title == "A & B" and item.guid == raw
     # The registered query parses once, before the merge.
     assert "MapInArrow" not in plan(catalogue.queries()["ingest_snapshot"](spark, "/root/testdata/sf0.001"))
+
+
+def test_a_second_fetch_merges_without_python(spark):
+    from rivulet.plans import catalogue
+
+    plan = catalogue.queries()["ingest_again"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(x in plan for x in ("pythonUDF", "html_unescape", "MapInArrow"))
