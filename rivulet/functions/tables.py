@@ -21,28 +21,28 @@ class ParseFeed:
     """A row for each item of a feed document, in its order; none for what is no feed."""
 
     def eval(self, body: str):
-        from rivulet.sources.feeds import parse_document
+        from rivulet.sources.feeds import read_document
 
         try:
-            items = parse_document(body)["items"]
+            rows = [(i["pos"], i["guid"], i["title"], i["link"], i["content"], i["description"], i["published"], i["updated"]) for i in read_document(body)[1]]
         except (ValueError, TypeError, AttributeError):
             return
-        for i in items:
-            yield i["pos"], i["guid"], i["title"], i["link"], i["content"], i["description"], i["published"], i["updated"]
+        yield from rows
 
 
 class FeedHeader:
     """One row for a document: its title and number of items, or why it could not be read."""
 
     def eval(self, body: str):
-        from rivulet.sources.feeds import parse_document
+        from rivulet.sources.feeds import read_document
 
         try:
-            doc = parse_document(body)
+            doc, items = read_document(body)
+            count = sum(1 for _ in items)
         except (ValueError, TypeError, AttributeError) as e:
             yield None, None, None, None, str(e)[:500]
             return
-        yield doc["title"], doc["description"], doc["updated"], len(doc["items"]), None
+        yield doc["title"], doc["description"], doc["updated"], count, None
 
 
 class PageMeta:

@@ -8,9 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of an Arrow batch between Spark and Python; whole texts make rows large.
-BATCH_BYTES = 4 << 20
-_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+from rivulet.session import bounded_batches
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -80,18 +78,6 @@ class Scratch:
         return out
 
 
-def bounded_batches(df: DataFrame) -> DataFrame:
-    """``df``, with Arrow batches of its session bounded by bytes.
-
-    Spark has the bound as a setting of the session alone; it is lowered only where it
-    still has Spark's default, so a value that the user chose stays.
-    """
-    conf = df.sparkSession.conf
-    if int(conf.get(_BATCH_SETTING, str(_BATCH_DEFAULT)).rstrip("b")) == _BATCH_DEFAULT:
-        conf.set(_BATCH_SETTING, str(BATCH_BYTES))
-    return df
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``documents`` table of a data folder."""
     return bounded_batches(spark.read.parquet(f"{sf_dir}/documents.parquet"))

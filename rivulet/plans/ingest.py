@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rivulet import schema
 from rivulet.functions import scalars as S
@@ -38,7 +39,9 @@ def single_result(result: Row | None, feed: Row | None) -> dict:
 
 
 def empty(spark: SparkSession, name: str) -> DataFrame:
-    return spark.createDataFrame([], schema.TABLES[name])
+    """A table without rows; one made of a Python list would start workers in every task that reads it."""
+    types = StructType.fromDDL(schema.TABLES[name])
+    return spark.range(1).filter(F.lit(False)).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in types))
 
 
 def feed_rows(parsed: DataFrame) -> DataFrame:

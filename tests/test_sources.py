@@ -1,6 +1,7 @@
 """Feeds and file trees as data sources, against local servers and folders."""
 
 import http.server
+import json
 import threading
 import time
 
@@ -216,3 +217,44 @@ def test_a_second_fetch_merges_without_python(spark):
 
     plan = catalogue.queries()["ingest_again"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert not any(x in plan for x in ("pythonUDF", "html_unescape", "MapInArrow"))
+
+
+def test_items_of_a_long_document_are_python_objects_a_few_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    item = "<item><title>{0} &amp;amp;</title><link>https://example.com/page/{0}</link><description>text</description><pubDate>2024-01-01T00:00:11Z</pubDate><guid>{0}</guid></item>"
+    rss = '<rss version="2.0"><channel><title>T</title>' + "".join(item.format(k) for k in range(10_000)) + "</channel></rss>"
+    atom = '<feed xmlns="http://www.w3.org/2005/Atom"><title>A</title>' + "".join(f"<entry><id>{k}</id></entry>" for k in range(3_000)) + "</feed>"
+    # An item that can't be read makes an error of the whole document, whatever came before.
+    bad = json.dumps({"version": "https://jsonfeed.org/version/1", "items": [{"id": k} for k in range(3_000)] + [7]})
+    rows = [("r", 0, rss), ("b", 1, bad), ("n", 2, None), ("a", 3, atom)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["feed_url", "ordinal", "body"])
+    tracemalloc.start()
+    try:
+        batches = list(feeds.parsed_batches(iter([batch])))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    got = [r for b in batches for r in b.to_pylist()]
+    assert [(r["feed_url"], r["error"] is None, r["title"], len(r["items"])) for r in got] == [("r", True, "T", 10_000), ("b", False, None, 0), ("n", False, None, 0), ("a", True, "A", 3_000)]
+    assert [(i["pos"], i["guid"], i["plain_title"]) for i in got[0]["items"]] == [(k, str(k), f"{k} &") for k in range(10_000)]
+    # The document, its tree and a few items; with all its items as objects it is more.
+    assert [i["guid"] for i in got[3]["items"]] == [str(k) for k in range(3_000)] and most < 11 * len(rss), most / len(rss)
+
+
+def test_batches_of_documents_are_bounded_by_bytes(spark):
+    session = spark.newSession()
+    feeds.parse_documents(session.range(1).selectExpr("'u' AS feed_url", "0 AS ordinal", "200 AS status", "'x' AS body"))
+    assert int(session.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 4 << 20
+
+
+def test_an_empty_archive_starts_no_python(spark):
+    from rivulet import schema
+    from rivulet.plans import ingest
+
+    for name, types in schema.TABLES.items():
+        rows = ingest.empty(spark, name)
+        assert "RDD" not in rows._jdf.queryExecution().optimizedPlan().toString() and rows.count() == 0
+        assert [(f.name, f.dataType) for f in rows.schema] == [(f.name, f.dataType) for f in spark.createDataFrame([], types).schema]
