@@ -17,15 +17,20 @@ from dataclasses import dataclass
 from pathlib import PurePosixPath
 from urllib.parse import urlsplit
 
+import pyarrow as pa
 from pyarrow import fs as arrow_fs
 from pyspark.sql import Row, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, StringStartsWith, WriterCommitMessage
 
+from rivulet.session import BATCH_BYTES
 from rivulet.sources import feeds, opml
 
 #: What a fetch brings (see ``schema.RESPONSES``), and the host that was asked.
 RESPONSES = "feed_url string, ordinal int, status int, etag string, last_modified string, body string, error string, host string"
+_ROWS = pa.schema([(n, pa.int32() if t == "int" else pa.string()) for n, t in (c.split() for c in RESPONSES.split(", "))])
 CONCURRENCY = 32
+#: Responses of an Arrow batch at most; bodies are bounded by ``BATCH_BYTES`` besides.
+BATCH_ROWS = 1024
 
 
 def file_system(path: str) -> tuple[arrow_fs.FileSystem, str]:
@@ -103,11 +108,18 @@ class _Fetching:
         rows = ds.dataset(at, filesystem=own, format="parquet").to_table(columns=["url", "etag", "last_modified"], filter=ds.field("url").isin(urls))
         return {r["url"]: (r["etag"] or "", r["last_modified"] or "") for r in rows.to_pylist()}
 
-    def read(self, partition: Hosts) -> Iterator[tuple]:
-        known = self.known([u for _, u in partition.urls])
+    def read(self, partition: Hosts) -> Iterator[pa.RecordBatch]:
+        """Responses in batches of some megabytes; Spark would gather ten thousand rows."""
+        known, rows, size = self.known([u for _, u in partition.urls]), [], 0
         for ordinal, url in partition.urls:
             got = feeds.get(url, *known.get(url, ("", "")), timeout=self.timeout, files=self.files)
-            yield url, ordinal, got["status"], got["etag"], got["last_modified"], got["body"], got["error"], host_of(url)
+            rows.append({"feed_url": url, "ordinal": ordinal, "host": host_of(url)} | got)
+            size += len(got["body"] or "")
+            if size >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
+                yield pa.RecordBatch.from_pylist(rows, schema=_ROWS)
+                rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=_ROWS)
 
 
 class FeedReader(_Fetching, DataSourceReader):

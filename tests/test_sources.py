@@ -6,6 +6,7 @@ import threading
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from rivulet.sources import datasource, feeds
 
@@ -178,6 +179,41 @@ def test_feed_source_where_the_shared_folder_is_a_plain_path(spark, tmp_path, mo
     assert {r.title: r.item_count for r in got} == {f"https://feeds.example.com/{u}/rss.xml": n for u, n in ((0, 7), (1, 7), (2, 6))}
 
 
+def test_requests_of_a_process_share_an_opener(tmp_path, monkeypatch):
+    import urllib.request
+
+    made, build = [], urllib.request.build_opener
+    monkeypatch.setattr(urllib.request, "build_opener", lambda *handlers: made.append(build(*handlers)) or made[-1])
+    for k in range(5):
+        (tmp_path / f"{k}.xml").write_text(RSS.format(k))
+    got = [feeds.get((tmp_path / f"{k}.xml").as_uri(), files=True) for k in range(5)]
+    assert [g["body"] for g in got] == [RSS.format(k) for k in range(5)] and len(made) <= 1
+
+
+def test_responses_are_handed_on_by_megabytes(session, tmp_path):
+    (tmp_path / "long.xml").write_text("x" * 1_500_000)
+    (tmp_path / "list.txt").write_text("\n".join([f"{tmp_path.as_uri()}/long.xml"] * 7 + ["ftp://example.com/x"] * 3_000))
+    reader = datasource.FeedReader({"list": f"{tmp_path}/list.txt", "files": "true", "concurrency": "1"})
+    (partition,) = reader.partitions()
+    batches = list(reader.read(partition))
+    assert all(b.nbytes < 7_000_000 and b.num_rows <= 3_000 for b in batches) and [o for b in batches for o in b.column("ordinal").to_pylist()] == list(range(3_007))
+    read = session.read.format("feed").options(list=f"{tmp_path}/list.txt", files="true", concurrency="1").load()
+    got = {r.host: (r.n, r.size, r.errors) for r in read.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.length("body")).alias("size"), F.count("error").alias("errors")).collect()}
+    assert got == {"": (7, 10_500_000, 0), "example.com": (3_000, None, 3_000)}
+
+
+@pytest.mark.parametrize("kind", ["rss", "rdf", "atom"])
+def test_items_take_the_first_text_that_is_not_empty(kind):
+    first = "<title> </title><m:title>other</m:title><title>One <b>two</b></title><title>late</title>"
+    body = {
+        "rss": f'<rss xmlns:m="http://m/"><channel><item>{first}<pubDate>2024-01-02T03:04:05Z</pubDate></item></channel></rss>',
+        "rdf": f'<r:RDF xmlns:r="http://r/" xmlns="http://purl.org/rss/1.0/" xmlns:m="http://m/"><item>{first}<pubDate>Tue, 02 Jan 2024 03:04:05 GMT</pubDate></item></r:RDF>',
+        "atom": f'<feed xmlns="http://www.w3.org/2005/Atom" xmlns:m="http://m/"><entry>{first}<published/><issued>2024-01-02T05:04:05+02:00</issued></entry></feed>',
+    }[kind]
+    (item,) = feeds.parse_document(body)["items"]
+    assert (item["title"], str(item["published"])) == ("One two" if kind == "rss" else "other", "2024-01-02 03:04:05")
+
+
 def test_parsed_items_are_handed_on_by_the_megabyte(spark):
     import pyarrow as pa
 
